@@ -2,11 +2,13 @@
 
 from __future__ import annotations
 
-from voxquarry.llm import line_dedup, mixing
+from voxquarry.llm import language_id, line_dedup, mixing, ngram_join
 
 QUERIES = {
     "op2_line_dedup": line_dedup.op2_line_dedup,
+    "op3_language_id": language_id.op3_language_id,
     "op8_mixing": mixing.op8_mixing,
+    "op10_ngram_join": ngram_join.op10_ngram_join,
 }
 ORACLES = {
     "op2_line_dedup": line_dedup.OP2_SQL,
