@@ -2,15 +2,17 @@
 
 from __future__ import annotations
 
-from voxquarry.llm import language_id, line_dedup, mixing, ngram_join
+from voxquarry.llm import language_id, line_dedup, mixing, ngram_join, warc
 
 QUERIES = {
+    "op1_warc": warc.op1_warc,
     "op2_line_dedup": line_dedup.op2_line_dedup,
     "op3_language_id": language_id.op3_language_id,
     "op8_mixing": mixing.op8_mixing,
     "op10_ngram_join": ngram_join.op10_ngram_join,
 }
 ORACLES = {
+    "op1_warc": warc.OP1_SQL,
     "op2_line_dedup": line_dedup.OP2_SQL,
     "op8_mixing": mixing.OP8_SQL,
 }
