@@ -2,13 +2,17 @@
 
 from __future__ import annotations
 
-from voxquarry.llm import language_id, line_dedup, mixing, ngram_join, warc
+from voxquarry.llm import collision_search, compression_quality, decontaminate, language_id, line_dedup, mixing, ngram_join, pseudonyms, warc
 
 QUERIES = {
     "op1_warc": warc.op1_warc,
     "op2_line_dedup": line_dedup.op2_line_dedup,
     "op3_language_id": language_id.op3_language_id,
+    "op5_decontaminate": decontaminate.op5_decontaminate,
+    "op6_collision_search": collision_search.op6_collision_search,
+    "op7_compression_quality": compression_quality.op7_compression_quality,
     "op8_mixing": mixing.op8_mixing,
+    "op9_pseudonyms": pseudonyms.op9_pseudonyms,
     "op10_ngram_join": ngram_join.op10_ngram_join,
 }
 ORACLES = {
