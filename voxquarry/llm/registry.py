@@ -2,12 +2,13 @@
 
 from __future__ import annotations
 
-from voxquarry.llm import collision_search, compression_quality, decontaminate, language_id, line_dedup, mixing, ngram_join, pseudonyms, warc
+from voxquarry.llm import collision_search, compression_quality, decontaminate, language_id, line_dedup, mixing, ngram_join, pseudonyms, substring_dedup, warc
 
 QUERIES = {
     "op1_warc": warc.op1_warc,
     "op2_line_dedup": line_dedup.op2_line_dedup,
     "op3_language_id": language_id.op3_language_id,
+    "op4_substring_dedup": substring_dedup.op4_substring_dedup,
     "op5_decontaminate": decontaminate.op5_decontaminate,
     "op6_collision_search": collision_search.op6_collision_search,
     "op7_compression_quality": compression_quality.op7_compression_quality,
