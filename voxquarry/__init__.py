@@ -1,0 +1 @@
+"""Speech-corpus analytics on Spark DataFrames."""
