@@ -3,13 +3,12 @@ import sys
 
 import duckdb
 import pytest
+from helpers import DATA, TABLES
 
 ROOT = os.path.dirname(os.path.dirname(os.path.abspath(__file__)))
 sys.path.insert(0, ROOT)
 os.environ["PYTHONPATH"] = ROOT + os.pathsep + os.environ.get("PYTHONPATH", "")
 
-DATA = "/root/testdata/sf0.001"
-TABLES = "region nation customer supplier part orders lineitem events documents embeddings pages benchmark labels conversations".split()
 
 
 @pytest.fixture(scope="session")
@@ -29,9 +28,3 @@ def duck():
     for t in TABLES:
         con.execute(f"CREATE VIEW {t} AS SELECT * FROM read_parquet('{DATA}/{t}.parquet')")
     return con
-
-
-def rows(df):
-    """Rows with columns by name, in any order."""
-    cols = sorted(df.columns)
-    return sorted(repr(tuple(r[c] for c in cols)) for r in df.collect())

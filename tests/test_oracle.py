@@ -1,7 +1,7 @@
 """Every query of the library against DuckDB's SQL on the smallest tables."""
 
 import pytest
-from conftest import DATA, rows
+from helpers import DATA, rows
 
 from voxquarry.plans.all_queries import ORACLES, QUERIES
 
