@@ -1,0 +1,339 @@
+"""Archives, language ID, search, quality, mixing, pseudonyms and the pipeline."""
+
+import collections
+import gzip
+import hashlib
+import os
+import random
+import zlib
+
+import numpy as np
+import pytest
+from helpers import DATA, rows
+from pyspark.sql import functions as F
+
+from voxquarry.llm import collision_search, compression_quality, language_id, mixing, pseudonyms, registry, warc
+from voxquarry.llm.common import shared_path
+
+# ---- queries against SQL -----------------------------------------------------------------------------------------------
+
+
+@pytest.mark.parametrize("name", sorted(registry.ORACLES))
+def test_query_against_sql(spark, duck, name):
+    got = rows(registry.QUERIES[name](spark, DATA))
+    res = duck.execute(registry.ORACLES[name])
+    names = [x[0] for x in res.description]
+    cols = sorted(names)
+    assert got == sorted(repr(tuple(r[names.index(c)] for c in cols)) for r in res.fetchall())
+
+
+# ---- archives ----------------------------------------------------------------------------------------------------------
+
+PAGES = "page_id long, url string, html string, record_type string"
+
+
+def pages(spark, data):
+    return spark.createDataFrame([(*x, "extra") for x in data], PAGES)
+
+
+def read_back(spark, data):
+    root = shared_path(spark, "test-warc")
+    lines = warc.write_archives(pages(spark, data), f"{root}/a")
+    directory = warc.build_index(lines, f"{root}/i")
+    return warc.read_records(warc.read_blocks(directory, f"{root}/i"), f"{root}/a"), directory, root
+
+
+def test_archive_round_trip(spark):
+    big = "<p>é\r\n\r\nWARC/1.1\r\n</p>" * 100
+    data = [(1, "http://www.Example.org:8080/a?B=1#f", big), (2, None, big), (3, "http://b.org/", big), (4, "http://b.org/", None), (5, "http://b.org/", ""), (6, "bad url [", "x" * 999), (7, "http://b.org/", "x" * 999), (None, "http://c.org", big), (3, "http://b.org/", big)]
+    df, directory, root = read_back(spark, data)
+    got = df.collect()
+    assert len(got) == len(data)
+    by = collections.defaultdict(list)
+    for r in got:
+        by[r.page_id].append(r)
+    assert [by[i][0].record_type for i in (1, 2, None)] == ["revisit"] * 3 and [r.refers_to for r in by[1] + by[2] + by[None]] == [3, 3, 3]
+    assert [r.record_type for r in by[3]] == ["response", "response"] and by[6][0].record_type == by[7][0].record_type == "response"
+    assert by[4][0].payload_bytes == 0 and by[1][0].payload_digest == hashlib.sha1(big.encode()).hexdigest() and by[3][0].body == big.encode()
+    index = warc.Index(directory, f"{root}/i", f"{root}/a")
+    assert len(index.lookup("http://b.org/")) == 5 and index.lookup("http://nothing.org/") == []
+    fields, body = index.lookup("http://www.example.org:8080/a?b=1")[0]
+    assert fields["X-Page-ID"] == "1" and fields["WARC-Type"] == "revisit" and body == b""
+    first = next(os.path.join(d, f) for d, _, names in os.walk(root.removeprefix("file://") + "/a") for f in names)
+    assert gzip.open(first).read(8) == b"WARC/1.1"
+
+
+def test_archive_of_nothing(spark):
+    df, directory, _ = read_back(spark, [])
+    assert df.count() == 0 and directory.count() == 0
+
+
+def test_index_of_a_large_host(spark):
+    data = [(i, f"http://one.org/{i % 700}", f"page {i}") for i in range(2500)]
+    df, directory, root = read_back(spark, data)
+    assert df.count() == 2500 and directory.count() >= 3
+    index = warc.Index(directory, f"{root}/i", f"{root}/a")
+    for k in (0, 1, 350, 699):
+        assert [int(f["X-Page-ID"]) for f, _ in index.lookup(f"http://one.org/{k}")] == [i for i in range(2500) if i % 700 == k]
+
+
+def test_url_keys():
+    assert warc.url_key("https://www.b.example.org/X?q=A") == "org,example,b)/x?q=a"
+    assert warc.url_key(None) == "" and warc.url_key("http://a.org") == "org,a)/"
+
+
+# ---- language ID -------------------------------------------------------------------------------------------------------
+
+
+def test_codewords():
+    for n in (2, 3, 4, 5, 9, 40):
+        m = language_id.codewords(n)
+        assert set(np.unique(m)) == {-1.0, 1.0} and len({tuple(r) for r in m}) == n and (abs(m.sum(0)) < n).all()
+    assert language_id.codewords(1).shape == (1, 0)
+
+
+def test_language_accuracy_on_held_out_rows(spark):
+    d = DATA.replace("sf0.001", "sf0.01")
+    got = language_id.op3_language_id(spark, d).join(spark.read.parquet(f"{d}/documents.parquet").select("doc_id", "lang"), "doc_id")
+    ok = got.where("held_out").agg(F.avg((F.col("lang") == F.col("lang_pred")).cast("int")), F.min("score"), F.max("score"), F.count(F.lit(1))).first()
+    assert ok[0] > 0.98 and 0 <= ok[1] <= ok[2] <= 1 and ok[3] > 100
+    flags = {r.doc_id: r.held_out for r in got.select("doc_id", "held_out").collect()}
+    assert all(h == (zlib.crc32(str(i).encode()) % 4 == 2) for i, h in flags.items())
+
+
+def test_language_odd_rows(spark):
+    docs = spark.createDataFrame([(1, None, "x"), (2, "", "x"), (3, "12 %% 3", "x"), (4, "the cat and the dog", "x"), (4, "日本語", "x")], "doc_id long, text string, score string")
+    train = spark.createDataFrame([("the dog and the cat sat there", "en"), ("le chien et le chat sont la", "fr"), (None, "fr"), ("the", None)], "text string, lang string")
+    model = language_id.fit(train)
+    got = language_id.predict(docs, model).collect()
+    assert [r.lang_pred for r in got][:4] == ["und", "und", "und", "en"] and [r.score for r in got][:3] == [0, 0, 0] and got[4].lang_pred in ("en", "fr")
+    none = language_id.fit(train.limit(0))
+    assert {r.lang_pred for r in language_id.predict(docs, none).collect()} == {"und"}
+    one = language_id.fit(train.where("lang = 'fr'"))
+    assert [r.lang_pred for r in language_id.predict(docs, one).collect()] == ["und", "und", "und", "fr", "fr"]
+    assert language_id.predict(docs.limit(0), model).count() == 0
+
+
+# ---- search ------------------------------------------------------------------------------------------------------------
+
+
+def test_search_recall_and_scores(spark):
+    d = DATA.replace("sf0.001", "sf0.1")
+    v = spark.read.parquet(f"{d}/embeddings.parquet").orderBy("vec_id").toPandas()
+    ids, x = v.vec_id.to_numpy(), np.stack(v.embedding.to_numpy()).astype(float)
+    got = collections.defaultdict(list)
+    for r in collision_search.op6_collision_search(spark, d).collect():
+        got[r.query_id].append((r["rank"], r.vec_id, r.score))
+    found = total = 0
+    for q in ids[ids % 20 == 0]:
+        s = (x * x[ids == q]).sum(1)
+        s[ids == q] = -np.inf
+        own = sorted(got[q])
+        assert [r for r, _, _ in own] == list(range(1, 21)) and all(sc == s[ids == i][0] for _, i, sc in own)
+        assert own == [(k + 1, i, sc) for k, (i, sc) in enumerate(sorted(((i, sc) for _, i, sc in own), key=lambda t: (-t[1], t[0])))]
+        found += len({i for _, i, _ in own} & set(ids[np.lexsort((ids, -s))[:20]]))
+        total += 20
+    assert found / total >= 0.9
+
+
+def test_search_odd_vectors(spark):
+    nan, inf = float("nan"), float("inf")
+    data = [(0, [1.0, 0.0]), (1, [1.0, 0.0]), (2, [0.5, 0.5]), (3, None), (4, [0.0, 0.0]), (5, [nan, 1.0]), (6, [inf, 1.0]), (7, [None, 1.0]), (8, [1.0, 2.0, 3.0]), (9, [-1.0, 0.0]), (1, [1.0, 0.0]), (None, [1.0, 0.0])]
+    v = spark.createDataFrame([(*x, 1) for x in data], "vec_id long, embedding array<float>, rank int")
+    got = sorted(map(tuple, collision_search.nearest(v, v.where("vec_id IN (0, 3, 4, 8)"), 3).collect()))
+    assert got == [(0, 1, 1, 1.0), (0, 2, 1, 1.0), (0, 3, 2, 0.5)]
+    assert collision_search.nearest(v.limit(0), v.limit(0)).count() == 0
+
+
+def test_many_equal_vectors_are_ranked_by_id(spark):
+    data = [(i, [1.0, 1.0]) for i in range(400)] + [(1000 + i, [float(i % 7), -1.0]) for i in range(100)]
+    v = spark.createDataFrame(data, "vec_id long, embedding array<float>")
+    got = [r.vec_id for r in collision_search.nearest(v.where("vec_id < 1000"), v.where("vec_id = 40"), 5).orderBy("rank").collect()]
+    assert got == [0, 1, 2, 3, 4]
+
+
+# ---- quality -----------------------------------------------------------------------------------------------------------
+
+
+def test_quality_on_held_out_labels(spark):
+    d = DATA.replace("sf0.001", "sf0.1")
+    t = compression_quality.op7_compression_quality(spark, d).join(spark.read.parquet(f"{d}/labels.parquet"), "doc_id").where("held_out").toPandas()
+    rank, good = t.score.rank(), t.quality == 1
+    auc = (rank[good].sum() - good.sum() * (good.sum() + 1) / 2) / (good.sum() * (~good).sum())
+    assert auc > 0.95 and (t.predicted == t.quality).mean() > 0.93 and t.score.between(0, 1).all()
+
+
+def test_quality_odd_rows(spark):
+    docs = spark.createDataFrame([(1, None, 1.0), (2, "", 1.0), (3, "plain words here", 1.0), (None, "x", 1.0), (3, "plain words here", 1.0)], "doc_id long, text string, gain double")
+    labels = spark.createDataFrame([(1, 1), (2, 0), (3, 1), (3, 1), (9, 0), (None, 1), (4, 7)], "doc_id long, quality int")
+    got = compression_quality.score(docs, labels).collect()
+    assert len(got) == 5 and all(0 <= r.score <= 1 for r in got)
+    none = compression_quality.score(docs, labels.limit(0)).collect()
+    assert {r.score for r in none} == {0.5}
+    assert compression_quality.score(docs.limit(0), labels).count() == 0
+
+
+def test_calibration_rises():
+    rng = np.random.default_rng(1)
+    bad, good = np.zeros(compression_quality.BINS), np.zeros(compression_quality.BINS)
+    for i in rng.normal(480, 20, 500).astype(int):
+        bad[i] += 1
+    for i in rng.normal(540, 20, 2500).astype(int):
+        good[i] += 1
+    p = compression_quality.calibrate(bad, good)
+    assert (np.diff(p) >= 0).all() and p[400] < 0.2 and p[600] > 0.95
+
+
+# ---- mixing ------------------------------------------------------------------------------------------------------------
+
+
+def test_water_filling_reaches_the_fixed_point(spark):
+    rng = random.Random(4)
+    for _ in range(4):
+        sizes = [(None if i == 9 else f"s{i}", rng.choice([0, 3, 50, 1000, 40_000])) for i in range(10)]
+        t = {r.source: (r.weight, r.target, r.source_size) for r in mixing.water_fill(spark.createDataFrame(sizes, "source string, source_size long")).collect()}
+        total, targets = 1.5 * sum(n for _, n in sizes), {s: 0.0 for s, _ in sizes}
+        open_ = {s for s, _ in sizes}
+        rest = total
+        while open_:  # clamp and reshare until none is above
+            w = sum(t[s][0] for s in open_)
+            over = {s for s in open_ if rest * t[s][0] / w > 2 * t[s][2]}
+            for s in over or open_:
+                targets[s] = 2.0 * t[s][2] if over else rest * t[s][0] / w
+            if not over:
+                break
+            rest -= sum(targets[s] for s in over)
+            open_ -= over
+        assert all(abs(t[s][1] - targets[s]) <= 1e-6 * max(1, targets[s]) for s in targets)
+        order = sorted(t, key=lambda s: (s is None, s or ""))
+        assert [t[s][0] for s in order] == [(5, 2, 1)[i % 3] for i in range(10)]
+
+
+def test_mix_comes_near_its_targets(spark, prose):
+    rng = random.Random(8)
+    data = [(i, " ".join(prose(rng.choice([1, 5, 20, 60, 400]), i)), rng.choice(["a", "b", "c", None])) for i in range(600)]
+    df = spark.createDataFrame(data, "doc_id long, text string, source string")
+    first = mixing.mix(df).collect()
+    taken, target = collections.Counter(), {}
+    for r in first:
+        taken[r.source] += r.taken
+        target[r.source] = r.target
+        assert r.taken <= 2 * r.size and r.taken % max(r.size, 1) == 0
+    assert all(abs(taken[s] - target[s]) <= 0.01 * target[s] for s in target)
+    assert rows(mixing.mix(df.repartition(7))) == rows(mixing.mix(df))
+
+
+def test_mix_odd_rows(spark):
+    df = spark.createDataFrame([(1, None, "a", 5), (2, "", None, 5), (None, "x y", "b", 5), (3, "z", "b", 5), (3, "z", "b", 5)], "doc_id long, text string, source string, size int")
+    got = mixing.mix(df)
+    assert got.count() == 5 and got.columns == ["doc_id", "text", "source", "size", "source_size", "target", "copies", "taken"]
+    assert sorted(r.size for r in got.collect()) == [0, 0, 1, 1, 2]
+    assert mixing.mix(df.limit(0)).count() == 0
+    assert {r.target for r in mixing.mix(df.where("doc_id IN (1, 2)")).collect()} == {0.0}
+
+
+# ---- pseudonyms --------------------------------------------------------------------------------------------------------
+
+KEY = b"test key"
+
+
+@pytest.mark.parametrize("n", [2, 3, 10, 97, 1000])
+def test_permutation(n):
+    assert sorted(pseudonyms.permute(x, n, KEY, b"t") for x in range(n)) == list(range(n))
+    assert all(pseudonyms.permute(pseudonyms.permute(x, n, KEY, b"t"), n, KEY, b"t", True) == x for x in range(n))
+
+
+VALUES = {
+    "card": ["4111 1111 1111 1111", "4111-1111-1111-1111", "4111111111111111", "378282246310005"],
+    "ipv4": ["10.0.0.1", "255.255.255.255"],
+    "date": ["1999-02-28", "31/12/2020", "2024-02-29", "01.02.2003"],
+    "email": ["jane.doe9@mail2.example.com"],
+    "phone": ["+1 (048) 555-4142", "555-123-4567"],
+    "ssn": ["123-45-6789"],
+    "iban": ["DE89370400440532013000", "GB82 WEST 1234 5698 7654 32"],
+    "secret": ["59ea3612aa6fdb1d4556ccac234e5419878f26bc"],
+}
+
+
+@pytest.mark.parametrize("kind", VALUES)
+def test_values_keep_their_format_and_come_back(kind):
+    for v in VALUES[kind]:
+        text = f'say token = "{v}" now' if kind == "secret" else f"say {v} now"
+        (a, z, k, new), *more = pseudonyms.findings(text, KEY)
+        assert not more and k == kind and text[a:z] == v and len(new) == len(v) or kind == "ipv4"
+        out = pseudonyms.replace(text, KEY)
+        assert out != text and pseudonyms.replace(out, KEY, back=True) == text
+        assert [f[2] for f in pseudonyms.findings(out, KEY)] == [kind]  # still valid
+
+
+def test_equal_values_stay_linked():
+    new = [pseudonyms.findings(f"x {v} y", KEY)[0][3].replace(" ", "").replace("-", "") for v in VALUES["card"][:3]]
+    assert len(set(new)) == 1
+
+
+@pytest.mark.parametrize("text", ["4111111111111112", "256.1.1.1", "1.2.3.4.5", "2023-02-30", "000-12-3456", "9.9 and 1234", "a@b", "DE89370400440532013001", "", None])
+def test_invalid_values_stay(text):
+    assert pseudonyms.findings(text, KEY) == [] and pseudonyms.replace(text, KEY) == text
+
+
+def test_pseudonyms_on_tables(spark):
+    df = spark.createDataFrame([(1, "ip 10.0.0.1", "k"), (2, None, "k"), (None, "10.0.0.1", "k"), (2, "", "k"), (3, "x" * 100_000 + " 10.0.0.1", "k")], "doc_id long, text string, kind string")
+    got = pseudonyms.find(df, KEY).collect()
+    assert len(got) == 3 and len({r.pseudonym for r in got}) == 1 and max(r.start for r in got) == 100_001
+    out = pseudonyms.pseudonymise(df, KEY)
+    assert out.columns == df.columns and [r.text is None for r in out.collect()] == [False, True, False, False, False]
+    assert pseudonyms.find(df.limit(0)).count() == 0
+
+
+# ---- pipeline ----------------------------------------------------------------------------------------------------------
+
+
+def test_pipeline_against_plain_python(spark):
+    import corpus_pipeline as P
+
+    d = DATA
+    docs = spark.read.parquet(f"{d}/documents.parquet")
+    at, held = docs, {}
+    for name, stage in P.STAGES:
+        at = stage(spark, at, d).cache()
+        held[name] = at.toPandas()
+        if name != P.STAGES[-1][0]:
+            assert at.columns == docs.columns
+    src, one, two, three, four, five = docs.toPandas(), *[held[n] for n, _ in P.STAGES]
+    assert len(one) >= 0.95 * len(src) and set(one.doc_id) <= set(src.doc_id)
+    # lines
+    count, last = collections.Counter(), {}
+    key = lambda x: x.strip(" \t\n\x0b\x0c\r").translate({c: c + 32 for c in range(65, 91)})
+    for i, t in zip(one.doc_id, one.text, strict=True):
+        for k in {key(x) for x in t.split("\n")}:
+            count[k] += 1
+            last[k] = max(last.get(k, i), i)
+    want = {i: "\n".join(x for x in t.split("\n") if len(key(x)) < 40 or count[key(x)] < 5 or last[key(x)] == i) for i, t in zip(one.doc_id, one.text, strict=True)}
+    assert dict(zip(two.doc_id, two.text, strict=True)) == want and all(two.n_chars == two.text.str.len())
+    # near duplicates
+    from test_text_operators import brute
+
+    data = list(zip(two.doc_id, two.text, strict=True))
+    data.sort()
+    s, comp = brute(data)
+    assert set(three.doc_id) == {data[c][0] for c, x in zip(comp, s, strict=True) if x} | {i for (i, _), x in zip(data, s, strict=True) if not x}
+    # benchmark
+    items = spark.read.parquet(f"{d}/benchmark.parquet").toPandas().text
+    assert not any(x in t for x in items for t in four.text) and set(four.doc_id) <= set(three.doc_id)
+    assert {i for i, t in zip(three.doc_id, three.text, strict=True) if any(x in t for x in items)} <= set(three.doc_id) - set(four.doc_id)
+    # mix
+    mixed = mixing.mix(spark.createDataFrame(four)).toPandas()
+    assert collections.Counter(five.doc_id) == {i: c for i, c in zip(mixed.doc_id, mixed.copies, strict=True) if c}
+    assert rows(P.run(spark, d)) == rows(P.run(spark, d))
+
+
+def test_pipeline_stages_on_odd_tables(spark):
+    import corpus_pipeline as P
+
+    schema = "doc_id long, text string, lang string, source string, n_chars long, size string"
+    data = [(1, None, None, None, None, "x"), (2, "", "en", "a", 0, "x"), (None, "the cat and the dog", "en", "a", 3, "x"), (4, "the cat and the dog", "en", "a", 3, "x"), (4, "the cat and the dog", "en", "a", 3, "x"), (5, "12 34", "en", None, 2, "x")]
+    for rows_ in (data, []):
+        at = spark.createDataFrame(rows_, schema)
+        for _, stage in P.STAGES:
+            at = spark.createDataFrame(stage(spark, at, DATA).collect(), (at if _ != "mixing" else stage(spark, at, DATA)).schema)
+        assert at.count() <= 2 * len(rows_) and "doc_id" in at.columns
