@@ -13,7 +13,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from voxquarry.llm import arrays, sketch
@@ -70,8 +70,8 @@ def _prefixes(k: int, percent: int, level):
     return run
 
 
-def _fragments(k: int, level, cuts: int):
-    """(class, fragment, n-grams): the set of each row, cut at fixed places of the hash order."""
+def _fragments(k: int, cuts: int):
+    """(class, fragments): the set of each row, cut at fixed places of the hash order into `cuts` lists."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         seen = set()
@@ -79,16 +79,15 @@ def _fragments(k: int, level, cuts: int):
             for _, _, buf, offsets in arrays.chunks(batch.column(0)):
                 r, h, sizes = arrays.shingle_sets(buf, offsets, k)
                 d = arrays.set_digests(r, h, sizes).view(np.int64)
-                new = np.array([x not in seen and not seen.add(x) for x in d.tolist()], bool)
+                new = np.array([x not in seen and not seen.add(x) for x in d.tolist()], bool) & (sizes > 0)
                 keep = new[r]
-                r, h = r[keep], h[keep]
-                if not len(r):
-                    continue
+                rows = np.flatnonzero(new)
+                h, nth = h[keep], np.cumsum(new)[r[keep]] - 1
                 frag = ((h >> np.uint64(32)) * np.uint64(cuts) >> np.uint64(32)).astype(np.int64)
-                g = r * cuts + frag  # sorted, as h is sorted within r
-                first = np.flatnonzero(np.concatenate([[True], g[1:] != g[:-1]]))
-                lists = pa.ListArray.from_arrays(pa.array(np.append(first, len(g)).astype(np.int32)), arrays.i64(h))
-                yield pa.RecordBatch.from_arrays([pa.array(d[r[first]]), arrays.i64(frag[first]), lists], ["rec", "frag", "toks"])
+                ends = np.searchsorted(nth * cuts + frag, np.arange(len(rows) * cuts + 1)).astype(np.int32)  # sorted, as h is within a row
+                inner = pa.ListArray.from_arrays(pa.array(ends), arrays.i64(h))
+                outer = pa.ListArray.from_arrays(pa.array(np.arange(0, len(rows) * cuts + 1, cuts, dtype=np.int32)), inner)
+                yield pa.RecordBatch.from_arrays([pa.array(d[rows]), outer], ["rec", "frags"])
 
     return run
 
@@ -114,16 +113,16 @@ def _pair(x: str, y: str):
     )
 
 
-def _links(pairs: DataFrame, docs: DataFrame, classes: DataFrame, k: int, percent: int, level) -> DataFrame:
+def _links(pairs: DataFrame, docs: DataFrame, classes: DataFrame, k: int, percent: int) -> DataFrame:
     """The pairs that are similar: partial overlaps by fragment, summed per pair."""
     recs = pairs.select(F.col("a").alias("d")).unionByName(pairs.select(F.col("b").alias("d"))).distinct()
     ids = classes.select("doc_id", "d").join(recs, "d", "left_semi").groupBy("d").agg(F.min("doc_id").alias("_id")).select("_id")
     texts = docs.join(ids, F.col("doc_id").eqNullSafe(F.col("_id")), "left_semi").select("text")
-    sets = materialise(texts.mapInArrow(_fragments(k, level, FRAGMENTS), "rec long, frag long, toks array<long>"), "ngram-fragments")
-    left = pairs.join(sets.withColumnRenamed("rec", "a").withColumnRenamed("toks", "ta"), "a")
-    both = left.join(sets.withColumnRenamed("rec", "b").withColumnRenamed("toks", "tb"), ["b", "frag"])
-    part = both.select("a", "b", "n", F.size(F.array_intersect("ta", "tb")).cast("long").alias("o"))
-    whole = part.groupBy("a", "b", "n").agg(F.sum("o").alias("o"))
+    sets = materialise(texts.mapInArrow(_fragments(k, FRAGMENTS), "rec long, frags array<array<long>>"), "ngram-fragments").dropDuplicates(["rec"])
+    left = pairs.join(sets.select(F.col("rec").alias("a"), F.col("frags").alias("fa")), "a")
+    both = left.join(sets.select(F.col("rec").alias("b"), F.col("frags").alias("fb")), "b")
+    parts = F.zip_with("fa", "fb", lambda x, y: F.size(F.array_intersect(x, y)).cast("long"))
+    whole = both.select("a", "b", "n", F.aggregate(parts, F.lit(0).cast("long"), lambda t, x: t + x).alias("o"))
     return whole.where(100 * F.col("o") >= percent * (F.col("n") - F.col("o"))).select("a", "b")
 
 
@@ -149,27 +148,41 @@ def jaccard_components(docs: DataFrame, k: int = SHINGLE, percent: int = PERCENT
     mixed = entries.groupBy("tok").agg(F.min("rec").alias("lo"), F.max("rec").alias("hi")).where("lo <> hi").select("tok")
     entries = materialise(entries.join(mixed, "tok", "left_semi"), "ngram-entries")
 
-    # stars: each shared n-gram's classes with a leader of one of four random orders
+    # stars: each shared n-gram's classes with a leader, the one with fewest rarer n-grams and so the most central;
+    # ties go by one of four random orders
     order = F.xxhash64("rec", F.pmod("tok", F.lit(4)))
-    lead = entries.groupBy("tok").agg(F.min(F.struct(order.alias("o"), "rec", "np")).alias("l")).select("tok", "l.rec", "l.np")
+    lead = entries.groupBy("tok").agg(F.min(F.struct(F.col("np").bitwiseAND(0xFFFFFFFF).alias("p"), order.alias("o"), "rec", "np")).alias("l")).select("tok", "l.rec", "l.np")
     star = entries.alias("x").join(lead.alias("y"), "tok").where((F.col("x.rec") != F.col("y.rec")) & _may_link("x", "y", percent))
     star = materialise(star.select(_pair("x", "y").alias("p")).select("p.*").distinct(), "ngram-star")
-    near = materialise(_links(star, docs, classes, k, percent, level), "ngram-links")
+    near = materialise(_links(star, docs, classes, k, percent), "ngram-links")
     release(spark)
 
     # all other pairs of different components
     comp = connected_components(near)
     held = entries.join(comp, F.col("rec") == F.col("node"), "left").select("tok", "rec", "np", F.coalesce("component", "rec").alias("comp"))
+    # the shared n-gram before this one: a pair that has it in common too is proposed there or earlier
+    held = held.withColumn("prev", F.lag("tok").over(Window.partitionBy("rec").orderBy("np")))
     held = materialise(held, "ngram-held")
     open_ = held.groupBy("tok").agg(F.min("comp").alias("lo"), F.max("comp").alias("hi")).where("lo <> hi").select("tok")
     held = held.join(open_, "tok", "left_semi")
-    groups = materialise(held.select("tok", "comp").distinct(), "ngram-groups")
-    across = groups.withColumnRenamed("comp", "cx").join(groups.withColumnRenamed("comp", "cy"), "tok").where("cx < cy")
-    x = held.select("tok", F.col("comp").alias("cx"), F.struct("rec", "np").alias("x"))
-    y = held.select("tok", F.col("comp").alias("cy"), F.struct("rec", "np").alias("y"))
-    rest = across.join(x, ["tok", "cx"]).join(y, ["tok", "cy"]).where(_may_link("x", "y", percent)).select(_pair("x", "y").alias("p")).select("p.*").distinct()
+    n = F.shiftright("np", 32)
+    reach = n - F.col("np").bitwiseAND(0xFFFFFFFF)  # the overlap that an n-gram's position still allows
+    groups = held.groupBy("tok", "comp").agg(F.min(n).alias("lo"), F.max(n).alias("hi"), F.max(reach).alias("reach"), F.count(F.lit(1)).alias("m"))
+    groups = materialise(groups, "ngram-groups")
+    names = ("comp", "lo", "hi", "reach", "m")
+    gx, gy = (groups.select("tok", *[F.col(c).alias(c + side) for c in names]) for side in "xy")
+    need = _alpha(F.col("lox"), F.col("loy"), percent)
+    may = (100 * F.col("hix") >= percent * F.col("loy")) & (100 * F.col("hiy") >= percent * F.col("lox")) & (F.col("reachx") >= need) & (F.col("reachy") >= need)
+    across = gx.join(gy, (gx["tok"] == gy["tok"]) & (F.col("compx") < F.col("compy")) & may)
+    small = F.col("mx") <= F.col("my")  # members of the smaller component first, and only pairs that may link of the two
+    across = across.select(gx["tok"].alias("tok"), F.when(small, F.col("compx")).otherwise(F.col("compy")).alias("c1"), F.when(small, F.col("compy")).otherwise(F.col("compx")).alias("c2"))
+    x = held.select("tok", F.col("comp").alias("c1"), F.struct("rec", "np", "prev").alias("x"))
+    y = held.select(F.col("tok").alias("t"), "comp", F.struct("rec", "np", "prev").alias("y"))
+    first = F.col("x.prev").isNull() | F.col("y.prev").isNull() | (F.col("x.prev") != F.col("y.prev"))
+    rest = across.join(x, ["tok", "c1"]).join(y, (F.col("tok") == F.col("t")) & (F.col("c2") == F.col("comp")) & first & _may_link("x", "y", percent))
+    rest = rest.select(_pair("x", "y").alias("p")).select("p.*").distinct()
     rest = materialise(rest.join(star, ["a", "b"], "left_anti"), "ngram-rest")
-    near = near.unionByName(_links(rest, docs, classes, k, percent, level))
+    near = near.unionByName(_links(rest, docs, classes, k, percent))
     comp = connected_components(near)
 
     by_class = classes.where("n > 0").groupBy("d").agg(F.min("doc_id").alias("low"))
