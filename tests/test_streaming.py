@@ -40,7 +40,7 @@ def test_decode_state(spark, tmp_path):
 def test_late_rows_are_dropped(spark, tmp_path):
     schema = "ts timestamp, value double"
     sec = lambda s: spark.sql(f"SELECT timestamp_seconds({s})").first()[0]
-    batches = [[(sec(0), 1.0), (sec(30), 2.0)], [(sec(600), 1.0)], [(sec(5), 9.0), (sec(1300), 1.0)], [(sec(3000), 1.0)]]
+    batches = [[(sec(0), 1.0), (sec(30), 2.0)], [(sec(600), 1.0)], [(sec(700), 1.0)], [(sec(5), 9.0), (sec(1300), 1.0)], [(sec(3000), 1.0)]]
     got = run(spark, tmp_path, batches, schema, lambda s: S.tumbling(s, "ts", "1 minute", "2 minutes").select(F.unix_seconds("window.start").alias("at"), "n", "total"), "late_out")
     assert {r["at"]: (r["n"], r["total"]) for r in got}[0] == (2, 3.0)
 

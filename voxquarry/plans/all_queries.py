@@ -1,6 +1,6 @@
 """Every query of the library."""
 
-from voxquarry.plans import lm, manifest, ranking, scoring, segments, stream, text
+from voxquarry.plans import extra, lm, manifest, ranking, scoring, segments, stream, text
 from voxquarry.plans.registry import ORACLES, QUERIES
 
-__all__ = ["ORACLES", "QUERIES", "lm", "manifest", "ranking", "scoring", "segments", "stream", "text"]
+__all__ = ["ORACLES", "QUERIES", "extra", "lm", "manifest", "ranking", "scoring", "segments", "stream", "text"]
