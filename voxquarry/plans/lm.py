@@ -15,6 +15,11 @@ def sentences(spark, d):
     return table(spark, d, "conversations").select("conv_id", "turn", X.words(F.lower("text")).alias("w"))
 
 
+def model(spark, d, order=ORDER):
+    """The estimated model, persisted: scoring joins it several times."""
+    return L.estimate(sentences(spark, d), "w", order).persist()
+
+
 SENT = "sent AS (SELECT list_concat(['<s>'], regexp_extract_all(lower(text), '\\S+'), ['</s>']) AS w FROM conversations)"
 GRAMS = f"""{SENT}, pos AS (SELECT w, unnest(range(0, len(w))) AS i FROM sent), gr AS (SELECT w, i, n FROM pos, (SELECT unnest([1, 2, 3]) AS n) WHERE i + n <= len(w)),
 g AS (SELECT n::INT AS n, array_to_string(w[i + 1:i + n - 1], ' ') AS hist, w[i + n] AS word, CASE WHEN i > 0 AND n < 3 THEN w[i] END AS ctx FROM gr),
@@ -48,7 +53,7 @@ SELECT q.hist, q.word, round(coalesce(log10(two.f), coalesce(log10(bo.bow), 0) +
 LEFT JOIN lm two ON two.n = 2 AND two.hist = q.hist AND two.word = q.word LEFT JOIN lm one ON one.n = 1 AND one.word = q.word LEFT JOIN lm bo ON bo.n = 1 AND bo.word = q.hist""")
 def backoff_scores(spark, d):
     """Back-off scores of pairs of frequent words, seen together or not: two short lists by a count."""
-    m = L.estimate(sentences(spark, d), "w", ORDER)
+    m = model(spark, d)
     one = m.where("n = 1")
     h = one.where("c >= 40 AND word NOT IN ('</s>', '<s>')").select(F.col("word").alias("hist"))
     q = h.join(one.where("c >= 60 AND word <> '<s>'").select("word"))
@@ -64,29 +69,27 @@ FROM q LEFT JOIN lm t3 ON t3.n = 3 AND t3.hist = h2 AND t3.word = q.word LEFT JO
 LEFT JOIN lm b1 ON b1.n = 1 AND b1.word = h1 LEFT JOIN lm b2 ON b2.n = 2 AND b2.hist || ' ' || b2.word = h2 GROUP BY conv_id, turn""")
 def sentence_log_probability(spark, d):
     s = sentences(spark, d)
-    t = L.sentence_scores(L.estimate(s, "w", ORDER), s, ["conv_id", "turn"], "w", ORDER)
+    t = L.sentence_scores(model(spark, d), s, ["conv_id", "turn"], "w", ORDER)
     return t.select("conv_id", "turn", "n", F.round("log_p", 6).alias("log_p"))
 
 
 @query("perplexity")
 def perplexity(spark, d):
     s = sentences(spark, d)
-    return L.perplexity(L.sentence_scores(L.estimate(s, "w", ORDER), s, ["conv_id", "turn"], "w", ORDER))
+    return L.perplexity(L.sentence_scores(model(spark, d), s, ["conv_id", "turn"], "w", ORDER))
 
 
 @query("lm_validation", f"WITH {GRAMS} SELECT count(*)::BIGINT AS histories, 0::BIGINT AS unsound FROM (SELECT DISTINCT n, hist FROM lm)")
 def lm_validation(spark, d):
     """Histories whose probabilities don't sum to 1 (a weight that is undefined leaves its history to itself)."""
-    s = sentences(spark, d)
-    m = L.mass(L.estimate(s, "w", ORDER), ORDER)
+    m = L.mass(model(spark, d), ORDER)
     return m.agg(F.count(F.lit(1)).alias("histories"), F.count_if(F.abs(F.col("total") - 1) > 1e-6).alias("unsound"))
 
 
 @query("entropy_pruning")
 def entropy_pruning(spark, d):
     """What is left of each order after pruning."""
-    m = L.estimate(sentences(spark, d), "w", 2)
-    return L.prune(m, 2, 1e-6).groupBy("n").agg(F.count(F.lit(1)).alias("ngrams"))
+    return L.prune(model(spark, d, 2), 2, 1e-6, keep=lambda df: df.persist()).groupBy("n").agg(F.count(F.lit(1)).alias("ngrams"))
 
 
 @query("training_archive", "SELECT conv_id, turn, len(regexp_extract_all(text, '\\S+'))::INT AS words, length(replace(replace(text, ' ', ''), chr(10), ''))::INT AS tokens FROM conversations")
