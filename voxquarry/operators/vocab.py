@@ -9,8 +9,9 @@ from voxquarry.functions import text as T
 
 
 def letter_counts(lines: DataFrame, column: str = "line") -> DataFrame:
-    """(letter, n) over all letters, lower-cased."""
-    return lines.select(F.explode(T.letters(F.col(column))).alias("letter")).groupBy("letter").agg(F.count(F.lit(1)).alias("n"))
+    """(letter, n) over all letters, lower-cased. Characters are counted first and told apart once each."""
+    chars = lines.select(F.explode(F.split(column, "")).alias("c")).groupBy("c").agg(F.count(F.lit(1)).alias("n"))
+    return chars.where(F.col("c").rlike(r"^\p{L}$")).groupBy(F.lower("c").alias("letter")).agg(F.sum("n").alias("n"))
 
 
 def distinct_words(lines: DataFrame, column: str = "line") -> DataFrame:
