@@ -56,3 +56,8 @@ UPPER, LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
 
 def lower_ascii(column):
     return F.translate(column, UPPER, LOWER)
+
+
+def small(df: DataFrame, rows: int = 100_000) -> DataFrame:
+    """`df`, marked for broadcast if it is counted to have `rows` rows at most; beyond that Spark plans the join as usual."""
+    return F.broadcast(df) if df.count() <= rows else df

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from voxquarry.llm.common import SPACE, materialise, table
+from voxquarry.llm.common import SPACE, materialise, small, table
 
 WEIGHTS = (5, 2, 1)
 
@@ -65,7 +65,7 @@ def mix(docs: DataFrame, seed: str = "mix", buckets: int = 4, weights=WEIGHTS, s
     sources = sources.withColumn("_whole", F.when(F.col("source_size") > 0, F.floor(F.col("target") / F.col("source_size"))).otherwise(F.lit(0)))
     sources = sources.withColumn("_rest", F.col("target") - F.col("_whole") * F.col("source_size"))
     key = F.struct(F.col("source").isNull(), F.coalesce("source", F.lit("")))
-    s = materialise(sources.select(key.alias("_k"), "source_size", "target", "_whole", "_rest"), "mix-sources")
+    s = small(materialise(sources.select(key.alias("_k"), "source_size", "target", "_whole", "_rest"), "mix-sources"))
 
     # the hash range in which the rest of a source ends, and what the ranges before it hold
     run = Window.partitionBy("_k").orderBy("_b")
@@ -77,10 +77,11 @@ def mix(docs: DataFrame, seed: str = "mix", buckets: int = 4, weights=WEIGHTS, s
         .select("_k", F.col("_b").alias("_end"), "_before", "_rest")
         .groupBy("_k").agg(F.min_by(F.struct("_end", "_before", "_rest"), "_end").alias("e")).select("_k", "e.*")
     )
+    ends = materialise(ends, "mix-ends")
     within = Window.partitionBy("_k", "_b").orderBy("_h", "doc_id", "size").rowsBetween(Window.unboundedPreceding, 0)
     last = (
         slim.withColumn("_k", key)
-        .join(ends.withColumnRenamed("_end", "_b"), ["_k", "_b"])
+        .join(small(ends.withColumnRenamed("_end", "_b")), ["_k", "_b"])
         .withColumn("_run", F.col("_before") + F.sum("size").over(within))
         .where(F.col("_run") <= F.col("_rest"))
         .groupBy("_k").agg(F.max_by(F.struct("_h", "doc_id", "size"), F.struct("_h", "doc_id", "size")).alias("_last"), F.max("_run").alias("_got"))
@@ -97,11 +98,11 @@ def mix(docs: DataFrame, seed: str = "mix", buckets: int = 4, weights=WEIGHTS, s
     gap = F.abs(F.col("size") - (F.col("_rest") - F.col("_got")))
     extra = (
         slim.withColumn("_k", key)
-        .join(cut.select("_k", "source_size", "_rest", "_end", "_last", "_got"), "_k")
+        .join(small(cut.select("_k", "source_size", "_rest", "_end", "_last", "_got")), "_k")
         .where(~taken_by_hash(at) & (F.col("size") > 0) & (gap < F.col("_rest") - F.col("_got")))
         .groupBy("_k").agg(F.min(F.struct(gap.alias("g"), "_h", "doc_id", "size")).alias("_x"))
     )
-    cut = cut.join(extra, "_k", "left")
+    cut = small(materialise(cut.join(extra, "_k", "left"), "mix-extra"))
     out = sized.withColumn("_k", key).join(cut, "_k", "left")
     more = taken_by_hash(at) | F.coalesce((F.col("_h") == F.col("_x._h")) & F.col("doc_id").eqNullSafe(F.col("_x.doc_id")) & (F.col("size") == F.col("_x.size")), F.lit(False))
     copies = F.when(F.col("size") > 0, F.col("_whole") + F.when(more & (F.col("_whole") < max_epochs), 1).otherwise(0)).otherwise(F.lit(0)).cast("long")
