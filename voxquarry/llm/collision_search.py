@@ -16,15 +16,16 @@ from pyspark.sql import functions as F
 
 from voxquarry.llm.common import table
 
-#: Lines, share of them that must collide, widening factor, share of a block that is verified before a query stops.
-LINES, COLLISIONS, WIDEN, VERIFY = 48, 0.8, 1.4, 0.25
+#: Lines, share of them that must collide, widening factor, share of a block that is verified before a query stops, and the
+#: first half window in standard deviations of the projections.
+LINES, COLLISIONS, WIDEN, VERIFY, START = 32, 0.8, 1.3, 0.25, 0.8
 BLOCK_ROWS, QUERY_ROWS = 1 << 16, 1 << 12
 
 
 class Block:
     """Sorted projections of one block. Equal vectors are held once, with their ids in order."""
 
-    def __init__(self, ids: np.ndarray, vectors: np.ndarray, lines: int = LINES, seed: int = 17):
+    def __init__(self, ids: np.ndarray, vectors: np.ndarray, lines: int = LINES, seed: int = 17, start: float = START):
         order = np.argsort(ids, kind="stable")
         ids, vectors = ids[order], np.ascontiguousarray(vectors[order])
         raw = vectors.view(np.dtype((np.void, vectors.shape[1] * vectors.itemsize))).ravel()
@@ -37,9 +38,13 @@ class Block:
         norms = (self.x**2).sum(1)
         self.line = np.random.default_rng(seed).normal(size=(d + 1, lines))
         p = self.x @ self.line[:d] + np.sqrt(np.maximum(norms.max() - norms, 0))[:, None] * self.line[d]
-        self.order = np.argsort(p, axis=0, kind="stable").T.astype(np.int32)
-        self.sorted = np.ascontiguousarray(np.take_along_axis(p, self.order.T.astype(np.int64), 0).T)
-        self.step = float(np.median(p.std(0))) * 0.1 if n > 1 else 1.0
+        self.order = np.ascontiguousarray(np.argsort(p, axis=0, kind="stable").T)
+        self.sorted = np.ascontiguousarray(np.take_along_axis(p, self.order.T, 0).T)
+        # all lines one after the other in one sorted array, so that one search finds every window
+        self.span = 4 * float(np.abs(p).max()) + 1 if n else 1.0
+        self.shift = self.span * np.arange(lines)
+        self.flat = (self.sorted + self.shift[:, None]).ravel()
+        self.step = float(np.median(p.std(0))) * start if n > 1 else 1.0
         self.norm = np.sqrt(norms.max())
 
     def search(self, q: np.ndarray, own: int, k: int, collisions: float = COLLISIONS, widen: float = WIDEN, verify: float = VERIFY) -> list[tuple[int, float]]:
@@ -48,24 +53,26 @@ class Block:
         length = np.sqrt((q**2).sum())
         at = (q @ self.line[: len(q)]) * (self.norm / length)  # a query's length doesn't change its order of neighbours
         need, enough = max(1, int(np.ceil(collisions * lines))), min(n, int(np.ceil(verify * n)) + 2 * k)
-        lo = np.array([np.searchsorted(self.sorted[j], at[j]) for j in range(lines)])
-        hi, counts, half = lo.copy(), np.zeros(n, np.int32), self.step
+        base, edge = np.arange(lines) * n, self.span / 4  # windows end where the projections do
+        at = np.clip(at, -edge, edge)
+        lo = np.searchsorted(self.flat, at + self.shift) - base
+        hi, counts, half = lo.copy(), np.zeros(n, np.int64), self.step
         while True:
-            fresh = []
-            for j in range(lines):
-                a, b = np.searchsorted(self.sorted[j], (at[j] - half, at[j] + half))
-                if a < lo[j]:
-                    fresh.append(self.order[j, a : lo[j]])
-                    lo[j] = a
-                if b > hi[j]:
-                    fresh.append(self.order[j, hi[j] : b])
-                    hi[j] = b
+            a = np.searchsorted(self.flat, np.maximum(at - half, -edge) + self.shift) - base
+            b = np.searchsorted(self.flat, np.minimum(at + half, edge) + self.shift, side="right") - base
+            fresh = [self.order[j, a[j] : lo[j]] for j in np.flatnonzero(a < lo)] + [self.order[j, hi[j] : b[j]] for j in np.flatnonzero(b > hi)]
+            lo, hi = np.minimum(a, lo), np.maximum(b, hi)
             if fresh:
-                counts += np.bincount(np.concatenate(fresh), minlength=n).astype(np.int32)
-            found = np.flatnonzero(counts >= need)
-            if len(found) >= enough or (hi - lo).min() == n:
-                break
+                counts += np.bincount(np.concatenate(fresh), minlength=n)
+            # so many collisions at least are needed for enough vectors to reach the threshold
+            if (hi - lo).sum() >= need * enough:
+                found = np.flatnonzero(counts >= need)
+                if len(found) >= enough or (hi - lo).min() == n:
+                    break
             half *= widen
+        near = self.x[found] @ q
+        if len(found) > 4 * k:  # exact scores only where rounding could matter
+            found = found[near >= np.partition(near, -k - 1)[-k - 1] - 1e-9 * self.norm * length]
         score = (self.x[found] * q).sum(1)
         best = np.argsort(-score, kind="stable")
         out: list[tuple[int, float]] = []
