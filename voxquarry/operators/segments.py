@@ -17,7 +17,7 @@ def _fold(df: DataFrame, keys: list[str], order: list[str], columns: list[str],
     kinds = {f.name: f.dataType for f in df.schema.fields}
     out = T.StructType([T.StructField(k, kinds[k]) for k in keys] + schema.fields)
 
-    def run(key, pdf: pd.DataFrame) -> pd.DataFrame:
+    def run(key: tuple, pdf: pd.DataFrame) -> pd.DataFrame:
         pdf = pdf.sort_values(order, kind="stable")
         rows = fold(*[pdf[c].to_numpy() for c in columns])
         res = pd.DataFrame(rows, columns=schema.names)
