@@ -90,14 +90,14 @@ class Items:
         both = count.copy()
         follows = np.flatnonzero(key[1:] == key[:-1] + 1)
         both[follows] += count[follows + 1]
-        # a region may begin in the cell before the first that has hits only if that cell has hits too, so bands start at cells with hits
         it = key // cells % len(self.texts)
         ok = np.flatnonzero(both >= self.need[it])
         out = []
         for k in ok:
             i, s = int(it[k]), int(self.budget[it[k]]) + 1
             lo = (int(key[k] % cells) - 1) * s - longest
-            out.append((int(key[k] // cells // len(self.texts)), i, lo, lo + 2 * s - 1))
+            # the alignment may leave the diagonals of its shared q-grams by the budget, to either side
+            out.append((int(key[k] // cells // len(self.texts)), i, lo - s + 1, lo + 3 * s - 2))
         return out
 
     def align(self, b: np.ndarray, start: int, end: int, i: int, lo: int, hi: int) -> tuple[int, int, int] | None:
