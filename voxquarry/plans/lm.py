@@ -48,15 +48,13 @@ def kneser_ney(spark, d):
 
 
 @query("backoff_scores", f"""
-WITH {GRAMS}, q AS (SELECT DISTINCT h AS hist, word FROM (SELECT word AS h FROM p WHERE n = 1 AND c >= 40 AND word NOT IN ('</s>', '<s>')) a, (SELECT word FROM p WHERE n = 1 AND c >= 60 AND word <> '<s>') b)
+WITH {GRAMS}, q AS (SELECT DISTINCT word AS hist, hist AS word FROM p WHERE n = 2 AND word <> '</s>' AND hist <> '<s>')
 SELECT q.hist, q.word, round(coalesce(log10(two.f), coalesce(log10(bo.bow), 0) + log10(one.f)), 8) AS log_p FROM q
 LEFT JOIN lm two ON two.n = 2 AND two.hist = q.hist AND two.word = q.word LEFT JOIN lm one ON one.n = 1 AND one.word = q.word LEFT JOIN lm bo ON bo.n = 1 AND bo.word = q.hist""")
 def backoff_scores(spark, d):
-    """Back-off scores of pairs of frequent words, seen together or not: two short lists by a count."""
+    """Scores of every word pair of the corpus turned around: most were never seen and back off."""
     m = model(spark, d)
-    one = m.where("n = 1")
-    h = one.where("c >= 40 AND word NOT IN ('</s>', '<s>')").select(F.col("word").alias("hist"))
-    q = h.join(one.where("c >= 60 AND word <> '<s>'").select("word"))
+    q = m.where("n = 2 AND word <> '</s>' AND hist <> '<s>'").select(F.col("word").alias("hist"), F.col("hist").alias("word")).distinct()
     return L.score(m, q, ORDER).select("hist", "word", F.round("log_p", 8).alias("log_p"))
 
 
