@@ -114,11 +114,11 @@ def _pair(x: str, y: str):
 
 
 def _links(pairs: DataFrame, docs: DataFrame, classes: DataFrame, k: int, percent: int) -> DataFrame:
-    """The pairs that are similar: partial overlaps by fragment, summed per pair."""
+    """The pairs that are similar: partial overlaps by fragment, summed per pair (again for each row that repeats a doc_id)."""
     recs = pairs.select(F.col("a").alias("d")).unionByName(pairs.select(F.col("b").alias("d"))).distinct()
     ids = classes.select("doc_id", "d").join(recs, "d", "left_semi").groupBy("d").agg(F.min("doc_id").alias("_id")).select("_id")
     texts = docs.join(ids, F.col("doc_id").eqNullSafe(F.col("_id")), "left_semi").select("text")
-    sets = materialise(texts.mapInArrow(_fragments(k, FRAGMENTS), "rec long, frags array<array<long>>"), "ngram-fragments").dropDuplicates(["rec"])
+    sets = materialise(texts.mapInArrow(_fragments(k, FRAGMENTS), "rec long, frags array<array<long>>"), "ngram-fragments")
     left = pairs.join(sets.select(F.col("rec").alias("a"), F.col("frags").alias("fa")), "a")
     both = left.join(sets.select(F.col("rec").alias("b"), F.col("frags").alias("fb")), "b")
     parts = F.zip_with("fa", "fb", lambda x, y: F.size(F.array_intersect(x, y)).cast("long"))
