@@ -18,7 +18,7 @@ from voxquarry.llm.common import table
 
 #: Lines, share of them that must collide, widening factor, share of a block that is verified before a query stops, and the
 #: first half window in standard deviations of the projections.
-LINES, COLLISIONS, WIDEN, VERIFY, START = 32, 0.8, 1.3, 0.25, 0.8
+LINES, COLLISIONS, WIDEN, VERIFY, START = 32, 0.8, 1.3, 0.3, 0.8
 BLOCK_ROWS, QUERY_ROWS = 1 << 16, 1 << 12
 
 
