@@ -187,6 +187,28 @@ def test_passages_inside_other_text(spark, prose):
         assert 37 <= r.first_word and r.first_word + r.n_words <= 92 and r.keeper_doc_id == 3
 
 
+def removed_words(got):
+    return {(r.doc_id, w) for r in got if r.removed for w in range(r.first_word, r.first_word + r.n_words)}
+
+
+def test_one_copy_of_nested_and_overlapping_passages_stays(spark, prose):
+    low, own, high = prose(90, 700), prose(150, 701), prose(90, 702)
+    rows = [
+        (1, prose(60, 1) + low + prose(60, 2)), (2, prose(60, 3) + high + prose(60, 4)),
+        (5, own[:70] + low + own[70:] + high), (9, own[:70] + low + own[70:] + high),  # copies that hold a passage each of 1 and 2
+        (12, prose(60, 5) + own[30:70] + low[:50] + prose(60, 6)),  # overlaps both
+    ]
+    got = substring_dedup.repeated_passages(table(spark, [(i, " ".join(w)) for i, w in rows])).collect()
+    gone = removed_words(got)
+    assert all(r.removed == (r.doc_id != r.keeper_doc_id) for r in got)
+    left = {w for i, t in rows for j, w in enumerate(t) if (i, j) not in gone}
+    grams = {tuple(t[j : j + 5]) for i, t in rows for j in range(len(t) - 4) if all((i, j + k) not in gone for k in range(5))}
+    lost = [(i, j) for i, t in rows for j in range(len(t) - 4) if all((i, j + k) in gone for k in range(5)) and tuple(t[j : j + 5]) not in grams]
+    # only n-grams over a change of keeper may have no copy in one piece
+    assert set(own) <= left and len(lost) <= 4 * 4
+    assert sum(i == 9 for i, _ in gone) >= 300 and 60 <= sum(i == 5 for i, _ in gone) <= 190 and not any(i in (1, 2) for i, _ in gone)
+
+
 def test_passages_odd_rows(spark):
     got = substring_dedup.repeated_passages(table(spark, ODD)).collect()
     assert got == []  # one document's own repetition is none

@@ -4,7 +4,7 @@ Texts are cut into paragraphs where the content says so: at words whose hash is
 passage is cut alike wherever it stands, inside a line or over several. Paragraphs are banded by minima of their word
 n-gram hashes; paragraphs that share a band are joined to a leader of the band and verified by exact Jaccard
 similarity, equal ones need no join; components of similar paragraphs become clusters. Runs of neighbouring paragraphs
-whose clusters span documents are passages; all but the one in the smallest document are removals.
+whose clusters span documents are passages; of each cluster all but what is in its smallest document are removals.
 """
 
 from __future__ import annotations
@@ -13,7 +13,8 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession, Window
+import pyarrow.compute as pc
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from voxquarry.llm import arrays
@@ -27,6 +28,8 @@ REACH, BANDS = 5, 2
 LONGEST = 32
 #: A passage of more than 50 words holds whole paragraphs of so many words, whatever stands around it.
 MIN_WORDS = 20
+#: Words of documents whose runs are found at once.
+RUN_WORDS = 1 << 20
 
 
 def cuts(w: np.ndarray, rows: np.ndarray, reach: int) -> np.ndarray:
@@ -93,13 +96,56 @@ def _emit(k: int, reach: int, bands: int, what: str):
     return run
 
 
+def _runs(min_words: int):
+    """(doc, first word, words, cluster, keeper) of each run of covered words, of `min_words` words in all, cut where the keeper changes.
+
+    A word goes by the smallest keeper of the paragraphs that cover it: what is removed always stays in its keeper.
+    """
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            ids, lens = batch.column(0).to_numpy(), pc.list_value_length(batch.column(1)).to_numpy().astype(np.int64)
+            first, n, cluster, keeper = (x.to_numpy() for x in batch.column(1).flatten().flatten())
+            starts = np.cumsum(lens) - lens
+            width = np.cumsum(np.maximum.reduceat(first + n, starts) + 1) if len(ids) else lens
+            i = 0
+            while i < len(ids):  # documents of about RUN_WORDS words at once, each with a free word behind it
+                past = int(width[i - 1]) if i else 0
+                j = max(i + 1, int(np.searchsorted(width, past + RUN_WORDS, side="right")))
+                held = slice(int(starts[i]), int(starts[j - 1] + lens[j - 1]))
+                row = np.repeat(np.arange(i, j), lens[i:j])
+                base = np.where(row > 0, width[row - 1], 0) - past
+                order = np.lexsort((cluster[held], keeper[held]))[::-1]  # the smallest keeper is written last
+                size, at = n[held][order], (base + first[held])[order]
+                words = np.repeat(at - (np.cumsum(size) - size), size) + np.arange(size.sum())
+                owner = np.full(int(width[j - 1]) - past + 1, -1)
+                owner[words] = np.repeat(order, size)
+                on = owner >= 0
+                who = np.where(on, keeper[held][owner], 0)
+                opens = on & ~np.append(False, on[:-1])
+                cut = np.flatnonzero(opens | on & np.append(False, who[1:] != who[:-1]))
+                ends = np.flatnonzero(on & ~np.append(on[1:], False)) + 1
+                nth = np.cumsum(opens)[cut] - 1  # the run of each piece
+                stop = np.where(np.append(nth[1:], -1) == nth, np.append(cut[1:], 0), ends[nth])
+                keep = (ends - np.flatnonzero(opens))[nth] >= min_words
+                cut, stop = cut[keep], stop[keep]
+                own = owner[cut]
+                yield pa.RecordBatch.from_arrays(
+                    [arrays.i64(x) for x in (ids[row[own]], cut - base[own], stop - cut, cluster[held][own], keeper[held][own])],
+                    ["doc_id", "first_word", "n_words", "cluster", "keeper_doc_id"],
+                )
+                i = j
+
+    return run
+
+
 def repeated_passages(docs: DataFrame, k: int = SHINGLE, percent: int = PERCENT, reach: int = REACH, bands: int = BANDS, min_words: int = MIN_WORDS) -> DataFrame:
     """(doc_id, first_word, n_words, cluster, keeper_doc_id, removed) for each passage of docs (doc_id, text) that other documents share.
 
-    A passage is a run of neighbouring paragraphs, each similar to one of another document, of `min_words` words in all.
-    Words are runs of characters other than ASCII white space, counted from 0. `cluster` names the first paragraph's
-    cluster, keeper_doc_id is the smallest document in it, and `removed` says whether the passage goes: in all documents
-    but the keeper. Null and empty texts have no passages. Rows that repeat a doc_id are one document; a null doc_id is
+    A run of neighbouring paragraphs, each similar to one of another document, counts if it has `min_words` words in all.
+    It is cut into passages where the keeper changes, so a passage can be shorter. Words are runs of characters other
+    than ASCII white space, counted from 0. `cluster` names the first paragraph's cluster, keeper_doc_id is the smallest
+    document in it, and `removed` says whether the passage goes: in all documents but the keeper. Null and empty texts have no passages. Rows that repeat a doc_id are one document; a null doc_id is
     left out, as a passage of it could not be named.
     """
     spark = docs.sparkSession
@@ -132,12 +178,9 @@ def repeated_passages(docs: DataFrame, k: int = SHINGLE, percent: int = PERCENT,
     places = materialise(places, "passages-places")
     spans = places.groupBy("cluster").agg(F.min("doc").alias("keeper"), F.max("doc").alias("last")).where("keeper <> last").select("cluster", "keeper")
     hits = places.join(spans, "cluster").select("doc", "cluster", "keeper", F.shiftright("place", 32).alias("first"), F.col("place").bitwiseAND(0xFFFFFFFF).alias("n"))
-    by_doc = Window.partitionBy("doc").orderBy("first")
-    gap = F.coalesce(F.col("first") != F.lag(F.col("first") + F.col("n")).over(by_doc), F.lit(True)).cast("int")
-    runs = hits.withColumn("gap", gap).withColumn("run", F.sum("gap").over(by_doc))
-    runs = runs.groupBy("doc", "run").agg(F.min("first").alias("first_word"), F.sum("n").alias("n_words"), F.min_by("cluster", "first").alias("cluster"), F.min("keeper").alias("keeper_doc_id"))
-    runs = runs.where(F.col("n_words") >= min_words)
-    return runs.select(F.col("doc").alias("doc_id"), "first_word", "n_words", "cluster", "keeper_doc_id", (F.col("doc") != F.col("keeper_doc_id")).alias("removed"))
+    per_doc = hits.groupBy("doc").agg(F.collect_list(F.struct("first", "n", "cluster", "keeper")).alias("hits"))
+    runs = per_doc.mapInArrow(_runs(min_words), "doc_id long, first_word long, n_words long, cluster long, keeper_doc_id long")
+    return runs.withColumn("removed", F.col("doc_id") != F.col("keeper_doc_id"))
 
 
 def op4_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
