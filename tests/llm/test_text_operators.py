@@ -209,6 +209,31 @@ def test_one_copy_of_nested_and_overlapping_passages_stays(spark, prose):
     assert sum(i == 9 for i, _ in gone) >= 300 and 60 <= sum(i == 5 for i, _ in gone) <= 190 and not any(i in (1, 2) for i, _ in gone)
 
 
+def test_near_paragraphs_that_share_a_band_are_joined(spark, prose):
+    """All paragraphs of a band that are similar enough end in one cluster, whoever leads the band."""
+    rng, rows = random.Random(3), []
+    common = "of the first part that is in all of".split()
+    for g in range(40):
+        base = prose(2, 800 + g) + common + prose(2, 900 + g)
+        for e in range(3):
+            w = list(base)
+            if e:
+                w[-1 if e == 1 else 0] = f"new{rng.randrange(10**6)}"
+            rows.append((len(rows), " ".join(w)))
+    reach = 40  # a text is one paragraph
+    got = {}
+    for r in substring_dedup.repeated_passages(table(spark, rows), reach=reach, min_words=5).collect():
+        got[r.doc_id] = r.cluster
+    s, held = sets(rows), {}
+    for i, w in enumerate(s):
+        ((_, _, buf, offsets),) = arrays.chunks(pa.array([rows[i][1]]))
+        *_, content, p, h = substring_dedup.paragraphs(buf, offsets, 5, reach)
+        held[i] = {int(b[0]) for b in substring_dedup._bands(p, h, len(content), substring_dedup.BANDS)}
+    near = [(i, j) for i in range(len(rows)) for j in range(i) if held[i] & held[j] and 100 * len(s[i] & s[j]) >= 80 * len(s[i] | s[j])]
+    apart = [(i, j) for i, j in near if i not in got or got[i] != got.get(j)]
+    assert len(near) > 60 and not apart, f"{len(apart)} of {len(near)} similar pairs are apart"
+
+
 def test_passages_odd_rows(spark):
     got = substring_dedup.repeated_passages(table(spark, ODD)).collect()
     assert got == []  # one document's own repetition is none

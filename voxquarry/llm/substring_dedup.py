@@ -3,7 +3,8 @@
 Texts are cut into paragraphs where the content says so: at words whose hash is the least of its neighbours', so that a
 passage is cut alike wherever it stands, inside a line or over several. Paragraphs are banded by minima of their word
 n-gram hashes; paragraphs that share a band are joined to a leader of the band and verified by exact Jaccard
-similarity, equal ones need no join; components of similar paragraphs become clusters. Runs of neighbouring paragraphs
+similarity, equal ones need no join; then all others of a band that are still in different components are compared.
+Components of similar paragraphs become clusters. Runs of neighbouring paragraphs
 whose clusters span documents are passages; of each cluster all but what is in its smallest document are removals.
 """
 
@@ -96,6 +97,39 @@ def _emit(k: int, reach: int, bands: int, what: str):
     return run
 
 
+def _across(kinds: DataFrame, near: DataFrame, grams: DataFrame, percent: int) -> DataFrame:
+    """(par, lead): all similar paragraphs of bands that the links `near` leave in different components.
+
+    A band of a frequent n-gram can hold many paragraphs, so its pairs are not formed: two sets of n and more n-grams
+    that are similar enough share one of the first n - ceil(percent * n / 100) + 1 in a common order, here rare ones first.
+    """
+    comp = connected_components(near, "par", "lead")
+    held = kinds.join(comp, F.col("par") == F.col("node"), "left").select("band", "par", F.coalesce("component", "par").alias("comp"))
+    open_ = held.groupBy("band").agg(F.min("comp").alias("lo"), F.max("comp").alias("hi")).where("lo <> hi").select("band")
+    held = held.join(open_, "band", "left_semi").select("par", "comp").distinct()
+    sets = materialise(held.join(grams, "par"), "passages-open")
+    each = sets.select("par", "comp", F.size("grams").alias("n"), F.explode("grams").alias("tok"))
+    count = each.groupBy("tok").agg(F.count(F.lit(1)).alias("c"), F.min("comp").alias("lo"), F.max("comp").alias("hi"))
+    # n-grams of one component keep their places in the order, but propose nothing
+    each = each.join(count.select("tok", "c", (F.col("lo") != F.col("hi")).alias("open")), "tok")
+    fronts = each.groupBy("par", "comp", "n").agg(F.sort_array(F.collect_list(F.struct("c", "tok", "open"))).alias("l"))
+    fronts = fronts.select("par", "comp", "n", F.posexplode(F.slice("l", F.lit(1), F.col("n") - F.ceil(percent * F.col("n") / 100).cast("int") + 1)).alias("pos", "x"))
+    fronts = materialise(fronts.where("x.open").select("par", "comp", "n", "pos", F.col("x.tok").alias("tok")), "passages-fronts")
+    x, y = (fronts.select("tok", *[F.col(c).alias(c + side) for c in ("par", "comp", "n", "pos")]) for side in "xy")
+    need = F.ceil(percent * (F.col("nx") + F.col("ny")) / (100 + percent))
+    may = (F.col("nx") - F.col("posx") >= need) & (F.col("ny") - F.col("posy") >= need)
+    pairs = x.join(y, "tok").where((F.col("parx") < F.col("pary")) & (F.col("compx") != F.col("compy")) & may)
+    pairs = materialise(pairs.select("parx", "pary").distinct(), "passages-rest")
+    both = pairs.join(sets.select(F.col("par").alias("parx"), "grams"), "parx").join(sets.select(F.col("par").alias("pary"), F.col("grams").alias("g")), "pary")
+    return both.where(_similar(percent)).select(F.col("parx").alias("par"), F.col("pary").alias("lead"))
+
+
+def _similar(percent: int):
+    """Whether the sets `grams` and `g` have the Jaccard similarity."""
+    o = F.size(F.array_intersect("grams", "g"))
+    return 100 * o >= percent * (F.size("grams") + F.size("g") - o)
+
+
 def _runs(min_words: int):
     """(doc, first word, words, cluster, keeper) of each run of covered words, of `min_words` words in all, cut where the keeper changes.
 
@@ -169,8 +203,10 @@ def repeated_passages(docs: DataFrame, k: int = SHINGLE, percent: int = PERCENT,
     grams = materialise(grams.join(needed, "par", "left_semi").dropDuplicates(["par"]), "passages-grams")
     release(spark)
     both = pairs.join(grams, "par").join(grams.select(F.col("par").alias("lead"), F.col("grams").alias("g")), "lead")
-    o = F.size(F.array_intersect("grams", "g"))
-    near = both.where(100 * o >= percent * (F.size("grams") + F.size("g") - o)).select("par", "lead")
+    near = both.where(_similar(percent)).select("par", "lead")
+    near = materialise(near, "passages-near")
+    release(spark)
+    near = near.unionByName(_across(kinds, near, grams, percent))
     named = connected_components(near, "par", "lead")
 
     places = rows.select("par", "doc", "place").distinct()
