@@ -234,6 +234,19 @@ def test_near_paragraphs_that_share_a_band_are_joined(spark, prose):
     assert len(near) > 60 and not apart, f"{len(apart)} of {len(near)} similar pairs are apart"
 
 
+def test_lines_with_a_word_changed_inside(spark, prose):
+    """Similarity 0.81 to 0.88, and no run of 20 equal words that holds whole cuts."""
+    rows = []
+    for g, n in enumerate([51, 55, 60, 70, 80] * 6):
+        line, end = prose(n, 600 + g), prose(n, 600 + g)
+        end[n // 2] = "changed"
+        rows += [(2 * g, "\n".join(" ".join(w) for w in (prose(30, g), line, prose(30, g + 100)))), (2 * g + 1, "\n".join(" ".join(w) for w in (prose(30, g + 200), end, prose(30, g + 300))))]
+    got = removed_words(substring_dedup.repeated_passages(table(spark, rows)).collect())
+    whole = [g for g in range(30) if {(2 * g + 1, w) for w in range(30, 30 + [51, 55, 60, 70, 80][g % 5])} <= got]
+    assert len(whole) >= 27, f"{len(whole)} of 30 edited lines are found whole"
+    assert not {i for i, _ in got if i % 2 == 0}
+
+
 def test_passages_odd_rows(spark):
     got = substring_dedup.repeated_passages(table(spark, ODD)).collect()
     assert got == []  # one document's own repetition is none

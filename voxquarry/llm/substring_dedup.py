@@ -1,16 +1,18 @@
 """Passages that documents share, by MinHash banding of paragraphs.
 
 Texts are cut into paragraphs where the content says so: at words whose hash is the least of its neighbours', so that a
-passage is cut alike wherever it stands, inside a line or over several. Paragraphs are banded by minima of their word
-n-gram hashes; paragraphs that share a band are joined to a leader of the band and verified by exact Jaccard
-similarity, equal ones need no join; then all others of a band that are still in different components are compared.
-Components of similar paragraphs become clusters. Runs of neighbouring paragraphs
-whose clusters span documents are passages; of each cluster all but what is in its smallest document are removals.
+passage is cut alike wherever it stands, inside a line or over several. A text's own lines are paragraphs too: they are
+longer, so that words can differ inside them. Paragraphs are banded by minima of their word n-gram hashes; paragraphs
+that share a band are joined to a leader of the band and verified by exact Jaccard similarity, equal ones need no join;
+then all others of a band that are still in different components are compared. Components of similar paragraphs become
+clusters. Runs of paragraphs that touch or overlap and whose clusters span documents are passages; of each cluster all
+but what is in its smallest document are removals.
 """
 
 from __future__ import annotations
 
 from collections.abc import Iterator
+from itertools import product
 
 import numpy as np
 import pyarrow as pa
@@ -53,12 +55,23 @@ def cuts(w: np.ndarray, rows: np.ndarray, reach: int) -> np.ndarray:
     return cut | (since % LONGEST == 0)
 
 
-def paragraphs(buf: np.ndarray, offsets: np.ndarray, k: int, reach: int):
-    """(row, first word, words, content hash) of each paragraph and its n-grams as (paragraph, hash), sorted and distinct."""
+def line_starts(buf: np.ndarray, starts: np.ndarray, rows: np.ndarray) -> np.ndarray:
+    """Whether each word is the first of its row or of a line of it."""
+    line = np.cumsum(buf == 10)[starts]
+    new = np.ones(len(starts), bool)
+    new[1:] = (line[1:] != line[:-1]) | (rows[1:] != rows[:-1])
+    return new
+
+
+def paragraphs(buf: np.ndarray, offsets: np.ndarray, k: int, reach: int, lines: bool = False):
+    """(row, first word, words, content hash) of each paragraph and its n-grams as (paragraph, hash), sorted and distinct.
+
+    Paragraphs are cut by content, or are the text's own lines.
+    """
     starts, ends, counts = arrays.words(arrays.lower(buf), offsets)
     w = arrays.word_hashes(arrays.lower(buf), starts, ends)
     rows = np.repeat(np.arange(len(counts)), counts)
-    at = np.flatnonzero(cuts(w, rows, reach)) if len(w) else np.zeros(0, np.int64)
+    at = np.flatnonzero(line_starts(buf, starts, rows) if lines else cuts(w, rows, reach)) if len(w) else np.zeros(0, np.int64)
     size = np.diff(np.append(at, len(w)))
     p, h = arrays.shingles(w, size, k)
     order = np.lexsort((h, p))
@@ -83,8 +96,8 @@ def _emit(k: int, reach: int, bands: int, what: str):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             ids = batch.column(0).to_numpy(zero_copy_only=False)
-            for i, n, buf, offsets in arrays.chunks(batch.column(1)):
-                row, first, size, content, p, h = paragraphs(buf, offsets, k, reach)
+            for (i, n, buf, offsets), lines in product(arrays.chunks(batch.column(1)), (False, True)):
+                row, first, size, content, p, h = paragraphs(buf, offsets, k, reach, lines)
                 doc = ids[i : i + n][row] if len(row) else np.zeros(0, np.int64)
                 if what == "grams":
                     ends = np.append(np.searchsorted(p, np.arange(len(row))), len(p)).astype(np.int32)
