@@ -255,6 +255,19 @@ def test_passages_odd_rows(spark):
     assert {r.doc_id for r in substring_dedup.repeated_passages(table(spark, twice)).collect()} == {7, 8}
 
 
+def test_cuts_depend_on_the_text_alone(prose):
+    def cut(texts, at):
+        ((_, _, buf, offsets),) = arrays.chunks(pa.array(texts))
+        row, first, size, content, _, _ = substring_dedup.paragraphs(buf, offsets, 5, substring_dedup.REACH)
+        return [x[row == at].tolist() for x in (first, size, content)]
+
+    for i in range(60):
+        text = " ".join(prose(5 + i, i))
+        alone = cut([text], 0)
+        assert all(cut([" ".join(prose(9, 2000 + k)), text, " ".join(prose(9, 3000 + k))], 1) == alone for k in range(8))
+    assert cut(["a"], 0)[1] == [1] and cut(["a", "", "b c"], 2)[1] == [2]
+
+
 def test_paragraphs_are_cut_alike(prose):
     passage = prose(80, 1)
     found = []

@@ -40,8 +40,11 @@ def cuts(w: np.ndarray, rows: np.ndarray, reach: int) -> np.ndarray:
     n = len(w)
     first = np.ones(n, bool)
     first[1:] = rows[1:] != rows[:-1]
-    # hashes of three words, so that one frequent word doesn't decide; ties: the leftmost
-    h = arrays.mix64(w + np.roll(w, -1) * np.uint64(3) + np.roll(w, -2) * np.uint64(7))
+    # hashes of three words, so that one frequent word doesn't decide, none of them from the next row; ties: the leftmost
+    h = w.copy()
+    for k, weight in ((1, 3), (2, 7)):
+        h[:-k] += np.where(rows[k:] == rows[:-k], w[k:] * np.uint64(weight), np.uint64(0))
+    h = arrays.mix64(h)
     least = np.ones(n, bool)
     for k in range(1, reach + 1):
         if k < n:
