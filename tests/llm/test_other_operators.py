@@ -223,6 +223,36 @@ def test_mix_comes_near_its_targets(spark, prose):
     assert rows(mixing.mix(df.repartition(7))) == rows(mixing.mix(df))
 
 
+def plain_mix(sizes, rest, seed="mix"):
+    """Ids that are taken: in order of the hash each that fits, then the nearest last one."""
+    order = sorted((hashlib.md5(f"{seed}:{i}".encode()).hexdigest(), i) for i in sizes)
+    got, taken = 0, set()
+    for _, i in order:
+        if got + sizes[i] <= rest:
+            got += sizes[i]
+            taken.add(i)
+    more = [(abs(sizes[i] - (rest - got)), h, i) for h, i in order if i not in taken and abs(sizes[i] - (rest - got)) < rest - got]
+    return taken | ({min(more)[2]} if more else set())
+
+
+def test_mix_goes_on_behind_a_document_that_does_not_fit(spark):
+    """Source b holds a document of half its words; its rest is filled with those that fit."""
+    rng = random.Random(6)
+    sizes = {i: 100_000 if i == 3 else rng.choice([7, 40, 300, 500, 900]) for i in range(220)}
+    for first in (True, False):  # the long document early and late in the order
+        h = lambda i: hashlib.md5(f"mix:{i}".encode()).hexdigest()
+        long_ = (min if first else max)(range(220), key=h)
+        held = {i: 100_000 if i == long_ else n if n < 100_000 else 500 for i, n in sizes.items()}
+        data = [(i, "w " * n, "b") for i, n in held.items()] + [(1000 + i, "w " * 1000, "a") for i in range(60)]
+        got = mixing.mix(spark.createDataFrame(data, "doc_id long, text string, source string"), weights=(2, 1)).where("source = 'b'").collect()
+        target, size = got[0].target, got[0].source_size
+        whole = int(target // size)
+        want = plain_mix(held, target - whole * size)
+        assert {r.doc_id: r.copies for r in got} == {i: whole + (i in want) for i in held}
+        if target - whole * size < 100_000:
+            assert abs(sum(r.taken for r in got) - target) <= 0.01 * target
+
+
 def test_mix_odd_rows(spark):
     df = spark.createDataFrame([(1, None, "a", 5), (2, "", None, 5), (None, "x y", "b", 5), (3, "z", "b", 5), (3, "z", "b", 5)], "doc_id long, text string, source string, size int")
     got = mixing.mix(df)

@@ -44,11 +44,72 @@ def water_fill(sources: DataFrame, weights=WEIGHTS, share: float = 1.5, max_epoc
     return t.select("source", "source_size", "weight", target.alias("target"))
 
 
-def mix(docs: DataFrame, seed: str = "mix", buckets: int = 4, weights=WEIGHTS, share: float = 1.5, max_epochs: int = 2) -> DataFrame:
+def _filled(slim: DataFrame, key, s: DataFrame) -> tuple:
+    """(`s` with the rounds and the last document of each source, whether a document is taken in a round).
+
+    A round takes documents in order up to the first that does not fit; those longer than what remains are set aside, and
+    the next round goes on behind. Rows that repeat a document are one, as they draw together.
+    """
+    at = F.struct("_h", "doc_id", "size")
+    slim = slim.where("size > 0").withColumn("_k", key).groupBy("_k", "_b", "_h", "doc_id", "size").agg(F.sum("size").alias("w"))
+    slim = materialise(slim, "mix-units")
+    none = F.lit(None).cast(slim.select(at.alias("a")).schema["a"].dataType)
+    state = s.select("_k", none.alias("from"), F.col("_rest").alias("rest"))
+    done = []
+    while True:
+        state = materialise(state, "mix-state")
+        here = slim.join(small(state), "_k").where((F.col("from").isNull() | (at > F.col("from"))) & (F.col("w") <= F.col("rest")))
+        run = Window.partitionBy("_k").orderBy("_b")
+        sums = here.groupBy("_k", "_b", "rest").agg(F.sum("w").alias("s")).withColumn("before", F.sum("s").over(run) - F.col("s"))
+        sums = materialise(sums, "mix-ranges")
+        ends = sums.where((F.col("before") <= F.col("rest")) & (F.col("before") + F.col("s") > F.col("rest"))).select("_k", "_b", "before")
+        within = Window.partitionBy("_k", "_b").orderBy("_h", "doc_id", "size").rowsBetween(Window.unboundedPreceding, 0)
+        last = here.join(small(ends), ["_k", "_b"]).withColumn("run", F.col("before") + F.sum("w").over(within)).where("run <= rest")
+        last = last.groupBy("_k").agg(F.max(at).alias("last"), F.max("run").alias("got"))
+        total = sums.groupBy("_k").agg(F.sum("s").alias("all"))
+        edge = F.struct(F.col("_b").alias("_h"), F.lit(None).cast(slim.schema["doc_id"].dataType).alias("doc_id"), F.lit(None).cast("long").alias("size"))
+        cut = state.join(total, "_k").join(ends, "_k", "left").join(last, "_k", "left")
+        # without an end all fit; with none that fits in the end's range, the round goes up to that range
+        cut = cut.withColumn("to", F.when(F.col("_b").isNotNull(), F.coalesce("last", edge))).withColumn("got", F.coalesce("got", "before", "all"))
+        cut = materialise(cut.select("_k", "from", "to", "rest", "got"), "mix-round")
+        done.append(cut)
+        state = cut.where("to IS NOT NULL AND rest - got >= 1").select("_k", F.col("to").alias("from"), (F.col("rest") - F.col("got")).alias("rest"))
+        if state.isEmpty():
+            break
+    rounds = done[0]
+    for x in done[1:]:
+        rounds = rounds.unionByName(x)
+    rounds = rounds.groupBy("_k").agg(F.collect_list(F.struct("from", "to", "rest")).alias("_rounds"), F.sum("got").alias("_got"))
+    s = materialise(s.join(rounds, "_k", "left").withColumn("_got", F.coalesce("_got", F.lit(0))), "mix-cut")
+
+    def taken():
+        def inside(r):
+            return (r["from"].isNull() | (at > r["from"])) & (r["to"].isNull() | (at <= r["to"])) & (F.col("w") <= r["rest"])
+
+        return F.coalesce(F.exists("_rounds", inside), F.lit(False))
+
+    left = F.col("_rest") - F.col("_got")
+    gap = F.abs(F.col("w") - left)
+    extra = slim.join(small(s), "_k").where(~taken() & (gap < left)).groupBy("_k").agg(F.min(F.struct(gap.alias("g"), "_h", "doc_id", "size")).alias("_x"))
+    return small(materialise(s.join(extra, "_k", "left"), "mix-extra")), slim, taken
+
+
+def _with_copies(sized: DataFrame, columns: list, cut: DataFrame, units: DataFrame, taken, key, max_epochs: int) -> DataFrame:
+    """The rows of `sized` with the copies that _filled gives them."""
+    same = (F.col("_h") == F.col("_x._h")) & F.col("doc_id").eqNullSafe(F.col("_x.doc_id")) & (F.col("size") == F.col("_x.size"))
+    more = units.join(cut, "_k").where(taken() | F.coalesce(same, F.lit(False))).select("_k", "_h", F.col("doc_id").alias("_d"), F.col("size").alias("_s"), F.lit(True).alias("_more"))
+    out = sized.withColumn("_k", key).join(cut.select("_k", "source_size", "target", "_whole"), "_k", "left")
+    out = out.join(more, (out["_k"] == more["_k"]) & (out["_h"] == more["_h"]) & F.col("doc_id").eqNullSafe(F.col("_d")) & (F.col("size") == F.col("_s")), "left")
+    copies = F.when(F.col("size") > 0, F.col("_whole") + F.when(F.col("_more") & (F.col("_whole") < max_epochs), 1).otherwise(0)).otherwise(F.lit(0)).cast("long")
+    out = out.withColumn("copies", copies).withColumn("taken", F.col("size") * F.col("copies"))
+    return out.select(*columns, "size", "source_size", "target", "copies", "taken")
+
+
+def mix(docs: DataFrame, seed: str = "mix", buckets: int = 4, weights=WEIGHTS, share: float = 1.5, max_epochs: int = 2, skip: bool = True) -> DataFrame:
     """Adds size, source_size, target, copies and taken to each row of `docs` (doc_id, text, source, ...).
 
     Every document of a source is taken floor(target / size) times; for the rest, documents follow in order of a seeded
-    hash of doc_id while they fit; then one more document comes in if that brings the source nearer its target (the
+    hash of doc_id, each that still fits (without `skip`: up to the first that does not fit); then one more document comes in if that brings the source nearer its target (the
     nearest in size; ties by hash, doc_id). The running sum goes over `16 ** buckets` hash ranges per source first,
     and over single documents in the range that the rest ends in, so that no task holds a source. No document exceeds
     max_epochs times its size: whole copies are at most max_epochs, and exactly that many only when nothing is left over.
@@ -67,6 +128,9 @@ def mix(docs: DataFrame, seed: str = "mix", buckets: int = 4, weights=WEIGHTS, s
     key = F.struct(F.col("source").isNull(), F.coalesce("source", F.lit("")))
     s = small(materialise(sources.select(key.alias("_k"), "source_size", "target", "_whole", "_rest"), "mix-sources"))
 
+    if skip:
+        return _with_copies(sized, docs.columns, *_filled(slim, key, s), key, max_epochs)
+
     # the hash range in which the rest of a source ends, and what the ranges before it hold
     run = Window.partitionBy("_k").orderBy("_b")
     ends = (
@@ -112,7 +176,7 @@ def mix(docs: DataFrame, seed: str = "mix", buckets: int = 4, weights=WEIGHTS, s
 
 def op8_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents").select("doc_id", "text", "source")
-    return mix(docs).select("doc_id", "size", "source_size", "target", "taken")
+    return mix(docs, skip=False).select("doc_id", "size", "source_size", "target", "taken")
 
 
 OP8_SQL = """
