@@ -119,11 +119,14 @@ def _across(kinds: DataFrame, near: DataFrame, grams: DataFrame, percent: int) -
     A band of a frequent n-gram can hold many paragraphs, so its pairs are not formed: two sets of n and more n-grams
     that are similar enough share one of the first n - ceil(percent * n / 100) + 1 in a common order, here rare ones first.
     """
+    spark = near.sparkSession
     comp = connected_components(near, "par", "lead")
+    release(spark)
     held = kinds.join(comp, F.col("par") == F.col("node"), "left").select("band", "par", F.coalesce("component", "par").alias("comp"))
     open_ = held.groupBy("band").agg(F.min("comp").alias("lo"), F.max("comp").alias("hi")).where("lo <> hi").select("band")
     held = held.join(open_, "band", "left_semi").select("par", "comp").distinct()
     sets = materialise(held.join(grams, "par"), "passages-open")
+    release(spark)
     each = sets.select("par", "comp", F.size("grams").alias("n"), F.explode("grams").alias("tok"))
     count = each.groupBy("tok").agg(F.count(F.lit(1)).alias("c"), F.min("comp").alias("lo"), F.max("comp").alias("hi"))
     # n-grams of one component keep their places in the order, but propose nothing
@@ -131,11 +134,13 @@ def _across(kinds: DataFrame, near: DataFrame, grams: DataFrame, percent: int) -
     fronts = each.groupBy("par", "comp", "n").agg(F.sort_array(F.collect_list(F.struct("c", "tok", "open"))).alias("l"))
     fronts = fronts.select("par", "comp", "n", F.posexplode(F.slice("l", F.lit(1), F.col("n") - F.ceil(percent * F.col("n") / 100).cast("int") + 1)).alias("pos", "x"))
     fronts = materialise(fronts.where("x.open").select("par", "comp", "n", "pos", F.col("x.tok").alias("tok")), "passages-fronts")
+    release(spark)
     x, y = (fronts.select("tok", *[F.col(c).alias(c + side) for c in ("par", "comp", "n", "pos")]) for side in "xy")
     need = F.ceil(percent * (F.col("nx") + F.col("ny")) / (100 + percent))
     may = (F.col("nx") - F.col("posx") >= need) & (F.col("ny") - F.col("posy") >= need)
     pairs = x.join(y, "tok").where((F.col("parx") < F.col("pary")) & (F.col("compx") != F.col("compy")) & may)
     pairs = materialise(pairs.select("parx", "pary").distinct(), "passages-rest")
+    release(spark)
     both = pairs.join(sets.select(F.col("par").alias("parx"), "grams"), "parx").join(sets.select(F.col("par").alias("pary"), F.col("grams").alias("g")), "pary")
     return both.where(_similar(percent)).select(F.col("parx").alias("par"), F.col("pary").alias("lead"))
 
