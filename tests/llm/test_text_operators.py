@@ -220,15 +220,15 @@ def test_near_paragraphs_that_share_a_band_are_joined(spark, prose):
             if e:
                 w[-1 if e == 1 else 0] = f"new{rng.randrange(10**6)}"
             rows.append((len(rows), " ".join(w)))
-    reach = 40  # a text is one paragraph
     got = {}
-    for r in substring_dedup.repeated_passages(table(spark, rows), reach=reach, min_words=5).collect():
+    for r in substring_dedup.repeated_passages(table(spark, rows), min_words=5).collect():
         got[r.doc_id] = r.cluster
     s, held = sets(rows), {}
-    for i, w in enumerate(s):
+    for i in range(len(rows)):
         ((_, _, buf, offsets),) = arrays.chunks(pa.array([rows[i][1]]))
-        *_, content, p, h = substring_dedup.paragraphs(buf, offsets, 5, reach)
-        held[i] = {int(b[0]) for b in substring_dedup._bands(p, h, len(content), substring_dedup.BANDS)}
+        t = substring_dedup.Words(buf, offsets)
+        _, h = substring_dedup._line_shingles(t, *t.lines(), 5)
+        held[i] = set(substring_dedup.bands(h, np.zeros(1, np.int64))[0].tolist())
     near = [(i, j) for i in range(len(rows)) for j in range(i) if held[i] & held[j] and 100 * len(s[i] & s[j]) >= 80 * len(s[i] | s[j])]
     apart = [(i, j) for i, j in near if i not in got or got[i] != got.get(j)]
     assert len(near) > 60 and not apart, f"{len(apart)} of {len(near)} similar pairs are apart"
@@ -255,29 +255,133 @@ def test_passages_odd_rows(spark):
     assert {r.doc_id for r in substring_dedup.repeated_passages(table(spark, twice)).collect()} == {7, 8}
 
 
-def test_cuts_depend_on_the_text_alone(prose):
-    def cut(texts, at):
-        ((_, _, buf, offsets),) = arrays.chunks(pa.array(texts))
-        row, first, size, content, _, _ = substring_dedup.paragraphs(buf, offsets, 5, substring_dedup.REACH)
-        return [x[row == at].tolist() for x in (first, size, content)]
+def places(texts, at):
+    """Windows and lines of one of the texts: first words, sizes, hashes."""
+    ((_, _, buf, offsets),) = arrays.chunks(pa.array(texts))
+    t = substring_dedup.Words(buf, offsets)
+    windows, (lines, size) = t.windows(), t.lines()
+    out = []
+    for first, n in ((windows, np.full(len(windows), substring_dedup.PIECE)), (lines, size)):
+        own = t.row[first] == at
+        out.append([((first - t.first[at])[own]).tolist(), n[own].tolist(), *[x[own].tolist() for x in arrays.sequence_digests(t.hash, first, n)]])
+    return out
+
 
+def test_paragraphs_depend_on_the_text_alone(prose):
     for i in range(60):
         text = " ".join(prose(5 + i, i))
-        alone = cut([text], 0)
-        assert all(cut([" ".join(prose(9, 2000 + k)), text, " ".join(prose(9, 3000 + k))], 1) == alone for k in range(8))
-    assert cut(["a"], 0)[1] == [1] and cut(["a", "", "b c"], 2)[1] == [2]
-
-
-def test_paragraphs_are_cut_alike(prose):
-    passage = prose(80, 1)
-    found = []
-    for seed in (2, 3):
-        text = " ".join(prose(50, seed) + passage + prose(50, seed + 10))
-        for _, _, buf, offsets in arrays.chunks(pa.array([text])):
-            _, first, size, content, _, _ = substring_dedup.paragraphs(buf, offsets, 5, substring_dedup.REACH)
-            assert size.sum() == 180 and (np.diff(first) > 0).all()
-            found.append(set(content.tolist()))
-    assert len(found[0] & found[1]) >= 3
+        alone = places([text], 0)
+        assert bool(alone[0][0]) == (5 + i >= 20) and bool(alone[1][0]) == (5 + i >= 10)
+        assert all(places([" ".join(prose(9 + 7 * k, 2000 + k)), text, " ".join(prose(9 + 7 * k, 3000 + k))], 1) == alone for k in range(8))
+    assert places(["a", "", None, "b c"], 3) == [[[], [], [], []]] * 2
+
+
+def test_windows_against_plain_loops(prose):
+    for n in (20, 21, 39, 40, 41, 200):
+        text = prose(n, n)
+        ((_, _, buf, offsets),) = arrays.chunks(pa.array([" ".join(prose(70, 1)), " ".join(text), " ".join(prose(7, 1))]))
+        t = substring_dedup.Words(buf, offsets)
+        h = [int(x) for x in t.hash[70 : 70 + n]]
+        g = [int(arrays.mix64(np.array([(h[i] + 3 * h[i + 1] + 7 * h[i + 2]) % 2**64], np.uint64))[0]) >> 32 for i in range(n - 2)]
+        last = n - substring_dedup.PIECE
+        want = {min(range(a, min(a + substring_dedup.REACH, last + 1)), key=lambda i: (g[i], i)) for a in range(max(1, last + 2 - substring_dedup.REACH))}
+        at = t.windows()
+        assert {int(x) - 70 for x in at[t.row[at] == 1]} == want
+
+
+def test_any_forty_equal_words_hold_an_equal_window(prose):
+    need = substring_dedup.PIECE + substring_dedup.REACH - 1
+    for seed in range(200):
+        passage = prose(need, seed)
+        one, two = (places([" ".join(prose(50, seed + a) + passage + prose(50, seed + b))], 0)[0] for a, b in ((1000, 2000), (3000, 4000)))
+        assert set(one[2]) & set(two[2])
+
+
+def test_recall_of_passages(spark, prose):
+    """All exact repeats of 51 words and more, and 0.9 of those with a word replaced, in different surroundings inside one line; nothing else."""
+    rng, rows, want = random.Random(8), [], {}
+    for g in range(240):
+        n = rng.choice([51, 55, 60, 80, 120])
+        passage, other = prose(n, 5000 + g), prose(n, 5000 + g)
+        if g % 2:
+            other[rng.randrange(n)] = f"changed{g}"
+        for k, p in enumerate((passage, other)):
+            a, b = rng.randrange(30, 90), rng.randrange(30, 90)
+            rows.append((2 * g + k, " ".join(prose(a, 10_000 + 4 * g + k) + p + prose(b, 20_000 + 4 * g + k))))
+            want[2 * g + k] = (a, a + n)
+    rows += [(10_000 + i, " ".join(prose(100, 50_000 + i))) for i in range(60)]
+    gone = removed_words(substring_dedup.repeated_passages(table(spark, rows)).collect())
+    found = {i for i, _ in gone}
+    assert all(2 * g + 1 in found for g in range(0, 240, 2))
+    assert sum(2 * g + 1 in found for g in range(1, 240, 2)) >= 0.9 * 120
+    assert all(i in want and want[i][0] <= w < want[i][1] and i % 2 for i, w in gone)
+
+
+def test_recall_of_similar_lines(spark, prose):
+    """Links of lines against brute force over all pairs: no wrong one, 0.9 of the right ones; components as of all links."""
+    rng, rows = random.Random(4), []
+    for g in range(60):
+        base = prose(rng.randrange(12, 90), 700 + g)
+        for _ in range(5):
+            w = list(base)
+            for _ in range(rng.randrange(3)):
+                w[rng.randrange(len(w))] = f"new{rng.randrange(10**6)}"
+            rows.append((len(rows), " ".join(w)))
+    s, ids = sets(rows), {}
+    kinds = []
+    for i, (_, text) in enumerate(rows):
+        ((_, _, buf, offsets),) = arrays.chunks(pa.array([text]))
+        t = substring_dedup.Words(buf, offsets)
+        h, h2 = (int(x[0]) for x in arrays.sequence_digests(t.hash, *t.lines()))
+        _, grams = substring_dedup._line_shingles(t, *t.lines(), 5)
+        ids.setdefault(f"{h % 2**64:016X}{h2 % 2**64:016X}", i)
+        kinds.append((h, h2, *substring_dedup.bands(grams, np.zeros(1, np.int64))[0].view(np.int64).tolist()))
+    df = spark.createDataFrame(sorted(set(kinds)), "h long, h2 long, " + ", ".join(f"b{b} long" for b in range(substring_dedup.BANDS)))
+    got = {tuple(sorted((ids[r.a.hex().upper()], ids[r.b.hex().upper()]))) for r in substring_dedup.line_links(df, table(spark, rows).select("text")).collect()}
+    first = sorted(ids.values())
+    near = {(i, j) for k, j in enumerate(first) for i in first[:k] if 100 * len(s[i] & s[j]) >= 80 * len(s[i] | s[j])}
+    assert got <= near and len(near) > 100
+
+    def groups(pairs):
+        parent = {i: i for i in first}
+
+        def find(x):
+            while parent[x] != x:
+                x = parent[x]
+            return x
+
+        for a, b in pairs:
+            parent[max(find(a), find(b))] = min(find(a), find(b))
+        return {i: find(i) for i in first}
+
+    a, b = groups(got), groups(near)
+    together = [(i, j) for k, j in enumerate(first) for i in first[:k] if b[i] == b[j]]
+    assert sum(a[i] == a[j] for i, j in together) >= 0.9 * len(together)
+
+
+def test_passages_do_not_depend_on_the_order_of_rows(spark, prose):
+    rng, rows = random.Random(5), []
+    passages = [prose(rng.randrange(24, 70), 60 + g) for g in range(12)]
+    for i in range(120):
+        p = list(passages[rng.randrange(12)])
+        if i % 3 == 0:
+            p[rng.randrange(len(p))] = "changed"
+        cut = rng.choice([" ", "\n"])
+        rows.append((i, cut.join([" ".join(prose(rng.randrange(5, 50), 100 + i)), " ".join(p), " ".join(prose(rng.randrange(5, 50), 300 + i))])))
+    rows += [(200 + i, rows[i][1]) for i in range(10)]
+
+    def run(rows, parts):
+        return sorted(map(tuple, substring_dedup.repeated_passages(table(spark, rows).repartition(parts)).collect()))
+
+    one = run(rows, 1)
+    assert run(rows[::-1], 1) == one and run(rng.sample(rows, len(rows)), 7) == one and len(one) > 100
+
+
+def test_copies_are_one_passage(spark, prose):
+    text, other = " ".join(prose(50, 1)), " ".join(prose(15, 2))
+    rows = [(3, text), (9, text.upper().replace(" ", "\n")), (9, text), (4, other), (5, other), (None, text)]
+    got = sorted((r.doc_id, r.first_word, r.n_words, r.keeper_doc_id, r.removed) for r in substring_dedup.repeated_passages(table(spark, rows)).collect())
+    assert got == [(3, 0, 50, 3, False), (9, 0, 50, 3, True)]  # fewer than 20 words are no passage
 
 
 # ---- decontamination ---------------------------------------------------------------------------------------------------

@@ -123,14 +123,41 @@ def shingle_sets(buf: np.ndarray, offsets: np.ndarray, k: int = 5) -> tuple[np.n
     return r, h, np.bincount(r, minlength=len(offsets) - 1)
 
 
-def set_digests(r: np.ndarray, h: np.ndarray, sizes: np.ndarray) -> np.ndarray:
-    """64-bit digest of each row's set (0 for an empty one)."""
-    out = np.zeros(len(sizes), U)
+def set_digests(r: np.ndarray, h: np.ndarray, sizes: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """128-bit digest of each row's set, as two longs (0, 0 for an empty one)."""
+    out = np.zeros((2, len(sizes)), U)
     some = np.flatnonzero(sizes)
     if len(some):
-        first = np.cumsum(sizes) - sizes
-        out[some] = mix64(np.add.reduceat(mix64(h ^ U(0xA5A5)), first[some]) + sizes[some].astype(U))
-    return out
+        first = (np.cumsum(sizes) - sizes)[some]
+        for d, salt in zip(out, (0xA5A5, 0xC3C3C3), strict=True):
+            d[some] = mix64(np.add.reduceat(mix64(h ^ U(salt)), first) + sizes[some].astype(U))
+    return out[0].view(np.int64), out[1].view(np.int64)
+
+
+def sequence_digests(w: np.ndarray, first: np.ndarray, sizes: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """128-bit digest, as two longs, of each sequence w[first:first+size] of word hashes; sequences of no word have (0, 0)."""
+    out = np.zeros((2, len(sizes)), U)
+    some = np.flatnonzero(sizes)
+    if len(some):
+        n = sizes[some]
+        at = np.arange(int(n.sum())) + np.repeat(first[some] - (np.cumsum(n) - n), n)
+        place = (at - np.repeat(first[some], n)).astype(U)
+        for d, step in zip(out, (0x9E3779B97F4A7C15, 0xD1B54A32D192ED03), strict=True):
+            d[some] = mix64(np.add.reduceat(mix64(w[at] + place * U(step)), np.cumsum(n) - n) + n.astype(U))
+    return out[0].view(np.int64), out[1].view(np.int64)
+
+
+class Once:
+    """Tells the digests that a task meets for the first time; forgets them after `most`, so that its memory is bounded."""
+
+    def __init__(self, most: int = 1 << 16):
+        self.seen: set[int] = set()
+        self.most = most
+
+    def new(self, digests: np.ndarray) -> np.ndarray:
+        if len(self.seen) > self.most:
+            self.seen.clear()
+        return np.array([x not in self.seen and not self.seen.add(x) for x in digests.tolist()], bool)
 
 
 def i64(x: np.ndarray) -> pa.Array:

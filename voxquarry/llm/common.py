@@ -15,10 +15,12 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 
 def shared_root(spark: SparkSession) -> str:
-    """The folder that driver and executors share: spark.checkpoint.dir, or a temporary one where it is unset (tests)."""
+    """The folder that driver and executors share: spark.checkpoint.dir. Only a local session may leave it unset; it gets a temporary one."""
     root = spark.conf.get("spark.checkpoint.dir", None)
     if root:
         return root.rstrip("/")
+    if not spark.sparkContext.master.startswith("local"):
+        raise RuntimeError("spark.checkpoint.dir is not set: steps need a folder that the driver and all executors share")
     held = getattr(spark.sparkContext, "_voxquarry_shared", None)
     if held is None:
         held = "file://" + tempfile.mkdtemp(prefix="voxquarry-")
@@ -35,7 +37,18 @@ def materialise(df: DataFrame, what: str, partition_by: str | None = None) -> Da
     spark, path = df.sparkSession, shared_path(df.sparkSession, what)
     writer = df.write.mode("errorifexists")
     (writer.partitionBy(partition_by) if partition_by else writer).parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
+    out = spark.read.schema(df.schema).parquet(path)
+    out._voxquarry_path = path
+    return out
+
+
+def discard(*steps: DataFrame) -> None:
+    """Delete materialised steps that no later plan reads: all that was made of them is materialised itself."""
+    for df in steps:
+        spark = df.sparkSession
+        path = spark._jvm.org.apache.hadoop.fs.Path(df._voxquarry_path)
+        path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(path, True)
+    release(steps[0].sparkSession)
 
 
 def release(spark: SparkSession) -> None:

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from voxquarry.llm.common import materialise
+from voxquarry.llm.common import discard, materialise
 
 
 def _print(edges: DataFrame) -> tuple:
@@ -17,7 +17,7 @@ def connected_components(links: DataFrame, a: str = "a", b: str = "b", most: int
     """(node, component) for every node of `links`; component is the smallest node that links reach.
 
     Each step is a group-by with a map-side minimum and an equi-join, written to the shared folder; rounds grow with
-    the logarithm of the longest path. Null ends and loops are left out; repeated links count once.
+    the logarithm of the longest path; the result is materialised. Ids are of any type that orders. Null ends and loops are left out; repeated links count once.
     """
     edges = links.select(F.greatest(a, b).alias("u"), F.least(a, b).alias("v"), F.col(a).alias("_a"), F.col(b).alias("_b"))
     edges = edges.where(F.col("_a").isNotNull() & F.col("_b").isNotNull() & (F.col("u") != F.col("v"))).select("u", "v").distinct()
@@ -32,7 +32,8 @@ def connected_components(links: DataFrame, a: str = "a", b: str = "b", most: int
         # small star: u and its smaller neighbours go to the least of them
         least = large.groupBy("u").agg(F.min("v").alias("m"))
         small = large.join(least, "u").select(F.explode(F.array(F.struct(F.col("v").alias("u"), F.col("m").alias("v")), F.struct("u", F.col("m").alias("v")))).alias("e")).select("e.*")
-        edges = materialise(small.where(F.col("u") != F.col("v")).distinct(), "components")
+        old, edges = edges, materialise(small.where(F.col("u") != F.col("v")).distinct(), "components")
+        discard(old, large)
         now = _print(edges)
         if now == seen:
             break
@@ -40,4 +41,6 @@ def connected_components(links: DataFrame, a: str = "a", b: str = "b", most: int
     else:
         raise RuntimeError(f"components did not settle in {most} rounds")
     nodes = edges.select(F.col("u").alias("node"), F.col("v").alias("component"))
-    return nodes.unionByName(edges.select(F.col("v").alias("node"), F.col("v").alias("component")).distinct())
+    out = materialise(nodes.unionByName(edges.select(F.col("v").alias("node"), F.col("v").alias("component")).distinct()), "components")
+    discard(edges)
+    return out

@@ -1,18 +1,17 @@
 """Passages that documents share, by MinHash banding of paragraphs.
 
-Texts are cut into paragraphs where the content says so: at words whose hash is the least of its neighbours', so that a
-passage is cut alike wherever it stands, inside a line or over several. A text's own lines are paragraphs too: they are
-longer, so that words can differ inside them. Paragraphs are banded by minima of their word n-gram hashes; paragraphs
-that share a band are joined to a leader of the band and verified by exact Jaccard similarity, equal ones need no join;
-then all others of a band that are still in different components are compared. Components of similar paragraphs become
-clusters. Runs of paragraphs that touch or overlap and whose clusters span documents are passages; of each cluster all
-but what is in its smallest document are removals.
+Two kinds of paragraphs are compared. Lines of LINE_WORDS words and more are banded by minima of their word n-gram
+hashes; lines that share a band are joined to a leader of the band and verified by exact Jaccard similarity, and all
+others of a band that are still in different components are compared too. Windows of PIECE words, placed where the
+content says so (the least hash of each REACH neighbouring places), find equal passages wherever they stand, inside a
+line or over several: one of PIECE + REACH - 1 words holds at least one whole window. Equal paragraphs need no join.
+Components of similar paragraphs become clusters. Runs of covered words are passages; of each cluster all but what is in
+its smallest document are removals. Documents with equal words are one class: only one text of it is compared.
 """
 
 from __future__ import annotations
 
 from collections.abc import Iterator
-from itertools import product
 
 import numpy as np
 import pyarrow as pa
@@ -20,147 +19,241 @@ import pyarrow.compute as pc
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from voxquarry.llm import arrays
-from voxquarry.llm.common import materialise, release, table
+from voxquarry.llm import arrays, membership
+from voxquarry.llm.common import discard, materialise, release, table
 from voxquarry.llm.components import connected_components
 
 SHINGLE, PERCENT = 5, 80
-#: Words to either side over which a cut's hash is least, and bands of one minimum: at similarity 0.8 a pair is missed with 0.2 ** BANDS.
-REACH, BANDS = 5, 2
-#: A longer stretch without a cut (one word over and over) is cut each so many words.
-LONGEST = 32
-#: A passage of more than 50 words holds whole paragraphs of so many words, whatever stands around it.
+#: Words of a window, neighbouring places of which one is chosen, and words of the shortest line that is banded.
+PIECE, REACH, LINE_WORDS = 20, 21, 10
+#: Bands and minima in each: lines of similarity 0.8 share a band with probability 1 - (1 - 0.8 ** 2) ** 4 = 0.983.
+BANDS, MINIMA = 4, 2
+#: Words of the shortest run that counts.
 MIN_WORDS = 20
 #: Words of documents whose runs are found at once.
 RUN_WORDS = 1 << 20
+DOC, WINDOW, LINE = 0, 1, 2
+_ODD = arrays.stream64(64, 21) | arrays.U(1)
+_KINDS = {"kind": pa.int8()} | {c: pa.int64() for c in ("doc_id", "c", "c2", "h", "h2", "place", *(f"b{i}" for i in range(BANDS)))}
+SCHEMA = ", ".join(f"{c} {'byte' if t == pa.int8() else 'long'}" for c, t in _KINDS.items())
+
+
+class Words:
+    """Words of a piece of a batch: hashes, rows, rows' first words and counts."""
+
+    def __init__(self, buf: np.ndarray, offsets: np.ndarray):
+        buf = arrays.lower(buf)
+        self.starts, ends, self.counts = arrays.words(buf, offsets)
+        self.hash = arrays.word_hashes(buf, self.starts, ends)
+        self.row = np.repeat(np.arange(len(self.counts)), self.counts)
+        self.first = np.cumsum(self.counts) - self.counts
+        self.buf = buf
+
+    def lines(self, least: int = LINE_WORDS) -> tuple[np.ndarray, np.ndarray]:
+        """First word and size of each line of `least` words and more."""
+        if not len(self.hash):
+            return self.first[:0], self.first[:0]
+        line = np.cumsum(self.buf == 10)[self.starts]
+        new = np.ones(len(line), bool)
+        new[1:] = (line[1:] != line[:-1]) | (self.row[1:] != self.row[:-1])
+        at = np.flatnonzero(new)
+        size = np.diff(np.append(at, len(line)))
+        return at[size >= least], size[size >= least]
+
+    def windows(self, piece: int = PIECE, reach: int = REACH) -> np.ndarray:
+        """First words of the windows: of each `reach` neighbouring places where a window fits into the row, the one whose three words hash least."""
+        n, places = len(self.hash), np.maximum(self.counts - piece + 1, 0)
+        if not places.any():
+            return np.zeros(0, np.int64)
+        g = self.hash.copy()
+        for k, weight in ((1, 3), (2, 7)):
+            g[: n - k] += self.hash[k:] * np.uint64(weight)
+        nth = (np.arange(n) - self.first[self.row]).astype(np.uint64)  # ties: the leftmost
+        key = (arrays.mix64(g) & np.uint64(0xFFFFFFFF00000000)) | np.minimum(nth, np.uint64(0xFFFFFFFF))
+        key[nth >= places[self.row].astype(np.uint64)] = np.uint64(0xFFFFFFFFFFFFFFFF)
+        # least key of each `reach` places, by doubling; a row with fewer places is one stretch
+        least, held = key.copy(), 1
+        while held < reach:
+            step = min(held, reach - held)
+            least[: n - step] = np.minimum(least[: n - step], least[step:])
+            held += step
+        some = np.flatnonzero(places)
+        stretches = np.maximum(places[some] - reach + 1, 1)
+        at = np.repeat(self.first[some] - (np.cumsum(stretches) - stretches), stretches) + np.arange(int(stretches.sum()))
+        short = np.repeat(places[some] < reach, stretches)
+        chosen = np.empty(len(at), np.int64)
+        chosen[~short] = (least[at[~short]] & np.uint64(0xFFFFFFFF)).astype(np.int64)
+        if short.any():
+            few = some[places[some] < reach]
+            ends = np.stack([self.first[few], self.first[few] + places[few]], 1).ravel()
+            chosen[short] = (np.minimum.reduceat(np.append(key, key[:1]), ends)[::2] & np.uint64(0xFFFFFFFF)).astype(np.int64)
+        return np.unique(self.first[self.row[at]] + chosen)
+
+
+def bands(h: np.ndarray, first: np.ndarray, count: int = BANDS, minima: int = MINIMA) -> np.ndarray:
+    """The bands of each line: `minima` least values of as many permutations of its n-gram hashes (from `first` on), mixed and tagged."""
+    out = np.empty((len(first), count), np.uint64)
+    for b in range(count if len(first) else 0):
+        key = np.full(len(first), np.uint64(b + 1))
+        for m in range(minima):
+            key = arrays.mix64(key * np.uint64(0x9E3779B97F4A7C15) + np.minimum.reduceat(h * _ODD[b * minima + m], first))
+        out[:, b] = key
+    return out
+
+
+def _line_shingles(t: Words, at: np.ndarray, size: np.ndarray, k: int) -> tuple[np.ndarray, np.ndarray]:
+    """(line, hash) of the k-word n-grams of lines, in order of lines."""
+    words = np.arange(int(size.sum())) + np.repeat(at - (np.cumsum(size) - size), size)
+    p, h = arrays.shingles(t.hash[words], size, k)
+    if len(size) and size.min() < k:
+        order = np.argsort(p, kind="stable")
+        p, h = p[order], h[order]
+    return p, h
+
+
+def _rows(**columns) -> pa.RecordBatch:
+    """A batch of SCHEMA; columns that are not given are null."""
+    n = len(columns["kind"])
+    return pa.RecordBatch.from_arrays([pa.array(columns[c], t) if c in columns else pa.nulls(n, t) for c, t in _KINDS.items()], list(_KINDS))
+
+
+def _emit(k: int, piece: int, reach: int, line_words: int):
+    """All that is compared, in one reading: a row for each document, window and line; a class that a task has met gives its paragraphs once."""
 
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        once = arrays.Once()
+        for batch in batches:
+            ids = batch.column(0).to_numpy(zero_copy_only=False)
+            for i, n, buf, offsets in arrays.chunks(batch.column(1)):
+                t = Words(buf, offsets)
+                c, c2 = arrays.sequence_digests(t.hash, t.first, t.counts)
+                yield _rows(kind=np.full(n, DOC, np.int8), doc_id=ids[i : i + n], c=c, c2=c2, place=t.counts)
+                new = once.new(c)
+                at = t.windows(piece, reach)
+                at = at[new[t.row[at]]]
+                if len(at):
+                    h, h2 = arrays.sequence_digests(t.hash, at, np.full(len(at), piece))
+                    row = t.row[at]
+                    yield _rows(kind=np.full(len(at), WINDOW, np.int8), c=c[row], c2=c2[row], h=h, h2=h2, place=((at - t.first[row]) << 32) | piece)
+                at, size = t.lines(line_words)
+                keep = new[t.row[at]]
+                at, size = at[keep], size[keep]
+                if len(at):
+                    row = t.row[at]
+                    h, h2 = arrays.sequence_digests(t.hash, at, size)
+                    p, grams = _line_shingles(t, at, size, k)
+                    held = bands(grams, np.searchsorted(p, np.arange(len(at)))).view(np.int64)
+                    yield _rows(kind=np.full(len(at), LINE, np.int8), c=c[row], c2=c2[row], h=h, h2=h2, place=((at - t.first[row]) << 32) | size, **{f"b{b}": held[:, b] for b in range(BANDS)})
 
-def cuts(w: np.ndarray, rows: np.ndarray, reach: int) -> np.ndarray:
-    """Whether each word begins a paragraph: the first of its row, or the least hash within `reach` words of its row."""
-    n = len(w)
-    first = np.ones(n, bool)
-    first[1:] = rows[1:] != rows[:-1]
-    # hashes of three words, so that one frequent word doesn't decide, none of them from the next row; ties: the leftmost
-    h = w.copy()
-    for k, weight in ((1, 3), (2, 7)):
-        h[:-k] += np.where(rows[k:] == rows[:-k], w[k:] * np.uint64(weight), np.uint64(0))
-    h = arrays.mix64(h)
-    least = np.ones(n, bool)
-    for k in range(1, reach + 1):
-        if k < n:
-            same = rows[k:] == rows[:-k]
-            least[k:] &= ~same | (h[k:] < h[:-k])
-            least[:-k] &= ~same | (h[:-k] <= h[k:])
-            least[:k] = False
-    left = np.arange(n) - np.maximum.accumulate(np.where(first, np.arange(n), 0))
-    cut = first | (least & (left >= reach))
-    since = np.arange(n) - np.maximum.accumulate(np.where(cut, np.arange(n), 0))
-    return cut | (since % LONGEST == 0)
-
-
-def line_starts(buf: np.ndarray, starts: np.ndarray, rows: np.ndarray) -> np.ndarray:
-    """Whether each word is the first of its row or of a line of it."""
-    line = np.cumsum(buf == 10)[starts]
-    new = np.ones(len(starts), bool)
-    new[1:] = (line[1:] != line[:-1]) | (rows[1:] != rows[:-1])
-    return new
-
-
-def paragraphs(buf: np.ndarray, offsets: np.ndarray, k: int, reach: int, lines: bool = False):
-    """(row, first word, words, content hash) of each paragraph and its n-grams as (paragraph, hash), sorted and distinct.
-
-    Paragraphs are cut by content, or are the text's own lines.
-    """
-    starts, ends, counts = arrays.words(arrays.lower(buf), offsets)
-    w = arrays.word_hashes(arrays.lower(buf), starts, ends)
-    rows = np.repeat(np.arange(len(counts)), counts)
-    at = np.flatnonzero(line_starts(buf, starts, rows) if lines else cuts(w, rows, reach)) if len(w) else np.zeros(0, np.int64)
-    size = np.diff(np.append(at, len(w)))
-    p, h = arrays.shingles(w, size, k)
-    order = np.lexsort((h, p))
-    p, h = p[order], h[order]
-    new = np.ones(len(p), bool)
-    new[1:] = (p[1:] != p[:-1]) | (h[1:] != h[:-1])
-    first_word = at - (np.cumsum(counts) - counts)[rows[at]] if len(at) else at
-    weight = np.arange(len(w), dtype=np.uint64) - np.repeat(at, size).astype(np.uint64) if len(w) else np.zeros(0, np.uint64)
-    content = arrays.mix64(np.add.reduceat(arrays.mix64(w + weight * np.uint64(0x9E3779B97F4A7C15)), at) + size.astype(np.uint64)) if len(at) else np.zeros(0, np.uint64)
-    return rows[at] if len(at) else at, first_word, size, content, p[new], h[new]
-
-
-def _bands(p: np.ndarray, h: np.ndarray, n: int, bands: int) -> list[np.ndarray]:
-    """For each band the least of its permutation of the paragraph's n-gram hashes, tagged by the band."""
-    first = np.searchsorted(p, np.arange(n))
-    return [arrays.mix64(np.minimum.reduceat(arrays.mix64(h ^ np.uint64(0x1234567 * (b + 1))), first) + np.uint64(b)) for b in range(bands)] if n else [np.zeros(0, np.uint64)] * bands
-
-
-def _emit(k: int, reach: int, bands: int, what: str):
-    """Of all paragraphs: `bands` (band, doc), `places` also with the content hash and the place and size in words, or `grams` (content hash, n-grams)."""
+    return run
+
+
+def _grams(k: int, line_words: int, wanted):
+    """(h, h2, n-grams) of the lines that the bitmap `wanted` may hold, each of a task once."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        once, packed = arrays.Once(), wanted.value
         for batch in batches:
-            ids = batch.column(0).to_numpy(zero_copy_only=False)
-            for (i, n, buf, offsets), lines in product(arrays.chunks(batch.column(1)), (False, True)):
-                row, first, size, content, p, h = paragraphs(buf, offsets, k, reach, lines)
-                doc = ids[i : i + n][row] if len(row) else np.zeros(0, np.int64)
-                if what == "grams":
-                    ends = np.append(np.searchsorted(p, np.arange(len(row))), len(p)).astype(np.int32)
-                    yield pa.RecordBatch.from_arrays([arrays.i64(content), pa.ListArray.from_arrays(pa.array(ends), arrays.i64(h))], ["par", "grams"])
-                    continue
-                for key in _bands(p, h, len(row), bands):
-                    held = [arrays.i64(key), arrays.i64(doc)] + ([arrays.i64(content), arrays.i64((first << 32) | size)] if what == "places" else [])
-                    yield pa.RecordBatch.from_arrays(held, ["band", "doc", "par", "place"][: len(held)])
+            for _, _, buf, offsets in arrays.chunks(batch.column(0)):
+                t = Words(buf, offsets)
+                at, size = t.lines(line_words)
+                h, h2 = arrays.sequence_digests(t.hash, at, size)
+                keep = membership.may_hold(packed, h)
+                keep[keep] = once.new(h[keep])
+                at, size, h, h2 = at[keep], size[keep], h[keep], h2[keep]
+                p, g = _line_shingles(t, at, size, k)
+                order = np.lexsort((g, p))
+                p, g = p[order], g[order]
+                new = np.ones(len(p), bool)
+                new[1:] = (p[1:] != p[:-1]) | (g[1:] != g[:-1])
+                p, g = p[new], g[new]
+                ends = np.searchsorted(p, np.arange(len(at) + 1)).astype(np.int32)
+                yield pa.RecordBatch.from_arrays([arrays.i64(h), arrays.i64(h2), pa.ListArray.from_arrays(pa.array(ends), arrays.i64(g))], ["h", "h2", "grams"])
 
     return run
 
 
-def _across(kinds: DataFrame, near: DataFrame, grams: DataFrame, percent: int) -> DataFrame:
-    """(par, lead): all similar paragraphs of bands that the links `near` leave in different components.
+def _id(h: str = "h", h2: str = "h2"):
+    """128 bits of two longs as one value that orders and joins."""
+    return F.unhex(F.concat(*[F.lpad(F.hex(x), 16, "0") for x in (h, h2)]))
+
+
+def _similar(percent: int):
+    """Whether the sets `grams` and `g` have the Jaccard similarity."""
+    o = F.size(F.array_intersect("grams", "g"))
+    return 100 * o >= percent * (F.size("grams") + F.size("g") - o)
+
+
+def _verified(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
+    """(a, b): the pairs (h, lead) that are similar. A pair names lines by 64 bits; all lines of these are told apart by 128."""
+    both = pairs.join(sets.select("h", "h2", "grams"), "h").join(sets.select(F.col("h").alias("lead"), F.col("h2").alias("lead2"), F.col("grams").alias("g")), "lead")
+    return both.where(_similar(percent)).select(_id().alias("a"), _id("lead", "lead2").alias("b"))
+
 
-    A band of a frequent n-gram can hold many paragraphs, so its pairs are not formed: two sets of n and more n-grams
-    that are similar enough share one of the first n - ceil(percent * n / 100) + 1 in a common order, here rare ones first.
+def _across(members: DataFrame, near: DataFrame, grams: DataFrame, percent: int) -> tuple[DataFrame, list[DataFrame]]:
+    """The links of lines in `members` (band, h, h2) that share a band and that `near` leaves in different components, and the steps they are read from.
+
+    A band of a frequent passage can hold many lines, so its pairs are not formed: two sets of n and more n-grams that
+    are similar enough share one of the first n - ceil(percent * n / 100) + 1 in a common order, here rare ones first.
     """
-    spark = near.sparkSession
-    comp = connected_components(near, "par", "lead")
-    release(spark)
-    held = kinds.join(comp, F.col("par") == F.col("node"), "left").select("band", "par", F.coalesce("component", "par").alias("comp"))
+    comp = connected_components(near, "a", "b")
+    held = members.withColumn("id", _id()).join(comp, F.col("id") == F.col("node"), "left").select("band", "h", "h2", F.xxhash64(F.coalesce("component", "id")).alias("comp"))
+    held = materialise(held, "passages-held")
     open_ = held.groupBy("band").agg(F.min("comp").alias("lo"), F.max("comp").alias("hi")).where("lo <> hi").select("band")
-    held = held.join(open_, "band", "left_semi").select("par", "comp").distinct()
-    sets = materialise(held.join(grams, "par"), "passages-open")
-    release(spark)
-    each = sets.select("par", "comp", F.size("grams").alias("n"), F.explode("grams").alias("tok"))
+    held_open = held.join(open_, "band", "left_semi").select("h", "h2", "comp").distinct()
+    sets = materialise(held_open.join(grams, ["h", "h2"]), "passages-open")
+    discard(comp, held)
+    each = sets.select("h", "h2", "comp", F.size("grams").alias("n"), F.explode("grams").alias("tok"))
     count = each.groupBy("tok").agg(F.count(F.lit(1)).alias("c"), F.min("comp").alias("lo"), F.max("comp").alias("hi"))
     # n-grams of one component keep their places in the order, but propose nothing
     each = each.join(count.select("tok", "c", (F.col("lo") != F.col("hi")).alias("open")), "tok")
-    fronts = each.groupBy("par", "comp", "n").agg(F.sort_array(F.collect_list(F.struct("c", "tok", "open"))).alias("l"))
-    fronts = fronts.select("par", "comp", "n", F.posexplode(F.slice("l", F.lit(1), F.col("n") - F.ceil(percent * F.col("n") / 100).cast("int") + 1)).alias("pos", "x"))
-    fronts = materialise(fronts.where("x.open").select("par", "comp", "n", "pos", F.col("x.tok").alias("tok")), "passages-fronts")
-    release(spark)
-    x, y = (fronts.select("tok", *[F.col(c).alias(c + side) for c in ("par", "comp", "n", "pos")]) for side in "xy")
+    fronts = each.groupBy("h", "h2", "comp", "n").agg(F.sort_array(F.collect_list(F.struct("c", "tok", "open"))).alias("l"))
+    fronts = fronts.select("h", "comp", "n", F.posexplode(F.slice("l", F.lit(1), F.col("n") - F.ceil(percent * F.col("n") / 100).cast("int") + 1)).alias("pos", "x"))
+    fronts = materialise(fronts.where("x.open").select("h", "comp", "n", "pos", F.col("x.tok").alias("tok")), "passages-fronts")
+    release(fronts.sparkSession)
+    x, y = (fronts.select("tok", *[F.col(c).alias(c + side) for c in ("h", "comp", "n", "pos")]) for side in "xy")
     need = F.ceil(percent * (F.col("nx") + F.col("ny")) / (100 + percent))
     may = (F.col("nx") - F.col("posx") >= need) & (F.col("ny") - F.col("posy") >= need)
-    pairs = x.join(y, "tok").where((F.col("parx") < F.col("pary")) & (F.col("compx") != F.col("compy")) & may)
-    pairs = materialise(pairs.select("parx", "pary").distinct(), "passages-rest")
-    release(spark)
-    both = pairs.join(sets.select(F.col("par").alias("parx"), "grams"), "parx").join(sets.select(F.col("par").alias("pary"), F.col("grams").alias("g")), "pary")
-    return both.where(_similar(percent)).select(F.col("parx").alias("par"), F.col("pary").alias("lead"))
+    pairs = x.join(y, "tok").where((F.col("hx") < F.col("hy")) & (F.col("compx") != F.col("compy")) & may)
+    pairs = materialise(pairs.select(F.col("hx").alias("h"), F.col("hy").alias("lead")).distinct(), "passages-rest")
+    return materialise(_verified(pairs, sets, percent), "passages-across"), [sets, fronts, pairs]
 
 
-def _similar(percent: int):
-    """Whether the sets `grams` and `g` have the Jaccard similarity."""
-    o = F.size(F.array_intersect("grams", "g"))
-    return 100 * o >= percent * (F.size("grams") + F.size("g") - o)
+def line_links(kinds: DataFrame, texts: DataFrame, k: int = SHINGLE, percent: int = PERCENT, line_words: int = LINE_WORDS) -> DataFrame:
+    """(a, b): links of similar, different lines of `kinds` (h, h2, b0 ...), whose texts are in `texts`; ids are of 128 bits."""
+    spark = kinds.sparkSession
+    members = kinds.select("h", "h2", F.explode(F.array(*[f"b{b}" for b in range(BANDS)])).alias("band"))
+    lead = members.groupBy("band").agg(F.min("h").alias("lead"), F.max("h").alias("last")).where("lead <> last").select("band", "lead")
+    members = materialise(members.join(lead, "band"), "passages-members")
+    release(spark)
+    pairs = materialise(members.where("h <> lead").select("h", "lead").distinct(), "passages-pairs")
+    needed = members.select("h").distinct()
+    wanted = spark.sparkContext.broadcast(membership.bitmap(needed, "h"))
+    grams = texts.mapInArrow(_grams(k, line_words, wanted), "h long, h2 long, grams array<long>")
+    grams = materialise(grams.join(needed, "h", "left_semi").dropDuplicates(["h", "h2"]), "passages-grams")
+    release(spark)
+    near = materialise(_verified(pairs, grams, percent), "passages-near")
+    release(spark)
+    more, steps = _across(members.select("band", "h", "h2"), near, grams, percent)
+    links = materialise(near.unionByName(more), "passages-links")
+    wanted.unpersist()
+    discard(members, pairs, grams, near, more, *steps)
+    return links
 
 
-def _runs(min_words: int):
+def _runs(min_words: int, percent: int, gap: int):
     """(doc, first word, words, cluster, keeper) of each run of covered words, of `min_words` words in all, cut where the keeper changes.
 
-    A word goes by the smallest keeper of the paragraphs that cover it: what is removed always stays in its keeper.
+    A word goes by the smallest keeper of the paragraphs that cover it: what is removed always stays in its keeper. Up to
+    `gap` uncovered words between two runs of one keeper join them if `percent` of the whole is covered.
     """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             ids, lens = batch.column(0).to_numpy(), pc.list_value_length(batch.column(1)).to_numpy().astype(np.int64)
-            first, n, cluster, keeper = (x.to_numpy() for x in batch.column(1).flatten().flatten())
+            first, n, cluster, keeper = batch.column(1).flatten().flatten()
+            first, n, keeper = (x.to_numpy() for x in (first, n, keeper))
+            rank = pc.rank(cluster, tiebreaker="dense").to_numpy().astype(np.int64)
             starts = np.cumsum(lens) - lens
             width = np.cumsum(np.maximum.reduceat(first + n, starts) + 1) if len(ids) else lens
             i = 0
@@ -170,12 +263,19 @@ def _runs(min_words: int):
                 held = slice(int(starts[i]), int(starts[j - 1] + lens[j - 1]))
                 row = np.repeat(np.arange(i, j), lens[i:j])
                 base = np.where(row > 0, width[row - 1], 0) - past
-                order = np.lexsort((cluster[held], keeper[held]))[::-1]  # the smallest keeper is written last
+                order = np.lexsort((first[held], rank[held], keeper[held]))[::-1]  # the smallest keeper is written last
                 size, at = n[held][order], (base + first[held])[order]
                 words = np.repeat(at - (np.cumsum(size) - size), size) + np.arange(size.sum())
                 owner = np.full(int(width[j - 1]) - past + 1, -1)
                 owner[words] = np.repeat(order, size)
                 on = owner >= 0
+                opens, ends = (np.flatnonzero(x) for x in (on & ~np.append(False, on[:-1]), on & ~np.append(on[1:], False)))
+                left, right = owner[ends[:-1]], owner[opens[1:]]
+                between, whole = opens[1:] - ends[:-1] - 1, ends[1:] + 1 - opens[:-1]
+                joined = (row[left] == row[right]) & (keeper[held][left] == keeper[held][right]) & (between <= gap) & (100 * between <= (100 - percent) * whole)
+                for a, z, own in zip((ends[:-1] + 1)[joined], opens[1:][joined], left[joined], strict=True):
+                    owner[a:z] = own
+                on = owner >= 0
                 who = np.where(on, keeper[held][owner], 0)
                 opens = on & ~np.append(False, on[:-1])
                 cut = np.flatnonzero(opens | on & np.append(False, who[1:] != who[:-1]))
@@ -185,8 +285,9 @@ def _runs(min_words: int):
                 keep = (ends - np.flatnonzero(opens))[nth] >= min_words
                 cut, stop = cut[keep], stop[keep]
                 own = owner[cut]
+                names = cluster.slice(held.start, held.stop - held.start).take(pa.array(own))
                 yield pa.RecordBatch.from_arrays(
-                    [arrays.i64(x) for x in (ids[row[own]], cut - base[own], stop - cut, cluster[held][own], keeper[held][own])],
+                    [arrays.i64(ids[row[own]]), arrays.i64(cut - base[own]), arrays.i64(stop - cut), names, arrays.i64(keeper[held][own])],
                     ["doc_id", "first_word", "n_words", "cluster", "keeper_doc_id"],
                 )
                 i = j
@@ -194,50 +295,58 @@ def _runs(min_words: int):
     return run
 
 
-def repeated_passages(docs: DataFrame, k: int = SHINGLE, percent: int = PERCENT, reach: int = REACH, bands: int = BANDS, min_words: int = MIN_WORDS) -> DataFrame:
+def repeated_passages(docs: DataFrame, k: int = SHINGLE, percent: int = PERCENT, min_words: int = MIN_WORDS, piece: int = PIECE, reach: int = REACH, line_words: int = LINE_WORDS) -> DataFrame:
     """(doc_id, first_word, n_words, cluster, keeper_doc_id, removed) for each passage of docs (doc_id, text) that other documents share.
 
-    A run of neighbouring paragraphs, each similar to one of another document, counts if it has `min_words` words in all.
-    It is cut into passages where the keeper changes, so a passage can be shorter. Words are runs of characters other
-    than ASCII white space, counted from 0. `cluster` names the first paragraph's cluster, keeper_doc_id is the smallest
-    document in it, and `removed` says whether the passage goes: in all documents but the keeper. Null and empty texts have no passages. Rows that repeat a doc_id are one document; a null doc_id is
-    left out, as a passage of it could not be named.
+    Words are runs of characters other than ASCII white space, counted from 0; A-Z are lower-cased. A run of words of
+    paragraphs that are similar to some of another document counts if it has `min_words` words in all. It is cut into
+    passages where the keeper changes, so a passage can be shorter. `cluster` names the first paragraph's cluster,
+    keeper_doc_id is the smallest document in it, and `removed` says whether the passage goes: in all documents but the
+    keeper. Of documents with equal words all but the smallest are one passage each, kept by it; what it has of others
+    may go in turn, but a copy always stays. Null and empty texts have no passages. Rows that repeat a doc_id are one
+    document; what it repeats of itself is no passage. A null doc_id is left out, as a passage of it could not be named.
+    Paragraphs and classes are told apart by 128-bit hashes.
     """
     spark = docs.sparkSession
     docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").where("doc_id is not null")
-    slim = docs.mapInArrow(_emit(k, reach, bands, "bands"), "band long, doc long")
-    shared = slim.groupBy("band").agg(F.min("doc").alias("lo"), F.max("doc").alias("hi")).where("lo <> hi").select("band")
-    shared = materialise(shared, "passages-bands")
+    rows = materialise(docs.mapInArrow(_emit(k, piece, reach, line_words), SCHEMA), "passages-rows")
+    named = rows.where(F.col("kind") == DOC).select("doc_id", "c", "c2", F.col("place").alias("n"))
+    classes = materialise(named.groupBy("c", "c2", "n").agg(F.min("doc_id").alias("doc"), F.max("doc_id").alias("last")), "passages-classes")
+
+    # equal windows of different classes
+    windows = rows.where(F.col("kind") == WINDOW).select("h", "h2", "c", "c2", "place")
+    shared = windows.groupBy("h").agg(F.min("c").alias("lo"), F.max("c").alias("hi")).where("lo <> hi").select("h")
+    shared = materialise(shared, "passages-shared")
     release(spark)
-    rows = docs.mapInArrow(_emit(k, reach, bands, "places"), "band long, doc long, par long, place long")
-    rows = materialise(rows.join(shared, "band", "left_semi"), "passages-paragraphs")
+    equal = windows.join(shared, "h", "left_semi").distinct().select("c", "c2", "place", _id().alias("cluster"))
+    equal = materialise(equal, "passages-windows")
+    discard(shared)
+
+    # equal and similar lines
+    lines = rows.where(F.col("kind") == LINE)
+    kinds = lines.groupBy("h", "h2").agg((F.min("c") != F.max("c")).alias("many"), *[F.max(f"b{b}").alias(f"b{b}") for b in range(BANDS)])
+    kinds = materialise(kinds, "passages-kinds")
     release(spark)
-
-    # similar paragraphs that differ: each with the band's leader, verified by their n-grams
-    kinds = rows.select("band", "par").distinct()
-    lead = kinds.groupBy("band").agg(F.min("par").alias("lead"), F.max("par").alias("last")).where("lead <> last")
-    pairs = kinds.join(lead, "band").where("par <> lead").select("par", "lead").distinct()
-    pairs = materialise(pairs, "passages-pairs")
-    needed = pairs.select("par").unionByName(pairs.select(F.col("lead").alias("par"))).distinct()
-    holders = rows.join(needed, "par", "left_semi").groupBy("par").agg(F.min("doc").alias("doc_id")).select("doc_id").distinct()
-    grams = docs.join(holders, "doc_id", "left_semi").mapInArrow(_emit(k, reach, bands, "grams"), "par long, grams array<long>")
-    grams = materialise(grams.join(needed, "par", "left_semi").dropDuplicates(["par"]), "passages-grams")
-    release(spark)
-    both = pairs.join(grams, "par").join(grams.select(F.col("par").alias("lead"), F.col("grams").alias("g")), "lead")
-    near = both.where(_similar(percent)).select("par", "lead")
-    near = materialise(near, "passages-near")
-    release(spark)
-    near = near.unionByName(_across(kinds, near, grams, percent))
-    named = connected_components(near, "par", "lead")
-
-    places = rows.select("par", "doc", "place").distinct()
-    places = places.join(named, F.col("par") == F.col("node"), "left").select("doc", "place", F.coalesce("component", "par").alias("cluster"))
+    links = line_links(kinds, docs.select("text"), k, percent, line_words)
+    comp = connected_components(links, "a", "b")
+    held = kinds.select("h", "h2", "many", _id().alias("id")).join(comp, F.col("id") == F.col("node"), "left").where(F.col("many") | F.col("node").isNotNull())
+    held = held.select("h", "h2", F.coalesce("component", "id").alias("cluster"))
+    alike = materialise(lines.select("h", "h2", "c", "c2", "place").join(held, ["h", "h2"]).select("c", "c2", "place", "cluster").distinct(), "passages-lines")
+    discard(kinds, links, comp)
+
+    places = equal.unionByName(alike).join(classes.select("c", "c2", "doc"), ["c", "c2"]).select("doc", "place", "cluster")
     places = materialise(places, "passages-places")
+    discard(equal, alike)
     spans = places.groupBy("cluster").agg(F.min("doc").alias("keeper"), F.max("doc").alias("last")).where("keeper <> last").select("cluster", "keeper")
-    hits = places.join(spans, "cluster").select("doc", "cluster", "keeper", F.shiftright("place", 32).alias("first"), F.col("place").bitwiseAND(0xFFFFFFFF).alias("n"))
+    hits = places.join(spans, "cluster").select("doc", F.shiftright("place", 32).alias("first"), F.col("place").bitwiseAND(0xFFFFFFFF).alias("n"), "cluster", "keeper")
+    copied = classes.where((F.col("doc") != F.col("last")) & (F.col("n") >= min_words)).withColumn("cluster", _id("c", "c2"))
+    hits = hits.unionByName(copied.select("doc", F.lit(0).cast("long").alias("first"), "n", "cluster", F.col("doc").alias("keeper")))
     per_doc = hits.groupBy("doc").agg(F.collect_list(F.struct("first", "n", "cluster", "keeper")).alias("hits"))
-    runs = per_doc.mapInArrow(_runs(min_words), "doc_id long, first_word long, n_words long, cluster long, keeper_doc_id long")
-    return runs.withColumn("removed", F.col("doc_id") != F.col("keeper_doc_id"))
+    runs = per_doc.mapInArrow(_runs(min_words, percent, 2 * reach), "doc_id long, first_word long, n_words long, cluster binary, keeper_doc_id long")
+    copies = named.join(copied.select("c", "c2", "n", "doc", "cluster"), ["c", "c2", "n"]).where(F.col("doc_id") != F.col("doc")).distinct()
+    copies = copies.select("doc_id", F.lit(0).cast("long").alias("first_word"), F.col("n").alias("n_words"), "cluster", F.col("doc").alias("keeper_doc_id"))
+    out = runs.unionByName(copies)
+    return out.withColumn("cluster", F.lower(F.hex("cluster"))).withColumn("removed", F.col("doc_id") != F.col("keeper_doc_id"))
 
 
 def op4_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
