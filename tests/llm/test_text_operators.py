@@ -48,7 +48,7 @@ def test_hashes_tell_words_apart():
 def test_short_rows_have_one_shingle():
     for _, _, buf, offsets in arrays.chunks(pa.array(["a b", "a b", "b a", "", "a b c d e", "A B C D E"])):
         r, h, sizes = arrays.shingle_sets(buf, offsets)
-        d = arrays.set_digests(r, h, sizes)
+        d = list(zip(*(x.tolist() for x in arrays.set_digests(r, h, sizes)), strict=True))
         assert sizes.tolist() == [1, 1, 1, 0, 1, 1] and d[0] == d[1] != d[2] and d[4] == d[5]
 
 
@@ -163,6 +163,44 @@ def test_join_odd_rows(spark):
     assert {r.component_id for r in linked} == {4}
 
 
+def test_join_of_repeated_ids_with_different_texts(spark, prose):
+    """Rows are sets of their own, whatever their ids; each row of an id gets its own component's smallest id."""
+    rng, rows = random.Random(11), []
+    for g in range(10):
+        base = prose(60, 40 + g)
+        for _ in range(6):
+            w = list(base)
+            w[rng.randrange(60)] = f"new{rng.randrange(10**6)}"
+            rows.append((rng.choice([None, 1, 2, 3, 50 + g]), " ".join(w)))
+    rows += rows[:20]  # repeated rows
+    _, comp = brute(rows)
+    low = {}
+    for (i, _), c in zip(rows, comp, strict=True):
+        low[c] = min((x for x in (i, low.get(c)) if x is not None), default=None)
+    want = collections.Counter((i, low[c]) for (i, _), c in zip(rows, comp, strict=True))
+    got = ngram_join.jaccard_components(table(spark, rows)).collect()
+    assert collections.Counter((r.doc_id, r.component_id) for r in got) == want
+
+
+def test_join_with_salted_hubs_gives_the_same(spark, prose, monkeypatch):
+    rng, base = random.Random(12), prose(80, 3)
+    rows = [(i, " ".join(w if rng.random() > 0.01 else f"z{i}x{j}" for j, w in enumerate(base))) for i in range(60)]
+    _, comp = brute(rows)
+    monkeypatch.setattr(ngram_join, "HUB_PAIRS", 5)
+    got = {r.doc_id: r.component_id for r in ngram_join.jaccard_components(table(spark, rows)).collect()}
+    assert [got[i] for i in range(60)] == comp
+
+
+def test_fragments_cut_the_global_order():
+    rng = np.random.default_rng(3)
+    level = rng.integers(0, 40, 1 << 22).astype(np.uint8)
+    _, fragment = ngram_join._order(level)
+    by = np.argsort(level, kind="stable")
+    assert (np.diff(fragment[by].astype(int)) >= 0).all() and set(np.unique(fragment)) == set(range(ngram_join.FRAGMENTS))
+    mass = np.bincount(fragment, weights=np.exp2(level / 4) - 1)
+    assert mass.max() < 1.2 * mass.min()
+
+
 def test_join_of_one_large_group(spark, prose):
     base = prose(120, 7)
     rng = random.Random(1)
@@ -441,6 +479,45 @@ def test_a_benchmark_in_blocks_gives_the_same(spark, prose):
     assert one == sorted(map(tuple, decontaminate.find_leaks(docs, items, block_bytes=500).collect())) and len(one) == 40
 
 
+def test_leaks_with_null_item_ids(spark):
+    items = spark.createDataFrame([(None, "the first of two items without an id"), (7, "an item that has an id, quite long"), (None, "the second one, also without any id")], "item_id long, text string")
+    docs = table(spark, [(1, "xx the second one, also without any id"), (2, "an item that has an id, quite long xx"), (3, "nothing here")])
+    got = {(r.doc_id, r.item_id, r.edits) for r in decontaminate.find_leaks(docs, items).collect()}
+    assert got == {(1, None, 0), (2, 7, 0)}
+    assert [r.doc_id for r in decontaminate.clean(docs, items).collect()] == [3]
+
+
+def test_leaks_in_repetitive_texts(spark):
+    """Runs of 1 MB against items with runs: counted by cells, found exactly, and at an edit's distance."""
+    items = [(1, "a" * 2000), (2, "ab" * 300), (3, "x" * 400 + " end of the run"), (4, "a" * 300 + "Q" + "a" * 300)]
+    docs = [(1, "a" * 1_000_000), (2, "ab" * 200_000), (3, "x" * 300_000 + " end of the sun"), (4, "b" * 1000), (5, "w " + "a" * 1990 + " w")]
+    got = {(r.doc_id, r.item_id): (r.edits, r.start) for r in decontaminate.find_leaks(table(spark, docs), spark.createDataFrame(items, "item_id long, text string")).collect()}
+    assert got == {(1, 1): (0, 0), (1, 4): (1, 0), (2, 2): (0, 0), (3, 3): (1, 299_600), (5, 1): (10, 0), (5, 4): (1, 2)}
+
+
+def test_cells_of_frequent_qgrams_lose_nothing(prose, monkeypatch):
+    """Counting by cells gives at least the counts of listing all pairs, so no band is lost."""
+    text = ("ab" * 150 + " ".join(prose(30, 1)) + "ab" * 80 + " ".join(prose(20, 2))).encode()
+    index = decontaminate.Items([(1, ("ab" * 100).encode()), (2, " ".join(prose(30, 1)).encode())], decontaminate.Q, decontaminate.EDITS)
+    b = np.frombuffer(text, np.uint8)
+    rows = np.zeros(len(b), np.int64)
+    listed = dict(zip(*(x.tolist() for x in index.cells(b, rows, 5000)), strict=True))
+    monkeypatch.setattr(decontaminate, "LISTED", 3)
+    counted = dict(zip(*(x.tolist() for x in index.cells(b, rows, 5000)), strict=True))
+    assert len(listed) > 10 and all(counted.get(key, 0) >= n for key, n in listed.items())
+    monkeypatch.setattr(decontaminate, "HITS", 7)
+    monkeypatch.setattr(decontaminate, "LISTED", 1 << 16)
+    assert dict(zip(*(x.tolist() for x in index.cells(b, rows, 5000)), strict=True)) == listed
+
+
+def test_clean_in_blocks(spark, prose):
+    items = spark.createDataFrame([(i, " ".join(prose(20, 300 + i))) for i in range(20)], "item_id long, text string")
+    docs = table(spark, [(i, " ".join(prose(9, i) + prose(20, 300 + i % 25) + prose(9, i + 50))) for i in range(50)])
+    for size in (decontaminate.BLOCK_BYTES, 500):
+        kept = decontaminate.clean(docs, items, block_bytes=size)
+        assert sorted(r.doc_id for r in kept.collect()) == [i for i in range(50) if i % 25 >= 20] and kept.columns == docs.columns
+
+
 @pytest.mark.parametrize("n", [1, 2, 3])
 def test_item_at_the_edges_of_a_text(spark, n):
     text = " ".join(f"w{i}x" for i in range(20))
