@@ -16,7 +16,7 @@ import pytest
 from helpers import DATA, rows
 from pyspark.sql import functions as F
 
-from voxquarry.llm import collision_search, compression_quality, language_id, mixing, pseudonyms, registry, warc
+from voxquarry.llm import collision_search, compression_quality, language_id, line_dedup, mixing, pseudonyms, registry, warc
 from voxquarry.llm.common import shared_path
 
 # ---- queries against SQL -----------------------------------------------------------------------------------------------
@@ -313,6 +313,19 @@ def test_mix_odd_rows(spark):
     assert {r.target for r in mixing.mix(df.where("doc_id IN (1, 2)")).collect()} == {0.0}
 
 
+CLASH = ["_h", "_b", "_k", "_whole", "_rest", "_end", "_last", "_got", "_x", "_id", "_t", "_drop", "_text", "in0", "s", "Size"]
+
+
+def test_columns_with_the_names_of_steps_stay(spark):
+    row = [1, "x y\nz", "a", *[f"own {c}" for c in CLASH]]
+    df = spark.createDataFrame([tuple(row), tuple([2, None, None, *row[3:]])], "doc_id long, text string, source string, " + ", ".join(f"`{c}` string" for c in CLASH))
+    mixed, lines = mixing.mix(df), line_dedup.dedup_lines(df)
+    assert mixed.columns == [c for c in df.columns if c != "Size"] + ["size", "source_size", "target", "copies", "taken"]
+    assert lines.columns == df.columns + ["n_lines", "n_dropped"]
+    for got in (mixed, lines):
+        assert all(r[c] == f"own {c}" for r in got.collect() for c in CLASH if c != "Size")
+
+
 # ---- pseudonyms --------------------------------------------------------------------------------------------------------
 
 KEY = b"test key"

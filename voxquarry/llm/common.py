@@ -31,6 +31,12 @@ def release(spark: SparkSession) -> None:
     spark.sparkContext._jvm.System.gc()
 
 
+def renamed(df: DataFrame, *own: str) -> tuple[DataFrame, dict[str, str]]:
+    """df with every column but `own` under a name that no step uses, and by name what each column is called there."""
+    names = {c: c if c.lower() in own else f"in{i}" for i, c in enumerate(df.columns)}
+    return df.select(*[F.col(f"`{c}`").alias(n) for c, n in names.items()]), names
+
+
 def crc_mod(column, modulus: int):
     """crc32 of an id written as text, modulo `modulus` (null id: null)."""
     return F.crc32(column.cast("string")) % modulus
@@ -45,6 +51,13 @@ def lower_ascii(column):
     return F.translate(column, UPPER, LOWER)
 
 
-def small(df: DataFrame, rows: int = 100_000) -> DataFrame:
-    """`df`, marked for broadcast if it is counted to have `rows` rows at most; beyond that Spark plans the join as usual."""
-    return F.broadcast(df) if df.count() <= rows else df
+#: Bytes of Parquet up to which a step is broadcast.
+SMALL_BYTES = 4 << 20
+
+
+def small(step: DataFrame, most: int = SMALL_BYTES) -> DataFrame:
+    """A materialised step, marked for broadcast if its files have `most` bytes at most; beyond that Spark plans the join as usual."""
+    spark = step.sparkSession
+    path = spark._jvm.org.apache.hadoop.fs.Path(step._voxquarry_path)
+    size = path.getFileSystem(spark._jsc.hadoopConfiguration()).getContentSummary(path).getLength()
+    return F.broadcast(step) if size <= most else step

@@ -14,8 +14,8 @@ from pyspark.sql import types as T
 
 from voxquarry.llm.common import crc_mod, materialise, table
 
-#: The dictionaries' sample: so many labelled rows of a class at most, each text of so many bytes at most (longer ones are not drawn).
-SAMPLE_ROWS, SAMPLE_BYTES = 400, 1 << 15
+#: The dictionaries' sample: so many labelled rows of a class at most, and of a longer text a seeded piece of so many characters.
+SAMPLE_ROWS, SAMPLE_CHARS = 400, 1 << 15
 DICT_BYTES, LEVEL = 1 << 16, 3
 BINS, SPAN = 1024, 0.5
 
@@ -77,7 +77,9 @@ def fit_dictionaries(docs: DataFrame, labels: DataFrame, rows: int = SAMPLE_ROWS
     for y in (0, 1):
         order = F.md5(F.concat(F.lit("dict:"), F.col("doc_id").cast("string")).cast("binary"))
         ids = F.broadcast(labels.where(F.col("quality") == y).select("doc_id").distinct().orderBy(order, "doc_id").limit(4 * rows))  # 4 * rows ids at most
-        own = docs.join(ids, "doc_id").where(F.octet_length("text").between(1, SAMPLE_BYTES)).select("doc_id", "text")
+        spare = F.greatest(F.char_length("text") - SAMPLE_CHARS, F.lit(0))
+        piece = F.substr(F.col("text"), F.pmod(F.xxhash64("doc_id"), spare + 1).cast("int") + 1, F.lit(SAMPLE_CHARS))
+        own = docs.join(ids, "doc_id").where("text <> ''").select("doc_id", piece.alias("text"))
         own = own.orderBy(order, "doc_id").limit(rows).collect()
         out.append(train_dictionary([x["text"].encode() for x in own]))
     return out[0], out[1]

@@ -9,7 +9,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from voxquarry.llm.common import LOWER, UPPER, lower_ascii, materialise, table
+from voxquarry.llm.common import LOWER, UPPER, lower_ascii, materialise, renamed, table
 
 
 def line_key(line):
@@ -44,7 +44,7 @@ def dedup_lines(docs: DataFrame, min_chars: int = 40, min_docs: int = 5) -> Data
     one document when documents are counted, and keep a line together; null doc_ids are one document too, smaller than
     any other. Columns n_lines and n_dropped of the input are replaced.
     """
-    docs = docs.drop("n_lines", "n_dropped")
+    docs, names = renamed(docs.drop("n_lines", "n_dropped"), "doc_id", "text")
     hashed = _hashed(docs, min_chars)
     held = hashed.select("a", "b", "doc_id").distinct()
     bad = held.groupBy("a", "b").agg(F.count(F.lit(1)).alias("n"), F.max("doc_id").alias("keep")).where(F.col("n") >= min_docs).drop("n")
@@ -57,12 +57,11 @@ def dedup_lines(docs: DataFrame, min_chars: int = 40, min_docs: int = 5) -> Data
     )
     joined = docs.join(drops, F.col("doc_id").eqNullSafe(F.col("_id")) & (F.xxhash64("text") == F.col("_t")), "left").drop("_id", "_t")
     text = F.coalesce(F.col("text"), F.lit(""))
-    return (
-        joined.withColumn("n_lines", (F.char_length(text) - F.char_length(F.replace(text, F.lit("\n"), F.lit(""))) + 1).cast("long"))
-        .withColumn("n_dropped", F.when(F.col("_drop").isNull(), F.lit(0)).otherwise(F.size("_drop")).cast("long"))
-        .withColumn("text", F.when(F.col("_drop").isNull(), text).otherwise(F.array_join(_without(_lines(F.col("text")), F.col("_drop")), "\n")))
-        .drop("_drop")
-    )
+    n_lines = (F.char_length(text) - F.char_length(F.replace(text, F.lit("\n"), F.lit(""))) + 1).cast("long")
+    n_dropped = F.when(F.col("_drop").isNull(), F.lit(0)).otherwise(F.size("_drop")).cast("long")
+    left = F.when(F.col("_drop").isNull(), text).otherwise(F.array_join(_without(_lines(F.col("text")), F.col("_drop")), "\n"))
+    row = [left.alias(c) if n.lower() == "text" else F.col(n).alias(c) for c, n in names.items()]
+    return joined.select(*row, n_lines.alias("n_lines"), n_dropped.alias("n_dropped"))
 
 
 def op2_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:

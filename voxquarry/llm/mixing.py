@@ -5,7 +5,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from voxquarry.llm.common import SPACE, materialise, small, table
+from voxquarry.llm.common import SPACE, materialise, renamed, small, table
+from voxquarry.operators.relational import running
 
 WEIGHTS = (5, 2, 1)
 
@@ -19,28 +20,24 @@ def water_fill(sources: DataFrame, weights=WEIGHTS, share: float = 1.5, max_epoc
     """(source, source_size) -> with weight and target.
 
     Sources in code-point order, null last, weigh `weights`, repeating. They share `share` times all sizes; a target
-    stops at `max_epochs` times its source's size and the excess is reshared by weight until none is above. In order of
-    cap/weight the clamped sources come first, so the fixed point is found in one pass over the table of sources, which
-    has a row for each source and no more.
+    stops at `max_epochs` times its source's size and the excess is reshared by weight until none is above: each round
+    clamps what the level overflows and sums up the others, so the driver holds three numbers and no task all sources.
     """
-    order = Window.orderBy(F.col("source").isNull(), "source")
-    by_ratio = Window.orderBy(F.col("cap") / F.col("weight"), F.col("source").isNull(), "source")
-    whole = Window.partitionBy()
-    w = F.element_at(F.array(*[F.lit(float(x)) for x in weights]), (F.row_number().over(order) - 1) % len(weights) + 1)
-    t = sources.select("source", "source_size", w.alias("weight")).withColumn("cap", max_epochs * F.col("source_size"))
-    t = (
-        t.withColumn("_c", F.sum("cap").over(by_ratio.rowsBetween(Window.unboundedPreceding, -1)))
-        .withColumn("_w", F.sum("weight").over(by_ratio.rowsBetween(0, Window.unboundedFollowing)))
-        .withColumn("_t", share * F.sum("source_size").over(whole))
-        # the level if this source and all after it are unclamped; the first that it doesn't overflow sets it
-        .withColumn("_fits", F.col("weight") * (F.col("_t") - F.coalesce("_c", F.lit(0))) <= F.col("cap") * F.col("_w"))
-        .withColumn("_n", F.row_number().over(by_ratio))
-    )
-    first = F.min(F.when(F.col("_fits"), F.struct("_n", (F.col("_t") - F.coalesce("_c", F.lit(0))).alias("rest"), F.col("_w").alias("w")))).over(whole)
-    t = t.withColumn("_f", first)
-    target = F.when(F.col("_f").isNull() | (F.col("_n") < F.col("_f._n")), F.col("cap").cast("double")).otherwise(
-        F.least(F.col("cap").cast("double"), F.col("weight") * F.col("_f.rest") / F.col("_f.w"))
-    )
+    t = running(sources.select("source", "source_size", F.col("source").isNull().alias("_null")), ["_null", "source"], name="_n")
+    w = F.element_at(F.array(*[F.lit(float(x)) for x in weights]), (F.col("_n") % len(weights) + 1).cast("int"))
+    t = materialise(t.select("source", "source_size", w.alias("weight"), (max_epochs * F.col("source_size")).alias("cap")), "mix-weights")
+    total, rest, per = (x or 0 for x in t.agg(F.sum("source_size"), (share * F.sum("source_size")), F.sum("weight")).first())
+    whole, clamped = rest, -1
+    while True:
+        over = F.col("weight") * F.lit(float(rest)) > F.col("cap") * F.lit(float(per))
+        held, n, left = t.agg(F.sum(F.when(over, F.col("cap"))), F.count_if(over), F.sum(F.when(~over, F.col("weight")))).first()
+        if n == clamped or left is None:
+            break
+        clamped, rest, per = n, whole - (held or 0), left
+    if left is None:
+        target = F.col("cap").cast("double")
+    else:
+        target = F.when(over, F.col("cap").cast("double")).otherwise(F.least(F.col("cap").cast("double"), F.col("weight") * F.lit(float(rest)) / F.lit(float(per))))
     return t.select("source", "source_size", "weight", target.alias("target"))
 
 
@@ -62,7 +59,7 @@ def _filled(slim: DataFrame, key, s: DataFrame) -> tuple:
         run = Window.partitionBy("_k").orderBy("_b")
         sums = here.groupBy("_k", "_b", "rest").agg(F.sum("w").alias("s")).withColumn("before", F.sum("s").over(run) - F.col("s"))
         sums = materialise(sums, "mix-ranges")
-        ends = sums.where((F.col("before") <= F.col("rest")) & (F.col("before") + F.col("s") > F.col("rest"))).select("_k", "_b", "before")
+        ends = materialise(sums.where((F.col("before") <= F.col("rest")) & (F.col("before") + F.col("s") > F.col("rest"))).select("_k", "_b", "before"), "mix-ends")
         within = Window.partitionBy("_k", "_b").orderBy("_h", "doc_id", "size").rowsBetween(Window.unboundedPreceding, 0)
         last = here.join(small(ends), ["_k", "_b"]).withColumn("run", F.col("before") + F.sum("w").over(within)).where("run <= rest")
         last = last.groupBy("_k").agg(F.max(at).alias("last"), F.max("run").alias("got"))
@@ -117,7 +114,8 @@ def mix(docs: DataFrame, seed: str = "mix", buckets: int = 4, weights=WEIGHTS, s
     Null text has size 0, null source is a source of its own, null doc_id is drawn by its text's size. Repeated rows
     draw together, in arbitrary order among themselves. Columns with the names of added ones are replaced.
     """
-    docs = docs.drop("size", "source_size", "target", "copies", "taken")
+    docs, names = renamed(docs.drop("size", "source_size", "target", "copies", "taken"), "doc_id", "text", "source")
+    row = [F.col(n).alias(c) for c, n in names.items()]
     h = F.md5(F.concat(F.lit(f"{seed}:"), F.coalesce(F.col("doc_id").cast("string"), F.lit("null"))).cast("binary"))
     sized = docs.withColumn("size", word_count(F.col("text"))).withColumn("_h", h).withColumn("_b", F.substring("_h", 1, buckets))
     slim = materialise(sized.select("source", "_b", "_h", "doc_id", "size"), "mix-sizes")
@@ -129,7 +127,7 @@ def mix(docs: DataFrame, seed: str = "mix", buckets: int = 4, weights=WEIGHTS, s
     s = small(materialise(sources.select(key.alias("_k"), "source_size", "target", "_whole", "_rest"), "mix-sources"))
 
     if skip:
-        return _with_copies(sized, docs.columns, *_filled(slim, key, s), key, max_epochs)
+        return _with_copies(sized, row, *_filled(slim, key, s), key, max_epochs)
 
     # the hash range in which the rest of a source ends, and what the ranges before it hold
     run = Window.partitionBy("_k").orderBy("_b")
@@ -142,10 +140,11 @@ def mix(docs: DataFrame, seed: str = "mix", buckets: int = 4, weights=WEIGHTS, s
         .groupBy("_k").agg(F.min_by(F.struct("_end", "_before", "_rest"), "_end").alias("e")).select("_k", "e.*")
     )
     ends = materialise(ends, "mix-ends")
+    at_end = small(ends)
     within = Window.partitionBy("_k", "_b").orderBy("_h", "doc_id", "size").rowsBetween(Window.unboundedPreceding, 0)
     last = (
         slim.withColumn("_k", key)
-        .join(small(ends.withColumnRenamed("_end", "_b")), ["_k", "_b"])
+        .join(at_end.withColumnRenamed("_end", "_b"), ["_k", "_b"])
         .withColumn("_run", F.col("_before") + F.sum("size").over(within))
         .where(F.col("_run") <= F.col("_rest"))
         .groupBy("_k").agg(F.max_by(F.struct("_h", "doc_id", "size"), F.struct("_h", "doc_id", "size")).alias("_last"), F.max("_run").alias("_got"))
@@ -162,7 +161,7 @@ def mix(docs: DataFrame, seed: str = "mix", buckets: int = 4, weights=WEIGHTS, s
     gap = F.abs(F.col("size") - (F.col("_rest") - F.col("_got")))
     extra = (
         slim.withColumn("_k", key)
-        .join(small(cut.select("_k", "source_size", "_rest", "_end", "_last", "_got")), "_k")
+        .join(small(cut).select("_k", "source_size", "_rest", "_end", "_last", "_got"), "_k")
         .where(~taken_by_hash(at) & (F.col("size") > 0) & (gap < F.col("_rest") - F.col("_got")))
         .groupBy("_k").agg(F.min(F.struct(gap.alias("g"), "_h", "doc_id", "size")).alias("_x"))
     )
@@ -171,7 +170,7 @@ def mix(docs: DataFrame, seed: str = "mix", buckets: int = 4, weights=WEIGHTS, s
     more = taken_by_hash(at) | F.coalesce((F.col("_h") == F.col("_x._h")) & F.col("doc_id").eqNullSafe(F.col("_x.doc_id")) & (F.col("size") == F.col("_x.size")), F.lit(False))
     copies = F.when(F.col("size") > 0, F.col("_whole") + F.when(more & (F.col("_whole") < max_epochs), 1).otherwise(0)).otherwise(F.lit(0)).cast("long")
     out = out.withColumn("copies", copies).withColumn("taken", F.col("size") * F.col("copies"))
-    return out.select(*docs.columns, "size", "source_size", "target", "copies", "taken")
+    return out.select(*row, "size", "source_size", "target", "copies", "taken")
 
 
 def op8_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
