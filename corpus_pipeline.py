@@ -1,7 +1,8 @@
 """Corpus preparation: each stage works on all that its predecessor kept, read back from Parquet.
 
 Every stage takes (spark, docs, sf_dir) and returns a DataFrame; all but the last return the columns of documents. Rows
-that repeat a doc_id are one document and stand or fall together.
+that repeat a doc_id are one document where documents are counted, linked or drawn; a row leaves by its own language or
+its own benchmark passage.
 """
 
 from __future__ import annotations
@@ -33,8 +34,8 @@ def line_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 def near_duplicate_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """The document with the smallest doc_id of each component of similar ones. Texts without words are no copies of each other."""
     groups = ngram_join.jaccard_components(docs.select("doc_id", "text"))
-    stay = groups.where(F.col("doc_id").eqNullSafe(F.col("component_id"))).select(F.col("doc_id").alias("_stay")).distinct()
-    return docs.join(stay, F.col("doc_id").eqNullSafe(F.col("_stay")), "left_semi").select(*docs.columns)
+    stay = groups.where(F.col("doc_id").eqNullSafe(F.col("component_id"))).select("doc_id").distinct()
+    return docs.alias("d").join(stay.alias("s"), F.col("d.doc_id").eqNullSafe(F.col("s.doc_id")), "left_semi").select("d.*")
 
 
 def decontamination_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

@@ -16,11 +16,11 @@ from collections.abc import Iterator
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from voxquarry.llm import arrays, membership
-from voxquarry.llm.common import discard, materialise, release, table
+from voxquarry.llm.common import discard, materialise, release, small, table
 from voxquarry.llm.components import connected_components
 
 SHINGLE, PERCENT = 5, 80
@@ -32,6 +32,8 @@ BANDS, MINIMA = 4, 2
 MIN_WORDS = 20
 #: Words of documents whose runs are found at once.
 RUN_WORDS = 1 << 20
+#: Places of one cluster that meet in a task; a cluster with more is dealt over as many tasks.
+SPREAD = 1 << 16
 DOC, WINDOW, LINE = 0, 1, 2
 _ODD = arrays.stream64(64, 21) | arrays.U(1)
 _KINDS = {"kind": pa.int8()} | {c: pa.int64() for c in ("doc_id", "c", "c2", "h", "h2", "place", *(f"b{i}" for i in range(BANDS)))}
@@ -184,10 +186,26 @@ def _similar(percent: int):
     return 100 * o >= percent * (F.size("grams") + F.size("g") - o)
 
 
-def _verified(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
-    """(a, b): the pairs (h, lead) that are similar. A pair names lines by 64 bits; all lines of these are told apart by 128."""
-    both = pairs.join(sets.select("h", "h2", "grams"), "h").join(sets.select(F.col("h").alias("lead"), F.col("h2").alias("lead2"), F.col("grams").alias("g")), "lead")
-    return both.where(_similar(percent)).select(_id().alias("a"), _id("lead", "lead2").alias("b"))
+def _verified(pairs: DataFrame, sets: DataFrame, percent: int, *keep: str) -> DataFrame:
+    """(a, b, keep): the pairs (h, lead) that are similar. A pair names lines by 64 bits; all lines of these are told apart by 128.
+
+    The n-grams of `lead`, which may have many partners, go to its pairs and from there to the other ends.
+    """
+    lead = sets.select(F.col("h").alias("lead"), F.col("h2").alias("lead2"), F.col("grams").alias("g"))
+    both = pairs.join(lead, "lead").join(sets.select("h", "h2", "grams"), "h")
+    return both.where(_similar(percent)).select(_id().alias("a"), _id("lead", "lead2").alias("b"), *keep)
+
+
+def _may(x: str, y: str, percent: int):
+    """Whether two lines can be similar by their sizes and the positions of a shared n-gram in the order."""
+    need = F.ceil(percent * (F.col("n" + x) + F.col("n" + y)) / (100 + percent))
+    return (F.col("n" + x) - F.col("pos" + x) >= need) & (F.col("n" + y) - F.col("pos" + y) >= need)
+
+
+def _open(fronts: DataFrame) -> DataFrame:
+    """The rows whose n-gram is in several components."""
+    some = fronts.groupBy("tok").agg(F.min("comp").alias("lo"), F.max("comp").alias("hi")).where("lo <> hi").select("tok")
+    return fronts.join(some, "tok", "left_semi")
 
 
 def _across(members: DataFrame, near: DataFrame, grams: DataFrame, percent: int) -> tuple[DataFrame, list[DataFrame]]:
@@ -195,6 +213,8 @@ def _across(members: DataFrame, near: DataFrame, grams: DataFrame, percent: int)
 
     A band of a frequent passage can hold many lines, so its pairs are not formed: two sets of n and more n-grams that
     are similar enough share one of the first n - ceil(percent * n / 100) + 1 in a common order, here rare ones first.
+    Lines that share such an n-gram meet its most central line first, the one with fewest rarer n-grams; only lines that
+    are still in different components meet each other, each pair at the first n-gram that it shares.
     """
     comp = connected_components(near, "a", "b")
     held = members.withColumn("id", _id()).join(comp, F.col("id") == F.col("node"), "left").select("band", "h", "h2", F.xxhash64(F.coalesce("component", "id")).alias("comp"))
@@ -211,12 +231,25 @@ def _across(members: DataFrame, near: DataFrame, grams: DataFrame, percent: int)
     fronts = fronts.select("h", "comp", "n", F.posexplode(F.slice("l", F.lit(1), F.col("n") - F.ceil(percent * F.col("n") / 100).cast("int") + 1)).alias("pos", "x"))
     fronts = materialise(fronts.where("x.open").select("h", "comp", "n", "pos", F.col("x.tok").alias("tok")), "passages-fronts")
     release(fronts.sparkSession)
-    x, y = (fronts.select("tok", *[F.col(c).alias(c + side) for c in ("h", "comp", "n", "pos")]) for side in "xy")
-    need = F.ceil(percent * (F.col("nx") + F.col("ny")) / (100 + percent))
-    may = (F.col("nx") - F.col("posx") >= need) & (F.col("ny") - F.col("posy") >= need)
-    pairs = x.join(y, "tok").where((F.col("hx") < F.col("hy")) & (F.col("compx") != F.col("compy")) & may)
-    pairs = materialise(pairs.select(F.col("hx").alias("h"), F.col("hy").alias("lead")).distinct(), "passages-rest")
-    return materialise(_verified(pairs, sets, percent), "passages-across"), [sets, fronts, pairs]
+
+    # ties of the most central line go by one of four random orders
+    lead = fronts.groupBy("tok").agg(F.min(F.struct("pos", F.xxhash64("h", F.pmod("tok", F.lit(4))).alias("o"), "h", "n", "comp")).alias("l"))
+    lead = lead.select("tok", *[F.col(f"l.{c}").alias(c + "y") for c in ("h", "n", "pos", "comp")])
+    star = fronts.select("tok", *[F.col(c).alias(c + "x") for c in ("h", "n", "pos", "comp")]).join(lead, "tok").where((F.col("compx") != F.col("compy")) & _may("x", "y", percent))
+    star = materialise(star.select(F.col("hx").alias("h"), F.col("hy").alias("lead"), "compx", "compy").distinct(), "passages-star")
+    first = materialise(_verified(star, sets, percent, "compx", "compy"), "passages-first")
+    merged = connected_components(first, "compx", "compy")
+    rest = _open(fronts.join(merged, F.col("comp") == F.col("node"), "left").withColumn("comp", F.coalesce("component", "comp")).drop("node", "component"))
+    rest = rest.withColumn("prev", F.lag("tok").over(Window.partitionBy("h").orderBy("pos")))
+    rest = materialise(rest, "passages-left")
+    x, y = (rest.select("tok", *[F.col(c).alias(c + side) for c in ("h", "n", "pos", "comp", "prev")]) for side in "xy")
+    once = F.col("prevx").isNull() | F.col("prevy").isNull() | (F.col("prevx") != F.col("prevy"))
+    pairs = x.join(y, "tok").where((F.col("hx") < F.col("hy")) & (F.col("compx") != F.col("compy")) & once & _may("x", "y", percent))
+    seen = star.select(F.least("h", "lead").alias("h"), F.greatest("h", "lead").alias("lead"))
+    pairs = pairs.select(F.col("hx").alias("h"), F.col("hy").alias("lead")).distinct().join(seen, ["h", "lead"], "left_anti")
+    pairs = materialise(pairs, "passages-rest")
+    second = materialise(_verified(pairs, sets, percent), "passages-across")
+    return first.select("a", "b").unionByName(second), [sets, fronts, star, first, merged, rest, pairs, second]
 
 
 def line_links(kinds: DataFrame, texts: DataFrame, k: int = SHINGLE, percent: int = PERCENT, line_words: int = LINE_WORDS) -> DataFrame:
@@ -237,7 +270,7 @@ def line_links(kinds: DataFrame, texts: DataFrame, k: int = SHINGLE, percent: in
     more, steps = _across(members.select("band", "h", "h2"), near, grams, percent)
     links = materialise(near.unionByName(more), "passages-links")
     wanted.unpersist()
-    discard(members, pairs, grams, near, more, *steps)
+    discard(members, pairs, grams, near, *steps)
     return links
 
 
@@ -337,8 +370,12 @@ def repeated_passages(docs: DataFrame, k: int = SHINGLE, percent: int = PERCENT,
     places = equal.unionByName(alike).join(classes.select("c", "c2", "doc"), ["c", "c2"]).select("doc", "place", "cluster")
     places = materialise(places, "passages-places")
     discard(equal, alike)
-    spans = places.groupBy("cluster").agg(F.min("doc").alias("keeper"), F.max("doc").alias("last")).where("keeper <> last").select("cluster", "keeper")
-    hits = places.join(spans, "cluster").select("doc", F.shiftright("place", 32).alias("first"), F.col("place").bitwiseAND(0xFFFFFFFF).alias("n"), "cluster", "keeper")
+    spans = places.groupBy("cluster").agg(F.min("doc").alias("keeper"), F.max("doc").alias("last"), F.count(F.lit(1)).alias("m")).where("keeper <> last")
+    spans = materialise(spans.select("cluster", "keeper", F.ceil(F.col("m") / SPREAD).cast("int").alias("salts")), "passages-spans")
+    hot = small(materialise(spans.where("salts > 1").select("cluster", "salts"), "passages-hot"))
+    dealt = places.join(hot, "cluster", "left").withColumn("salt", F.pmod(F.xxhash64("doc"), F.coalesce("salts", F.lit(1))).cast("int")).drop("salts")
+    spans = spans.withColumn("salt", F.explode(F.sequence(F.lit(0), F.col("salts") - 1))).drop("salts")
+    hits = dealt.join(spans, ["cluster", "salt"]).select("doc", F.shiftright("place", 32).alias("first"), F.col("place").bitwiseAND(0xFFFFFFFF).alias("n"), "cluster", "keeper")
     copied = classes.where((F.col("doc") != F.col("last")) & (F.col("n") >= min_words)).withColumn("cluster", _id("c", "c2"))
     hits = hits.unionByName(copied.select("doc", F.lit(0).cast("long").alias("first"), "n", "cluster", F.col("doc").alias("keeper")))
     per_doc = hits.groupBy("doc").agg(F.collect_list(F.struct("first", "n", "cluster", "keeper")).alias("hits"))

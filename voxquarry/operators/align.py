@@ -13,7 +13,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 MATCH, SUBSTITUTION, GAP = 2.0, -1.0, -0.75
-#: Hypotheses beyond this are not aligned: a recogniser that has run away costs quadratic work and says nothing.
+#: Hypotheses beyond this are labelled `runaway` and not aligned: they cost quadratic work and say nothing.
 MAX_WORDS = 5000
 PAIRS = T.ArrayType(T.StructType([T.StructField("ref", T.StringType()), T.StructField("hyp", T.StringType())]))
 
@@ -108,6 +108,12 @@ def aligned(ref: Column, hyp: Column, method: str = "score", max_words: int = MA
     return udf(ref, F.when(F.size(hyp) <= max_words, hyp))
 
 
+def guarded(runs: DataFrame, ref: str, hyp: str, method: str = "score", max_words: int = MAX_WORDS) -> DataFrame:
+    """Adds status (`runaway` where the hypothesis has more than `max_words` words, else `scored`) and pairs (null for the former)."""
+    status = F.when(F.size(hyp) > max_words, "runaway").otherwise("scored")
+    return runs.withColumn("status", status).withColumn("pairs", aligned(F.col(ref), F.col(hyp), method, max_words))
+
+
 def explode_pairs(runs: DataFrame, keys: list[str], pairs: str = "pairs") -> DataFrame:
     """(keys, pos, ref, hyp) of each aligned pair."""
     return runs.select(*keys, F.posexplode(pairs).alias("pos", "p")).select(*keys, "pos", "p.ref", "p.hyp")
@@ -246,7 +252,9 @@ def project_segments(pairs: DataFrame, segments: DataFrame, keys: list[str]) ->
         F.when(F.col("hyp").isNotNull(), F.sum(F.col("hyp").isNotNull().cast("int")).over(w) - 1).alias("hyp_pos"),
     )
     t = t.where("ref_pos IS NOT NULL AND hyp_pos IS NOT NULL")
-    hit = segments.join(t, keys).where("hyp_pos BETWEEN first_hyp AND last_hyp")
+    # segments are spread over their words, so that the join is by equality
+    words = segments.select(*keys, "seg", F.explode(F.sequence("first_hyp", "last_hyp")).alias("hyp_pos"))
+    hit = words.join(t, [*keys, "hyp_pos"])
     return hit.groupBy(*keys, "seg").agg(F.min("ref_pos").alias("ref_start"), F.max("ref_pos").alias("ref_end"))
 
 

@@ -2,42 +2,51 @@
 
 from __future__ import annotations
 
-import itertools
-
 import numpy as np
 import pandas as pd
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-#: Beyond this, assignments are searched greedily from the longest utterance down instead of one by one.
-EXACT = 4096
-
-
-def edits(ref: list[str], hyp: list[str]) -> int:
-    row, h = np.arange(len(hyp) + 1), np.array(hyp, object)
-    ramp = np.arange(len(hyp) + 1)
-    for i, w in enumerate(ref, 1):
-        best = np.minimum(row[:-1] + (h != w), row[1:] + 1)
-        row = np.minimum.accumulate(np.append(i, best) - ramp) + ramp
-    return int(row[-1])
+from voxquarry.operators.relational import running
+def _read(cost: np.ndarray, words: list[str], channel: list[str], axis: int) -> np.ndarray:
+    """Costs of all positions in the channels once `words` are aligned behind each position of one channel (an axis of `cost`)."""
+    cost = np.moveaxis(cost, axis, 0)
+    heard, ramp = np.array(channel, object), np.arange(len(channel) + 1).reshape(-1, *[1] * (cost.ndim - 1))
+    for w in words:
+        best = cost + 1
+        best[1:] = np.minimum(best[1:], cost[:-1] + (heard != w).astype(np.int64).reshape(ramp[1:].shape))
+        cost = np.minimum.accumulate(best - ramp, axis=0) + ramp
+    return np.moveaxis(cost, 0, axis)
 
 
 def best_assignment(refs: list[list[str]], channels: list[list[str]]) -> tuple[int, list[int]]:
     """(errors, channel of each utterance): utterances keep their order within a channel; the assignment with fewest errors,
-    the first of equals."""
-    def errors(a) -> int:
-        return sum(edits([w for r, c in zip(refs, a, strict=True) if c == k for w in r], hyp) for k, hyp in enumerate(channels))
+    the first of equals.
 
+    A dynamic programme over positions in the channels: its work grows with the product of their lengths, the words and
+    the channels, not with the number of assignments.
+    """
     if not channels:
         return sum(map(len, refs)), [0] * len(refs)
-    if len(channels) ** len(refs) <= EXACT:
-        best = min(itertools.product(range(len(channels)), repeat=len(refs)), key=errors)
-        return errors(best), list(best)
-    a = [0] * len(refs)
-    for i in sorted(range(len(refs)), key=lambda i: -len(refs[i])):
-        a[i] = min(range(len(channels)), key=lambda c: errors([*a[:i], c, *a[i + 1 :]]))
-    return errors(a), a
+    shape = [len(c) + 1 for c in channels]
+    at = np.indices(shape).sum(0)
+    # after[u][p]: least cost of utterances u and later on what the channels hold from p on; it reads everything backwards
+    after = [at[tuple(slice(None, None, -1) for _ in shape)]]
+    flip = lambda x: x[tuple(slice(None, None, -1) for _ in shape)]
+    for r in reversed(refs):
+        back = flip(after[-1])
+        after.append(flip(np.min([_read(back, r[::-1], c[::-1], k) for k, c in enumerate(channels)], axis=0)))
+    after.reverse()
+    least, who, cost = int(after[0].flat[0]), [], at
+    for u, r in enumerate(refs):
+        for k, c in enumerate(channels):
+            mine = _read(cost, r, c, k)
+            if int((mine + after[u + 1]).min()) == least:
+                break
+        who.append(k)
+        cost = mine
+    return least, who
 
 
 def assign_channels(refs: Column, channels: Column) -> Column:
@@ -66,8 +75,7 @@ def symbol_delay(pairs: DataFrame, keys: list[str], ref_time: str, hyp_time: str
 
 def lexicon_arcs(lexicon: DataFrame, order: str) -> DataFrame:
     """(word, pos, src, dst, token, out): a loop of token chains at state 0; the first arc of a chain gives out the word."""
-    w = Window.orderBy(order).rowsBetween(Window.unboundedPreceding, -1)
-    t = lexicon.withColumn("_b", F.coalesce(F.sum(F.size("tokens") - 1).over(w), F.lit(0)))
+    t = running(lexicon, [order], F.size("tokens") - 1, "_b")
     t = t.select("word", "_b", F.size("tokens").alias("_n"), F.posexplode("tokens").alias("pos", "token"))
     src = F.when(F.col("pos") == 0, F.lit(0)).otherwise(F.col("_b") + F.col("pos"))
     dst = F.when(F.col("pos") == F.col("_n") - 1, F.lit(0)).otherwise(F.col("_b") + F.col("pos") + 1)

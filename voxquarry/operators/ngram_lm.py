@@ -13,13 +13,22 @@ BOS, EOS, UNK = "<s>", "</s>", "<unk>"
 
 
 def ngrams(sentences: DataFrame, words: str, order: int) -> DataFrame:
-    """(n, hist, word, ctx) of every n-gram of <s> sentence </s>; ctx is the word before it, null at the start and for the highest order."""
+    """(n, hist, word, ctx) of every n-gram of <s> sentence </s>; ctx is the word before it, null at the start and for the highest order.
+
+    A sentence's n-grams are made inside its row, so that no row but its own holds the sentence.
+    """
     s = sentences.select(F.concat(F.array(F.lit(BOS)), F.col(words), F.array(F.lit(EOS))).alias("w"))
-    t = s.select("w", F.posexplode(F.transform("w", lambda x: x)).alias("i", "_x"))
-    t = t.select("w", "i", F.explode(F.sequence(F.lit(1), F.lit(order))).alias("n")).where(F.col("i") + F.col("n") <= F.size("w"))
-    gram = F.slice("w", F.col("i") + 1, F.col("n"))
-    ctx = F.when((F.col("i") > 0) & (F.col("n") < order), F.get("w", F.col("i") - 1))
-    return t.select("n", F.array_join(F.slice(gram, F.lit(1), F.col("n") - 1), " ").alias("hist"), F.element_at(gram, -1).alias("word"), ctx.alias("ctx"))
+
+    def of(n: int) -> Column:
+        def one(i: Column) -> Column:
+            ctx = F.when(i > 0, F.get("w", i - 1)) if n < order else F.lit(None).cast("string")
+            return F.struct(F.lit(n).alias("n"), F.array_join(F.slice("w", i + 1, F.lit(n - 1)), " ").alias("hist"), F.get("w", i + n - 1).alias("word"), ctx.alias("ctx"))
+
+        return F.transform(F.sequence(F.lit(0), F.greatest(F.size("w") - n, F.lit(0))), one)
+
+    grams = [F.when(F.size("w") >= n, of(n)) for n in range(1, order + 1)]
+    whole = F.flatten(F.filter(F.array(*grams), lambda x: x.isNotNull()))
+    return s.select(F.explode(whole).alias("g")).select("g.n", "g.hist", "g.word", "g.ctx")
 
 
 def counts(grams: DataFrame) -> DataFrame:
@@ -92,9 +101,12 @@ def score(model: DataFrame, queries: DataFrame, order: int) -> DataFrame:
 def sentence_scores(model: DataFrame, sentences: DataFrame, keys: list[str], words: str, order: int) -> DataFrame:
     """(keys, log_p, n): log10 probability of each sentence with its end, given its start; unknown words are left out of both."""
     s = sentences.select(*keys, F.concat(F.array(F.lit(BOS)), F.col(words), F.array(F.lit(EOS))).alias("w"))
-    t = s.select(*keys, "w", F.explode(F.sequence(F.lit(1), F.size("w") - 1)).alias("i"))
-    h = F.slice("w", F.greatest(F.col("i") - (order - 1), F.lit(0)) + 1, F.least(F.col("i"), F.lit(order - 1)))
-    q = t.select(*keys, "i", F.array_join(h, " ").alias("hist"), F.get("w", F.col("i")).alias("word"))
+
+    def asked(i: Column) -> Column:
+        h = F.slice("w", F.greatest(i - (order - 1), F.lit(0)) + 1, F.least(i, F.lit(order - 1)))
+        return F.struct(i.alias("i"), F.array_join(h, " ").alias("hist"), F.get("w", i).alias("word"))
+
+    q = s.select(*keys, F.explode(F.transform(F.sequence(F.lit(1), F.size("w") - 1), asked)).alias("q")).select(*keys, "q.i", "q.hist", "q.word")
     return score(model, q, order).groupBy(*keys).agg(F.sum("log_p").alias("log_p"), F.count("log_p").alias("n"))
 
 

@@ -5,14 +5,28 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from voxquarry.scratch import materialise
+
+def running(df: DataFrame, order: list[str], weight: Column | None = None, name: str = "before") -> DataFrame:
+    """Adds `name`: the sum of `weight` (1 by default) over all rows that come earlier in `order`; equal rows go in any order.
+
+    Rows are range-partitioned by `order` and written with the number of their range, so that ranges and their sums are
+    read from the same rows; each range is then summed by itself and moved by the ranges before it. No task holds more.
+    """
+    w = F.lit(1).cast("long") if weight is None else weight
+    t = df.withColumn("_w", w).repartitionByRange(*order).withColumn("_p", F.spark_partition_id())
+    t = materialise(t, "ranges")
+    sums = t.groupBy("_p").agg(F.sum("_w").alias("_s"))
+    earlier = Window.orderBy("_p").rowsBetween(Window.unboundedPreceding, -1)  # a row for each range
+    offset = sums.select("_p", F.coalesce(F.sum("_s").over(earlier), F.lit(0)).alias("_o"))
+    own = Window.partitionBy("_p").orderBy(*order).rowsBetween(Window.unboundedPreceding, -1)
+    t = t.withColumn("_r", F.coalesce(F.sum("_w").over(own), F.lit(0)))
+    return t.join(F.broadcast(offset), "_p").withColumn(name, F.col("_o") + F.col("_r")).drop("_p", "_o", "_r", "_w")
+
 
 def global_index(df: DataFrame, file: str, order: list[str]) -> DataFrame:
-    """Adds idx: rows numbered over files in order of name. Each file's rows are numbered by themselves and moved by the
-    rows of the files before it."""
-    offset = df.groupBy(file).agg(F.count(F.lit(1)).alias("_n"))
-    offset = offset.select(file, F.coalesce(F.sum("_n").over(Window.orderBy(file).rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)).alias("_o"))
-    row = F.row_number().over(Window.partitionBy(file).orderBy(*order))
-    return df.withColumn("_r", row).join(offset, file).withColumn("idx", F.col("_r") - 1 + F.col("_o")).drop("_r", "_o")
+    """Adds idx: rows numbered over files in order of name."""
+    return running(df, [file, *order], name="idx")
 
 
 def shard_name(idx: Column, size: int = 100_000, width: int = 7) -> Column:

@@ -9,12 +9,13 @@ from pyspark.sql import functions as F
 
 from voxquarry.functions.text import words
 
-_UNIT = float(1 << 53)
+_DIGITS = 13
 
 
 def uniform(seed: str, *keys: Column | str) -> Column:
-    """A number in [0, 1) from keys and a seed."""
-    return F.shiftrightunsigned(F.xxhash64(F.lit(seed), *keys), 11) / F.lit(_UNIT)
+    """A number in [0, 1) from keys and a seed: the first 52 bits of the MD5 of `seed|key|key...`."""
+    digest = F.md5(F.concat_ws("|", F.lit(seed), *[(F.col(k) if isinstance(k, str) else k).cast("string") for k in keys]).cast("binary"))
+    return F.conv(F.substring(digest, 1, _DIGITS), 16, 10).cast("double") / F.lit(float(16**_DIGITS))
 
 
 def interleave(parts: list[tuple[DataFrame, float]], key: str, seed: str = "mux") -> DataFrame:
@@ -26,16 +27,16 @@ def interleave(parts: list[tuple[DataFrame, float]], key: str, seed: str = "mux"
     return reduce(DataFrame.unionByName, rows)
 
 
-def corrupt(df: DataFrame, keys: list[str], text: str, substitute: float, delete: float, insert: float, seed: str = "corrupt") -> DataFrame:
+def corrupt(df: DataFrame, keys: list[str], text: str, substitute: float, delete: float, insert: float, seed: str = "corrupt", pool: int = 1000) -> DataFrame:
     """Word errors at given rates: one draw a word decides to delete, replace by another word of the corpus, or add one
-    after it. Replacements come from words ranked by frequency, never the word itself."""
+    after it. Replacements come from the `pool` most frequent words, never the word itself."""
     if min(substitute, delete, insert) < 0 or substitute + delete + insert > 1:
         raise ValueError("rates must be at least 0 and sum to 1 at most")
     t = df.select(*keys, F.posexplode(words(F.col(text))).alias("pos", "word"))
-    pool = t.groupBy("word").count().orderBy(F.desc("count"), "word").limit(1000).select("word")  # a bounded pool, as a parameter
-    pool = F.broadcast(pool.agg(F.array_sort(F.collect_list("word")).alias("pool")))
+    often = t.groupBy("word").count().orderBy(F.desc("count"), "word").limit(pool).select("word")
+    often = F.broadcast(often.agg(F.array_sort(F.collect_list("word")).alias("pool")))  # one row of `pool` words
     u, pick = uniform(seed, *keys, "pos"), uniform(seed + "|pick", *keys, "pos")
-    t = t.crossJoin(pool).withColumn("u", u)  # one row
+    t = t.crossJoin(often).withColumn("u", u)
     own = F.filter("pool", lambda w: w != F.col("word"))
     t = t.withColumn("new", F.get(own, F.floor(pick * F.size(own)).cast("int")))
     out = F.when(F.col("u") < delete, F.array().cast("array<string>")).when(F.col("u") < delete + substitute, F.array("new")).when(F.col("u") < delete + substitute + insert, F.array("word", "new")).otherwise(F.array("word"))

@@ -8,6 +8,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from voxquarry.operators.relational import running
 
 def _fold(df: DataFrame, keys: list[str], order: list[str], columns: list[str], schema: T.StructType, fold) -> DataFrame:
     """An ordered fold of each group of `keys`: groups run in parallel, the rows of one in order.
@@ -122,9 +123,9 @@ def bucket_batches(df: DataFrame, length: str, order: str, edges: list[float], m
     b = F.lit(0)
     for e in edges:
         b = b + (F.col(length) > e).cast("int")
-    t = df.withColumn("bucket", b).withColumn("_h", F.xxhash64(order))
-    w = Window.partitionBy("bucket").orderBy("_h", order).rowsBetween(Window.unboundedPreceding, 0)
-    return t.withColumn("batch", F.floor((F.sum(length).over(w) - F.col(length)) / most)).drop("_h")
+    t = running(df.withColumn("bucket", b).withColumn("_h", F.xxhash64(order)), ["bucket", "_h", order], F.col(length))
+    first = t.groupBy("bucket").agg(F.min("before").alias("_f"))
+    return t.join(F.broadcast(first), "bucket").withColumn("batch", F.floor((F.col("before") - F.col("_f")) / most)).drop("_h", "_f", "before")  # a row for each bucket
 
 
 def concatenate(df: DataFrame, keys: list[str], order: str, duration: str, gap: float) -> DataFrame:

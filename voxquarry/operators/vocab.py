@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from voxquarry.functions import text as T
+from voxquarry.operators.relational import running
 
 
 def letter_counts(lines: DataFrame, column: str = "line") -> DataFrame:
@@ -19,14 +20,8 @@ def distinct_words(lines: DataFrame, column: str = "line") -> DataFrame:
 
 
 def dense_ids(items: DataFrame, column: str, start: int = 0) -> DataFrame:
-    """Ids in sorted order without gaps, numbered range by range: rows are range-partitioned and sorted, each partition's
-    rows are counted and numbered from its offset, so that no task holds the whole vocabulary."""
-    s = items.select(column).repartitionByRange(column).sortWithinPartitions(column)
-    s = s.withColumn("_p", F.spark_partition_id())
-    w = Window.partitionBy("_p").orderBy(column)
-    counted = s.groupBy("_p").agg(F.count(F.lit(1)).alias("_n"))
-    offset = counted.select("_p", (F.coalesce(F.sum("_n").over(Window.orderBy("_p").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)) + start).alias("_o"))
-    return s.withColumn("_r", F.row_number().over(w)).join(F.broadcast(offset), "_p").select(column, (F.col("_r") - 1 + F.col("_o")).cast("long").alias("id"))  # a row for each partition
+    """Ids in sorted order without gaps; no task holds the whole vocabulary."""
+    return running(items.select(column), [column]).select(column, (F.col("before") + start).alias("id"))
 
 
 def word_ids(words: DataFrame, column: str = "word") -> DataFrame:
@@ -42,8 +37,7 @@ def word_ids(words: DataFrame, column: str = "word") -> DataFrame:
 def first_seen_ids(tokens: DataFrame, token: str, order: list[str], start: int = 0) -> DataFrame:
     """Ids in order of first appearance."""
     firsts = tokens.groupBy(token).agg(F.min(F.struct(*order)).alias("first"))
-    w = Window.orderBy("first")
-    return firsts.select(token, (F.row_number().over(w) - 1 + start).cast("long").alias("id"))
+    return running(firsts, ["first"]).select(token, (F.col("before") + start).alias("id"))
 
 
 def char_lexicon(words: DataFrame, chars: DataFrame, word: str = "word", char: str = "char") -> DataFrame:

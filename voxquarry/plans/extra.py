@@ -15,11 +15,11 @@ from voxquarry.plans.text import WORDS, lines
 
 @query("multi_talker_wer")
 def multi_talker_wer(spark, d):
-    """First four user turns of each conversation against its assistant turns as two channels, best assignment."""
+    """User turns of each conversation against its assistant turns as two channels, best assignment."""
     c = table(spark, d, "conversations").select("conv_id", "turn", "role", X.words(F.lower("text")).alias("w"))
     order = lambda cond: F.transform(F.array_sort(F.collect_list(F.when(cond, F.struct("turn", "w")))), lambda x: x["w"])
     user, odd = F.col("role") == "user", F.col("turn") % 4 == 1
-    t = c.groupBy("conv_id").agg(F.slice(order(user), 1, 4).alias("refs"), F.flatten(order(~user & odd)).alias("a"), F.flatten(order(~user & ~odd)).alias("b"))
+    t = c.groupBy("conv_id").agg(order(user).alias("refs"), F.flatten(order(~user & odd)).alias("a"), F.flatten(order(~user & ~odd)).alias("b"))
     t = t.select("conv_id", M.assign_channels(F.col("refs"), F.array("a", "b")).alias("r"))
     return t.select("conv_id", "r.errors", "r.words", F.array_join(F.transform("r.assignment", lambda x: x.cast("string")), " ").alias("assignment"))
 

@@ -67,13 +67,21 @@ def two_weight_rescoring(spark, d):
     return R.rescore(t, ["o_custkey"], "o_orderkey", {"nnlm": [0.5, 1.0], "ngram": [-0.5, -0.1]}).withColumn("score", F.round("score", 6))
 
 
-@query("phrase_boosting")
+CODES = "CASE event_type WHEN 'click' THEN 1 WHEN 'view' THEN 2 WHEN 'purchase' THEN 3 ELSE 0 END"
+
+
+@query("phrase_boosting", f"""
+WITH t AS (SELECT user_id, {CODES} AS t, lead({CODES}) OVER w AS t1, lead({CODES}, 2) OVER w AS t2 FROM events WINDOW w AS (PARTITION BY user_id ORDER BY ts, event_id))
+SELECT user_id, sum(2 * coalesce(t = 1 AND t1 = 2, false)::INT + 3 * coalesce(t = 1 AND t1 = 2 AND t2 = 3, false)::INT + (t = 3)::INT + 2 * coalesce(t = 2 AND t1 = 2, false)::INT)::DOUBLE AS bonus FROM t GROUP BY user_id""")
 def phrase_boosting(spark, d):
     t = token_lists(spark, d)
     return t.select("user_id", R.boost(t, "tokens", [(1, 2), (1, 2, 3), (3,), (2, 2)]).alias("bonus"))
 
 
-@query("keyword_spotting")
+@query("keyword_spotting", f"""
+WITH t AS (SELECT user_id, {CODES} AS t, value, row_number() OVER (PARTITION BY user_id ORDER BY ts, event_id) - 1 AS i FROM events),
+r AS (SELECT *, lag(t) OVER w AS t0, lag(value) OVER w AS v0 FROM t WHERE t <> 0 WINDOW w AS (PARTITION BY user_id ORDER BY i))
+SELECT user_id, CASE WHEN t = 2 THEN 0 ELSE 1 END::BIGINT AS phrase, i AS "end" FROM r WHERE ((t0 = 1 AND t = 2) OR (t0 = 3 AND t = 3)) AND (v0 + value) / 2 >= 12""")
 def keyword_spotting(spark, d):
     return R.keywords(token_lists(spark, d), ["user_id"], "tokens", "scores", [(1, 2), (3, 3)], 12.0)
 
@@ -89,20 +97,30 @@ def inverse_cdf_sampling(spark, d):
     return t.where("cum > 0.37").groupBy("p_brand").agg(F.min_by("p_partkey", F.struct("cum", "p_partkey")).alias("pick"))
 
 
-@query("corrupt_transcripts")
+def uniform_sql(seed: str, *keys: str) -> str:
+    return f"(('0x' || substr(md5(concat_ws('|', '{seed}', {', '.join(keys)})), 1, 13))::BIGINT / 4503599627370496.0::DOUBLE)"
+
+
+@query("corrupt_transcripts", f"""
+WITH t AS (SELECT conv_id, turn, unnest(w) AS word, unnest(range(0, len(w))) AS pos FROM (SELECT conv_id, turn, regexp_extract_all(text, '\\S+') AS w FROM conversations)),
+o AS (SELECT word FROM t GROUP BY word ORDER BY count(*) DESC, word LIMIT 1000), pool AS (SELECT list(word ORDER BY word) AS pool FROM o),
+x AS (SELECT conv_id, turn, pos, word, list_filter(pool, lambda y: y <> word) AS own, {uniform_sql("corrupt", "conv_id", "turn", "pos")} AS u, {uniform_sql("corrupt|pick", "conv_id", "turn", "pos")} AS pick FROM t, pool),
+n AS (SELECT *, own[floor(pick * len(own))::INT + 1] AS new FROM x)
+SELECT conv_id, turn, coalesce(string_agg(CASE WHEN u < 0.05::DOUBLE THEN NULL WHEN u < 0.05::DOUBLE + 0.1::DOUBLE THEN new WHEN u < 0.05::DOUBLE + 0.1::DOUBLE + 0.05::DOUBLE THEN word || ' ' || new ELSE word END, ' ' ORDER BY pos), '') AS text FROM n GROUP BY conv_id, turn""")
 def corrupt_transcripts(spark, d):
     from voxquarry.operators import sampling as P
 
     return P.corrupt(table(spark, d, "conversations").select("conv_id", "turn", "text"), ["conv_id", "turn"], "text", 0.1, 0.05, 0.05)
 
 
-@query("weighted_interleave")
+@query("weighted_interleave", f"""
+SELECT c_name AS name, 0 AS source, round(-ln(1 - {uniform_sql("mux|0", "c_name")}) / 3, 9) AS place FROM customer UNION ALL SELECT s_name, 1, round(-ln(1 - {uniform_sql("mux|1", "s_name")}), 9) FROM supplier""")
 def weighted_interleave(spark, d):
     from voxquarry.operators import sampling as P
 
     a = table(spark, d, "customer").select(F.col("c_name").alias("name"))
     b = table(spark, d, "supplier").select(F.col("s_name").alias("name"))
-    return P.interleave([(a, 3.0), (b, 1.0)], "name")
+    return P.interleave([(a, 3.0), (b, 1.0)], "name").withColumn("place", F.round("place", 9))
 
 
 @query("one_hot_alignment", "SELECT vec_id, c::INT AS class, CASE WHEN c = label THEN 0.0 ELSE -10.0 END::DOUBLE AS score FROM embeddings, (SELECT unnest(range(0, 10)) AS c)")

@@ -26,37 +26,24 @@ def positional_pairs(spark, d):
     return t.select("conv_id", "turn", F.posexplode(z).alias("pos", "z")).select("conv_id", "turn", "pos", "z.p.ref", "z.p.hyp")
 
 
-PAIRS = """p AS (SELECT conv_id, turn, i - 1 AS pos, r[i] AS ref, h[i] AS hyp FROM (
-  SELECT u.conv_id, u.turn, regexp_extract_all(lower(u.text), '\\S+') AS r, regexp_extract_all(lower(a.text), '\\S+') AS h,
-         unnest(range(1, greatest(len(regexp_extract_all(u.text, '\\S+')), len(regexp_extract_all(a.text, '\\S+'))) + 1)) AS i
-  FROM conversations u JOIN conversations a ON a.conv_id = u.conv_id AND a.turn = u.turn + 1 WHERE u.role = 'user' AND a.role = 'assistant')),
-t AS (SELECT *, coalesce(ref = hyp, false) AS ok FROM p),
+TURN_PAIRS = """tp AS (SELECT u.conv_id, u.turn, regexp_extract_all(lower(u.text), '\\S+') AS r, regexp_extract_all(lower(a.text), '\\S+') AS h
+  FROM conversations u JOIN conversations a ON a.conv_id = u.conv_id AND a.turn = u.turn + 1 WHERE u.role = 'user' AND a.role = 'assistant')"""
+SPANS = """t AS (SELECT *, coalesce(ref = hyp, false) AS ok FROM p),
 s0 AS (SELECT *, (ok OR coalesce(lag(ok) OVER (PARTITION BY conv_id, turn ORDER BY pos), true))::INT AS o FROM t),
 s AS (SELECT *, (sum(o) OVER (PARTITION BY conv_id, turn ORDER BY pos))::BIGINT AS span FROM s0),
 sp AS (SELECT conv_id, turn, span, coalesce(string_agg(ref, ' ' ORDER BY pos), '') AS ref_text, coalesce(string_agg(hyp, ' ' ORDER BY pos), '') AS hyp_text,
        (count(*) FILTER (WHERE ok))::BIGINT AS m, (count(*) FILTER (WHERE NOT ok AND ref IS NOT NULL AND hyp IS NOT NULL))::BIGINT AS s,
        (count(*) FILTER (WHERE ref IS NULL))::BIGINT AS i, (count(*) FILTER (WHERE hyp IS NULL))::BIGINT AS d FROM s GROUP BY conv_id, turn, span)"""
+PAIRS = f"""{TURN_PAIRS},
+p AS (SELECT conv_id, turn, i - 1 AS pos, r[i] AS ref, h[i] AS hyp FROM (SELECT *, unnest(range(1, greatest(len(r), len(h)) + 1)) AS i FROM tp)),
+{SPANS}"""
 
 
-@query("wer_by_conversation")
-def wer_by_conversation(spark, d):
-    """Global score alignment, spans and rates of each conversation."""
-    runs = turn_pairs(spark, d).withColumn("pairs", A.aligned(F.col("ref"), F.col("hyp"))).where("pairs IS NOT NULL")
-    sp = A.spans(A.explode_pairs(runs, ["conv_id", "turn"]), ["conv_id", "turn"])
-    return A.totals(A.apply_allow_lists(sp), ["conv_id"])
-
-
-@query("minimum_edit_alignment")
-def minimum_edit_alignment(spark, d):
-    runs = turn_pairs(spark, d).withColumn("pairs", A.aligned(F.col("ref"), F.col("hyp"), "edit"))
-    return A.explode_pairs(runs, ["conv_id", "turn"])
-
-
-@query("runaway_guard", """
-SELECT conv_id, turn, CASE WHEN len(regexp_extract_all(text, '\\S+')) > 60 THEN 'runaway' ELSE 'scored' END AS status FROM conversations""")
+@query("runaway_guard", f"WITH {TURN_PAIRS} SELECT conv_id, turn, CASE WHEN len(h) > 60 THEN 'runaway' ELSE 'scored' END AS status, CASE WHEN len(h) <= 60 THEN greatest(len(r), len(h)) <= 0 END AS empty FROM tp")
 def runaway_guard(spark, d):
-    """Hypotheses beyond the limit are labelled and never reach the aligner."""
-    return table(spark, d, "conversations").select("conv_id", "turn", F.when(F.size(X.words(F.col("text"))) > 60, "runaway").otherwise("scored").alias("status"))
+    """Hypotheses beyond the limit are labelled and never reach the aligner, whose pairs are null for them."""
+    t = A.guarded(turn_pairs(spark, d), "ref", "hyp", max_words=60)
+    return t.select("conv_id", "turn", "status", (F.size("pairs") == 0).alias("empty"))
 
 
 @query("reference_cleaning", "SELECT conv_id, string_agg(t, ' ' ORDER BY turn) AS text FROM (SELECT conv_id, turn, trim(regexp_replace(replace(text, '<unk>', ''), '[ \\t\\n\\f\\r]+', ' ', 'g')) AS t FROM conversations) GROUP BY conv_id")
@@ -76,9 +63,9 @@ ALLOWED = """, al AS (SELECT *, (m = 0 AND ref_text <> '' AND hyp_text <> '' AND
 c AS (SELECT conv_id, turn, span, ref_text, hyp_text, mixed OR loose AS allowed, CASE WHEN mixed THEN 1 ELSE m END AS m, CASE WHEN mixed OR loose THEN 0 ELSE s END AS s, CASE WHEN mixed OR loose THEN 0 ELSE i END AS i, CASE WHEN mixed OR loose THEN 0 ELSE d END AS d FROM al)"""
 
 
-def allowed_spans(spark, d):
+def allowed_spans(pairs):
     """Spans with allow-lists derived from the data: near-equal lengths may replace each other, short texts may come and go."""
-    sp = A.spans(positional_pairs(spark, d), ["conv_id", "turn"])
+    sp = A.spans(pairs, ["conv_id", "turn"])
     mixed = sp.where("m = 0 AND ref_text <> '' AND hyp_text <> '' AND abs(length(ref_text) - length(hyp_text)) <= 2").select(F.col("ref_text").alias("a"), F.col("hyp_text").alias("b"))
     ins = sp.where("m = 0 AND ref_text = '' AND length(hyp_text) < 8").select(F.col("hyp_text").alias("text"))
     dels = sp.where("m = 0 AND hyp_text = '' AND length(ref_text) < 8").select(F.col("ref_text").alias("text"))
@@ -87,19 +74,19 @@ def allowed_spans(spark, d):
 
 @query("allow_list_scoring", f"WITH {PAIRS}{ALLOWED} SELECT conv_id, turn, span, allowed, m::BIGINT AS m, s::BIGINT AS s, i::BIGINT AS i, d::BIGINT AS d FROM c")
 def allow_list_scoring(spark, d):
-    return allowed_spans(spark, d).select("conv_id", "turn", "span", "allowed", "m", "s", "i", "d")
+    return allowed_spans(positional_pairs(spark, d)).select("conv_id", "turn", "span", "allowed", "m", "s", "i", "d")
 
 
 @query("error_rates", f"""WITH {PAIRS}{ALLOWED}, g AS (SELECT conv_id, sum(m)::BIGINT AS m, sum(s)::BIGINT AS s, sum(i)::BIGINT AS i, sum(d)::BIGINT AS d FROM c GROUP BY conv_id),
 r AS (SELECT *, CASE WHEN m + s + d = 0 THEN 0 ELSE (s + i + d) / (m + s + d)::DOUBLE END AS wer, CASE WHEN m + s + d = 0 THEN 0 ELSE m / (m + s + d)::DOUBLE END AS recall, CASE WHEN m + s + i = 0 THEN 0 ELSE m / (m + s + i)::DOUBLE END AS precision FROM g)
 SELECT *, CASE WHEN precision + recall = 0 THEN 0 ELSE 2 * precision * recall / (precision + recall) END AS f1 FROM r""")
 def error_rates(spark, d):
-    return A.totals(allowed_spans(spark, d), ["conv_id"])
+    return A.totals(allowed_spans(positional_pairs(spark, d)), ["conv_id"])
 
 
 @query("error_counters", f"WITH {PAIRS}{ALLOWED} SELECT CASE WHEN ref_text = '' THEN 'insertion' WHEN hyp_text = '' THEN 'deletion' ELSE 'substitution' END AS kind, ref_text, hyp_text, count(*)::BIGINT AS n FROM c WHERE NOT allowed AND s + i + d > 0 GROUP BY ALL")
 def error_counters(spark, d):
-    return A.counters(allowed_spans(spark, d))
+    return A.counters(allowed_spans(positional_pairs(spark, d)))
 
 
 @query("word_error_stats", f"""WITH {PAIRS}, w AS (SELECT ref AS word, ref, hyp, 'ref' AS side FROM p WHERE ref IS NOT NULL UNION ALL SELECT hyp, ref, hyp, 'hyp' FROM p WHERE hyp IS NOT NULL)
@@ -140,21 +127,6 @@ def cer_gate(spark, d):
     return character_error_rate(spark, d).where("cer < 0.8").select("conv_id", "turn")
 
 
-@query("nbest_oracle")
-def nbest_oracle(spark, d):
-    """The assistant turn with the fewest word edits to the first user turn of each conversation."""
-    c = table(spark, d, "conversations")
-    ref = c.where("role = 'user'").groupBy("conv_id").agg(F.min_by(X.words(F.col("text")), F.col("turn")).alias("ref"))
-    paths = c.where("role = 'assistant'").select("conv_id", F.col("turn").alias("path_id"), X.words(F.col("text")).alias("hyp")).join(ref, "conv_id")
-    return A.best_path(paths, ["conv_id"], "ref", "hyp")
-
-
-@query("translation_bleu")
-def translation_bleu(spark, d):
-    t = turn_pairs(spark, d).withColumn("_id", F.col("turn"))
-    return A.bleu(t, ["conv_id"], "ref", "hyp", order=2)
-
-
 # ---- grid: cell = (l_returnflag, l_linestatus), draw = l_linenumber, utterance = l_suppkey % 101 -----------------------
 
 COUNTS = "counts AS (SELECT l_returnflag AS rt60, l_linestatus AS snr, l_linenumber AS draw, l_suppkey % 101 AS utt, 40 + l_partkey % 23 AS m, l_quantity::BIGINT % 7 AS s, l_partkey % 3 AS i, l_quantity::BIGINT % 5 AS d FROM lineitem)"

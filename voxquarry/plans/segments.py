@@ -167,7 +167,10 @@ def turn_finals(spark, d):
     return t.groupBy("user_id", "turn").agg(last).select("user_id", "turn", F.col("m.event_id").alias("final"), (F.col("m.event_type") == "view").alias("pending"))
 
 
-@query("dynamic_batches")
+@query("dynamic_batches", f"""
+WITH RECURSIVE l AS (SELECT conv_id, turn, floor(duration)::BIGINT AS n, row_number() OVER (PARTITION BY conv_id ORDER BY turn) - 1 AS i FROM {SEG}),
+b AS (SELECT conv_id, 0::BIGINT AS i, 0::BIGINT AS batch FROM l WHERE i = 0 UNION ALL SELECT b.conv_id, b.i + least(8 // (n // 10 + 1) + 1, 8), batch + 1 FROM b JOIN l USING (conv_id, i))
+SELECT l.conv_id, turn, max(batch) AS batch FROM l JOIN b ON b.conv_id = l.conv_id AND b.i <= l.i GROUP BY ALL""")
 def dynamic_batches(spark, d):
     t = segments(spark, d).withColumn("n", F.floor("duration").cast("long"))
     return S.batches_by_length(t, ["conv_id"], "turn", "n", 8, 10)
@@ -185,13 +188,21 @@ def concatenation_offsets(spark, d):
     return S.concatenate(segments(spark, d), ["conv_id"], "turn", "duration", 1.0).select("conv_id", "turn", "offset")
 
 
-@query("noise_plan")
+def crc32_sql(text: str) -> str:
+    """CRC-32 of an ASCII text: an exclusive-or for each byte, then eight shifts with the reversed polynomial."""
+    steps = f"list_prepend(4294967295::BIGINT, flatten(list_transform(string_split({text}, ''), lambda x: [ascii(x)::BIGINT, -1, -1, -1, -1, -1, -1, -1, -1])))"
+    return f"xor(list_reduce({steps}, lambda c, x: CASE WHEN x >= 0 THEN xor(c, x) ELSE xor(c >> 1, (c & 1) * 3988292384) END), 4294967295)"
+
+
+@query("noise_plan", f"""
+WITH t AS (SELECT conv_id || '-' || turn AS id FROM {SEG}), x AS (SELECT id, {crc32_sql("'noise|pick|' || id")} % 1048576 / 1048576.0::DOUBLE AS p, {crc32_sql("'noise|snr|' || id")} % 1048576 / 1048576.0::DOUBLE AS s FROM t)
+SELECT id, p < 0.5 AS noisy, CASE WHEN p < 0.5 THEN 10.0::DOUBLE + s * 10.0::DOUBLE END AS snr FROM x""")
 def noise_plan(spark, d):
     t = segments(spark, d).withColumn("id", F.concat_ws("-", "conv_id", "turn"))
     return S.noise_plan(t, "id", 0.5, 10.0, 20.0).select("id", "noisy", "snr")
 
 
-@query("seeds_from_names")
+@query("seeds_from_names", f"""SELECT n_name, {crc32_sql("'noise|' || n_name")} AS seed FROM nation""")
 def seeds_from_names(spark, d):
     """Seeds by checksum of joined names."""
     return table(spark, d, "nation").select("n_name", F.crc32(F.concat(F.lit("noise|"), "n_name").cast("binary")).alias("seed"))

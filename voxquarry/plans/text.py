@@ -321,7 +321,17 @@ def normalise_sentences(spark, d):
     return t.select("doc_id", "line_no", X.normalise_sentence_gold(F.col("line")).alias("gold"), X.normalise_text(F.col("line")).alias("plain"))
 
 
-@query("numbers_in_malay")
+DIGIT_SQL = "[" + ", ".join(f"'{x}'" for x in X.DIGITS) + "]"
+MALAY = f"""w99 AS (SELECT x, CASE WHEN x = 0 THEN '' WHEN x < 10 THEN d[x + 1] WHEN x = 10 THEN 'sepuluh' WHEN x = 11 THEN 'sebelas' WHEN x < 20 THEN d[x - 9] || ' belas'
+  ELSE d[x // 10 + 1] || ' puluh' || CASE WHEN x % 10 = 0 THEN '' ELSE ' ' || d[x % 10 + 1] END END AS w FROM (SELECT unnest(range(0, 100)) AS x, {DIGIT_SQL} AS d)),
+w999 AS (SELECT h * 100 + x AS n, trim(CASE WHEN h = 0 THEN '' WHEN h = 1 THEN 'seratus ' ELSE d[h + 1] || ' ratus ' END || w) AS w FROM w99, (SELECT unnest(range(0, 10)) AS h, {DIGIT_SQL} AS d))"""
+
+
+@query("numbers_in_malay", f"""
+WITH {MALAY}, t AS (SELECT p_partkey, p_partkey * 7919 AS n FROM part),
+s AS (SELECT p_partkey, n // 1000000 AS m, a.w AS wm, CASE WHEN b.n = 0 THEN '' WHEN b.n = 1 THEN ' seribu' ELSE ' ' || b.w || ' ribu' END || ' ' || c.w AS rest
+      FROM t JOIN w999 a ON a.n = t.n // 1000000 JOIN w999 b ON b.n = t.n // 1000 % 1000 JOIN w999 c ON c.n = t.n % 1000)
+SELECT p_partkey, trim(CASE WHEN m = 0 THEN '' ELSE wm || ' juta' END || rest) AS digit, trim(CASE WHEN m = 0 THEN '' WHEN m = 1 THEN 'sejuta' ELSE wm || ' juta' END || rest) AS prefixed FROM s""")
 def numbers_in_malay(spark, d):
     return table(spark, d, "part").select("p_partkey", X.number_in_malay(F.col("p_partkey") * 7919).alias("digit"), X.number_in_malay_prefixed(F.col("p_partkey") * 7919).alias("prefixed"))
 

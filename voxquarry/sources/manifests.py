@@ -93,3 +93,8 @@ def read_matrix(spark: SparkSession, path: str) -> DataFrame:
     t = spark.read.option("header", True).option("sep", "\t").csv(path)
     first, rest = t.columns[0], t.columns[1:]
     return t.select(F.col(first).alias("row"), F.explode(F.map_from_arrays(F.array(*map(F.lit, rest)), F.array(*[F.col(c).try_cast("double") for c in rest]))).alias("column", "value"))
+
+
+def write_matrix(table: DataFrame, path: str) -> None:
+    """Tab-separated with a header: the first column names the rows."""
+    table.write.option("header", True).option("sep", "\t").csv(path)
