@@ -329,9 +329,10 @@ w999 AS (SELECT h * 100 + x AS n, trim(CASE WHEN h = 0 THEN '' WHEN h = 1 THEN '
 
 @query("numbers_in_malay", f"""
 WITH {MALAY}, t AS (SELECT p_partkey, p_partkey * 7919 AS n FROM part),
-s AS (SELECT p_partkey, n // 1000000 AS m, a.w AS wm, CASE WHEN b.n = 0 THEN '' WHEN b.n = 1 THEN ' seribu' ELSE ' ' || b.w || ' ribu' END || ' ' || c.w AS rest
+s AS (SELECT p_partkey, t.n // 1000000 AS m, a.w AS wm, CASE WHEN b.n = 0 THEN '' WHEN b.n = 1 THEN ' seribu' ELSE ' ' || b.w || ' ribu' END || ' ' || c.w AS rest
       FROM t JOIN w999 a ON a.n = t.n // 1000000 JOIN w999 b ON b.n = t.n // 1000 % 1000 JOIN w999 c ON c.n = t.n % 1000)
-SELECT p_partkey, trim(CASE WHEN m = 0 THEN '' ELSE wm || ' juta' END || rest) AS digit, trim(CASE WHEN m = 0 THEN '' WHEN m = 1 THEN 'sejuta' ELSE wm || ' juta' END || rest) AS prefixed FROM s""")
+SELECT p_partkey, coalesce(nullif(trim(CASE WHEN m = 0 THEN '' ELSE wm || ' juta' END || rest), ''), '{X.DIGITS[0]}') AS digit,
+       coalesce(nullif(trim(CASE WHEN m = 0 THEN '' WHEN m = 1 THEN 'sejuta' ELSE wm || ' juta' END || rest), ''), '{X.DIGITS[0]}') AS prefixed FROM s""")
 def numbers_in_malay(spark, d):
     return table(spark, d, "part").select("p_partkey", X.number_in_malay(F.col("p_partkey") * 7919).alias("digit"), X.number_in_malay_prefixed(F.col("p_partkey") * 7919).alias("prefixed"))
 

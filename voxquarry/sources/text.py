@@ -16,8 +16,8 @@ def read_lines(spark: SparkSession, path: str, glob: str = "*", recursive: bool
 
 def read_whole(spark: SparkSession, path: str, glob: str = "*") -> DataFrame:
     """(path, value): each file as one text, stripped."""
-    t = spark.read.option("wholetext", True).option("pathGlobFilter", glob).option("recursiveFileLookup", True).text(path)
-    return t.select(F.input_file_name().alias("path"), F.trim(strip_bom(F.col("value"))).alias("value"))
+    t = spark.read.option("pathGlobFilter", glob).option("recursiveFileLookup", True).text(path, wholetext=True)
+    return t.select(F.input_file_name().alias("path"), F.btrim(strip_bom(F.col("value")), F.lit(" \t\r\n")).alias("value"))
 
 
 def read_json_blocks(spark: SparkSession, path: str, schema: str) -> DataFrame:
