@@ -358,7 +358,7 @@ def test_recall_of_passages(spark, prose):
 def test_recall_of_similar_lines(spark, prose):
     """Links of lines against brute force over all pairs: no wrong one, 0.9 of the right ones; components as of all links."""
     rng, rows = random.Random(4), []
-    for g in range(60):
+    for g in range(140):
         base = prose(rng.randrange(12, 90), 700 + g)
         for _ in range(5):
             w = list(base)

@@ -16,12 +16,17 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
-def discard(*steps: DataFrame) -> None:
-    """Delete materialised steps that no later plan reads: all that was made of them is materialised itself."""
+def delete(*steps: DataFrame) -> None:
+    """Delete the files of materialised steps."""
     for df in steps:
         spark = df.sparkSession
         path = spark._jvm.org.apache.hadoop.fs.Path(df._voxquarry_path)
         path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(path, True)
+
+
+def discard(*steps: DataFrame) -> None:
+    """Delete materialised steps that no later plan reads: all that was made of them is materialised itself."""
+    delete(*steps)
     release(steps[0].sparkSession)
 
 

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from voxquarry.llm.common import discard, materialise
+from voxquarry.llm.common import delete, discard, materialise
 
 
 def _print(edges: DataFrame) -> tuple:
@@ -33,7 +33,7 @@ def connected_components(links: DataFrame, a: str = "a", b: str = "b", most: int
         least = large.groupBy("u").agg(F.min("v").alias("m"))
         small = large.join(least, "u").select(F.explode(F.array(F.struct(F.col("v").alias("u"), F.col("m").alias("v")), F.struct("u", F.col("m").alias("v")))).alias("e")).select("e.*")
         old, edges = edges, materialise(small.where(F.col("u") != F.col("v")).distinct(), "components")
-        discard(old, large)
+        delete(old, large)
         now = _print(edges)
         if now == seen:
             break

@@ -12,6 +12,7 @@ its smallest document are removals. Documents with equal words are one class: on
 from __future__ import annotations
 
 from collections.abc import Iterator
+from functools import reduce
 
 import numpy as np
 import pyarrow as pa
@@ -19,7 +20,7 @@ import pyarrow.compute as pc
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from voxquarry.llm import arrays, membership
+from voxquarry.llm import arrays, membership, sketch
 from voxquarry.llm.common import discard, materialise, release, small, table
 from voxquarry.llm.components import connected_components
 
@@ -30,6 +31,8 @@ PIECE, REACH, LINE_WORDS = 20, 21, 10
 BANDS, MINIMA = 4, 2
 #: Words of the shortest run that counts.
 MIN_WORDS = 20
+#: Rounds in which lines of open bands meet few others, at most, and lines that meet at once in the later ones.
+ROUNDS, HAND = 3, 12
 #: Words of documents whose runs are found at once.
 RUN_WORDS = 1 << 20
 #: Places of one cluster that meet in a task; a cluster with more is dealt over as many tasks.
@@ -208,13 +211,42 @@ def _open(fronts: DataFrame) -> DataFrame:
     return fronts.join(some, "tok", "left_semi")
 
 
+def _counts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Per task the table of n-gram counts."""
+    counts = np.zeros(1 << sketch.BITS, np.int64)
+    for batch in batches:
+        np.add.at(counts, sketch.cell(batch.column(0).flatten().to_numpy().view(np.uint64)), 1)
+    for part, blob in sketch.rows(counts):
+        yield pa.RecordBatch.from_pydict({"part": pa.array([part], pa.int64()), "blob": pa.array([blob], pa.binary())})
+
+
+def _fronts(percent: int, order):
+    """(line, component, n-grams, position, n-gram) of the first n - ceil(percent * n / 100) + 1 n-grams of each set in the order (level, hash)."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        level = order.value
+        for batch in batches:
+            n = pc.list_value_length(batch.column(2)).to_numpy().astype(np.int64)
+            h, r = batch.column(2).flatten().to_numpy().view(np.uint64), np.repeat(np.arange(len(n)), n)
+            by = np.lexsort((h, level[sketch.cell(h)], r))
+            pos = np.arange(len(h)) - np.repeat(np.cumsum(n) - n, n)
+            front = pos < (n - (percent * n + 99) // 100 + 1)[r]
+            line = pa.array(r[front])
+            columns = [batch.column(0).take(line), batch.column(1).take(line), pa.array(n[r[front]].astype(np.int32)), pa.array(pos[front].astype(np.int32)), arrays.i64(h[by][front])]
+            yield pa.RecordBatch.from_arrays(columns, ["h", "comp", "n", "pos", "tok"])
+
+    return run
+
+
 def _across(members: DataFrame, near: DataFrame, grams: DataFrame, percent: int) -> tuple[DataFrame, list[DataFrame]]:
     """The links of lines in `members` (band, h, h2) that share a band and that `near` leaves in different components, and the steps they are read from.
 
     A band of a frequent passage can hold many lines, so its pairs are not formed: two sets of n and more n-grams that
     are similar enough share one of the first n - ceil(percent * n / 100) + 1 in a common order, here rare ones first.
-    Lines that share such an n-gram meet its most central line first, the one with fewest rarer n-grams; only lines that
-    are still in different components meet each other, each pair at the first n-gram that it shares.
+    Lines that share such an n-gram meet its most central line first, the one with fewest rarer n-grams. Then,
+    in ROUNDS rounds at most, those of each n-gram are dealt into hands of HAND lines that meet each other: their links join
+    most of a group of variants at a cost in proportion to its size. Only lines that are still in different components
+    after that all meet each other, each pair at the first n-gram that it shares.
     """
     comp = connected_components(near, "a", "b")
     held = members.withColumn("id", _id()).join(comp, F.col("id") == F.col("node"), "left").select("band", "h", "h2", F.xxhash64(F.coalesce("component", "id")).alias("comp"))
@@ -223,33 +255,48 @@ def _across(members: DataFrame, near: DataFrame, grams: DataFrame, percent: int)
     held_open = held.join(open_, "band", "left_semi").select("h", "h2", "comp").distinct()
     sets = materialise(held_open.join(grams, ["h", "h2"]), "passages-open")
     discard(comp, held)
-    each = sets.select("h", "h2", "comp", F.size("grams").alias("n"), F.explode("grams").alias("tok"))
-    count = each.groupBy("tok").agg(F.count(F.lit(1)).alias("c"), F.min("comp").alias("lo"), F.max("comp").alias("hi"))
-    # n-grams of one component keep their places in the order, but propose nothing
-    each = each.join(count.select("tok", "c", (F.col("lo") != F.col("hi")).alias("open")), "tok")
-    fronts = each.groupBy("h", "h2", "comp", "n").agg(F.sort_array(F.collect_list(F.struct("c", "tok", "open"))).alias("l"))
-    fronts = fronts.select("h", "comp", "n", F.posexplode(F.slice("l", F.lit(1), F.col("n") - F.ceil(percent * F.col("n") / 100).cast("int") + 1)).alias("pos", "x"))
-    fronts = materialise(fronts.where("x.open").select("h", "comp", "n", "pos", F.col("x.tok").alias("tok")), "passages-fronts")
+    counts = sets.select("grams").mapInArrow(_counts, sketch.SCHEMA)
+    order = sets.sparkSession.sparkContext.broadcast(sketch.levels(counts))  # of fixed size
+    fronts = sets.select("h", "comp", "grams").mapInArrow(_fronts(percent, order), "h long, comp long, n int, pos int, tok long")
+    fronts = materialise(_open(fronts), "passages-fronts")
+    order.unpersist()
     release(fronts.sparkSession)
 
-    # ties of the most central line go by one of four random orders
-    lead = fronts.groupBy("tok").agg(F.min(F.struct("pos", F.xxhash64("h", F.pmod("tok", F.lit(4))).alias("o"), "h", "n", "comp")).alias("l"))
-    lead = lead.select("tok", *[F.col(f"l.{c}").alias(c + "y") for c in ("h", "n", "pos", "comp")])
-    star = fronts.select("tok", *[F.col(c).alias(c + "x") for c in ("h", "n", "pos", "comp")]).join(lead, "tok").where((F.col("compx") != F.col("compy")) & _may("x", "y", percent))
-    star = materialise(star.select(F.col("hx").alias("h"), F.col("hy").alias("lead"), "compx", "compy").distinct(), "passages-star")
-    first = materialise(_verified(star, sets, percent, "compx", "compy"), "passages-first")
-    merged = connected_components(first, "compx", "compy")
-    rest = _open(fronts.join(merged, F.col("comp") == F.col("node"), "left").withColumn("comp", F.coalesce("component", "comp")).drop("node", "component"))
-    rest = rest.withColumn("prev", F.lag("tok").over(Window.partitionBy("h").orderBy("pos")))
-    rest = materialise(rest, "passages-left")
+    rest, found, steps, star = fronts, [], [sets, fronts], None
+    side = lambda t, x: t.select("tok", *[F.col(c).alias(c + x) for c in ("h", "n", "pos", "comp")])
+    for n in range(ROUNDS):
+        if n == 0:  # the most central line leads; ties go by the n-gram
+            lead = rest.groupBy("tok").agg(F.min_by(F.struct("h", "n", "pos", "comp"), F.struct("pos", F.xxhash64("h", "tok"))).alias("l")).select("tok", "l.*")
+            met = side(rest, "x").join(side(lead, "y"), "tok")
+        else:  # small hands of lines, dealt anew for each n-gram and round
+            dealt = rest.join(rest.groupBy("tok").agg(F.ceil(F.count(F.lit(1)) / HAND).alias("hands")), "tok")
+            dealt = dealt.withColumn("tok", F.struct("tok", F.pmod(F.xxhash64("h", "tok", F.lit(n)), "hands").alias("hand")))
+            met = side(dealt, "x").join(side(dealt, "y"), "tok").where("hx < hy")
+        met = met.where((F.col("compx") != F.col("compy")) & _may("x", "y", percent))
+        met = materialise(met.select(F.col("hx").alias("h"), F.col("hy").alias("lead"), "compx", "compy").distinct(), "passages-star")
+        links = materialise(_verified(met, sets, percent, "compx", "compy"), "passages-first")
+        merged = connected_components(links, "compx", "compy")
+        rest = rest.join(merged, F.col("comp") == F.col("node"), "left").withColumn("comp", F.coalesce("component", "comp")).drop("node", "component")
+        rest = materialise(_open(rest), "passages-left")
+        release(rest.sparkSession)
+        star = met if star is None else star.unionByName(met)
+        found.append(links)
+        steps += [met, links, merged, rest]
+        # partners in other components that a line still has at an n-gram, on average; few are compared at once
+        m = rest.groupBy("tok", "comp").agg(F.count(F.lit(1)).alias("c")).groupBy("tok").agg(F.sum("c").alias("m"), F.sum(F.col("c") * F.col("c")).alias("own"))
+        m = m.agg(F.sum(F.col("m") * F.col("m") - F.col("own")), F.sum("m")).first()
+        if (m[0] or 0) <= HAND * (m[1] or 0):
+            break
+    rest = materialise(rest.withColumn("prev", F.lag("tok").over(Window.partitionBy("h").orderBy("pos"))), "passages-left")
     x, y = (rest.select("tok", *[F.col(c).alias(c + side) for c in ("h", "n", "pos", "comp", "prev")]) for side in "xy")
     once = F.col("prevx").isNull() | F.col("prevy").isNull() | (F.col("prevx") != F.col("prevy"))
     pairs = x.join(y, "tok").where((F.col("hx") < F.col("hy")) & (F.col("compx") != F.col("compy")) & once & _may("x", "y", percent))
     seen = star.select(F.least("h", "lead").alias("h"), F.greatest("h", "lead").alias("lead"))
     pairs = pairs.select(F.col("hx").alias("h"), F.col("hy").alias("lead")).distinct().join(seen, ["h", "lead"], "left_anti")
     pairs = materialise(pairs, "passages-rest")
-    second = materialise(_verified(pairs, sets, percent), "passages-across")
-    return first.select("a", "b").unionByName(second), [sets, fronts, star, first, merged, rest, pairs, second]
+    found.append(materialise(_verified(pairs, sets, percent), "passages-across"))
+    links = reduce(DataFrame.unionByName, [f.select("a", "b") for f in found])
+    return links, [*steps, rest, pairs, found[-1]]
 
 
 def line_links(kinds: DataFrame, texts: DataFrame, k: int = SHINGLE, percent: int = PERCENT, line_words: int = LINE_WORDS) -> DataFrame:
