@@ -30,7 +30,7 @@ def bitmap(keys: DataFrame, key: str) -> np.ndarray:
     cells = keys.select(F.shiftright(cell, PART_BITS).alias("part"), cell.bitwiseAND((1 << PART_BITS) - 1).alias("bit")).distinct()
     out = np.zeros(1 << (BITS - 3), np.uint8)
     size = 1 << (PART_BITS - 3)
-    for x in cells.repartition("part").mapInArrow(_build, "part long, bits binary").toLocalIterator():
+    for x in cells.repartition("part").mapInArrow(_build, "part long, bits binary").coalesce(8).toLocalIterator():
         out[x["part"] * size : (x["part"] + 1) * size] = np.frombuffer(x["bits"], np.uint8)
     return out
 

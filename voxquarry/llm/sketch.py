@@ -41,7 +41,7 @@ def levels(parts: DataFrame) -> np.ndarray:
     """Four times the base-2 logarithm of each cell's count, as bytes: 4 MB at the driver, whatever the input."""
     half = parts.withColumn("g", F.pmod(F.spark_partition_id(), F.lit(16))).repartition("part", "g").drop("g")
     out = np.zeros(1 << BITS, np.uint8)
-    for x in half.mapInArrow(_merge, SCHEMA).repartition("part").mapInArrow(_merge, SCHEMA).toLocalIterator():
+    for x in half.mapInArrow(_merge, SCHEMA).repartition("part").mapInArrow(_merge, SCHEMA).coalesce(8).toLocalIterator():
         c = np.frombuffer(zlib.decompress(x["blob"]), np.int64)
         out[x["part"] << PART_BITS : (x["part"] + 1) << PART_BITS] = np.minimum(255, np.round(4 * np.log2(1 + c)))
     return out
