@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from voxquarry.llm import collision_search, compression_quality, decontaminate, language_id, line_dedup, mixing, ngram_join, pseudonyms, substring_dedup, warc
+from voxquarry.llm import byte_bpe, collision_search, compression_quality, decontaminate, language_id, line_dedup, mixing, ngram_join, pseudonyms, substring_dedup, warc, whitening
 
 QUERIES = {
     "op1_warc": warc.op1_warc,
@@ -15,6 +15,8 @@ QUERIES = {
     "op8_mixing": mixing.op8_mixing,
     "op9_pseudonyms": pseudonyms.op9_pseudonyms,
     "op10_ngram_join": ngram_join.op10_ngram_join,
+    "op11_byte_bpe": byte_bpe.op11_byte_bpe,
+    "op12_whitening": whitening.op12_whitening,
 }
 ORACLES = {
     "op1_warc": warc.OP1_SQL,
