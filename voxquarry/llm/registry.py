@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from voxquarry.llm import byte_bpe, collision_search, compression_quality, decontaminate, language_id, line_dedup, mixing, ngram_join, pseudonyms, substring_dedup, warc, whitening
+from voxquarry.llm import byte_bpe, collision_search, compression_quality, decontaminate, language_id, line_dedup, mixing, ngram_join, pseudonyms, substring_dedup, token_links, warc, whitening
 
 QUERIES = {
     "op1_warc": warc.op1_warc,
@@ -17,6 +17,7 @@ QUERIES = {
     "op10_ngram_join": ngram_join.op10_ngram_join,
     "op11_byte_bpe": byte_bpe.op11_byte_bpe,
     "op12_whitening": whitening.op12_whitening,
+    "op13_token_links": token_links.op13_token_links,
 }
 ORACLES = {
     "op1_warc": warc.OP1_SQL,

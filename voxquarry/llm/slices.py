@@ -39,7 +39,8 @@ def parts(buf: np.ndarray, most: int = arrays.CHUNK_BYTES) -> Iterator[tuple[int
             look += most - 4
         yield begin, end
         begin = end
-    yield begin, len(buf)
+    if begin < len(buf):
+        yield begin, len(buf)
 
 
 def distinct(buf: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> tuple[list[bytes], np.ndarray]:
