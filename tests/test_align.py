@@ -1,5 +1,8 @@
 import random
+import tracemalloc
 
+import numpy as np
+from helpers import DATA
 from hypothesis import given, settings
 from hypothesis import strategies as st
 from pyspark.sql import functions as F
@@ -83,7 +86,109 @@ def test_allowed_insertions_and_deletions_count_nothing(spark):
 
 def test_runaway_and_null_are_not_aligned(spark):
     df = spark.createDataFrame([(["a"], ["b"] * 9), (None, ["a"]), (["a"], ["a"])], "ref array<string>, hyp array<string>")
-    assert [x[0] is None for x in df.select(A.aligned(F.col("ref"), F.col("hyp"), max_words=8)).collect()] == [True, True, False]
+    assert [(x["status"], x["pairs"] is None) for x in A.guarded(df, "ref", "hyp", max_words=8).collect()] == [("runaway", True), ("scored", True), ("scored", False)]
+    assert [x[0] is None for x in df.select(A.aligned(F.col("ref"), F.col("hyp"))).collect()] == [False, True, False]
+
+
+def changed(rng, n, words, rate):
+    """A sequence, and the same with words lost, changed and put in."""
+    ref = [str(rng.randrange(words)) for _ in range(n)]
+    hyp = []
+    for w in ref:
+        x = rng.random() / rate
+        hyp += [] if x < 1 / 3 else [str(rng.randrange(words))] if x < 2 / 3 else [w, "x"] if x < 1 else [w]
+    return ref, hyp
+
+
+def matrix(ref, hyp, scores):
+    """Steps by the full matrix, ties pair, deletion, insertion."""
+    match, sub, gap = scores
+    r, h = A._numbers(ref, hyp)
+    rows = [gap * np.arange(len(h) + 1)]
+    for x in r:
+        row = [rows[-1][0] + gap]
+        for j in range(len(h)):
+            row.append(max(rows[-1][j] + (match if h[j] == x else sub), rows[-1][j + 1] + gap, row[-1] + gap))
+        rows.append(np.array(row))
+    out, i, j = [], len(r), len(h)
+    while i or j:
+        if i and j and rows[i][j] == rows[i - 1][j - 1] + (match if r[i - 1] == h[j - 1] else sub):
+            out, i, j = [0, *out], i - 1, j - 1
+        elif i and rows[i][j] == rows[i - 1][j] + gap:
+            out, i = [1, *out], i - 1
+        else:
+            out, j = [2, *out], j - 1
+    return int(rows[-1][-1]), out
+
+
+def test_bands_give_the_path_of_the_full_matrix(monkeypatch):
+    rng = random.Random(5)
+    monkeypatch.setattr(A, "CELLS", 0)
+    for scores in (A.SCORE, A.EDIT):
+        for _ in range(120):
+            ref, hyp = changed(rng, rng.randrange(70), rng.choice([2, 6, 60]), rng.choice([0.05, 0.3, 0.95]))
+            hyp = hyp[: rng.randrange(4)] if rng.random() < 0.1 else hyp
+            for width in (0, 1, 3, 9, 80):  # a band that says it is certain has the best path
+                band = A.Band(*A._numbers(ref, hyp), scores, width)
+                if band.certain():
+                    assert (band.score, band.path().tolist()) == matrix(ref, hyp, scores)
+            assert A.best_band(*A._numbers(ref, hyp), scores).path().tolist() == matrix(ref, hyp, scores)[1]
+
+
+def test_long_pairs_are_aligned_in_little_memory():
+    rng = random.Random(6)
+    ref, hyp = changed(rng, 12_000, 4000, 0.2)
+    r, h = A._numbers(ref, hyp)
+    tracemalloc.start()
+    band = A.best_band(r, h, A.SCORE)
+    steps = band.path()
+    most = tracemalloc.get_traced_memory()[1]
+    tracemalloc.stop()
+    assert most < 30e6  # the matrix has 144 million cells
+    at = np.cumsum([steps != 2, steps != 1], axis=1)
+    pair = steps == 0
+    same = r[at[0][pair] - 1] == h[at[1][pair] - 1]
+    assert band.score == 8 * same.sum() - 4 * (~same).sum() - 3 * (~pair).sum()
+    row = -3 * np.arange(len(h) + 1)  # the score of the full matrix, row by row
+    for x in r:
+        best = np.maximum(row[:-1] + np.where(h == x, 8, -4), row[1:] - 3)
+        row = np.maximum.accumulate(np.append(row[0] - 3, best) + 3 * np.arange(len(h) + 1)) - 3 * np.arange(len(h) + 1)
+    assert band.score == row[-1]
+
+
+def test_anchored_parts_join_to_the_whole(spark):
+    rng = random.Random(7)
+    data = [(1, *changed(rng, 900, 300, 0.1)), (2, ["a"] * 50, ["a"] * 40), (3, [], ["b"]), (4, None, ["b"]), (5, *changed(rng, 400, 300, 0.1))]
+    data.append((6, data[0][1], data[0][1][450:] + data[0][1][:450]))  # halves swapped: only one can be the chain
+    df = spark.createDataFrame(data, "k int, ref array<string>, hyp array<string>")
+    parts = {}
+    for x in A.anchored(df, ["k"], "ref", "hyp", least=100).orderBy("k", "part").collect():
+        parts.setdefault(x["k"], []).append((x["part"], x["ref"], x["hyp"]))
+    score = lambda a, b: matrix(a, b, A.SCORE)[0]
+    for k, ref, hyp in data:
+        assert [p for p, _, _ in parts[k]] == [*range(len(parts[k]))]
+        if ref is None:
+            assert parts[k] == [(0, None, hyp)]
+            continue
+        assert [w for _, r, _ in parts[k] for w in r] == ref and [w for _, _, h in parts[k] for w in h] == hyp
+        if k in (1, 5):
+            assert len(parts[k]) > 2 and sum(score(r, h) for _, r, h in parts[k]) == A.best_band(*A._numbers(ref, hyp), A.SCORE).score
+    assert len(parts[6]) > 2 and len(parts[2]) == 1
+
+
+def test_anchored_rates_of_documents_equal_whole_alignments(spark):
+    from voxquarry.plans.alignment import anchored_error_rates, recordings
+
+    got = {x["doc_id"]: (x["m"], x["s"], x["i"], x["d"]) for x in anchored_error_rates(spark, DATA).collect()}
+    same = 0
+    for x in recordings(spark, DATA).where("size(ref) > 0").collect():
+        pairs = A.align_pairs(x["ref"], x["hyp"])
+        m, s, i, d = got[x["doc_id"]]
+        assert m + s + d == len(x["ref"]) and m + s + i == len(x["hyp"])
+        whole = (sum(r == h for r, h in pairs), sum(None not in (r, h) and r != h for r, h in pairs), sum(r is None for r, _ in pairs), sum(h is None for _, h in pairs))
+        assert 8 * m - 4 * s - 3 * (i + d) <= 8 * whole[0] - 4 * whole[1] - 3 * (whole[2] + whole[3])
+        same += (m, s, i, d) == whole
+    assert same >= 0.95 * len(got)
 
 
 def test_attribution_sums_to_totals(spark):

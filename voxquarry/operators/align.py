@@ -6,84 +6,144 @@ allow-lists, counts and reports are DataFrame operations over the exploded pairs
 
 from __future__ import annotations
 
+import bisect
+
 import numpy as np
 import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-MATCH, SUBSTITUTION, GAP = 2.0, -1.0, -0.75
-#: Hypotheses beyond this are labelled `runaway` and not aligned: they cost quadratic work and say nothing.
+#: Four times the scores of the global alignment (match +2, substitution -1, gap -0.75), and the costs of minimum edits as scores.
+SCORE, EDIT = (8, -4, -3), (0, -1, -1)
+#: Hypotheses beyond this are labelled `runaway` by `guarded`: they say nothing.
 MAX_WORDS = 5000
+#: Cells up to which a pair is aligned without a band.
+CELLS = 1 << 20
 PAIRS = T.ArrayType(T.StructType([T.StructField("ref", T.StringType()), T.StructField("hyp", T.StringType())]))
+_FAR = -(1 << 30)
+
+
+def _numbers(ref: list, hyp: list) -> tuple[np.ndarray, np.ndarray]:
+    ids: dict = {}
+    return np.array([ids.setdefault(w, len(ids)) for w in ref], np.int32), np.array([ids.setdefault(w, len(ids)) for w in hyp], np.int32)
 
 
-def align_pairs(ref: list[str], hyp: list[str], legacy_column0: bool = False) -> list[tuple[str | None, str | None]]:
-    """Best-scoring global alignment: match +2, substitution -1, gap -0.75; ties prefer a pair, then a deletion.
+class Band:
+    """Rows of scores of the best alignments of two sequences of numbers, within `width` diagonals of both corners.
+
+    Rows are scored at once: the insertion recurrence is a running maximum of score - gap * column. Every `every`-th row is
+    kept, and the choices of the rows between are made again when the way back comes through them, so that memory grows
+    with the square root of the matrix.
+    """
 
-    Rows are scored at once: the insertion recurrence is a running maximum of score + 0.75 * column. All scores are
-    multiples of a quarter, so comparisons are exact. `legacy_column0` stops the traceback at column 0, which drops
-    leading reference words.
+    def __init__(self, r: np.ndarray, h: np.ndarray, scores: tuple[int, int, int], width: int):
+        self.r, self.h, (self.match, self.sub, self.gap) = r, h, scores
+        self.n, self.m = len(r), len(h)
+        self.width, self.skew = width, self.m - self.n
+        self.every = max(1, int(np.sqrt(self.n)))
+        self.ramp = -self.gap * np.arange(self.m + 1, dtype=np.int32)
+        self.kept: list[tuple[int, np.ndarray]] = []
+        row = self._forward(0, self.n, self._first(), lambda i, row: i % self.every or self.kept.append((self._window(i)[0], row[slice(*self._window(i))].copy())))
+        self.score = int(row[self.m])
+
+    def _window(self, i: int) -> tuple[int, int]:
+        """First column of a row, and the one behind its last."""
+        return max(0, i + min(0, self.skew) - self.width), min(self.m, i + max(0, self.skew) + self.width) + 1
+
+    def _first(self) -> np.ndarray:
+        row = np.full(self.m + 2, _FAR, np.int32)
+        end = self._window(0)[1]
+        row[:end] = -self.ramp[:end]
+        return row
+
+    def _forward(self, begin: int, end: int, row: np.ndarray, seen, last: int | None = None) -> np.ndarray:
+        """Rows begin to end - 1 in turn; seen(i, row i) before each step; columns behind `last` are left out."""
+        h, cost = self.h, np.int32(self.match - self.sub)
+        for i in range(begin, end):
+            seen(i, row)
+            lo, hi = self._window(i + 1)
+            hi = hi if last is None else min(hi, last + 1)
+            best = row[lo:hi] + np.int32(self.gap)
+            one = max(lo, 1)
+            np.maximum(best[one - lo :], row[one - 1 : hi - 1] + (h[one - 1 : hi - 1] == self.r[i]) * cost + np.int32(self.sub), out=best[one - lo :])
+            best += self.ramp[lo:hi]
+            np.maximum.accumulate(best, out=best)
+            row[lo:hi] = best - self.ramp[lo:hi]
+            if lo:
+                row[lo - 1] = _FAR
+        return row
+
+    def certain(self) -> bool:
+        """Whether no best alignment leaves the band: one that does has width + 1 pairs less and twice as many gaps more."""
+        out = self.width + 1
+        return out > min(self.n, self.m) or self.score > self.match * (min(self.n, self.m) - out) + self.gap * (abs(self.skew) + 2 * out)
+
+    def path(self) -> np.ndarray:
+        """Steps of the best alignment in order: 0 pair, 1 deletion, 2 insertion; ties prefer them in that order from the end."""
+        out = np.zeros(self.n + self.m, np.uint8)
+        k, i, j = len(out), self.n, self.m
+        while i:
+            begin = (i - 1) // self.every * self.every
+            lo, kept = self.kept[begin // self.every]
+            row = np.full(self.m + 2, _FAR, np.int32)
+            row[lo : lo + len(kept)] = kept
+            rows: list[tuple[int, np.ndarray]] = []
+            low = max(0, self._window(begin)[0] - 1)
+            row = self._forward(begin, i, row, lambda _, x, low=low, j=j, rows=rows: rows.append(x[low : j + 1].copy()), j)
+            rows.append(row[low : j + 1])
+            while i > begin:
+                here, above = rows[i - begin], rows[i - begin - 1]
+                v = here[j - low]
+                k -= 1
+                if j and v == above[j - 1 - low] + (self.match if self.h[j - 1] == self.r[i - 1] else self.sub):
+                    i, j = i - 1, j - 1
+                elif v == above[j - low] + self.gap:
+                    out[k] = 1
+                    i -= 1
+                else:
+                    out[k] = 2
+                    j -= 1
+        k -= j
+        out[k : k + j] = 2
+        return out[k:]
+
+
+def best_band(r: np.ndarray, h: np.ndarray, scores: tuple[int, int, int]) -> Band:
+    """The narrowest of doubling bands that certainly holds every best alignment; small pairs are done in one."""
+    most = max(len(r), len(h))
+    width = most if len(r) * len(h) <= CELLS else max(64, most // 64)
+    while True:
+        band = Band(r, h, scores, min(width, most))
+        if width >= most or band.certain():
+            return band
+        width *= 2
+
+
+def align_pairs(ref: list[str], hyp: list[str], legacy_column0: bool = False, scores: tuple[int, int, int] = SCORE) -> list[tuple[str | None, str | None]]:
+    """Best-scoring global alignment; ties prefer a pair, then a deletion, then an insertion, from the end.
+
+    `legacy_column0` stops the way back at column 0, which drops leading reference words.
     """
-    n, m = len(ref), len(hyp)
-    ids: dict[str, int] = {}
-    r = np.array([ids.setdefault(w, len(ids)) for w in ref], np.int64)
-    h = np.array([ids.setdefault(w, len(ids)) for w in hyp], np.int64)
-    ops = np.zeros((n + 1, m + 1), np.uint8)  # 1 pair, 2 insertion, 3 deletion
-    ops[0, 1:] = 2
-    if not legacy_column0:
-        ops[1:, 0] = 3
-    ramp = -GAP * np.arange(m + 1)
-    score = GAP * np.arange(m + 1)
-    for i in range(n):
-        pair = score[:-1] + np.where(h == r[i], MATCH, SUBSTITUTION)
-        gone = score[1:] + GAP
-        best = np.maximum(pair, gone)
-        row = np.maximum.accumulate(np.append(score[0] + GAP, best) + ramp) - ramp
-        row[0] = score[0] + GAP
-        ops[i + 1, 1:] = np.where(row[1:] > best, 2, np.where(gone > pair, 3, 1))
-        score = row
     out: list[tuple[str | None, str | None]] = []
-    i, j = n, m
-    while i or j:
-        op = ops[i, j]
-        if op == 1:
-            i, j = i - 1, j - 1
-            out.append((ref[i], hyp[j]))
-        elif op == 2:
-            j -= 1
+    i = j = 0
+    for step in best_band(*_numbers(ref, hyp), scores).path().tolist():
+        if step == 1:
+            if j or not legacy_column0:
+                out.append((ref[i], None))
+            i += 1
+        elif step == 2:
             out.append((None, hyp[j]))
-        elif op == 3:
-            i -= 1
-            out.append((ref[i], None))
+            j += 1
         else:
-            break
-    return out[::-1]
+            out.append((ref[i], hyp[j]))
+            i, j = i + 1, j + 1
+    return out
 
 
 def edit_pairs(ref: list[str], hyp: list[str]) -> list[tuple[str | None, str | None]]:
-    """Minimum-edit alignment with unit costs; ties prefer a substitution, then a deletion, then an insertion."""
-    n, m = len(ref), len(hyp)
-    cost = np.zeros((n + 1, m + 1), np.int32)
-    cost[:, 0], cost[0] = np.arange(n + 1), np.arange(m + 1)
-    h = np.array(hyp, object)
-    ramp = np.arange(m + 1)
-    for i in range(1, n + 1):
-        best = np.minimum(cost[i - 1, :-1] + (h != ref[i - 1]), cost[i - 1, 1:] + 1) if m else np.zeros(0, int)
-        cost[i] = np.minimum.accumulate(np.append(i, best) - ramp) + ramp
-    out: list[tuple[str | None, str | None]] = []
-    i, j = n, m
-    while i or j:
-        if i and j and cost[i, j] == cost[i - 1, j - 1] + (ref[i - 1] != hyp[j - 1]):
-            i, j = i - 1, j - 1
-            out.append((ref[i], hyp[j]))
-        elif i and cost[i, j] == cost[i - 1, j] + 1:
-            i -= 1
-            out.append((ref[i], None))
-        else:
-            j -= 1
-            out.append((None, hyp[j]))
-    return out[::-1]
+    """Minimum-edit alignment with unit costs; the same ties."""
+    return align_pairs(ref, hyp, scores=EDIT)
 
 
 def _udf(f):
@@ -102,16 +162,56 @@ def _udf(f):
 _score_udf, _legacy_udf, _edit_udf = _udf(align_pairs), _udf(lambda a, b: align_pairs(a, b, True)), _udf(edit_pairs)
 
 
-def aligned(ref: Column, hyp: Column, method: str = "score", max_words: int = MAX_WORDS) -> Column:
-    """Aligned pairs of two word arrays; null where either is null or the hypothesis has more than `max_words` words."""
-    udf = {"score": _score_udf, "legacy": _legacy_udf, "edit": _edit_udf}[method]
-    return udf(ref, F.when(F.size(hyp) <= max_words, hyp))
+def aligned(ref: Column, hyp: Column, method: str = "score") -> Column:
+    """Aligned pairs of two word arrays of any length; null where either is null."""
+    return {"score": _score_udf, "legacy": _legacy_udf, "edit": _edit_udf}[method](ref, hyp)
 
 
 def guarded(runs: DataFrame, ref: str, hyp: str, method: str = "score", max_words: int = MAX_WORDS) -> DataFrame:
     """Adds status (`runaway` where the hypothesis has more than `max_words` words, else `scored`) and pairs (null for the former)."""
     status = F.when(F.size(hyp) > max_words, "runaway").otherwise("scored")
-    return runs.withColumn("status", status).withColumn("pairs", aligned(F.col(ref), F.col(hyp), method, max_words))
+    return runs.withColumn("status", status).withColumn("pairs", aligned(F.col(ref), F.when(F.col("status") == "scored", F.col(hyp)), method))
+
+
+def _chain(anchors: pd.DataFrame) -> pd.DataFrame:
+    """A longest run of anchors in order that rises on both sides."""
+    anchors = anchors.sort_values("i", kind="stable")
+    j = anchors["j"].to_numpy()
+    ends, at, back = [], [], np.full(len(j), -1)
+    for k, x in enumerate(j.tolist()):
+        place = bisect.bisect_left(ends, x)
+        back[k] = at[place - 1] if place else -1
+        ends[place : place + 1], at[place : place + 1] = [x], [k]
+    keep, k = [], at[-1] if at else -1
+    while k >= 0:
+        keep.append(k)
+        k = back[k]
+    return anchors.iloc[keep[::-1]]
+
+
+def anchored(runs: DataFrame, keys: list[str], ref: str, hyp: str, width: int = 3, least: int = 200) -> DataFrame:
+    """Cuts long pairs into rows that can be aligned apart: (keys, part, ref, hyp), parts in order from 0.
+
+    Anchors are runs of `width` words that stand once in the reference and once in the hypothesis; those on a longest chain
+    that rises on both sides are cuts, `least` reference words apart at least. The alignment through the cuts scores at most what
+    the alignment of the whole does. Keys must be unique; a pair without anchors, or with a null side, is one part.
+    """
+    hashed = lambda c: F.transform(F.sequence(F.lit(0), F.size(c) - width), lambda k: F.xxhash64(F.slice(F.col(c), k + 1, width)))
+
+    def once(c: str, pos: str) -> DataFrame:
+        grams = runs.where(F.size(c) >= width).select(*keys, F.posexplode(hashed(c)).alias(pos, "g"))
+        return grams.groupBy(*keys, "g").agg(F.min(pos).alias(pos), F.count(F.lit(1)).alias("n")).where("n = 1").drop("n")
+
+    both = once(ref, "i").join(once(hyp, "j"), [*keys, "g"]).drop("g")
+    chain = both.groupBy(*keys).applyInPandas(_chain, both.schema)
+    cuts = chain.groupBy(*keys).agg(F.array_sort(F.collect_list(F.struct("i", "j"))).alias("cuts"))
+    start = F.struct(F.lit(0).alias("i"), F.lit(0).alias("j"))
+    apart = F.aggregate("cuts", F.array(start), lambda held, c: F.when(c["i"] - F.element_at(held, -1)["i"] >= least, F.concat(held, F.array(c))).otherwise(held))
+    t = runs.select(*keys, F.col(ref).alias("ref"), F.col(hyp).alias("hyp")).join(cuts, keys, "left").withColumn("cuts", F.coalesce(apart, F.array(start)))
+    t = t.select("*", F.posexplode("cuts").alias("part", "c"))
+    to = F.try_element_at("cuts", F.col("part") + 2)
+    side = lambda c, k: F.slice(c, F.col(f"c.{k}") + 1, F.coalesce(to[k], F.size(c)) - F.col(f"c.{k}"))
+    return t.select(*keys, "part", side("ref", "i").alias("ref"), side("hyp", "j").alias("hyp"))
 
 
 def explode_pairs(runs: DataFrame, keys: list[str], pairs: str = "pairs") -> DataFrame:
@@ -225,17 +325,8 @@ def cer(ref: Column, hyp: Column) -> Column:
 
 @F.pandas_udf(T.LongType())
 def word_distance(ref: pd.Series, hyp: pd.Series) -> pd.Series:
-    """Minimum word edits between two word arrays."""
-
-    def one(a, b):
-        row = np.arange(len(b) + 1)
-        b, ramp = np.array(list(b), object), np.arange(len(b) + 1)
-        for i, w in enumerate(a, 1):
-            best = np.minimum(row[:-1] + (b != w), row[1:] + 1)
-            row = np.minimum.accumulate(np.append(i, best) - ramp) + ramp
-        return int(row[-1])
-
-    return pd.Series([None if a is None or b is None else one(a, b) for a, b in zip(ref, hyp, strict=True)], dtype="Int64")
+    """Minimum word edits between two word arrays of any length."""
+    return pd.Series([None if a is None or b is None else -best_band(*_numbers(list(a), list(b)), EDIT).score for a, b in zip(ref, hyp, strict=True)], dtype="Int64")
 
 
 def best_path(paths: DataFrame, keys: list[str], ref: str, hyp: str, path: str = "path_id") -> DataFrame:

@@ -40,7 +40,7 @@ SELECT *, CASE WHEN precision + recall = 0 THEN 0 ELSE 2 * precision * recall /
 
 
 def score_pairs(spark, d, method="score"):
-    """(conv_id, turn, pos, ref, hyp) of the best alignments; runaway hypotheses are left to `runaway_guard`."""
+    """(conv_id, turn, pos, ref, hyp) of the best alignments, whatever the length of the turns."""
     runs = turn_pairs(spark, d).withColumn("pairs", A.aligned(F.col("ref"), F.col("hyp"), method))
     return A.explode_pairs(runs, KEYS)
 
@@ -133,12 +133,38 @@ def nbest_oracle(spark, d):
 
 
 @query("translation_bleu", f"""WITH {TURN_PAIRS},
-g AS (SELECT conv_id, turn, n, side, array_to_string(w[i:i + n - 1], ' ') AS g FROM (SELECT conv_id, turn, side, w, n, unnest(range(1, len(w) - n + 2)) AS i FROM (SELECT conv_id, turn, 'r' AS side, r AS w FROM tp UNION ALL SELECT conv_id, turn, 'h', h FROM tp), (SELECT unnest([1, 2]) AS n) WHERE len(w) >= n)),
+g AS (SELECT conv_id, turn, n, side, array_to_string(w[i:i + n - 1], ' ') AS g FROM (SELECT conv_id, turn, side, w, n, unnest(range(1, len(w) - n + 2)) AS i FROM (SELECT conv_id, turn, 'r' AS side, r AS w FROM tp UNION ALL SELECT conv_id, turn, 'h', h FROM tp), (SELECT unnest([1, 2, 3, 4]) AS n) WHERE len(w) >= n)),
 k AS (SELECT conv_id, turn, n, g, count(*) FILTER (WHERE side = 'h') AS h, count(*) FILTER (WHERE side = 'r') AS r FROM g GROUP BY ALL),
 o AS (SELECT conv_id, n, sum(least(h, r)) AS ok, sum(h) AS a FROM k GROUP BY ALL HAVING sum(h) > 0),
 l AS (SELECT conv_id, count(*) AS orders, min(ok) AS least, avg(CASE WHEN ok > 0 THEN ln(ok / a::DOUBLE) END) AS log_p FROM o GROUP BY conv_id),
 z AS (SELECT conv_id, sum(len(r)) AS r, sum(len(h)) AS h FROM tp GROUP BY conv_id)
-SELECT conv_id, round(CASE WHEN coalesce(orders, 0) < 2 OR least = 0 THEN 0 ELSE CASE WHEN h >= r THEN 1 ELSE exp(1 - r / h::DOUBLE) END * exp(log_p) END, 10)::DOUBLE AS bleu FROM z LEFT JOIN l USING (conv_id)""")
+SELECT conv_id, round(CASE WHEN coalesce(orders, 0) < 4 OR least = 0 THEN 0 ELSE CASE WHEN h >= r THEN 1 ELSE exp(1 - r / h::DOUBLE) END * exp(log_p) END, 10)::DOUBLE AS bleu FROM z LEFT JOIN l USING (conv_id)""")
 def translation_bleu(spark, d):
     t = turn_pairs(spark, d).withColumn("_id", F.col("turn"))
-    return A.bleu(t, ["conv_id"], "ref", "hyp", order=2).select("conv_id", F.round("bleu", 10).alias("bleu"))
+    return A.bleu(t, ["conv_id"], "ref", "hyp", order=4).select("conv_id", F.round("bleu", 10).alias("bleu"))
+
+
+def recordings(spark, d):
+    """(doc_id, ref, hyp): the words of each document, and the same with every 13th word lost, every 17th changed and every 29th said twice."""
+    words = X.words(F.lower("text"))
+    changed = lambda w, k: F.when(k % 13 == 5, F.array()).when(k % 17 == 3, F.array(F.reverse(w))).when(k % 29 == 7, F.array(w, w)).otherwise(F.array(w))
+    return table(spark, d, "documents").where("text IS NOT NULL").select("doc_id", words.alias("ref"), F.flatten(F.transform(words, changed)).alias("hyp"))
+
+
+@query("anchored_error_rates")
+def anchored_error_rates(spark, d):
+    """Rates of whole recordings that are cut at words both sides share once, so that one recording is many rows; SQL can't follow."""
+    parts = A.anchored(recordings(spark, d), ["doc_id"], "ref", "hyp")
+    keys = ["doc_id", "part"]
+    pairs = A.explode_pairs(parts.withColumn("pairs", A.aligned(F.col("ref"), F.col("hyp"))), keys)
+    return A.totals(A.apply_allow_lists(A.spans(pairs, keys)), ["doc_id"])
+
+
+@query("character_mode_errors", """WITH x AS (SELECT u.conv_id, u.turn, regexp_replace(lower(u.text), '[^a-z]', '', 'g') AS r, regexp_replace(lower(a.text), '[^a-z]', '', 'g') AS h FROM conversations u JOIN conversations a ON a.conv_id = u.conv_id AND a.turn = u.turn + 1 WHERE u.role = 'user' AND a.role = 'assistant')
+SELECT conv_id, sum(levenshtein(r, h))::BIGINT AS edits, sum(length(r))::BIGINT AS chars, CASE WHEN sum(length(r)) = 0 THEN 0 ELSE sum(levenshtein(r, h)) / sum(length(r))::DOUBLE END::DOUBLE AS rate FROM x GROUP BY conv_id""")
+def character_mode_errors(spark, d):
+    """The report's character mode: words run together and aligned letter by letter."""
+    letters = lambda c: F.filter(F.split(F.regexp_replace(F.array_join(c, ""), "[^a-z]", ""), ""), lambda x: x != "")
+    t = turn_pairs(spark, d).select("conv_id", letters("ref").alias("r"), letters("hyp").alias("h"))
+    t = t.select("conv_id", A.word_distance(F.col("r"), F.col("h")).alias("e"), F.size("r").alias("n")).groupBy("conv_id").agg(F.sum("e").alias("edits"), F.sum("n").cast("long").alias("chars"))
+    return t.withColumn("rate", F.when(F.col("chars") == 0, F.lit(0.0)).otherwise(F.col("edits") / F.col("chars")))
