@@ -1,14 +1,6 @@
-import os
-
 import numpy as np
-import pytest
-from pyspark.sql import functions as F
-
-from voxquarry.functions import pieces
 from voxquarry.operators import multitalker as M
 
-MODEL = os.environ.get("PIECE_MODEL", "/opt/tokenizers/piece_bpe_32k.model")
-
 
 def test_best_assignment():
     refs = [["a", "b"], ["c"], ["d", "e"]]
@@ -28,12 +20,3 @@ def test_delay_without_correct_words(spark):
 def test_mel_filters():
     f = M.mel_filters(20, 512, 16000, 60, 7600)
     assert f.shape == (20, 257) and (f >= 0).all() and (f.max(1) > 0.4).all() and (np.diff(f.argmax(1)) >= 0).all()
-
-
-@pytest.mark.skipif(not os.path.exists(MODEL), reason="no tokenizer file")
-def test_pieces(spark):
-    df = spark.createDataFrame([("hello <unk> world",), (None,), ("",)], "t string")
-    a, b, c = (r[0] for r in df.select(pieces.encode_ids(MODEL)(F.col("t"))).collect())
-    assert len(a) >= 3 and b is None and c == []
-    p = df.select(pieces.encode_pieces(MODEL)(F.col("t"))).first()[0]
-    assert "".join(p).replace("▁", " ").strip().startswith("hello")

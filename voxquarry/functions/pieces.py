@@ -1,46 +1,150 @@
-"""Sub-word pieces under a given tokenizer file; tokenizers are read, never trained."""
+"""Sub-word pieces under a table of pieces with scores: best segmentation, or merges in order of score.
+
+Tokenizers are read, never trained. A text is cut before its blanks, as no piece has a blank behind other characters; each
+distinct slice is segmented once by a task.
+"""
 
 from __future__ import annotations
 
+import re
+from collections.abc import Callable
+
 import pandas as pd
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-_held: dict[str, object] = {}
-
-
-def _model(path: str):
-    if path not in _held:
-        import sentencepiece
-
-        _held[path] = sentencepiece.SentencePieceProcessor(model_file=path)
-    return _held[path]
-
-
-def encode_ids(path: str, unknown: str = "<unk>"):
-    """A function of a text column: ids of its pieces, with `unknown` marks kept as the unknown id between them."""
-
-    @F.pandas_udf(T.ArrayType(T.LongType()))
-    def run(s: pd.Series) -> pd.Series:
-        m = _model(path)
-
-        def one(t):
-            out: list[int] = []
-            for i, part in enumerate(t.split(unknown)):
-                out += ([m.unk_id()] if i else []) + m.encode(part.strip())
-            return out
-
-        return s.map(lambda t: None if t is None else one(t))
-
-    return run
-
-
-def encode_pieces(path: str):
-    """A function of a word column: its pieces, for a lexicon."""
-
-    @F.pandas_udf(T.ArrayType(T.StringType()))
-    def run(s: pd.Series) -> pd.Series:
-        m = _model(path)
-        return s.map(lambda t: None if t is None else m.encode(t, out_type=str))
-
-    return run
+BLANK = "▁"
+#: A character without a piece costs so much more than the worst piece.
+UNKNOWN_PENALTY = 10.0
+#: Rows that a table of pieces may have, as it is broadcast.
+MOST_PIECES = 1 << 20
+#: Slices that a task remembers.
+REMEMBERED = 1 << 17
+
+
+class Pieces:
+    """Segmentation by one table of (id, piece, score, kind)."""
+
+    def __init__(self, model: str, rows: list[tuple[int, str, float, str]]):
+        if model not in ("unigram", "bpe"):
+            raise ValueError(f"no segmentation is known for a {model} model")
+        self.segment: Callable[[str], list[int]] = self._best if model == "unigram" else self._merged
+        self.pieces = {i: p for i, p, _, _ in rows}
+        self.usable = {p: (s, i) for i, p, s, kind in rows if kind in ("normal", "own")}
+        self.bytes = {int(p[3:5], 16): i for i, p, _, kind in rows if kind == "byte"}
+        self.unknown = next((i for i, _, _, kind in rows if kind == "unknown"), 0)
+        if any(BLANK in p.lstrip(BLANK) for p in self.usable):
+            raise ValueError("a piece has a blank behind other characters")
+        self.worst = min((s for s, _ in self.usable.values()), default=0.0) - UNKNOWN_PENALTY
+        self.trie: dict = {}
+        for piece, found in self.usable.items():
+            node = self.trie
+            for c in piece:
+                node = node.setdefault(c, {})
+            node[""] = found
+        self.held: dict[str, list[int]] = {}
+
+    def _best(self, text: str) -> list[int]:
+        """Ids of the segmentation with the highest sum of scores; unknown characters that stand together are one unknown piece.
+
+        Forward over the places, down the trie from each; of equal sums the one whose last piece begins first.
+        """
+        n = len(text)
+        total: list[float] = [0.0] + [float("-inf")] * n
+        back: list[tuple[int, int]] = [(0, -1)] * (n + 1)
+        for i in range(n):
+            node, j = self.trie, i
+            while node is not None:
+                if "" in node and total[i] + node[""][0] > total[j]:
+                    total[j], back[j] = total[i] + node[""][0], (i, node[""][1])
+                node, j = node.get(text[j]) if j < n else None, j + 1
+            if text[i] not in self.usable and total[i] + self.worst > total[i + 1]:
+                total[i + 1], back[i + 1] = total[i] + self.worst, (i, -1)
+        out: list[int] = []
+        alone, j = False, n
+        while j:
+            i, found = back[j]
+            if found >= 0:
+                out.append(found)
+            elif self.bytes:
+                out += [self.bytes[b] for b in reversed(text[i:j].encode())]
+            elif not alone:
+                out.append(self.unknown)
+            alone, j = found < 0, i
+        return out[::-1]
+
+    def _merged(self, text: str) -> list[int]:
+        """Ids after merging neighbours whose piece has the highest score, the leftmost among equals, until none is left."""
+        parts, get = list(text), self.usable.get
+        score = [get(a + b, (float("-inf"),))[0] for a, b in zip(parts, parts[1:], strict=False)]
+        while score:
+            high = max(score)
+            if high == float("-inf"):
+                break
+            i = score.index(high)
+            parts[i : i + 2] = [parts[i] + parts[i + 1]]
+            del score[i]
+            for k in (i - 1, i):
+                if 0 <= k < len(score):
+                    score[k] = get(parts[k] + parts[k + 1], (float("-inf"),))[0]
+        out: list[int] = []
+        for p in parts:
+            found = get(p)
+            out += [found[1]] if found else [self.bytes[b] for b in p.encode()] if self.bytes else [self.unknown] if out[-1:] != [self.unknown] else []
+        return out
+
+    def ids(self, text: str) -> list[int]:
+        """Ids of a text, with a blank put before it; none for an empty one."""
+        out: list[int] = []
+        for part in re.findall(f"{BLANK}*[^{BLANK}]+|{BLANK}+$", (BLANK + text).replace(" ", BLANK)) if text else ():
+            if part not in self.held:
+                if len(self.held) > REMEMBERED:
+                    self.held.clear()
+                self.held[part] = self.segment(part)
+            out += self.held[part]
+        return out
+
+
+class Segmenter:
+    """Column functions of a model's table of pieces; `model` is its kind."""
+
+    def __init__(self, model: str, table: DataFrame):
+        rows = [tuple(r) for r in table.select("id", "piece", "score", "kind").orderBy("id").limit(MOST_PIECES + 1).collect()]
+        if len(rows) > MOST_PIECES:
+            raise ValueError(f"a table of pieces may have {MOST_PIECES} rows")
+        self.table, self.held = Pieces(model, rows), table.sparkSession.sparkContext.broadcast((model, rows))
+
+    def _udf(self, one: Callable[[Pieces, str], list], kind: T.DataType):
+        held, made = self.held, []
+
+        @F.pandas_udf(T.ArrayType(kind))
+        def run(s: pd.Series) -> pd.Series:
+            if not made:
+                made.append(Pieces(*held.value))
+            return s.map(lambda t: None if t is None else one(made[0], t))
+
+        return run
+
+    def ids(self, text: Column) -> Column:
+        """Ids of a text's pieces; null for null."""
+        return self._udf(lambda p, t: p.ids(t), T.IntegerType())(text)
+
+    def ids_around(self, text: Column, unknown: str = "<unk>") -> Column:
+        """The same with marks of unknown words: each becomes a blank's piece and the unknown id between its neighbours' ids."""
+
+        def one(p: Pieces, t: str) -> list[int]:
+            mark = [p.usable[BLANK][1], p.unknown]
+            return [i for k, part in enumerate(t.split(unknown)) for i in (mark if k else []) + p.ids(part)]
+
+        return self._udf(one, T.IntegerType())(text)
+
+    def pieces(self, word: Column) -> Column:
+        """Pieces of a word."""
+        return self._udf(lambda p, t: [p.pieces[i] for i in p.ids(t)], T.StringType())(word)
+
+    def lexicon(self, words: DataFrame, word: str = "word", oov: str = "<UNK>") -> DataFrame:
+        """(word, tokens) of each distinct word, and a row of the unknown word: a blank's piece and the unknown piece."""
+        own = words.select(F.col(word).alias("word")).where("word IS NOT NULL").distinct().withColumn("tokens", self.pieces(F.col("word")))
+        last = words.sparkSession.createDataFrame([(oov, [BLANK, self.table.pieces[self.table.unknown]])], own.schema)
+        return own.unionByName(last)

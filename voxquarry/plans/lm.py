@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from voxquarry.functions import text as X
+from voxquarry.operators import archive as R
 from voxquarry.operators import ngram_lm as L
 from voxquarry.plans.registry import query, table
 
@@ -119,3 +120,35 @@ def training_archive(spark, d):
     """Sentence lengths in words and in character tokens."""
     w = X.words(F.col("text"))
     return table(spark, d, "conversations").select("conv_id", "turn", F.size(w).alias("words"), F.size(F.flatten(F.transform(w, lambda x: F.filter(F.split(x, ""), lambda c: c != "")))).alias("tokens"))
+
+
+WORD_TABLE = """w AS (SELECT conv_id, turn, generate_subscripts(ws, 1) AS i, unnest(ws) AS word FROM (SELECT conv_id, turn, regexp_extract_all(text, '\\S+') AS ws FROM conversations)),
+f AS (SELECT word, row_number() OVER (ORDER BY min((conv_id, turn, i))) - 1 AS word_id, list_transform(string_split(word, ''), lambda c: unicode(c)) AS pieces FROM w GROUP BY word)"""
+
+
+def archive(spark, d):
+    """Sentences (conv_id, turn, words) and the table of words; pieces are the code points of a word's characters."""
+    t = table(spark, d, "conversations").select("conv_id", "turn", X.words(F.col("text")).alias("words"))
+    points = lambda w: F.transform(F.filter(F.split(w, ""), lambda c: c != ""), F.ascii)
+    return t, R.words_table(t, ["conv_id", "turn"], "words", points)
+
+
+@query("archive_words", f"WITH {WORD_TABLE} SELECT word_id::BIGINT AS word_id, word, pieces, coalesce(sum(len(pieces)) OVER (ORDER BY word_id ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0)::BIGINT AS begin FROM f")
+def archive_words(spark, d):
+    """Words by first appearance with their pieces as one ragged table."""
+    return archive(spark, d)[1].select("word_id", "word", "pieces", "begin")
+
+
+@query("archive_sentences", f"""WITH {WORD_TABLE}, s AS (SELECT conv_id, turn, list(word_id ORDER BY i)::BIGINT[] AS word_ids FROM w JOIN f USING (word) GROUP BY conv_id, turn)
+SELECT conv_id, turn, coalesce(word_ids, []) AS word_ids, coalesce(sum(coalesce(len(word_ids), 0)) OVER (ORDER BY conv_id, turn ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0)::BIGINT AS begin FROM conversations LEFT JOIN s USING (conv_id, turn)""")
+def archive_sentences(spark, d):
+    """Sentences as word ids, one ragged table."""
+    t, words = archive(spark, d)
+    return R.sentences_table(t, ["conv_id", "turn"], "words", words).select("conv_id", "turn", "word_ids", "begin")
+
+
+@query("archive_lengths", "SELECT conv_id, turn, length(regexp_replace(text, '\\s', '', 'g'))::BIGINT AS length FROM conversations")
+def archive_lengths(spark, d):
+    """Sentence lengths in pieces."""
+    t, words = archive(spark, d)
+    return R.lengths_table(t, ["conv_id", "turn"], "words", words)
