@@ -1,8 +1,12 @@
 import glob
 import os
+import random
+import time
 
+import pytest
 from pyspark.sql import functions as F
 
+from voxquarry.streaming import pool as P
 from voxquarry.streaming import turns as S
 
 
@@ -52,3 +56,55 @@ def test_quarantine(spark, tmp_path):
     S.quarantine(stream, str(tmp_path / "good"), str(tmp_path / "bad"), F.col("id") % 3 != 0, str(tmp_path / "cp")).awaitTermination()
     assert sorted(r.id for r in spark.read.parquet(str(tmp_path / "good")).collect()) == [1, 2, 4, 5]
     assert sorted(r.id for r in spark.read.parquet(str(tmp_path / "bad")).collect()) == [0, 3]
+
+
+def model():
+    """A function that gives a token for each window, which depends on what the stream has seen: sums stand for a model."""
+    return lambda windows, states: ([[round(sum(x for x in w if x >= 0) + 100 * s[0])] for w, s in zip(windows, states, strict=True)], [[s[0] + 1] for s in states])
+
+
+def alone(frames, chunk, overlap, tail):
+    """The tokens of one utterance that is decoded by itself."""
+    x, out, state = [*frames, *[P.SILENCE] * (overlap + tail)], [], [0.0]
+    for at in range(0, len(x), chunk):
+        tokens, states = model()([x[at : at + chunk + overlap]], [state])
+        out, state = out + tokens[0], states[0]
+    return " ".join(map(str, out))
+
+
+@pytest.mark.parametrize("active", [1, 2, 5])
+def test_pool_equals_single_decoding_and_keeps_its_bound(spark, tmp_path, active):
+    rng = random.Random(active)
+    utts = {f"u{i}": (i % 2, i, [float(rng.randrange(9)) for _ in range(rng.randrange(20))]) for i in range(14)}
+    schema = "lane long, num long, utt string, frames array<double>"
+    rows = [(lane, n, u, f) for u, (lane, n, f) in utts.items()]
+    batches = [rows[:5][::-1], rows[5:6], rows[6:], [(0, None, None, None), (1, None, None, None)]]
+    with P.with_rocksdb(spark):
+        got = run(spark, tmp_path, batches, schema, lambda s: P.decode_pool(s, active, 4, model(), [0.0], overlap=2, tail=3), f"pool_{active}")
+    assert sorted(r["utt"] for r in got) == sorted(utts)
+    for r in got:
+        lane, _, frames = utts[r["utt"]]
+        assert (r["lane"], r["frames"], r["hyp"]) == (lane, len(frames), alone(frames, 4, 2, 3)) and r["chunks"] == r["end"] - r["begin"] == len(r["hyp"].split())
+    for lane in (0, 1):
+        own = [r for r in got if r["lane"] == lane]
+        most = max(sum(r["begin"] <= t < r["end"] for r in own) for t in range(max(r["end"] for r in own)))
+        assert most == min(active, 7)
+        begun = [r["begin"] for r in sorted(own, key=lambda r: utts[r["utt"]][1])]
+        assert begun == sorted(begun)  # admitted in order
+
+
+def test_an_idle_lane_is_drained(spark, tmp_path):
+    schema = "lane long, num long, utt string, frames array<double>"
+    src = str(tmp_path / "in")
+    spark.createDataFrame([(0, 0, "a", [1.0, 2.0])], schema).coalesce(1).write.parquet(src)
+    with P.with_rocksdb(spark):
+        stream = P.decode_pool(spark.readStream.schema(schema).parquet(src), 4, 2, model(), [0.0], overlap=0, tail=0, idle_ms=1500)
+        q = stream.writeStream.format("memory").queryName("idle_out").outputMode("append").option("checkpointLocation", str(tmp_path / "cp")).trigger(processingTime="500 milliseconds").start()
+    try:
+        for _ in range(120):
+            if spark.table("idle_out").count():
+                break
+            time.sleep(0.5)
+        assert [(r["utt"], r["hyp"]) for r in spark.table("idle_out").collect()] == [("a", "3")]
+    finally:
+        q.stop()

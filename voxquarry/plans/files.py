@@ -18,6 +18,7 @@ from voxquarry.plans.registry import query, table
 from voxquarry.plans.scoring import CELLS, COUNTS, counts
 from voxquarry.scratch import shared_path
 from voxquarry.sources import audio, binary, manifests, stm, text
+from voxquarry.streaming import pool as PO
 from voxquarry.streaming import turns as S
 
 # ---- text ------------------------------------------------------------------------------------------------------------
@@ -276,6 +277,25 @@ def streamed_decoding(spark, d):
     return to_the_end(S.decode_streams(stream_of(spark, t), 3, lambda part: [int(part["token"].sum())]))
 
 
+@query("streamed_pool", f"""
+WITH f AS (SELECT user_id, event_id % 7 AS token, {NTH} AS seq FROM events), n AS (SELECT user_id, count(*) AS n FROM f GROUP BY user_id),
+c AS (SELECT user_id, n, unnest(range(0, n + 5, 4)) AS a FROM n), x AS (SELECT c.user_id, c.n, a, coalesce(sum(token), 0) AS t FROM c LEFT JOIN f ON f.user_id = c.user_id AND seq >= a AND seq < a + 6 GROUP BY ALL)
+SELECT user_id % 4 AS lane, user_id::VARCHAR AS utt, n::BIGINT AS frames, count(*)::BIGINT AS chunks, string_agg((t + a)::BIGINT::VARCHAR, ' ' ORDER BY a) AS hyp FROM x GROUP BY user_id, n""")
+def streamed_pool(spark, d):
+    """Users' series as utterances, decoded by four lanes of three active streams; a chunk's token is the sum of its frames that aren't
+    padding and of the frames taken before, which is the stream's state."""
+
+    def score(windows, states):
+        return [[int(sum(x for x in w if x >= 0) + s[0])] for w, s in zip(windows, states, strict=True)], [[s[0] + 4] for s in states]
+
+    e = table(spark, d, "events").groupBy("user_id").agg(F.array_sort(F.collect_list(F.struct("ts", "event_id"))).alias("e"))
+    own = F.transform("e", lambda x: (x["event_id"] % 7).cast("double"))
+    t = e.select((F.col("user_id") % 4).alias("lane"), F.col("user_id").alias("num"), F.col("user_id").cast("string").alias("utt"), own.alias("frames"))
+    ends = spark.range(4).select(F.col("id").alias("lane"), F.lit(None).cast("long").alias("num"), F.lit(None).cast("string").alias("utt"), F.lit(None).cast("array<double>").alias("frames"))
+    with PO.with_rocksdb(spark):
+        return to_the_end(PO.decode_pool(stream_of(spark, t.unionByName(ends)), 3, 4, score, [0.0], overlap=2, tail=3)).select("lane", "utt", "frames", "chunks", "hyp")
+
+
 @query("streamed_turns", f"""
 WITH e AS (SELECT user_id, {NTH} AS seq, event_id::VARCHAR AS text, CASE event_type WHEN 'click' THEN 'interim' WHEN 'view' THEN 'final' WHEN 'purchase' THEN 'complete' ELSE 'start' END AS kind FROM events),
 t AS (SELECT *, coalesce(sum((kind = 'complete')::INT) OVER (PARTITION BY user_id ORDER BY seq ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS turn FROM e),
