@@ -1,3 +1,5 @@
+import math
+
 import numpy as np
 from pyspark.sql import functions as F
 
@@ -37,11 +39,84 @@ def test_coverage(spark):
     assert tuple(relational.coverage(a, b, "k").first()) == (1, 12, 5, 3)
 
 
+def plain_activity(channels, s):
+    """Probability, power and background of every frame of one recording's channels, frame by frame."""
+    bands = len(channels[0][0])
+    est = [[0.0, 1.0, 0.0, 1.0, []] for _ in range(bands)]  # active mean and variance, inactive ones, shares of updates
+    out = []
+    for frames in channels:
+        rows = []
+        for t, x in enumerate(frames):
+            if t % s.interval == 0 and t + 10 < len(frames):
+                for b in range(bands):
+                    v = [f[b] for f in frames[t : t + s.interval]]
+                    lo, hi = min(v), max(v)
+                    for _ in range(3):
+                        up, down = [y for y in v if abs(y - hi) < abs(y - lo)], [y for y in v if not abs(y - hi) < abs(y - lo)]
+                        hi, lo = sum(up) / len(up) if up else hi, sum(down) / len(down) if down else lo
+                    on, on_var, off, off_var, shares = est[b]
+                    share = 10 ** (0.1 * ((hi - lo) - (on - off))) if shares and hi - lo < on - off else 1.0
+                    if len(shares) == 1 or (len(shares) > 1 and (sum(shares) - 1) / (len(shares) - 1) < 0.5):
+                        share = max(share, 0.5)
+                    spread = lambda w, mean, old, share=share: max(sum(y * y for y in w) / len(w) - mean**2, 0.5) if w else (1 - share) * old + share * 0.5
+                    est[b] = [(1 - share) * on + share * hi, spread(up, hi, on_var), (1 - share) * off + share * lo, spread(down, lo, off_var), [*shares, share]]
+            x = [s.smooth * p + (1 - s.smooth) * c for p, c in zip(frames[t - 1], x, strict=True)] if t else x
+            p = []
+            for y, (on, on_var, off, off_var, _) in zip(x, est, strict=True):
+                bell = lambda m, v, y=y: math.exp(-((y - m) ** 2) / (2 * v))
+                p.append(0.0 if y < off else 1.0 if y < on else 0.5 * (bell(on, on_var) + 1 - bell(off, off_var)))
+            whole = p[0] if bands == 1 else (p[0] * (sum(p[1:]) / (bands - 1)) ** 2) ** 0.3333333
+            rows.append([whole, x[0], est[0][2]])
+        out.append(rows)
+    for t in range(max(map(len, out))):
+        loudest = max(rows[t][1] for rows in out if t < len(rows))
+        for rows in out:
+            if t < len(rows):
+                rows[t][0] *= 10 ** (0.1 * (rows[t][1] - loudest))
+    return out
+
+
+def test_activity_carries_over_channels(spark):
+    rng = np.random.default_rng(11)
+    s = vad.Settings(interval=40)
+    data, want = [], {}
+    for rec in range(4):
+        channels = [[(20 + 30 * (t // 25 % 2) + rng.normal(0, 3 + 4 * c, 3)).round(3).tolist() for t in range(n)] for c, n in enumerate([(170, 170), (91, 91), (5, 60), (85, 50)][rec])]
+        for c, rows in enumerate(plain_activity(channels, s)):
+            data += [(rec, c, t, x) for t, x in enumerate(channels[c])]
+            want |= {(rec, c, t): r for t, r in enumerate(rows)}
+    df = spark.createDataFrame(data, "rec int, ch int, fr long, x array<double>").repartition(5)
+    got = vad.probabilities(df, "rec", "ch", "fr", "x", s).collect()
+    assert len(got) == len(want)
+    for r in got:
+        assert np.allclose([r["prob"], r["power"], r["background"]], want[r["rec"], r["ch"], r["fr"]], rtol=1e-9, atol=1e-12)
+
+
+def test_runs_give_the_hysteresis_of_the_walk(spark):
+    rng = np.random.default_rng(12)
+    data = [(k, i, float(x)) for k in range(60) for i, x in enumerate(rng.choice([0.0, 0.2, 0.4, 0.45, 0.6, 0.9], rng.integers(1, 60)))]
+    df = spark.createDataFrame(data, "k int, i long, x double")
+    for enter, leave in ((1, 1), (2, 3), (4, 2)):
+        got = sorted(map(tuple, vad.hysteresis_runs(df, ["k"], "i", "x", 0.5, 0.3, enter, leave).collect()))
+        assert got == sorted((k, *z) for k in range(60) for z in S.hysteresis(np.array([x for q, _, x in data if q == k]), 0.5, 0.3, enter, leave))
+
+
 def test_vad_finds_the_loud_part(spark):
     power = [10.0] * 200 + [60.0] * 100 + [10.0] * 200
-    df = spark.createDataFrame([(1, i, p) for i, p in enumerate(power)], "rec int, frame int, power double")
-    got = vad.segment(df, "rec", "frame", "power").collect()
-    assert got and all(r.start < r.end for r in got)
+    rng = np.random.default_rng(13)
+    data = [(1, c, i, [p + float(e) * 0.1 - 20 * c]) for c in (0, 1) for i, (p, e) in enumerate(zip(power, rng.normal(size=500), strict=True))]
+    df = spark.createDataFrame(data, "rec int, ch int, frame long, bands array<double>")
+    got = vad.segment(df, "rec", "ch", "frame", "bands", vad.Settings(interval=500)).collect()
+    assert {r["ch"] for r in got} == {0}  # the other channel is 20 dB below
+    assert any(r["start"] <= 2 and r["end"] >= 3 and 0 < r["confidence"] <= 1 for r in got) and all(r["start"] < r["end"] for r in got)
+    assert vad.segment(df.where("false"), "rec", "ch", "frame", "bands").collect() == []
+
+
+def test_facts_of_joined_segments_are_weighed():
+    s = vad.Settings(margin=5, longest=100, shortest=4)
+    out = vad.final_segments(np.array([[10, 30], [35, 75], [300, 310]]), np.array([[1.0], [4.0], [9.0]]), 400, s)
+    assert [(a, z, float(f[0])) for a, z, f in out] == [(5, 80, 3.0), (295, 315, 9.0)]
+    assert [(a, z) for a, z, _ in vad.final_segments(np.array([[0, 500]]), np.zeros((1, 0)), 500, s)] == [(0, 125), (125, 250), (250, 375), (375, 500)]
 
 
 def test_finalise_joins_and_cuts():

@@ -184,3 +184,12 @@ def hysteresis(active: np.ndarray, high: float, low: float, enter: int, leave: i
     if inside:
         out.append((begin, len(active)))
     return out
+
+
+def edge_average(df: DataFrame, keys: list[str], order: str, column: str, reach: int, name: str) -> DataFrame:
+    """Adds `name`: the mean of `reach` values to each side and the own one, the first and last value repeated beyond the ends."""
+    w, part = Window.partitionBy(*keys).orderBy(order), Window.partitionBy(*keys)
+    whole = w.rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing)
+    r, n = F.row_number().over(w), F.count(F.lit(1)).over(part)
+    more = F.greatest(reach + 1 - r, F.lit(0)) * F.first(column).over(whole) + F.greatest(r + reach - n, F.lit(0)) * F.last(column).over(whole)
+    return df.withColumn(name, (F.sum(column).over(w.rowsBetween(-reach, reach)) + more) / (2 * reach + 1))

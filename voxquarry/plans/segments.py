@@ -208,12 +208,85 @@ def seeds_from_names(spark, d):
     return table(spark, d, "nation").select("n_name", F.crc32(F.concat(F.lit("noise|"), "n_name").cast("binary")).alias("seed"))
 
 
-@query("voice_activity")
+#: Frames of recordings with two channels: values in order of time, and a band of their own from the event's number.
+FRAMES = "f AS (SELECT user_id % 6 AS rec, user_id // 6 % 2 AS ch, row_number() OVER (PARTITION BY user_id % 6, user_id // 6 % 2 ORDER BY ts, event_id) - 1 AS fr, [value, (event_id * 7919 % 97)::DOUBLE] AS x FROM events)"
+CLUSTER = """k{j} AS (SELECT * EXCLUDE (lo, hi), len(l) AS nl, len(h) AS nh, list_sum(list_transform(l, lambda v: v * v)) AS ql, list_sum(list_transform(h, lambda v: v * v)) AS qh, coalesce(list_avg(l), lo) AS lo, coalesce(list_avg(h), hi) AS hi
+  FROM (SELECT * {drop}, list_filter(xs, lambda v: NOT abs(v - hi) < abs(v - lo)) AS l, list_filter(xs, lambda v: abs(v - hi) < abs(v - lo)) AS h FROM k{i}))"""
+SHARE = "CASE WHEN weak THEN greatest(part, 0.5) ELSE part END"
+BLEND = "(1 - s) * {a} + s * {b}"
+PROBS = f"""{FRAMES}, n AS (SELECT rec, ch, count(*) AS n FROM f GROUP BY ALL),
+iv AS (SELECT rec, ch, fr // 100 AS iv, band, list(x[band] ORDER BY fr) AS xs FROM f, (SELECT unnest([1, 2]) AS band) GROUP BY ALL),
+k0 AS (SELECT *, list_min(xs) AS lo, list_max(xs) AS hi FROM iv),
+{CLUSTER.format(i=0, j=1, drop="")}, {CLUSTER.format(i=1, j=2, drop="EXCLUDE (l, h, nl, nh, ql, qh)")}, {CLUSTER.format(i=2, j=3, drop="EXCLUDE (l, h, nl, nh, ql, qh)")},
+st AS MATERIALIZED (SELECT k3.*, iv * 100 + 10 < n AS counts, row_number() OVER (PARTITION BY rec, band ORDER BY ch, iv) AS k FROM k3 JOIN n USING (rec, ch)),
+e AS (SELECT rec, band, 0::BIGINT AS k, NULL::BIGINT AS ch, NULL::BIGINT AS iv, 0.0::DOUBLE AS on_, 1.0::DOUBLE AS onv, 0.0::DOUBLE AS off, 1.0::DOUBLE AS offv, 0 AS u, 0.0::DOUBLE AS shares FROM st WHERE k = 1
+  UNION ALL
+  SELECT rec, band, k, ch, iv, CASE WHEN counts THEN {BLEND.format(a="on_", b="hi")} ELSE on_ END, CASE WHEN NOT counts THEN onv WHEN nh > 0 THEN greatest(qh / nh - hi * hi, 0.5) ELSE {BLEND.format(a="onv", b="0.5")} END,
+         CASE WHEN counts THEN {BLEND.format(a="off", b="lo")} ELSE off END, CASE WHEN NOT counts THEN offv WHEN nl > 0 THEN greatest(ql / nl - lo * lo, 0.5) ELSE {BLEND.format(a="offv", b="0.5")} END,
+         CASE WHEN counts THEN u + 1 ELSE u END, CASE WHEN counts THEN shares + s ELSE shares END
+  FROM (SELECT *, {SHARE} AS s FROM (SELECT st.rec, st.band, st.k, st.ch, st.iv, st.counts, st.lo, st.hi, st.nl, st.nh, st.ql, st.qh, e.on_, e.onv, e.off, e.offv, e.u, e.shares,
+          CASE WHEN e.u > 0 AND st.hi - st.lo < e.on_ - e.off THEN pow(10.0::DOUBLE, 0.1::DOUBLE * ((st.hi - st.lo) - (e.on_ - e.off))) ELSE 1.0::DOUBLE END AS part, e.u = 1 OR (e.u > 1 AND (e.shares - 1) / (e.u - 1) < 0.5) AS weak
+        FROM e JOIN st ON st.rec = e.rec AND st.band = e.band AND st.k = e.k + 1))),
+x AS (SELECT rec, ch, fr, fr // 100 AS iv, unnest([1, 2]) AS band, unnest(CASE WHEN lag(x) OVER w IS NULL THEN x ELSE [0.5 * lag(x) OVER w [1] + 0.5 * x[1], 0.5 * lag(x) OVER w [2] + 0.5 * x[2]] END) AS v FROM f WINDOW w AS (PARTITION BY rec, ch ORDER BY fr)),
+p AS (SELECT x.rec, x.ch, x.fr, x.band, v, off, CASE WHEN v < off THEN 0 WHEN v < on_ THEN 1 ELSE 0.5 * (exp(-((v - on_) * (v - on_)) / (2 * onv)) + (1 - exp(-((v - off) * (v - off)) / (2 * offv)))) END::DOUBLE AS p FROM x JOIN e USING (rec, band, ch, iv)),
+q AS (SELECT rec, ch, fr, pow(max(p) FILTER (WHERE band = 1) * max(p) FILTER (WHERE band = 2) * max(p) FILTER (WHERE band = 2), 0.3333333::DOUBLE) AS p, max(v) FILTER (WHERE band = 1) AS power, max(off) FILTER (WHERE band = 1) AS background FROM p GROUP BY ALL),
+pr AS MATERIALIZED (SELECT rec, ch, fr, p * pow(10.0::DOUBLE, 0.1::DOUBLE * (power - max(power) OVER (PARTITION BY rec, fr))) AS prob, power, background FROM q)"""
+SPEECH = VAD.Settings(interval=100, margin=1, shortest=1, longest=12, environment=1, enter=2, leave=2, high=0.3, low=0.1)
+
+
+def channel_frames(spark, d):
+    """(rec, ch, fr, x): frames of six recordings with two channels and two bands."""
+    w = Window.partitionBy("rec", "ch").orderBy("ts", "event_id")
+    e = table(spark, d, "events").select((F.col("user_id") % 6).alias("rec"), (F.floor(F.col("user_id") / 6) % 2).alias("ch"), "ts", "event_id", "value")
+    return e.select("rec", "ch", (F.row_number().over(w) - 1).cast("long").alias("fr"), F.array("value", (F.col("event_id") * 7919 % 97).cast("double")).alias("x"))
+
+
+@query("activity_probabilities", f"WITH RECURSIVE {PROBS} SELECT rec, ch, fr, round(prob, 6) AS prob, round(power, 6) AS power, round(background, 6) AS background FROM pr")
+def activity_probabilities(spark, d):
+    """Each frame's probability under estimates that carry over intervals and channels."""
+    t = VAD.probabilities(channel_frames(spark, d), "rec", "ch", "fr", "x", SPEECH)
+    return t.select("rec", "ch", "fr", *[F.round(c, 6).alias(c) for c in ("prob", "power", "background")])
+
+
+@query("hysteresis_segments", """WITH RECURSIVE s AS (SELECT user_id, value, row_number() OVER (PARTITION BY user_id ORDER BY ts, event_id) - 1 AS i, count(*) OVER (PARTITION BY user_id) AS n FROM events),
+r AS (SELECT user_id, -1::BIGINT AS i, false AS inside, 0 AS pending, -1::BIGINT AS since, NULL::BIGINT AS entered, NULL::BIGINT AS left_ FROM s WHERE i = 0
+  UNION ALL
+  SELECT user_id, i, CASE WHEN hit THEN NOT inside ELSE inside END, CASE WHEN hit OR back THEN 0 WHEN toward THEN pending + 1 ELSE pending END, since,
+         CASE WHEN hit AND NOT inside THEN since END, CASE WHEN hit AND inside THEN since END
+  FROM (SELECT *, toward AND pending + 1 = CASE WHEN inside THEN 3 ELSE 2 END AS hit FROM (
+    SELECT s.user_id, s.i, r.inside, r.pending, CASE WHEN toward AND r.pending = 0 THEN s.i ELSE r.since END AS since, toward, back
+    FROM (SELECT r.*, s.value, s.i AS at, CASE WHEN r.inside THEN s.value <= 20 ELSE s.value >= 50 END AS toward, CASE WHEN r.inside THEN s.value >= 50 ELSE s.value <= 20 END AS back FROM r JOIN s ON s.user_id = r.user_id AND s.i = r.i + 1) r JOIN s ON s.user_id = r.user_id AND s.i = r.at))),
+m AS (SELECT user_id, entered, lead(left_) OVER (PARTITION BY user_id ORDER BY i) AS left_ FROM r WHERE entered IS NOT NULL OR left_ IS NOT NULL)
+SELECT user_id, entered AS start, coalesce(left_, (SELECT max(i) + 1 FROM s WHERE s.user_id = m.user_id))::BIGINT AS "end" FROM m WHERE entered IS NOT NULL""")
+def hysteresis_segments(spark, d):
+    """Stretches of high values by runs; the SQL walks value by value."""
+    w = Window.partitionBy("user_id").orderBy("ts", "event_id")
+    t = table(spark, d, "events").select("user_id", (F.row_number().over(w) - 1).cast("long").alias("i"), "value")
+    return VAD.hysteresis_runs(t, ["user_id"], "i", "value", 50.0, 20.0, 2, 3)
+
+
+@query("voice_activity", f"""WITH RECURSIVE {PROBS},
+a AS (SELECT rec, ch, fr, prob, power, background, row_number() OVER w AS r, count(*) OVER (PARTITION BY rec, ch) AS n,
+  (sum(prob) OVER (PARTITION BY rec, ch ORDER BY fr ROWS BETWEEN 1 PRECEDING AND 1 FOLLOWING) + CASE WHEN fr = 0 THEN prob ELSE 0 END + CASE WHEN fr = max(fr) OVER (PARTITION BY rec, ch) THEN prob ELSE 0 END) / 3 AS m FROM pr WINDOW w AS (PARTITION BY rec, ch ORDER BY fr)),
+o AS (SELECT rec, ch, fr, m >= 0.3 AS on_ FROM a WHERE m >= 0.3 OR m <= 0.1), o1 AS (SELECT *, CASE WHEN lag(on_) OVER w = on_ THEN 0 ELSE 1 END AS new FROM o WINDOW w AS (PARTITION BY rec, ch ORDER BY fr)),
+o2 AS (SELECT *, sum(new) OVER (PARTITION BY rec, ch ORDER BY fr) AS run FROM o1), ru AS (SELECT rec, ch, run, any_value(on_) AS on_, min(fr) AS start FROM o2 GROUP BY ALL HAVING count(*) >= 2),
+tu AS (SELECT *, lead(start) OVER (PARTITION BY rec, ch ORDER BY run) AS next FROM (SELECT *, lag(on_, 1, false) OVER (PARTITION BY rec, ch ORDER BY run) AS was FROM ru) WHERE was <> on_),
+c AS MATERIALIZED (SELECT tu.rec, tu.ch, start, coalesce(next, n) AS finish, n, row_number() OVER (PARTITION BY tu.rec, tu.ch ORDER BY start) AS k FROM tu JOIN n ON n.rec = tu.rec AND n.ch = tu.ch WHERE on_),
+g AS (SELECT rec, ch, k, 1 AS gid, greatest(start - 1, 0) AS a, least(finish + 1, n) AS z, finish AS own_end, NULL::BIGINT AS cut FROM c WHERE k = 1
+  UNION ALL SELECT c.rec, c.ch, c.k, CASE WHEN greatest(c.start - 1, 0) > g.z OR least(c.finish + 1, n) - g.a > 12 THEN g.gid + 1 ELSE g.gid END,
+    CASE WHEN greatest(c.start - 1, 0) > g.z THEN greatest(c.start - 1, 0) WHEN least(c.finish + 1, n) - g.a > 12 THEN (g.own_end + c.start) // 2 ELSE g.a END, least(c.finish + 1, n), c.finish,
+    CASE WHEN greatest(c.start - 1, 0) <= g.z AND least(c.finish + 1, n) - g.a > 12 THEN (g.own_end + c.start) // 2 END
+  FROM g JOIN c ON c.rec = g.rec AND c.ch = g.ch AND c.k = g.k + 1),
+w AS (SELECT rec, ch, gid, min(g.a) AS a, max(g.z) AS z FROM g GROUP BY ALL), w1 AS (SELECT w.rec, w.ch, w.gid, w.a, coalesce(any_value(cut), w.z) AS z FROM w LEFT JOIN g ON g.rec = w.rec AND g.ch = w.ch AND g.gid = w.gid + 1 AND cut IS NOT NULL GROUP BY w.rec, w.ch, w.gid, w.a, w.z),
+v AS (SELECT g.rec, g.ch, g.gid, sum(c.finish - c.start) AS frames, sum(prob) AS prob, sum(power) AS power, sum(power - background) AS snr FROM g JOIN c USING (rec, ch, k) JOIN a ON a.rec = c.rec AND a.ch = c.ch AND a.fr >= c.start AND a.fr < c.finish GROUP BY ALL),
+v1 AS (SELECT rec, ch, gid, prob / fr AS prob, power / fr AS power, snr / fr AS snr FROM (SELECT v.* EXCLUDE (frames), len_.fr FROM v JOIN (SELECT g.rec, g.ch, g.gid, sum(c.finish - c.start) AS fr FROM g JOIN c USING (rec, ch, k) GROUP BY ALL) len_ USING (rec, ch, gid))),
+y AS (SELECT w1.*, CASE WHEN z - a >= 24 THEN 1 + floor((z - a) / 18.0)::BIGINT ELSE 1 END AS pieces FROM w1 WHERE z - a >= 3),
+u AS (SELECT *, a + i * ((z - a) // pieces) AS s, CASE WHEN i + 1 = pieces THEN z ELSE a + (i + 1) * ((z - a) // pieces) END AS f FROM (SELECT *, unnest(range(0, pieces)) AS i FROM y))
+SELECT rec, ch, row_number() OVER (PARTITION BY rec, ch ORDER BY s) - 1 AS seg, round(s * 0.01::DOUBLE, 6) AS start, round(f * 0.01::DOUBLE, 6) AS "end", round(sqrt(prob), 6) AS confidence, round(power, 6) AS power, round(snr, 6) AS snr FROM u JOIN v1 USING (rec, ch, gid)""")
 def voice_activity(spark, d):
-    """Segments of each user's series of values, as frames of power."""
-    f = table(spark, d, "events").select("user_id", F.struct("ts", "event_id").alias("at"), F.col("value").alias("power"))
-    f = f.withColumn("at", F.row_number().over(Window.partitionBy("user_id").orderBy("at")))
-    return VAD.segment(f, "user_id", "at", "power", VAD.Settings(interval=200, margin=1, shortest=1, longest=40, environment=1, enter=2, leave=2))
+    """Segments of two-channel recordings."""
+    t = VAD.segment(channel_frames(spark, d), "rec", "ch", "fr", "x", SPEECH)
+    return t.select("rec", "ch", "seg", *[F.round(c, 6).alias(c) for c in ("start", "end", "confidence", "power", "snr")])
 
 
 @query("channel_weights", "SELECT event_id, round(pow(10.0::DOUBLE, 0.1::DOUBLE * (value - max(value) OVER (PARTITION BY event_type, floor(epoch(ts) / 3600)))), 9) AS prob FROM events")
