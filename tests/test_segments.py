@@ -22,6 +22,17 @@ def test_split_long_cuts_at_quiet_frames():
     assert flat[0][0] == 0.0 and flat[-1][1] == 100.0 and all(b - a <= 30 for a, b in flat)
 
 
+def test_levels_split_as_one_by_one(spark):
+    rng = np.random.default_rng(14)
+    energies = {k: np.round(rng.choice([1.0, 5.0, 9.0], n) + rng.normal(0, 0.4, n), 2) for k, n in enumerate([10, 700, 1500, 4000, 64, 65])}
+    energies[6] = np.ones(900)
+    segs = [(k, 0.0, len(e) / 10) for k, e in energies.items()] + [(2, 20.5, 99.9), (3, 0.0, 500.0), (9, 0.0, 77.0), (1, 60.0, 60.1)]
+    df = spark.createDataFrame([(k, i, float(x)) for k, e in energies.items() for i, x in enumerate(e)], "k int, i long, e double").repartition(4)
+    got = S.split_levels(spark.createDataFrame(segs, "k int, a double, z double"), S.energy_tiles(df, "k", "i", "e"), "k", "a", "z", 10.0)
+    want = [(k, *p) for k, a, z in segs for p in (S.split_long(a, z, energies[k], 10.0) if k in energies else [(a, z)])]
+    assert sorted(map(tuple, got.collect())) == sorted(want)
+
+
 def test_hysteresis():
     x = np.array([0, 0.6, 0.9, 0.4, 0.9, 0.1, 0.4, 0.1, 0.1, 0.9])
     assert S.hysteresis(x, 0.5, 0.3, 2, 3) == [(1, 5)]

@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from voxquarry.operators.relational import running
+from voxquarry.scratch import materialise
 
 def _fold(df: DataFrame, keys: list[str], order: list[str], columns: list[str], schema: T.StructType, fold) -> DataFrame:
     """An ordered fold of each group of `keys`: groups run in parallel, the rows of one in order.
@@ -193,3 +194,58 @@ def edge_average(df: DataFrame, keys: list[str], order: str, column: str, reach:
     r, n = F.row_number().over(w), F.count(F.lit(1)).over(part)
     more = F.greatest(reach + 1 - r, F.lit(0)) * F.first(column).over(whole) + F.greatest(r + reach - n, F.lit(0)) * F.last(column).over(whole)
     return df.withColumn(name, (F.sum(column).over(w.rowsBetween(-reach, reach)) + more) / (2 * reach + 1))
+
+
+#: Frames of a tile of the energy index.
+TILE = 64
+
+
+def energy_tiles(frames: DataFrame, key: str, frame: str, energy: str) -> DataFrame:
+    """(key, tile, values, low, high, frames): energies of frames numbered from 0 in tiles, with each tile's range and the
+    recording's number of frames. Tiles are the index that range minima and searches for quiet frames go through."""
+    t = frames.groupBy(key, F.floor(F.col(frame) / TILE).alias("tile")).agg(F.transform(F.array_sort(F.collect_list(F.struct(frame, energy))), lambda x: x[energy]).alias("values"))
+    n = t.groupBy(key).agg(F.sum(F.size("values")).alias("frames"))
+    return t.select(key, "tile", "values", F.array_min("values").alias("low"), F.array_max("values").alias("high")).join(n, key)
+
+
+def split_levels(segments: DataFrame, tiles: DataFrame, key: str, start: str, end: str, rate: float, most: float = 30.0, share: float = 0.05) -> DataFrame:
+    """(key, start, end): segments of more than `most` seconds split at a quiet frame near their middle until none is left.
+
+    A frame is quiet below the least energy of the segment plus `share` of its range. Unless the middle frame is at or below
+    that, the nearest quiet frame is taken, the right one of two; one at the segment's first frame gives way to the middle.
+    Segments of fewer than two frames, and of recordings without any, stay. All segments of a level are split together, by joins with the tiles that they
+    meet; levels are written steps, and there are about as many as doublings of `most` in the longest segment.
+    """
+    tiles = materialise(tiles, "tiles")
+    frames = tiles.select(key, "frames").distinct()
+    t = segments.select(key, F.col(start).cast("double").alias("start"), F.col(end).cast("double").alias("end")).join(frames, key, "left")
+    done = []
+    while True:
+        first, last = F.floor(F.col("start") * rate), F.when(F.col("frames").isNotNull(), F.least(F.floor(F.col("end") * rate), F.col("frames")))
+        t = t.withColumn("lo", first).withColumn("hi", last).withColumn("open", F.coalesce((F.col("end") - F.col("start") > most) & (last - first >= 2), F.lit(False)))
+        t = materialise(t.withColumn("id", F.monotonically_increasing_id()), "split")
+        done.append(t.where("NOT open").select(key, "start", "end"))
+        todo = t.where("open").withColumn("middle", F.col("lo") + F.floor((F.col("hi") - F.col("lo")) / 2))
+        if todo.isEmpty():
+            break
+        at = F.explode(F.sequence(F.floor(F.col("lo") / TILE), F.floor((F.col("hi") - 1) / TILE))).alias("tile")
+        met = todo.select(key, "id", "lo", "hi", "middle", at).join(tiles.drop("frames"), [key, "tile"])
+        begin = F.greatest(F.col("lo") - F.col("tile") * TILE, F.lit(0)).cast("int")
+        own = F.slice("values", begin + 1, F.least(F.col("hi") - F.col("tile") * TILE, F.lit(TILE)).cast("int") - begin)
+        met = met.withColumn("own", own).withColumn("base", F.col("tile") * TILE + begin)
+        low, high = F.min(F.array_min("own")), F.max(F.array_max("own"))
+        here = F.max(F.get("own", (F.col("middle") - F.col("base")).cast("int")))
+        limits = met.groupBy("id").agg((low + share * (high - low)).alias("limit"), here.alias("here"))
+        limits = materialise(limits, "limits")
+        # of frames at one distance the right one counts as nearer
+        away = F.transform("own", lambda x, i: F.when(x < F.col("limit"), 2 * F.abs(F.col("base") + i - F.col("middle")) + (F.col("base") + i < F.col("middle")).cast("int")))
+        quiet = met.where("low < high").join(limits.where("here > limit"), "id").where("low < limit").groupBy("id").agg(F.min(F.array_min(away)).alias("away"))
+        t = todo.join(quiet, "id", "left")
+        found = F.col("middle") + F.when(F.col("away") % 2 == 1, -F.floor(F.col("away") / 2)).otherwise(F.floor(F.col("away") / 2))
+        found = F.when(F.col("away").isNull() | (found == F.col("lo")) | (found == F.col("hi")), F.col("middle")).otherwise(found)
+        t = t.withColumn("mid", found / F.lit(float(rate)))
+        t = t.select(key, "frames", F.explode(F.array(F.struct("start", F.col("mid").alias("end")), F.struct(F.col("mid").alias("start"), "end"))).alias("s")).select(key, "s.start", "s.end", "frames")
+    out = done[0]
+    for d in done[1:]:
+        out = out.unionByName(d)
+    return out

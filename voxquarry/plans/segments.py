@@ -289,6 +289,26 @@ def voice_activity(spark, d):
     return t.select("rec", "ch", "seg", *[F.round(c, 6).alias(c) for c in ("start", "end", "confidence", "power", "snr")])
 
 
+@query("split_segments", """
+WITH RECURSIVE e AS (SELECT user_id % 4 AS rec, list(value ORDER BY ts, event_id) AS e FROM events GROUP BY 1),
+r AS (SELECT rec, e, 0.0::DOUBLE AS a, len(e) / 2.0::DOUBLE AS z FROM e
+  UNION ALL
+  SELECT rec, e, CASE WHEN side = 1 THEN a ELSE mid END, CASE WHEN side = 1 THEN mid ELSE z END FROM (
+    SELECT rec, e, a, z, side, CASE WHEN away IS NULL OR spot = lo OR spot = hi THEN middle ELSE spot END / 2.0::DOUBLE AS mid FROM (
+      SELECT *, middle + CASE WHEN away % 2 = 1 THEN -(away // 2) ELSE away // 2 END AS spot FROM (
+        SELECT *, CASE WHEN e[middle + 1] > lim THEN list_min(list_transform(list_filter(range(lo, hi), lambda i: e[i + 1] < lim), lambda i: 2 * abs(i - middle) + (i < middle)::INT)) END AS away FROM (
+          SELECT *, lo + (hi - lo) // 2 AS middle, list_min(e[lo + 1:hi]) + 0.05::DOUBLE * (list_max(e[lo + 1:hi]) - list_min(e[lo + 1:hi])) AS lim FROM (
+            SELECT *, floor(a * 2)::BIGINT AS lo, least(floor(z * 2)::BIGINT, len(e)) AS hi FROM r WHERE z - a > 30) WHERE hi - lo >= 2))), (SELECT unnest([1, 2]) AS side)))
+SELECT rec, a AS start, z AS "end" FROM r WHERE NOT (z - a > 30 AND least(floor(z * 2)::BIGINT, len(e)) - floor(a * 2)::BIGINT >= 2)""")
+def split_segments(spark, d):
+    """Whole recordings split at quiet values near their middles until no part has more than 30 seconds, two values a second."""
+    w = Window.partitionBy("rec").orderBy("ts", "event_id")
+    e = table(spark, d, "events").select((F.col("user_id") % 4).alias("rec"), "ts", "event_id", "value")
+    f = e.select("rec", (F.row_number().over(w) - 1).cast("long").alias("fr"), "value")
+    whole = f.groupBy("rec").agg(F.lit(0.0).alias("a"), (F.count(F.lit(1)) / 2).alias("z"))
+    return S.split_levels(whole, S.energy_tiles(f, "rec", "fr", "value"), "rec", "a", "z", 2.0)
+
+
 @query("channel_weights", "SELECT event_id, round(pow(10.0::DOUBLE, 0.1::DOUBLE * (value - max(value) OVER (PARTITION BY event_type, floor(epoch(ts) / 3600)))), 9) AS prob FROM events")
 def channel_weights(spark, d):
     """Relative power of channels in a frame (an hour here)."""
