@@ -10,8 +10,8 @@ import pyarrow as pa
 from voxquarry.llm import arrays
 
 #: Lead bytes of characters that are no white space in any Unicode version (U+00C0 to U+0FFF, U+4000 to U+EFFF, U+10000 on), and printable ASCII.
-_INK = np.zeros(256, bool)
-_INK[0x21:0x7F] = _INK[0xC3:0xE1] = _INK[0xE4:0xEF] = _INK[0xF0:0xF5] = True
+INK = np.zeros(256, bool)
+INK[0x21:0x7F] = INK[0xC3:0xE1] = INK[0xE4:0xEF] = INK[0xF0:0xF5] = True
 
 
 def cuts(buf: np.ndarray) -> np.ndarray:
@@ -22,7 +22,7 @@ def cuts(buf: np.ndarray) -> np.ndarray:
     lead = tail(1)
     for k in (2, 3, 4):
         lead = np.where((lead >= 0x80) & (lead < 0xC0), tail(k), lead)
-    return at[_INK[lead]]
+    return at[INK[lead]]
 
 
 def parts(buf: np.ndarray, most: int = arrays.CHUNK_BYTES) -> Iterator[tuple[int, int]]:

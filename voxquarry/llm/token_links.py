@@ -10,6 +10,7 @@ table of pairs nor the documents' links ever meet in one place.
 from __future__ import annotations
 
 import functools
+import itertools
 import json
 import os
 from collections.abc import Iterator
@@ -66,6 +67,29 @@ def _byte_alphabet() -> dict[str, int]:
     return {chr(b): b for b in own} | {chr(256 + k): b for k, b in enumerate(rest)}
 
 
+def _flat(lists: list[list[int]]) -> tuple[np.ndarray, np.ndarray]:
+    """All entries, and how many each list has."""
+    n = np.fromiter(map(len, lists), np.int64, len(lists))
+    return np.fromiter(itertools.chain.from_iterable(lists), np.int64, int(n.sum())), n
+
+
+def _steps(ends: np.ndarray) -> list[int]:
+    return np.diff(ends, prepend=0).tolist()
+
+
+def _cut(data: bytes, ends: np.ndarray) -> list[bytes]:
+    ends = ends.tolist()
+    return [data[i:j] for i, j in zip([0, *ends], ends, strict=False)]
+
+
+def _same(tokens: pa.Array, ids: np.ndarray, n: np.ndarray, keys: list[bytes]) -> np.ndarray:
+    """Whether the joined bytes of each slice's tokens are the slice."""
+    words = tokens.take(pa.array(ids))
+    place = np.frombuffer(words.buffers()[1], np.int64, len(words) + 1) if len(words) else np.zeros(1, np.int64)
+    joined = _cut(words.buffers()[2].to_pybytes() if len(words) else b"", place[np.cumsum(n)])
+    return np.fromiter((x == k for x, k in zip(joined, keys, strict=True)), bool, len(keys))
+
+
 class Aligner:
     """Two tokenizers from the contents of their files: byte-level BPE (A) and pieces with byte fallback that add a blank (B)."""
 
@@ -95,40 +119,66 @@ class Aligner:
         """For each slice, which starts with a blank: A tokens, B tokens, groups, links, the groups as text, the linked pairs of
         ids as longs; None where the joined bytes of A or B differ from the slice."""
         texts = [k.decode() for k in keys]
-        a_ids = [x.ids for x in self.a.encode_batch(texts, add_special_tokens=False)]
         b_ids = [x if k != b" " else [self.blank] for k, x in zip(keys, self.b.encode([t[1:] for t in texts], num_threads=1), strict=True)]
-        whole = [x == k == y for k, x, y in zip(keys, self._joined(a_ids, self.a_bytes), self._joined(b_ids, self.b_bytes), strict=True)]
-        out: list[tuple | None] = [None] * len(keys)
-        good = [k for k, ok in enumerate(whole) if ok]
-        a_of, b_of = [a_ids[k] for k in good], [b_ids[k] for k in good]
-        a = np.array([x for ids in a_of for x in ids], np.int64)
-        b = np.array([x for ids in b_of for x in ids], np.int64)
+        a, a_n = self._encoded(texts, keys)
+        b, b_n = _flat(b_ids)
+        whole = _same(self.a_bytes, a, a_n, keys) & _same(self.b_bytes, b, b_n, keys)
+        if not whole.all():
+            a, b, a_n, b_n = a[np.repeat(whole, a_n)], b[np.repeat(whole, b_n)], a_n[whole], b_n[whole]
         x, y = overlaps(self.a_lens[a], self.b_lens[b])
         root = components(len(a) + len(b), x, y + len(a))
-        group = np.cumsum(root[: len(a)] == np.arange(len(a))) - 1  # a component's smallest node is its first A token
-        a_cut = np.append(np.flatnonzero(root[: len(a)] == np.arange(len(a))), len(a)).tolist()
-        b_group = group[root[len(a) :]] if len(b) else np.zeros(0, np.int64)
-        b_cut = np.searchsorted(b_group, np.arange(len(a_cut))).tolist()
+        opens = root[: len(a)] == np.arange(len(a))  # a component's smallest node is its first A token
+        group = np.cumsum(opens) - 1
+        b_group = group[root[len(a) :]] if len(b) else group[:0]
+        a_end, b_end = np.cumsum(a_n), np.cumsum(b_n)
+        groups, links = group[a_end - 1] + 1, np.searchsorted(x, a_end)
         pairs = (a[x] << 32 | b[y]).tobytes()
-        a_text, b_text = [*map(str, a.tolist())], [*map(str, b.tolist())]
-        a_end = np.cumsum([len(ids) for ids in a_of]) if good else np.zeros(0, np.int64)
-        last_group = (group[a_end - 1] + 1).tolist() if good else []
-        last_link = np.searchsorted(x, a_end).tolist()
-        g, e = 0, 0
-        for k, m, last, link in zip(good, a_of, last_group, last_link, strict=True):
-            text = ";".join(",".join(a_text[a_cut[i] : a_cut[i + 1]]) + "|" + ",".join(b_text[b_cut[i] : b_cut[i + 1]]) for i in range(g, last))
-            out[k] = (len(m), len(b_ids[k]), last - g, link - e, text.encode(), pairs[8 * e : 8 * link])
-            g, e = last, link
+        text, place = self._text(a, b, group, b_group, b_end)
+        rows = zip(a_n.tolist(), b_n.tolist(), _steps(groups), _steps(links), _cut(text, place[a_end + b_end]), _cut(pairs, 8 * links), strict=True)
+        if whole.all():
+            return list(rows)
+        out: list[tuple | None] = [None] * len(keys)
+        for k in np.flatnonzero(whole).tolist():
+            out[k] = next(rows)
         return out
 
-    def _joined(self, ids: list[list[int]], tokens: pa.Array) -> list[bytes]:
-        """The joined bytes of each list's tokens."""
-        flat = tokens.take(pa.array([x for one in ids for x in one], pa.int64()))
-        if not len(flat):
-            return [b""] * len(ids)
-        place = np.frombuffer(flat.buffers()[1], np.int64, len(flat) + 1)[np.concatenate([[0], np.cumsum([*map(len, ids)])])].tolist()
-        data = flat.buffers()[2].to_pybytes()
-        return [data[i:j] for i, j in zip(place, place[1:], strict=False)]
+    def _encoded(self, texts: list[str], keys: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
+        """A's ids of all slices and their number in each. Slices that end in ink are encoded some hundred at a time, as their ends are cuts."""
+        ink = np.array([bool(slices.INK[t[-1].encode()[0]]) for t in texts], bool)
+        if self.cut and ink.all():
+            flat, _ = _flat([x.ids for x in self.a.encode_batch_fast(["".join(texts[i : i + 500]) for i in range(0, len(texts), 500)], add_special_tokens=False)])
+            ends, own = np.cumsum(self.a_lens[flat]), np.cumsum([*map(len, keys)])
+            last = np.searchsorted(ends, own)
+            if len(flat) and last[-1] < len(ends) and (ends[last] == own).all():
+                return flat, np.diff(last, prepend=-1)
+        elif self.cut and ink.any():
+            flat, n = np.zeros(len(keys), object), np.zeros(len(keys), np.int64)
+            for some in (np.flatnonzero(ink), np.flatnonzero(~ink)):
+                ids, n[some] = self._encoded([texts[i] for i in some], [keys[i] for i in some])
+                flat[some] = np.split(ids, np.cumsum(n[some])[:-1])
+            return np.concatenate(list(flat)), n
+        return _flat([x.ids for x in self.a.encode_batch_fast(texts, add_special_tokens=False)])
+
+    def _text(self, a: np.ndarray, b: np.ndarray, group: np.ndarray, b_group: np.ndarray, b_end: np.ndarray) -> tuple[bytes, np.ndarray]:
+        """The groups of all slices as text, and where each token's number begins in it. Numbers stand with the mark that follows."""
+        a_last = np.append(group[1:] != group[:-1], True)[: len(a)]
+        b_last = np.append(b_group[1:] != b_group[:-1], True)[: len(b)]
+        mark = np.where(b_last, 3, 2)
+        mark[b_end - 1] = 4
+        n = len(self.a_bytes)
+        many = np.concatenate([a + n * a_last, 2 * n + b + len(self.b_bytes) * (mark - 2)])
+        first_b, behind_a = np.searchsorted(b_group, group), np.searchsorted(group, b_group, side="right")
+        order = np.empty(len(many), np.int64)
+        order[np.arange(len(a)) + first_b] = np.arange(len(a))
+        order[np.arange(len(b)) + behind_a] = np.arange(len(b)) + len(a)
+        words = self.numbers.take(pa.array(many[order]))
+        return (words.buffers()[2].to_pybytes() if len(words) else b""), np.frombuffer(words.buffers()[1], np.int64, len(words) + 1) if len(words) else np.zeros(1, np.int64)
+
+    @functools.cached_property
+    def numbers(self) -> pa.Array:
+        """A's ids with a comma and with the bar, B's with a comma, with a semicolon and bare."""
+        kinds = [(len(self.a_bytes), ","), (len(self.a_bytes), "|"), (len(self.b_bytes), ","), (len(self.b_bytes), ";"), (len(self.b_bytes), "")]
+        return pa.array([f"{i}{mark}".encode() for n, mark in kinds for i in range(n)], pa.large_binary())
 
     def split(self, buf: np.ndarray, offsets: np.ndarray) -> np.ndarray:
         """Starts of the slices of texts that lie one after the other in buf."""
@@ -139,10 +189,13 @@ class Block:
     """What a block's documents hold: its slices, numbered, and each document's slices."""
 
     def __init__(self, number: int):
-        self.number, self.bytes, self.rows = number, 0, 0
+        self.number, self.bytes = number, 0
         self.slices: dict[bytes, int] = {}
-        self.facts: list[tuple | None] = []
-        self.held: list[tuple[int, np.ndarray]] = []
+        self.counts: list[tuple[int, int, int, int]] = []
+        self.texts: list[bytes] = []
+        self.links: list[bytes] = []
+        self.lost: set[int] = set()
+        self.held: list[np.ndarray] = []
 
     def add(self, aligner: Aligner, texts: list[bytes]) -> list[tuple]:
         """(n_a, n_b, n_groups, n_links, groups, slices, times) of each text; texts that the tokens don't give back have none."""
@@ -150,18 +203,19 @@ class Block:
         offsets = np.concatenate([[0], np.cumsum([*map(len, texts_in)])]).astype(np.int64)
         buf = np.frombuffer(b"".join(texts_in), np.uint8)
         numbers, first = self._numbers(aligner, buf, offsets)
-        counts = np.array([f[:4] if f else (0, 0, 0, 0) for f in self.facts], np.int64).reshape(-1, 4)
+        used, local = np.unique(numbers, return_inverse=True)
+        counts = np.array([self.counts[i] for i in used.tolist()], np.int64).reshape(-1, 4)[local]
+        groups = self.texts
         out, k = [], 0
         for t in texts:
-            own = numbers[first[k] : first[k + 1]] if t else numbers[:0]
+            begin, end = (first[k], first[k + 1]) if t else (0, 0)
             k += bool(t)
-            facts = [self.facts[i] for i in own.tolist()]
-            if None in facts:
-                own, facts = own[:0], []
+            own = numbers[begin:end]
             which, times = np.unique(own, return_counts=True)
-            self.held.append((self.rows, which))
-            self.rows += 1
-            out.append((*counts[own].sum(0).tolist(), b";".join([f[4] for f in facts]), which.astype(np.int32), times.astype(np.int32)))
+            if self.lost and not self.lost.isdisjoint(which.tolist()):
+                own, which, times, end = own[:0], which[:0], times[:0], begin
+            self.held.append(which)
+            out.append((*counts[begin:end].sum(0).tolist(), b";".join([groups[i] for i in own.tolist()]), which.astype(np.int32), times.astype(np.int32)))
         self.bytes += len(buf)
         return out
 
@@ -172,21 +226,28 @@ class Block:
         for i, j in slices.parts(buf) if long else [(0, len(buf))]:
             begin = aligner.split(buf[i:j], np.array([0, j - i]) if long else offsets)
             keys, inverse = slices.distinct(buf[i:j], begin, np.append(begin[1:], j - i))
+            get, own = self.slices.get, []
             for key, fact in zip(keys, aligner.memory.fill(keys, aligner.make), strict=True):
-                if self.slices.setdefault(key, len(self.slices)) == len(self.facts):
-                    self.facts.append(fact)
-            numbers.append(np.array([self.slices[k] for k in keys], np.int64)[inverse])
+                at = get(key)
+                if at is None:
+                    at = self.slices[key] = len(self.texts)
+                    if fact is None:
+                        self.lost.add(at)
+                    self.counts.append(fact[:4] if fact else (0, 0, 0, 0))
+                    self.texts.append(fact[4] if fact else b"")
+                    self.links.append(fact[5] if fact else b"")
+                own.append(at)
+            numbers.append(np.array(own, np.int64)[inverse])
             starts.append(begin + i)
         return np.concatenate(numbers), np.searchsorted(np.concatenate(starts), offsets)
 
     def totals(self) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
         """Linked pairs, documents that hold each, and by slice where its links begin among the links' pair numbers."""
-        links = [f[5] if f else b"" for f in self.facts]
-        first = np.concatenate([[0], np.cumsum([len(x) // 8 for x in links])]).astype(np.int64)
-        pairs, member = np.unique(np.frombuffer(b"".join(links), np.int64), return_inverse=True)
+        first = np.concatenate([[0], np.cumsum([len(x) // 8 for x in self.links])]).astype(np.int64)
+        pairs, member = np.unique(np.frombuffer(b"".join(self.links), np.int64), return_inverse=True)
         docs = np.zeros(len(pairs), np.int64)
         some, n = [], 0
-        for k, (_, which) in enumerate(self.held):
+        for k, which in enumerate(self.held):
             some.append(which)
             n += len(which)
             if n > 1 << 18 or k == len(self.held) - 1:
