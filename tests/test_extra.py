@@ -1,3 +1,7 @@
+import itertools
+import random
+import tracemalloc
+
 import numpy as np
 from voxquarry.operators import multitalker as M
 
@@ -11,6 +15,52 @@ def test_best_assignment():
     assert len(who) == 14 and errors <= 14
 
 
+def brute(refs, channels):
+    """All assignments, each channel by plain edit distance; the first of equals."""
+
+    def edits(a, b):
+        row = list(range(len(b) + 1))
+        for i, x in enumerate(a, 1):
+            new = [i]
+            for j, y in enumerate(b, 1):
+                new.append(min(row[j] + 1, new[-1] + 1, row[j - 1] + (x != y)))
+            row = new
+        return row[-1]
+
+    tries = []
+    for who in itertools.product(range(len(channels)), repeat=len(refs)):
+        said = [[w for r, k in zip(refs, who, strict=True) if k == c for w in r] for c in range(len(channels))]
+        tries.append((sum(map(edits, said, channels)), list(who)))
+    return min(tries)
+
+
+def test_assignment_equals_all_assignments():
+    rng = random.Random(15)
+    for trial in range(150):
+        n = 1 + trial % 3
+        refs = [[rng.choice("abcd") for _ in range(rng.randrange(4))] for _ in range(rng.randrange(6))]
+        channels = [[rng.choice("abcd") for _ in range(rng.randrange(7))] for _ in range(n)]
+        if trial % 2:
+            for r in refs:
+                channels[rng.randrange(n)] += [w for w in r if rng.random() < 0.8]
+        assert M.best_assignment(refs, channels) == brute(refs, channels), (refs, channels)
+
+
+def test_long_sessions_in_little_memory():
+    rng = random.Random(16)
+    refs = [[f"w{rng.randrange(400)}" for _ in range(rng.randrange(1, 15))] for _ in range(300)]
+    who = [rng.randrange(2) for _ in refs]
+    channels = [[], []]
+    for r, k in zip(refs, who, strict=True):
+        channels[k] += [w if rng.random() > 0.01 else "x" for w in r]
+    tracemalloc.start()
+    errors, got = M.best_assignment(refs, channels)
+    most = tracemalloc.get_traced_memory()[1]
+    tracemalloc.stop()
+    assert errors <= sum(c.count("x") for c in channels) and sum(a == b for a, b in zip(got, who, strict=True)) > 290
+    assert most < 50e6
+
+
 def test_delay_without_correct_words(spark):
     df = spark.createDataFrame([(1, "a", "b", 1.0, 2.0), (2, "a", "a", 1.0, 1.5), (2, "b", "b", 2.0, 3.5)], "k int, ref string, hyp string, r double, h double")
     got = {r.k: (r.n, r["mean"], r["var"]) for r in M.symbol_delay(df, ["k"], "r", "h").collect()}

@@ -9,44 +9,144 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from voxquarry.operators.relational import running
-def _read(cost: np.ndarray, words: list[str], channel: list[str], axis: int) -> np.ndarray:
-    """Costs of all positions in the channels once `words` are aligned behind each position of one channel (an axis of `cost`)."""
-    cost = np.moveaxis(cost, axis, 0)
-    heard, ramp = np.array(channel, object), np.arange(len(channel) + 1).reshape(-1, *[1] * (cost.ndim - 1))
-    for w in words:
-        best = cost + 1
-        best[1:] = np.minimum(best[1:], cost[:-1] + (heard != w).astype(np.int64).reshape(ramp[1:].shape))
-        cost = np.minimum.accumulate(best - ramp, axis=0) + ramp
-    return np.moveaxis(cost, 0, axis)
+
+#: Positions in the channels from `lo` on, and the least cost of reaching each.
+Box = tuple[tuple[int, ...], np.ndarray]
+_NEVER = 1 << 28
+
+
+def _cropped(lo: tuple[int, ...], cost: np.ndarray, alive: np.ndarray) -> Box | None:
+    """The smallest box around the positions that are alive; others in it are never reached."""
+    cost = np.where(alive, cost, _NEVER)
+    for axis in range(cost.ndim):
+        some = np.flatnonzero(alive.any(tuple(k for k in range(cost.ndim) if k != axis)))
+        if not len(some):
+            return None
+        cut = slice(some[0], some[-1] + 1)
+        cost, alive = (np.take(x, range(cut.start, cut.stop), axis) for x in (cost, alive))
+        lo = (*lo[:axis], lo[axis] + cut.start, *lo[axis + 1 :])
+    return lo, cost
+
+
+def _merged(boxes: list[Box]) -> Box | None:
+    """The least of several boxes at every position."""
+    if not boxes:
+        return None
+    low = tuple(min(x) for x in zip(*[lo for lo, _ in boxes], strict=True))
+    high = tuple(max(x) for x in zip(*[np.add(lo, c.shape) for lo, c in boxes], strict=True))
+    out = np.full(np.subtract(high, low), _NEVER, np.int32)
+    for lo, c in boxes:
+        at = tuple(slice(i - j, i - j + n) for i, j, n in zip(lo, low, c.shape, strict=True))
+        out[at] = np.minimum(out[at], c)
+    return low, out
+
+
+class _Reader:
+    """Costs of utterances in order over positions in the channels, as far as no more than `budget` errors can come of it."""
+
+    def __init__(self, refs: list[np.ndarray], channels: list[np.ndarray], budget: int):
+        self.refs, self.channels, self.budget = refs, channels, budget
+        self.left = np.concatenate([np.cumsum([len(r) for r in refs][::-1])[::-1], [0]])
+
+    def first(self) -> Box | None:
+        shape = [min(len(c), self.budget) + 1 for c in self.channels]
+        return self.kept((0,) * len(shape), np.indices(shape).sum(0).astype(np.int32), 0)
+
+    def kept(self, lo: tuple[int, ...], cost: np.ndarray, done: int) -> Box | None:
+        """Positions from which the end can be reached within the budget: what is left on both sides differs by so many errors at least."""
+        rest = -int(self.left[done])
+        for axis, (i, c) in enumerate(zip(lo, self.channels, strict=True)):
+            rest = rest + (len(c) - i - np.arange(cost.shape[axis])).reshape([-1 if k == axis else 1 for k in range(cost.ndim)])
+        return _cropped(lo, cost, cost + np.abs(rest) <= self.budget)
+
+    def read(self, box: Box | None, u: int, axis: int) -> Box | None:
+        """Costs once utterance u is aligned behind each position of one channel."""
+        if box is None:
+            return None
+        lo, cost = box
+        cost, channel, words = np.moveaxis(cost, axis, 0), self.channels[axis], self.refs[u]
+        more = min(len(channel) + 1 - lo[axis] - len(cost), len(words) + self.budget - int(cost.min()))
+        cost = np.concatenate([cost, np.full((max(more, 0), *cost.shape[1:]), _NEVER, np.int32)])
+        heard = channel[lo[axis] : lo[axis] + len(cost) - 1]
+        ramp = np.arange(len(cost), dtype=np.int32).reshape(-1, *[1] * (cost.ndim - 1))
+        for w in words:
+            best = cost + 1
+            best[1:] = np.minimum(best[1:], cost[:-1] + (heard != w).astype(np.int32).reshape(ramp[1:].shape))
+            cost = np.minimum.accumulate(best - ramp, axis=0) + ramp
+        return self.kept(lo, np.moveaxis(cost, 0, axis), u + 1)
+
+    def step(self, box: Box | None, u: int) -> Box | None:
+        return _merged([b for k in range(len(self.channels)) if (b := self.read(box, u, k)) is not None])
+
+
+def _meet(ahead: Box | None, back: Box | None, sizes: list[int]) -> int:
+    """The least sum at one position of costs so far and of costs to go, which are by distance from the ends."""
+    if ahead is None or back is None:
+        return _NEVER
+    (lo, cost), (far, rest) = ahead, back
+    rest = rest[tuple(slice(None, None, -1) for _ in sizes)]
+    start = tuple(n - i - k + 1 for n, i, k in zip(sizes, far, rest.shape, strict=True))
+    low, high = np.maximum(lo, start), np.minimum(np.add(lo, cost.shape), np.add(start, rest.shape))
+    if (low >= high).any():
+        return _NEVER
+    cut = lambda at, x: x[tuple(slice(i - j, k - j) for i, j, k in zip(low, at, high, strict=True))]
+    return int((cut(lo, cost) + cut(start, rest)).min())
+
+
+def _within(refs: list[np.ndarray], channels: list[np.ndarray], budget: int) -> tuple[int, list[int]] | None:
+    """(errors, channel of each utterance), the first of equals, if there are at most `budget` errors.
+
+    Costs to go are read backwards and kept every so many utterances; the way forward makes them again between those.
+    """
+    sizes, n = [len(c) for c in channels], len(refs)
+    back = _Reader([r[::-1] for r in refs[::-1]], [c[::-1] for c in channels], budget)
+    ahead = _Reader(refs, channels, budget)
+    every = max(1, int(np.sqrt(n)))
+    held: dict[int, Box | None] = {}
+    box = back.first()
+    for v in range(n):
+        if v % every == 0:
+            held[v] = box
+        box = back.step(box, v)
+    here = ahead.first()
+    least = _meet(here, box, sizes) if n else int(sum(sizes))
+    if least > budget:
+        return None
+    who: list[int] = []
+    block: dict[int, Box | None] = {}
+    for u in range(n):
+        to_go = n - u - 1  # utterances behind u
+        if to_go not in block:
+            v = to_go // every * every
+            block = {v: held[v]}
+            for i in range(v, to_go):
+                block[i + 1] = back.step(block[i], i)
+        for k in range(len(channels)):
+            mine = ahead.read(here, u, k)
+            if _meet(mine, block[to_go], sizes) == least:
+                break
+        who.append(k)
+        here = mine
+    return least, who
 
 
 def best_assignment(refs: list[list[str]], channels: list[list[str]]) -> tuple[int, list[int]]:
     """(errors, channel of each utterance): utterances keep their order within a channel; the assignment with fewest errors,
     the first of equals.
 
-    A dynamic programme over positions in the channels: its work grows with the product of their lengths, the words and
-    the channels, not with the number of assignments.
+    A dynamic programme over positions in the channels, restricted to what a budget of errors allows; the budget doubles
+    until it is enough, which proves the result. Work grows with the words and the square of the errors (for two channels), memory
+    with that square and the root of the number of utterances.
     """
     if not channels:
         return sum(map(len, refs)), [0] * len(refs)
-    shape = [len(c) + 1 for c in channels]
-    at = np.indices(shape).sum(0)
-    # after[u][p]: least cost of utterances u and later on what the channels hold from p on; it reads everything backwards
-    after = [at[tuple(slice(None, None, -1) for _ in shape)]]
-    flip = lambda x: x[tuple(slice(None, None, -1) for _ in shape)]
-    for r in reversed(refs):
-        back = flip(after[-1])
-        after.append(flip(np.min([_read(back, r[::-1], c[::-1], k) for k, c in enumerate(channels)], axis=0)))
-    after.reverse()
-    least, who, cost = int(after[0].flat[0]), [], at
-    for u, r in enumerate(refs):
-        for k, c in enumerate(channels):
-            mine = _read(cost, r, c, k)
-            if int((mine + after[u + 1]).min()) == least:
-                break
-        who.append(k)
-        cost = mine
-    return least, who
+    ids: dict[str, int] = {}
+    numbers = lambda words: np.array([ids.setdefault(w, len(ids)) for w in words], np.int64)
+    r, c = [numbers(x) for x in refs], [numbers(x) for x in channels]
+    budget = abs(sum(map(len, r)) - sum(map(len, c))) + 8
+    while (found := _within(r, c, budget)) is None:
+        budget *= 2
+    return found
 
 
 def assign_channels(refs: Column, channels: Column) -> Column:
