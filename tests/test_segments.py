@@ -33,6 +33,27 @@ def test_levels_split_as_one_by_one(spark):
     assert sorted(map(tuple, got.collect())) == sorted(want)
 
 
+def test_sampler(spark):
+    rng = np.random.default_rng(17)
+    data = [(i, float(x)) for i, x in enumerate(np.round(rng.gamma(2, 5, 500), 1))] + [(500, None), (501, 999.0)]
+    df = spark.createDataFrame(data, "id long, s double")
+    edges = S.quantile_edges(df, "s", 8)
+    assert len(edges) == 7 and edges == sorted(edges)
+    whole = {r["id"]: r for r in S.sampled_batches(df, "id", "s", edges, 100.0, 2, drop_last=False).collect()}
+    assert set(whole) == {i for i, x in data if x is not None}
+    assert all(r["bucket"] == sum(data[i][1] > e for e in edges) for i, r in whole.items())
+    sizes = {}
+    for i, r in whole.items():
+        sizes.setdefault((r["bucket"], r["shard"], r["batch"]), []).append(data[i][1])
+    assert all(sum(v) <= 100 or len(v) == 1 for v in sizes.values())
+    last = {}
+    for b, s, k in sizes:
+        last[b, s] = max(k, last.get((b, s), 0))
+    kept = S.sampled_batches(df, "id", "s", edges, 100.0, 2).collect()
+    assert {r["id"] for r in kept} == {i for i, r in whole.items() if r["batch"] < last[r["bucket"], r["shard"]]}
+    assert S.quantile_edges(df.where("false"), "s", 4) == []
+
+
 def test_hysteresis():
     x = np.array([0, 0.6, 0.9, 0.4, 0.9, 0.1, 0.4, 0.1, 0.1, 0.9])
     assert S.hysteresis(x, 0.5, 0.3, 2, 3) == [(1, 5)]

@@ -1,3 +1,5 @@
+import pytest
+import math
 import os
 
 import numpy as np
@@ -103,3 +105,34 @@ def test_disambiguation(spark):
     lex = [("foo", "f o o"), ("food", "f o o d"), ("food2", "f o o d"), ("bar", "b a r"), ("fo", "f o")]
     df = spark.createDataFrame([(w, t.split(), i) for i, (w, t) in enumerate(lex)], "word string, tokens array<string>, line_no int")
     assert {r.word: r.tag for r in disambiguate(df).collect()} == {"foo": "#1", "food": "#1", "food2": "#2", "bar": None, "fo": "#1"}
+
+
+@pytest.mark.parametrize(("own", "rate"), [(8000, 16000), (44100, 16000), (16000, 8000), (48000, 16000)])
+def test_resampling(own, rate):
+    """Tones below both Nyquist frequencies stay, others go; short signals equal filtering on the common grid."""
+    n = own // 2
+    t = np.arange(n) / own
+    for f in (300, 1500, 3000):
+        y = audio.resample(np.sin(2 * np.pi * f * t), own, rate)
+        want = np.sin(2 * np.pi * f * np.arange(len(y)) / rate)
+        assert len(y) == -(-n * rate // own) and np.abs(y - want)[rate // 50 : -rate // 50].max() < 0.01
+    if own > rate:
+        y = audio.resample(np.sin(2 * np.pi * 0.75 * rate * t), own, rate)
+        assert np.abs(y[rate // 50 : -rate // 50]).max() < 0.01
+    g = math.gcd(own, rate)
+    up, down, x = rate // g, own // g, np.random.default_rng(1).normal(size=57)
+    half = 10 * max(up, down)
+    k = np.arange(-half, half + 1)
+    taps = np.sinc(k / max(up, down)) * np.kaiser(2 * half + 1, 5.0)
+    wide = np.zeros(57 * up)
+    wide[::up] = x
+    whole = np.convolve(wide, taps * up / taps.sum())[half : half + 57 * up][::down]
+    assert np.allclose(audio.resample(x, own, rate), whole)
+    assert len(audio.resample(np.zeros(0), own, rate)) == 0
+
+
+def test_stereo_is_averaged():
+    x = np.stack([np.full(800, 1000), np.full(800, 3000)], 1)
+    assert (audio.decode(audio.encode(x, 16000)) == 2000).all()
+    y = audio.decode(audio.encode(x, 8000))
+    assert len(y) == 1600 and np.abs(y[200:-200] - 2000).max() <= 10

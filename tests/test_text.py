@@ -1,3 +1,6 @@
+import random
+import re
+
 import pytest
 from pyspark.sql import functions as F
 
@@ -54,10 +57,6 @@ def test_times_and_tokens(spark):
     assert d.select(X.digits_in_english(F.col("t"), "oh")).first()[0] == "one oh two"
 
 
-def test_recovers_bytes():
-    assert X.recover_bytes("aé".encode()[:-1] + b"z") == "az"
-
-
 def test_sql_functions(spark):
     from voxquarry.functions.registry import apply_model, register
 
@@ -66,3 +65,42 @@ def test_sql_functions(spark):
     assert [tuple(r) for r in spark.sql("SELECT * FROM align_words('a b', 'a c b')").collect()] == [(0, "a", "a"), (1, None, "c"), (2, "b", "b")]
     df = spark.range(3).withColumnRenamed("id", "x")
     assert sorted(r[0] for r in apply_model(df, lambda p: p.assign(x=p.x * 2), "x long").collect()) == [0, 2, 4]
+
+
+def most_characters(symbols):
+    """The most single characters that disjoint runs of up to four symbols decode to, by dynamic programming."""
+    to_byte = {c: b for b, c in enumerate(X.BYTE_ALPHABET)} | {X.UNKNOWN_SYMBOL: 32}
+
+    def one(run):
+        try:
+            text = bytes(to_byte[c] for c in run).decode()
+        except (ValueError, KeyError):
+            return None
+        return text if len(text) == 1 else None
+
+    best = [(0, "")]
+    for i in range(1, len(symbols) + 1):
+        tries = [best[i - 1]] + [(best[i - j][0] + 1, best[i - j][1] + c) for j in range(1, min(4, i) + 1) if (c := one(symbols[i - j : i])) is not None]
+        best.append(max(tries, key=lambda t: t[0]))
+    return best[-1][1]
+
+
+def test_byte_symbols_keep_the_most_characters(spark):
+    rng = random.Random(4)
+    texts = ["", "plain [text] ^-\\", "é漢😀\x00\x7f", "a \t\n b\u3000c", None]
+    texts += ["".join(rng.choice("aé漢😀 -]ÿ\x00\u0800\ud7ff\uffff\U0010ffff") for _ in range(20)) for _ in range(60)]
+    df = spark.createDataFrame([(t,) for t in texts], "t string")
+    got = df.select("t", X.to_byte_symbols(F.col("t")).alias("s")).select("t", "s", X.from_byte_symbols(F.col("s")).alias("b")).collect()
+    for r in got:
+        if r["t"] is None:
+            assert r["s"] is None and r["b"] is None
+            continue
+        flat = re.sub(r"\s+", " ", r["t"])
+        assert r["s"] == "".join(X.BYTE_ALPHABET[x] for x in flat.encode()) and r["b"] == flat
+    broken = []
+    for r in got:
+        if r["s"]:
+            broken += ["".join(c for c in r["s"] if rng.random() > 0.2), "".join(rng.sample(r["s"], len(r["s"]))), r["s"][:-1] + "⁇x漢"]
+    df = spark.createDataFrame([(t,) for t in broken], "s string")
+    for r in df.select("s", X.from_byte_symbols(F.col("s")).alias("b")).collect():
+        assert r["b"] == most_characters(r["s"]), r["s"]

@@ -129,6 +129,38 @@ def bucket_batches(df: DataFrame, length: str, order: str, edges: list[float], m
     return t.join(F.broadcast(first), "bucket").withColumn("batch", F.floor((F.col("before") - F.col("_f")) / most)).drop("_h", "_f", "before")  # a row for each bucket
 
 
+def quantile_edges(df: DataFrame, length: str, buckets: int, accuracy: int = 10_000) -> list[float]:
+    """Inner edges of `buckets` buckets with as many rows each, from a quantile sketch of bounded size."""
+    shares = [k / buckets for k in range(1, buckets)]
+    found = df.agg(F.percentile_approx(length, shares, accuracy)).first()[0]
+    return sorted(set(found or []))
+
+
+def sampled_batches(df: DataFrame, key: str, length: str, edges: list[float], most: float, shards: int = 1, drop_last: bool = True, seed: str = "batch") -> DataFrame:
+    """(key, bucket, shard, batch) of a bucketing sampler: rows of one bucket of lengths are dealt to shards and taken in order of
+    hashes; a batch is closed before the row that would bring it over `most`. The last batch of a shard, which may not be
+    full, is left out with `drop_last`.
+
+    Choose so many shards that one of a bucket fits in a task. Keys must be unique; rows without a length are left out. A
+    row longer than `most` is a batch alone.
+    """
+    draw = lambda what: F.crc32(F.concat(F.lit(f"{seed}|{what}|"), F.col(key).cast("string")).cast("binary"))
+    bucket = sum(((F.col(length) > e).cast("int") for e in edges), F.lit(0))
+    t = df.where(F.col(length).isNotNull()).select(key, F.col(length).cast("double").alias("_l"), bucket.alias("bucket"), (draw("shard") % shards).alias("shard"), draw("order").alias("_h"))
+    schema = T.StructType([T.StructField(key, df.schema[key].dataType), T.StructField("batch", T.LongType())])
+
+    def fold(ids, lengths):
+        rows, n, total = [], 0, 0.0
+        for i, x in zip(ids, lengths, strict=True):
+            if total and total + x > most:
+                n, total = n + 1, 0.0
+            total += x
+            rows.append((i, n))
+        return [r for r in rows if r[1] < n] if drop_last else rows
+
+    return _fold(t, ["bucket", "shard"], ["_h", key], [key, "_l"], schema, fold).select(key, "bucket", "shard", "batch")
+
+
 def concatenate(df: DataFrame, keys: list[str], order: str, duration: str, gap: float) -> DataFrame:
     """Offsets of rows laid one after the other with a gap between."""
     w = Window.partitionBy(*keys).orderBy(order).rowsBetween(Window.unboundedPreceding, -1)

@@ -181,6 +181,11 @@ def wav_bytes(samples: pd.Series) -> pd.Series:
     return samples.map(lambda x: audio.encode(np.clip(np.asarray(x), -16000, 16000)))
 
 
+@F.pandas_udf(T.BinaryType())
+def stereo_bytes(samples: pd.Series, rate: pd.Series) -> pd.Series:
+    return pd.Series([audio.encode(np.stack([np.clip(np.asarray(x), -16000, 16000), np.zeros(len(x))], 1), int(r)) for x, r in zip(samples, rate, strict=True)])
+
+
 @F.pandas_udf(T.LongType())
 def pcm_sum(pcm: pd.Series) -> pd.Series:
     return pcm.map(lambda x: int(np.frombuffer(x, "<i2").astype(np.int64).sum()))
@@ -209,6 +214,17 @@ def audio_files(spark, d):
     return t.select(F.regexp_extract("path", USER, 1).cast("long").alias("user_id"), "duration", pcm_sum("pcm").alias("total"))
 
 
+@query("resampled_audio", """SELECT user_id::BIGINT AS user_id, rate, count(*)::BIGINT AS written, ceil(count(*) * (16000.0 / rate))::BIGINT AS samples, ceil(count(*) * (16000.0 / rate))::BIGINT / 16000.0::DOUBLE AS duration
+FROM events, (SELECT unnest([8000, 44100]) AS rate) GROUP BY user_id, rate""")
+def resampled_audio(spark, d):
+    """Stereo files of 8 and 44.1 kHz, written and read as mono at 16 kHz."""
+    path = shared_path(spark, "audio")
+    t = waves(spark, d).select("user_id", "samples", F.explode(F.array(F.lit(8000), F.lit(44100))).alias("rate"))
+    binary.write_files(t.select(F.concat_ws("-", "user_id", F.col("rate").cast("string")).alias("stem"), stereo_bytes("samples", "rate").alias("content")).select(F.concat("stem", F.lit(".wav")).alias("name"), "content"), path).agg(F.sum("bytes")).first()
+    read = audio.read_audio(spark, path).select(F.regexp_extract("path", r"(\d+)-(\d+)\.wav$", 1).cast("long").alias("user_id"), F.regexp_extract("path", r"(\d+)-(\d+)\.wav$", 2).cast("int").alias("rate"), F.floor(F.octet_length("pcm") / 2).alias("samples"), "duration")
+    return read.join(t.select("user_id", "rate", F.size("samples").cast("long").alias("written")), ["user_id", "rate"])
+
+
 @query("audio_concatenation", "SELECT user_id % 5 AS part, count(*)::BIGINT AS samples, sum(floor(value))::BIGINT AS total FROM events GROUP BY 1")
 def audio_concatenation(spark, d):
     """Files of a group laid one after the other."""
@@ -341,6 +357,22 @@ def byte_numbers(spark, d):
     return t.select("doc_id", F.size("b").cast("long").alias("n"), total.alias("total"), F.array_max("b").cast("long").alias("most"))
 
 
+def quoted(x: str) -> str:
+    return "'" + x.replace("'", "''") + "'"
+
+
+@query("byte_recovery", f"""
+WITH s AS (SELECT doc_id, list_transform(range(0, octet_length(encode(t))), lambda i: {quoted(X.BYTE_ALPHABET)}[('0x' || substr(hex(encode(t)), 2 * i + 1, 2))::INT + 1]) AS s FROM (SELECT doc_id, regexp_replace(text, {quoted(X.ANY_SPACE)}, ' ', 'g') AS t FROM documents)),
+b AS (SELECT doc_id, array_to_string(s, '') AS whole, array_to_string(list_filter(s, lambda c, i: i % 7 <> 0), '') AS broken FROM s),
+r AS (SELECT doc_id, len(whole)::INT AS symbols, array_to_string(regexp_extract_all(broken, {quoted(X.VALID_SYMBOLS)}), '') AS good FROM b)
+SELECT doc_id, symbols, decode(unhex(array_to_string(list_transform(string_split(good, ''), lambda c: printf('%02x', instr({quoted(X.BYTE_ALPHABET)}, c)::INT - 1)), ''))) AS text FROM r""")
+def byte_recovery(spark, d):
+    """Texts as byte symbols, every seventh of which is lost, and what can be recovered of them."""
+    t = table(spark, d, "documents").select("doc_id", X.to_byte_symbols(F.col("text")).alias("whole"))
+    broken = F.regexp_replace("whole", "(.{6}).", "$1")
+    return t.select("doc_id", F.length("whole").alias("symbols"), X.from_byte_symbols(broken).alias("text"))
+
+
 @query("cjk_splitting", "SELECT n_nationkey, array_to_string(regexp_extract_all(regexp_replace(n_name || '漢字かな ' || n_nationkey || 'テスト', '([\\x{1100}-\\x{11FF}\\x{2E80}-\\x{A4CF}])', ' \\1 ', 'g'), '\\S+'), '|') AS tokens FROM nation")
 def cjk_splitting(spark, d):
     """CJK characters as words of their own."""

@@ -183,17 +183,30 @@ def duration_buckets(spark, d):
     return t.groupBy("bucket").agg(F.count(F.lit(1)).alias("n"), F.round(F.sum("duration"), 6).alias("total"))
 
 
-@query("concatenation_offsets", f'SELECT conv_id, turn, coalesce(sum(duration + 1) OVER (PARTITION BY conv_id ORDER BY turn ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0)::DOUBLE AS "offset" FROM {SEG}')
-def concatenation_offsets(spark, d):
-    return S.concatenate(segments(spark, d), ["conv_id"], "turn", "duration", 1.0).select("conv_id", "turn", "offset")
-
-
 def crc32_sql(text: str) -> str:
     """CRC-32 of an ASCII text: an exclusive-or for each byte, then eight shifts with the reversed polynomial."""
     steps = f"list_prepend(4294967295::BIGINT, flatten(list_transform(string_split({text}, ''), lambda x: [ascii(x)::BIGINT, -1, -1, -1, -1, -1, -1, -1, -1])))"
     return f"xor(list_reduce({steps}, lambda c, x: CASE WHEN x >= 0 THEN xor(c, x) ELSE xor(c >> 1, (c & 1) * 3988292384) END), 4294967295)"
 
 
+@query("sampler_batches", f"""
+WITH RECURSIVE p AS (SELECT p_partkey AS id, p_retailprice::DOUBLE AS l FROM part), q AS (SELECT quantile_disc(l, [{', '.join(f'{k}/30.0' for k in range(1, 30))}]) AS q FROM p),
+d AS (SELECT id, l, len(list_filter(list_distinct(q), lambda e: l > e)) AS bucket, {crc32_sql("'batch|shard|' || id")} % 2 AS shard, {crc32_sql("'batch|order|' || id")} AS h FROM p, q),
+o AS MATERIALIZED (SELECT *, row_number() OVER (PARTITION BY bucket, shard ORDER BY h, id) AS k FROM d),
+b AS (SELECT bucket, shard, k, id, l AS total, 0 AS batch FROM o WHERE k = 1
+  UNION ALL SELECT o.bucket, o.shard, o.k, o.id, CASE WHEN b.total > 0 AND b.total + o.l > 6000 THEN o.l ELSE b.total + o.l END, CASE WHEN b.total > 0 AND b.total + o.l > 6000 THEN b.batch + 1 ELSE b.batch END FROM b JOIN o ON o.bucket = b.bucket AND o.shard = b.shard AND o.k = b.k + 1)
+SELECT id, bucket::INT AS bucket, shard::BIGINT AS shard, batch::BIGINT AS batch FROM (SELECT *, max(batch) OVER (PARTITION BY bucket, shard) AS last FROM b) WHERE batch < last""")
+def sampler_batches(spark, d):
+    """Thirty buckets of prices as lengths, two shards, batches of 6000, incomplete ones dropped."""
+    t = table(spark, d, "part").select(F.col("p_partkey").alias("id"), F.col("p_retailprice").cast("double").alias("l"))
+    return S.sampled_batches(t, "id", "l", S.quantile_edges(t, "l", 30, 1_000_000), 6000.0, 2)
+
+
+@query("concatenation_offsets", f'SELECT conv_id, turn, coalesce(sum(duration + 1) OVER (PARTITION BY conv_id ORDER BY turn ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0)::DOUBLE AS "offset" FROM {SEG}')
+def concatenation_offsets(spark, d):
+    return S.concatenate(segments(spark, d), ["conv_id"], "turn", "duration", 1.0).select("conv_id", "turn", "offset")
+
+
 @query("noise_plan", f"""
 WITH t AS (SELECT conv_id || '-' || turn AS id FROM {SEG}), x AS (SELECT id, {crc32_sql("'noise|pick|' || id")} % 1048576 / 1048576.0::DOUBLE AS p, {crc32_sql("'noise|snr|' || id")} % 1048576 / 1048576.0::DOUBLE AS s FROM t)
 SELECT id, p < 0.5 AS noisy, CASE WHEN p < 0.5 THEN 10.0::DOUBLE + s * 10.0::DOUBLE END AS snr FROM x""")
