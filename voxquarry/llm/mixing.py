@@ -102,14 +102,14 @@ def _with_copies(sized: DataFrame, columns: list, cut: DataFrame, units: DataFra
     return out.select(*columns, "size", "source_size", "target", "copies", "taken")
 
 
-def mix(docs: DataFrame, seed: str = "mix", buckets: int = 4, weights=WEIGHTS, share: float = 1.5, max_epochs: int = 2, skip: bool = True) -> DataFrame:
+def mix(docs: DataFrame, seed: str = "mix", buckets: int = 4, weights=WEIGHTS, share: float = 1.5, max_epochs: int = 2) -> DataFrame:
     """Adds size, source_size, target, copies and taken to each row of `docs` (doc_id, text, source, ...).
 
     Every document of a source is taken floor(target / size) times; for the rest, documents follow in order of a seeded
-    hash of doc_id, each that still fits (without `skip`: up to the first that does not fit); then one more document comes in if that brings the source nearer its target (the
-    nearest in size; ties by hash, doc_id). The running sum goes over `16 ** buckets` hash ranges per source first,
-    and over single documents in the range that the rest ends in, so that no task holds a source. No document exceeds
-    max_epochs times its size: whole copies are at most max_epochs, and exactly that many only when nothing is left over.
+    hash of doc_id, each that still fits; then one more comes in if that brings the source nearer its target (the nearest
+    in size; ties by hash, doc_id). Running sums go over `16 ** buckets` hash ranges per source first, and over single
+    documents in the range that a sum ends in, so that no task holds a source. No document exceeds max_epochs times its
+    size: whole copies are at most max_epochs, and exactly that many only when nothing is left over.
 
     Null text has size 0, null source is a source of its own, null doc_id is drawn by its text's size. Repeated rows
     draw together, in arbitrary order among themselves. Columns with the names of added ones are replaced.
@@ -126,60 +126,16 @@ def mix(docs: DataFrame, seed: str = "mix", buckets: int = 4, weights=WEIGHTS, s
     key = F.struct(F.col("source").isNull(), F.coalesce("source", F.lit("")))
     s = small(materialise(sources.select(key.alias("_k"), "source_size", "target", "_whole", "_rest"), "mix-sources"))
 
-    if skip:
-        return _with_copies(sized, row, *_filled(slim, key, s), key, max_epochs)
-
-    # the hash range in which the rest of a source ends, and what the ranges before it hold
-    run = Window.partitionBy("_k").orderBy("_b")
-    ends = (
-        sums.withColumn("_k", key)
-        .withColumn("_before", F.coalesce(F.sum("s").over(run.rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)))
-        .join(s.select("_k", "_rest"), "_k")
-        .where((F.col("_before") <= F.col("_rest")) & (F.col("_before") + F.col("s") > F.col("_rest")))
-        .select("_k", F.col("_b").alias("_end"), "_before", "_rest")
-        .groupBy("_k").agg(F.min_by(F.struct("_end", "_before", "_rest"), "_end").alias("e")).select("_k", "e.*")
-    )
-    ends = materialise(ends, "mix-ends")
-    at_end = small(ends)
-    within = Window.partitionBy("_k", "_b").orderBy("_h", "doc_id", "size").rowsBetween(Window.unboundedPreceding, 0)
-    last = (
-        slim.withColumn("_k", key)
-        .join(at_end.withColumnRenamed("_end", "_b"), ["_k", "_b"])
-        .withColumn("_run", F.col("_before") + F.sum("size").over(within))
-        .where(F.col("_run") <= F.col("_rest"))
-        .groupBy("_k").agg(F.max_by(F.struct("_h", "doc_id", "size"), F.struct("_h", "doc_id", "size")).alias("_last"), F.max("_run").alias("_got"))
-    )
-    cut = s.join(ends.drop("_rest"), "_k", "left").join(last, "_k", "left")
-    cut = materialise(cut.withColumn("_got", F.coalesce("_got", "_before", F.when(F.col("_rest") >= F.col("source_size"), F.col("source_size")).otherwise(F.lit(0)))), "mix-cut")
-
-    def taken_by_hash(at):
-        return F.when(F.col("_end").isNull(), F.col("_rest") >= F.col("source_size")).otherwise(
-            (F.col("_b") < F.col("_end")) | (F.coalesce((F.col("_b") == F.col("_end")) & (at <= F.col("_last")), F.lit(False)))
-        )
-
-    at = F.struct("_h", "doc_id", "size")
-    gap = F.abs(F.col("size") - (F.col("_rest") - F.col("_got")))
-    extra = (
-        slim.withColumn("_k", key)
-        .join(small(cut).select("_k", "source_size", "_rest", "_end", "_last", "_got"), "_k")
-        .where(~taken_by_hash(at) & (F.col("size") > 0) & (gap < F.col("_rest") - F.col("_got")))
-        .groupBy("_k").agg(F.min(F.struct(gap.alias("g"), "_h", "doc_id", "size")).alias("_x"))
-    )
-    cut = small(materialise(cut.join(extra, "_k", "left"), "mix-extra"))
-    out = sized.withColumn("_k", key).join(cut, "_k", "left")
-    more = taken_by_hash(at) | F.coalesce((F.col("_h") == F.col("_x._h")) & F.col("doc_id").eqNullSafe(F.col("_x.doc_id")) & (F.col("size") == F.col("_x.size")), F.lit(False))
-    copies = F.when(F.col("size") > 0, F.col("_whole") + F.when(more & (F.col("_whole") < max_epochs), 1).otherwise(0)).otherwise(F.lit(0)).cast("long")
-    out = out.withColumn("copies", copies).withColumn("taken", F.col("size") * F.col("copies"))
-    return out.select(*row, "size", "source_size", "target", "copies", "taken")
+    return _with_copies(sized, row, *_filled(slim, key, s), key, max_epochs)
 
 
 def op8_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents").select("doc_id", "text", "source")
-    return mix(docs, skip=False).select("doc_id", "size", "source_size", "target", "taken")
+    return mix(docs).select("doc_id", "size", "source_size", "target", "taken")
 
 
 OP8_SQL = """
-WITH d AS (
+WITH RECURSIVE d AS (
   SELECT doc_id, source, coalesce(len(regexp_extract_all(text, '[^\\x20\\x09-\\x0D]+')), 0)::BIGINT AS size,
          md5('mix:' || doc_id::VARCHAR) AS h FROM documents),
 s0 AS (SELECT source, sum(size)::BIGINT AS source_size FROM d GROUP BY source),
@@ -195,13 +151,17 @@ s3 AS (SELECT source, source_size, CASE WHEN fn IS NULL OR n < fn THEN cap::DOUB
        FROM s2 LEFT JOIN f ON true),
 s AS (SELECT *, CASE WHEN source_size > 0 THEN floor(target / source_size)::BIGINT ELSE 0 END AS whole,
              target - (CASE WHEN source_size > 0 THEN floor(target / source_size)::BIGINT ELSE 0 END) * source_size AS rest FROM s3),
-r AS (SELECT d.doc_id, d.source, d.size, d.h, s.source_size, s.target, s.whole, s.rest,
-             sum(d.size) OVER (PARTITION BY d.source ORDER BY d.h, d.doc_id, d.size ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW) AS run
+r AS MATERIALIZED (SELECT d.doc_id, d.source, coalesce(d.source, '') AS src, d.source IS NULL AS none, d.size, d.h, s.source_size, s.target, s.whole, s.rest,
+             row_number() OVER (PARTITION BY d.source ORDER BY d.size = 0, d.h, d.doc_id, d.size) AS i
       FROM d JOIN s ON d.source IS NOT DISTINCT FROM s.source),
-g AS (SELECT source, coalesce(max(run) FILTER (WHERE run <= rest), 0)::BIGINT AS got FROM r GROUP BY source),
-x AS (SELECT r.*, g.got, r.run <= r.rest AS byhash,
-             CASE WHEN r.run > r.rest AND r.size > 0 AND abs(r.size - (r.rest - g.got)) < r.rest - g.got THEN abs(r.size - (r.rest - g.got)) END AS gap
-      FROM r JOIN g ON r.source IS NOT DISTINCT FROM g.source),
+-- document by document: each that still fits
+t AS (SELECT src, none, i, CASE WHEN size <= rest THEN size ELSE 0 END::BIGINT AS got, size <= rest AS fits FROM r WHERE i = 1
+  UNION ALL
+  SELECT r.src, r.none, r.i, t.got + CASE WHEN t.got + r.size <= r.rest THEN r.size ELSE 0 END, t.got + r.size <= r.rest FROM t JOIN r ON r.src = t.src AND r.none = t.none AND r.i = t.i + 1),
+g AS (SELECT src, none, max(got) AS got FROM t GROUP BY ALL),
+x AS (SELECT r.*, t.fits AS byhash,
+             CASE WHEN NOT t.fits AND r.size > 0 AND abs(r.size - (r.rest - g.got)) < r.rest - g.got THEN abs(r.size - (r.rest - g.got)) END AS gap
+      FROM r JOIN t USING (src, none, i) JOIN g USING (src, none)),
 y AS (SELECT *, row_number() OVER (PARTITION BY source ORDER BY gap NULLS LAST, h, doc_id) AS k FROM x)
 SELECT doc_id, size, source_size, target,
        (CASE WHEN size = 0 THEN 0 ELSE size * (whole + CASE WHEN whole < 2 AND (byhash OR (gap IS NOT NULL AND k = 1)) THEN 1 ELSE 0 END) END)::BIGINT AS taken
