@@ -253,35 +253,46 @@ def _secret(s: str, key: bytes, back: bool) -> str | None:
 
 _HEXADECIMAL = re.compile("[0-9a-f]+|[0-9A-F]+")
 #: Prefixes of widely used access keys.
-_PREFIX = re.compile(r"(?:AKIA|ASIA|AIza|sk-|pk-|gh[pousr]_|glpat-|xox[abprs]-)?")
+_PREFIX = re.compile(r"(?:AKIA|ASIA|AIza|sk-|pk-|gh[pousr]_|glpat-|xox[abprs]-|eyJ)?")
 _NAMES = r"(?<![A-Za-z])(?i:pass(?:word|wd|phrase)?|pwd|secret|token|api[_-]?key|access[_-]?key|secret[_-]?key|private[_-]?key|auth|credential)s?"
 _OCTETS = r"\d{1,3}(?:\.\d{1,3}){3}"
-#: Kind, pattern and pseudonym of each kind of value, in order of precedence. The value is the group `v`, or all that matches.
-KINDS: tuple[tuple[str, str, Callable[[str, bytes, bool], str | None]], ...] = (
-    ("secret", r"(?<![A-Za-z0-9_-])(?:(?:AKIA|ASIA)[0-9A-Z]{16}|AIza[0-9A-Za-z_-]{35}|[sp]k-[A-Za-z0-9_-]{20,200}|gh[pousr]_[A-Za-z0-9]{30,200}|glpat-[A-Za-z0-9_-]{20,200}|xox[abprs]-[A-Za-z0-9-]{10,200})(?![A-Za-z0-9_-])", _secret),
-    ("secret", r"[=:][ \t]{0,4}[\"']?(?P<v>[0-9a-f]{32,128}|[0-9A-F]{32,128})(?![0-9A-Za-z])", _secret),
-    ("secret", _NAMES + r"[\"']?[ \t]{0,4}(?:[=:]|=>)[ \t]{0,4}(?:\"(?P<v>[^\"\s]{6,200})\"|'(?P<w>[^'\s]{6,200})'|(?P<x>(?=[A-Za-z_+/.=-]{0,200}\d)[A-Za-z0-9_+/.=-]{8,200})(?![\w@]))", _secret),
-    ("email", r"(?<![\w.%+-])[._%+-]*(?P<v>[^\W_][\w.%+-]*+@(?:[A-Za-z0-9](?:[A-Za-z0-9-]{0,61}[A-Za-z0-9])?\.)+[A-Za-z]{2,24})(?![\w-])", _email),
-    ("iban", r"(?<!\w)[A-Z]{2}\d{2}(?: ?[A-Z0-9]{4}){2,7}(?: ?[A-Z0-9]{1,3})?(?!\w)", _iban),
-    ("ipv6", r"(?<![\w:.])(?=[0-9A-Fa-f:]{0,34}:)(?:[0-9A-Fa-f]{0,4}:){2,7}[0-9A-Fa-f]{0,4}(?![\w:]|\.\d)", _ipv6),
-    ("ipv4", rf"(?<![\w.]){_OCTETS}(?!\.?\w)", _ipv4),
-    ("date", r"(?<![\w/.-])(?:\d{4}([-/.])\d{1,2}\1\d{1,2}|\d{1,2}([-/.])\d{1,2}\2\d{4})(?![\w/-]|\.\d)", _date),
-    ("ssn", r"(?<![\w-])\d{3}-\d{2}-\d{4}(?![\w-])", _ssn),
-    ("phone", r"(?<![\w.-])\+\d{1,3}(?:[ .-]?\(?\d{1,5}\)?){2,6}(?![\w-]|\.\d)", _phone),
-    ("phone", r"(?<![\w.+-])(?:\d{1,3}[ .-]?)?(?:\(\d{3}\) ?|\d{3}[.-])\d{3}[ .-]\d{4}(?![\w-]|\.\d)", _phone),
-    ("card", r"(?<![\w.-])\d(?:[ -]?\d){12,18}(?![\w-]|\.\d)", _card),
+
+
+def _has(*parts: str) -> Callable[[str], bool]:
+    return lambda text: any(p in text for p in parts)
+
+
+#: What must stand in a text that a pattern matches: parts that the pattern itself asks for.
+_DIGIT, _AT, _COLON, _SET = re.compile(r"\d").search, _has("@"), _has(":"), _has("=", ":")
+_KEYS = _has("AKIA", "ASIA", "AIza", "sk-", "pk-", *(f"gh{c}_" for c in "pousr"), "glpat-", *(f"xox{c}-" for c in "abprs"))
+#: Kind, pattern, pseudonym and what the pattern needs of each kind of value, in order of precedence. The value is the group `v`, or all that matches.
+KINDS: tuple[tuple[str, str, Callable[[str, bytes, bool], str | None], Callable[[str], object]], ...] = (
+    ("secret", r"(?<![A-Za-z0-9_-])(?:(?:AKIA|ASIA)[0-9A-Z]{16}|AIza[0-9A-Za-z_-]{35}|[sp]k-[A-Za-z0-9_-]{20,}+|gh[pousr]_[A-Za-z0-9]{30,}+|glpat-[A-Za-z0-9_-]{20,}+|xox[abprs]-[A-Za-z0-9-]{10,}+)(?![A-Za-z0-9_-])", _secret, _KEYS),
+    ("secret", r"(?<![A-Za-z0-9_-])eyJ[A-Za-z0-9_-]{8,}+\.[A-Za-z0-9_-]{4,}+(?:\.[A-Za-z0-9_-]++)?(?![A-Za-z0-9_-])", _secret, _has("eyJ")),
+    ("secret", r"[=:][ \t]{0,4}[\"']?(?P<v>[0-9a-f]{32,}+|[0-9A-F]{32,}+)(?![0-9A-Za-z])", _secret, _SET),
+    ("secret", _NAMES + r"[\"']?[ \t]{0,4}(?:[=:]|=>)[ \t]{0,4}(?:\"(?P<v>[^\"\s]{6,}+)\"|'(?P<w>[^'\s]{6,}+)'|(?P<x>(?=[A-Za-z_+/.=-]*+\d)[A-Za-z0-9_+/.=-]{8,}+)(?![\w@]))", _secret, _SET),
+    ("email", r"(?<![\w.%+-])[._%+-]*(?P<v>[^\W_][\w.%+-]*+@(?:[A-Za-z0-9](?:[A-Za-z0-9-]{0,61}[A-Za-z0-9])?\.)+[A-Za-z]{2,24})(?![\w-])", _email, _AT),
+    ("iban", r"(?<!\w)[A-Z]{2}\d{2}(?: ?[A-Z0-9]{4}){2,7}(?: ?[A-Z0-9]{1,3})?(?!\w)", _iban, _DIGIT),
+    ("ipv6", r"(?<![\w:.])(?=[0-9A-Fa-f:]{0,34}:)(?:[0-9A-Fa-f]{0,4}:){2,7}[0-9A-Fa-f]{0,4}(?![\w:]|\.\d)", _ipv6, _COLON),
+    ("ipv4", rf"(?<![\w.]){_OCTETS}(?!\.?\w)", _ipv4, _DIGIT),
+    ("date", r"(?<![\w/.-])(?:\d{4}([-/.])\d{1,2}\1\d{1,2}|\d{1,2}([-/.])\d{1,2}\2\d{4})(?![\w/-]|\.\d)", _date, _DIGIT),
+    ("ssn", r"(?<![\w-])\d{3}-\d{2}-\d{4}(?![\w-])", _ssn, _DIGIT),
+    ("phone", r"(?<![\w.-])\+\d{1,3}(?:[ .-]?\(?\d{1,5}\)?){2,6}(?![\w-]|\.\d)", _phone, _DIGIT),
+    ("phone", r"(?<![\w.+-])(?:\d{1,3}[ .-]?)?(?:\(\d{3}\) ?|\d{3}[ .-])\d{3}[ .-]\d{4}(?![\w-]|\.\d)", _phone, _DIGIT),
+    ("card", r"(?<![\w.-])\d(?:[ -]?\d){12,18}(?![\w-]|\.\d)", _card, _DIGIT),
 )
-_PATTERNS = [(kind, re.compile(pattern), make) for kind, pattern, make in KINDS]
-_TRIGGER = re.compile(r"[0-9@]|::|" + _NAMES)
+_PATTERNS = [(kind, re.compile(pattern), make, need) for kind, pattern, make, need in KINDS]
+_NEEDS = {need for *_, need in KINDS}
 
 
 def findings(text: str | None, key: bytes = KEY, back: bool = False) -> list[tuple[int, int, str, str]]:
     """(start, end, kind, pseudonym) of each value in a text, in order; a kind earlier in KINDS wins over an overlap, then the first in the text."""
-    if not text or not _TRIGGER.search(text):
+    if not text:
         return []
     out: list[tuple[int, int, str, str]] = []
-    for kind, pattern, make in _PATTERNS:
-        if kind == "email" and "@" not in text:
+    held = {need: need(text) for need in _NEEDS}
+    for kind, pattern, make, need in _PATTERNS:
+        if not held[need]:
             continue
         own: list[tuple[int, int, str, str]] = []
         k = 0  # of the values found so far, which do not overlap, the first that ends behind the match's start
