@@ -46,6 +46,23 @@ def test_assignment_equals_all_assignments():
         assert M.best_assignment(refs, channels) == brute(refs, channels), (refs, channels)
 
 
+def test_query_equals_all_assignments(spark):
+    from helpers import DATA
+
+    from voxquarry.plans.extra import multi_talker_wer
+
+    turns = {}
+    for r in spark.read.parquet(f"{DATA}/conversations.parquet").orderBy("conv_id", "turn").collect():
+        turns.setdefault(r["conv_id"], []).append((r["turn"], r["role"], r["text"].lower().split()))
+    got = {r["conv_id"]: r for r in multi_talker_wer(spark, DATA).collect()}
+    assert set(got) == set(turns)
+    for k, t in turns.items():
+        refs = [w for _, role, w in t if role == "user"]
+        channels = [[x for n, role, w in t if role != "user" and (n % 4 == 1) == odd for x in w] for odd in (True, False)]
+        errors, who = brute(refs, channels)
+        assert (got[k]["errors"], got[k]["words"], got[k]["assignment"]) == (errors, sum(map(len, refs)), " ".join(map(str, who)))
+
+
 def test_long_sessions_in_little_memory():
     rng = random.Random(16)
     refs = [[f"w{rng.randrange(400)}" for _ in range(rng.randrange(1, 15))] for _ in range(300)]

@@ -38,3 +38,32 @@ def test_state_costs(spark):
     arcs = spark.createDataFrame([("b", "x", "bx", 2.0), ("", "x", "x", 5.0)], "src string, token string, dst string, cost double")
     back = spark.createDataFrame([("ab", "b", 1.0), ("b", "", 1.0)], "src string, dst string, cost double")
     assert sorted(map(tuple, R.state_costs(arcs, back, states, "token", 2).collect())) == [(1, "bx", 3.0), (1, "x", 7.0)]
+
+
+def test_wide_beams_give_the_sums_of_all_alignments(spark):
+    import itertools
+
+    from pyspark.sql import functions as F
+
+    rng = np.random.default_rng(3)
+    utts = [np.log(rng.dirichlet(np.ones(3), n)) for n in (0, 1, 3, 5)]
+    df = spark.createDataFrame([(i, f.tolist()) for i, f in enumerate(utts)] + [(9, None)], "i int, f array<array<double>>")
+    got = {r["i"]: r["b"] for r in df.select("i", R.prefix_beams(F.col("f"), 10_000).alias("b")).collect()}
+    assert got[9] is None
+    for i, f in enumerate(utts):
+        total = {}
+        for path in itertools.product(range(3), repeat=len(f)):
+            key = tuple(k for k, _ in itertools.groupby(path) if k)
+            total[key] = np.logaddexp(total.get(key, -np.inf), sum(f[t, k] for t, k in enumerate(path)))
+        assert {tuple(b["prefix"]): pytest.approx(b["log_p"], abs=1e-9) for b in got[i]} == total
+        assert [b["log_p"] for b in got[i]] == sorted((b["log_p"] for b in got[i]), reverse=True)
+        narrow = spark.createDataFrame([(f.tolist(),)], "f array<array<double>>").select(R.prefix_beams(F.col("f"), 2).alias("b")).first()["b"]
+        assert len(narrow) <= 2
+
+
+def test_reading_tokens_over_back_off_paths(spark):
+    arcs = spark.createDataFrame([("ab", "c", "bc", 1.0), ("b", "c", "bc", 0.1), ("root", "c", "c", 9.0), ("bc", "d", "cd", 5.0), ("c", "d", "cd", 0.5)], "src string, token string, dst string, cost double")
+    back = spark.createDataFrame([("ab", "b", 0.3), ("b", "root", 1.0), ("bc", "c", 0.2), ("c", "root", 1.0)], "src string, dst string, cost double")
+    tokens = spark.createDataFrame([(1, 0, "c"), (1, 1, "d"), (2, 0, "c"), (3, 0, "x"), (3, 1, "c")], "utt int, pos int, token string")
+    got = {r["utt"]: r["cost"] for r in R.read_tokens(arcs, back, tokens, "ab", 2, 2).collect()}
+    assert got == {1: pytest.approx(0.3 + 0.1 + 0.2 + 0.5), 2: pytest.approx(0.4), 3: None}

@@ -1,6 +1,7 @@
 import math
 
 import numpy as np
+import pytest
 from pyspark.sql import functions as F
 
 from voxquarry.operators import grid, relational, sampling, vad
@@ -193,3 +194,33 @@ def test_strict_join_fails(spark):
     a, b = spark.createDataFrame([(1,), (2,)], "k int"), spark.createDataFrame([(1, "x")], "k int, v string")
     with pytest.raises(Exception, match="no match"):
         relational.strict_join(a, b, ["k"]).collect()
+
+
+def test_bootstraps_equal_numpy(spark):
+    """Both levels in NumPy on dense tables, in the generator's order."""
+    from helpers import DATA
+
+    from voxquarry.plans import scoring
+
+    t = scoring.counts(spark, DATA).toPandas()
+    cells = sorted({tuple(x) for x in t[["rt60", "snr"]].to_numpy().tolist()})
+    err, ref = t.s + t.i + t.d, t.m + t.s + t.d
+    dense = lambda v, rows: np.bincount(t.utt[rows].astype(int), v[rows].astype(float), 101)
+    w = np.random.default_rng(0).multinomial(101, np.full(101, 1 / 101), 1000)
+    got = {(r["rt60"], r["snr"]): (r["lo"], r["hi"]) for r in scoring.numpy_bootstrap(spark, DATA).collect()}
+    for c in cells:
+        rows = ((t.rt60 == c[0]) & (t.snr == c[1])).to_numpy()
+        wer = (w @ dense(err, rows)) / (w @ dense(ref, rows))
+        assert np.allclose(got[c], np.quantile(wer, [0.025, 0.975]), rtol=1e-12)
+    rng = np.random.default_rng(0)
+    w = rng.multinomial(101, np.full(101, 1 / 101), 400)
+    got = {(r["rt60"], r["snr"]): (r["lo"], r["hi"]) for r in scoring.two_level_bootstrap(spark, DATA).collect()}
+    assert set(got) == set(cells)
+    for c in cells:
+        own = (t.rt60 == c[0]) & (t.snr == c[1])
+        ks = sorted(t.draw[own].unique())
+        e, n = (np.stack([w @ dense(v, (own & (t.draw == k)).to_numpy()) for k in ks], 1) for v in (err, ref))
+        wd = rng.multinomial(len(ks), np.full(len(ks), 1 / len(ks)), 400)
+        assert np.allclose(got[c], np.quantile((wd * e).sum(1) / (wd * n).sum(1), [0.025, 0.975]), rtol=1e-12)
+    with pytest.raises(ValueError, match="more weights"):
+        grid.bootstrap_weights(spark, 10**6, 1000, 0)

@@ -1,5 +1,6 @@
 import random
 import re
+import unicodedata
 
 import pytest
 from pyspark.sql import functions as F
@@ -104,3 +105,29 @@ def test_byte_symbols_keep_the_most_characters(spark):
     df = spark.createDataFrame([(t,) for t in broken], "s string")
     for r in df.select("s", X.from_byte_symbols(F.col("s")).alias("b")).collect():
         assert r["b"] == most_characters(r["s"]), r["s"]
+
+
+def test_sentences_of_documents(spark):
+    """Every line of the documents in both styles: nothing but words and blanks is left, words without digits stay, digits are spelled."""
+    from helpers import DATA
+
+    from voxquarry.plans.text import lines, normalise_sentences
+
+    text = {(r["doc_id"], r["line_no"]): r["line"] for r in lines(spark, DATA).collect()}
+    got = normalise_sentences(spark, DATA).collect()
+    assert len(got) == sum(bool(t.strip()) for t in text.values())
+    for r in got:
+        line = text[r["doc_id"], r["line_no"]]
+        assert re.fullmatch(r"[a-z0-9]+( [a-z0-9]+)*|", r["gold"]) and not re.search(r"\b\d+\b", r["gold"]) and not re.search(r"[0-9]|  |^ | $", r["plain"])
+        if not re.search(r"[\d%]", line):
+            flat = unicodedata.normalize("NFKD", line.lower()).encode("ascii", "ignore").decode()
+            assert r["gold"].split() == re.sub(r"[^a-z\s]", " ", flat).split()
+            assert r["plain"].split() == re.sub(r"(?<!\w)'|'(?!\w)|[^\w\s']|[-_/]", " ", re.sub(r"[-_/]", " ", line.lower())).split()
+
+
+def test_documented_sentences():
+    """How the rules read these sentences."""
+    assert X.normalise_sentence("Harga RM12.50 pada 15/01/2024.") == "harga dua belas ringgit lima puluh sen pada lima belas januari dua ribu dua puluh empat"
+    assert X.normalise_sentence("5-10 orang, 2.5km") == "lima hingga sepuluh orang dua perpuluhan lima kilometer"
+    assert X.normalise_sentence("15% orang") == "lima belas orang"
+    assert X.normalise("1,000 dan 1.000 'hari' Qur'an 1234567890123") == "seribu dan seribu hari qur'an"

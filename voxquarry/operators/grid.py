@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import numpy as np
+import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -30,14 +31,49 @@ def marginal(table: DataFrame, axis: str, value: str = "wer") -> DataFrame:
     return table.groupBy(axis).agg(F.avg(value).alias(value))
 
 
+#: Entries of a matrix of weights that the driver may draw.
+MOST_WEIGHTS = 20_000_000
+
+
+def _drawn(rng: np.random.Generator, n: int, replicates: int) -> np.ndarray:
+    if n * replicates > MOST_WEIGHTS:
+        raise ValueError(f"{n} items in {replicates} replicates are more weights than the driver draws; take fewer replicates")
+    return rng.multinomial(n, np.full(n, 1 / n), replicates)
+
+
+def _weight_rows(w: np.ndarray, item: str) -> pd.DataFrame:
+    rep, at = np.nonzero(w)
+    return pd.DataFrame({"rep": rep.astype("int64"), item: at.astype("int64"), "w": w[rep, at].astype("int64")})
+
+
 def bootstrap_weights(spark: SparkSession, utterances: int, replicates: int, seed: int) -> DataFrame:
     """(rep, utt, w): multinomial resampling weights of a NumPy generator, drawn in its own order on the driver. The matrix
-    has replicates * utterances entries; only those over 0 become rows."""
-    w = np.random.default_rng(seed).multinomial(utterances, np.full(utterances, 1 / utterances), replicates)
-    rep, utt = np.nonzero(w)
-    import pandas as pd
-
-    return spark.createDataFrame(pd.DataFrame({"rep": rep.astype("int64"), "utt": utt.astype("int64"), "w": w[rep, utt].astype("int64")}))
+    has replicates * utterances entries, at most MOST_WEIGHTS; only those over 0 become rows."""
+    return spark.createDataFrame(_weight_rows(_drawn(np.random.default_rng(seed), utterances, replicates), "utt"))
+
+
+def two_level_weights(counts: DataFrame, cell: list[str], draw: str, utterances: int, replicates: int, seed: int) -> tuple[DataFrame, DataFrame]:
+    """(rep, utt, w) and (cell, rep, draw, w): weights of utterances and, from the same generator behind them, of each cell's draws,
+    cell by cell in sorted order. The driver gets the list of cells with their draws, a table of conditions."""
+    rng, spark = np.random.default_rng(seed), counts.sparkSession
+    utts = spark.createDataFrame(_weight_rows(_drawn(rng, utterances, replicates), "utt"))
+    parts = []
+    for row in counts.groupBy(*cell).agg(F.array_sort(F.collect_set(draw)).alias("_d")).orderBy(*cell).collect():
+        own = _weight_rows(_drawn(rng, len(row["_d"]), replicates), draw)
+        own[draw] = np.array(row["_d"])[own[draw]]
+        for c in cell:
+            own[c] = row[c]
+        parts.append(own)
+    return utts, spark.createDataFrame(pd.concat(parts)[[*cell, "rep", draw, "w"]])
+
+
+def two_level_replicates(counts: DataFrame, utts: DataFrame, draws_: DataFrame, cell: list[str], draw: str, utt: str = "utt") -> DataFrame:
+    """(cell, rep, wer): ratio of sums under both levels' weights; utterances are weighed within draws first."""
+    e, n = errors()
+    per = counts.groupBy(*cell, draw, utt).agg(F.sum(e).alias("e"), F.sum(n).alias("n"))
+    one = per.join(utts, utt).groupBy(*cell, draw, "rep").agg(F.sum(F.col("w") * F.col("e")).alias("e"), F.sum(F.col("w") * F.col("n")).alias("n"))
+    t = one.join(draws_, [*cell, draw, "rep"]).groupBy(*cell, "rep").agg(F.sum(F.col("w") * F.col("e")).alias("e"), F.sum(F.col("w") * F.col("n")).alias("n"))
+    return t.select(*cell, "rep", F.when(F.col("n") == 0, F.lit(0.0)).otherwise(F.col("e") / F.col("n")).alias("wer"))
 
 
 def replicates(counts: DataFrame, weights: DataFrame, cell: list[str], utt: str = "utt") -> DataFrame:

@@ -10,6 +10,8 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from voxquarry.scratch import materialise
+
 
 def collapse(tokens: Column, blank: int = 0) -> Column:
     """CTC: runs of a token become one, then blanks go."""
@@ -35,7 +37,7 @@ def prefix_beam(frames: np.ndarray, beam: int = 8, blank: int = 0) -> list[tuple
                 if s != blank:
                     put((*p, int(s)), -np.inf, (b if p and p[-1] == s else total) + row[s])
         hyps = dict(sorted(((p, tuple(v)) for p, v in new.items()), key=lambda x: -add(*x[1]))[:beam])
-    return [(p, float(add(*v))) for p, v in hyps.items()]
+    return [(p, float(add(*v))) for p, v in hyps.items() if add(*v) > -np.inf]
 
 
 def rescore(nbest: DataFrame, keys: list[str], path: str, scores: dict[str, list[float]], base: str = "am") -> DataFrame:
@@ -178,3 +180,34 @@ def state_costs(arcs: DataFrame, backoff: DataFrame, states: DataFrame, token: s
         reach = reach.unionByName(down).groupBy("utt", "state", token).agg(F.min("cost").alias("cost"))
     a = arcs.select(F.col("src").alias("state"), token, "dst", F.col("cost").alias("_c"))
     return reach.join(a, ["state", token]).groupBy("utt", F.col("dst").alias("state")).agg(F.min(F.col("cost") + F.col("_c")).alias("cost"))
+
+
+def prefix_beams(frames: Column, beam: int = 8, blank: int = 0) -> Column:
+    """The prefixes of an array of frames of log probabilities, best first: array of structs (prefix, log_p). Each utterance of
+    an Arrow batch goes frame by frame; null for null, the empty prefix alone for no frames."""
+    kind = T.ArrayType(T.StructType([T.StructField("prefix", T.ArrayType(T.IntegerType())), T.StructField("log_p", T.DoubleType())]))
+
+    @F.pandas_udf(kind)
+    def run(x: pd.Series) -> pd.Series:
+        def one(f):
+            return None if f is None else [{"prefix": list(p), "log_p": s} for p, s in prefix_beam(np.array([list(r) for r in f], float), beam, blank)]
+
+        return x.map(one)
+
+    return run(frames)
+
+
+def read_tokens(arcs: DataFrame, backoff: DataFrame, tokens: DataFrame, start: str, rounds: int, steps: int) -> DataFrame:
+    """(utt, cost): least cost of reading each utterance's tokens (utt, pos, token) from the start state, over all back-off paths;
+    null where no path reads them. A step of min-plus joins for each of at most `steps` positions; the states between are written."""
+    utts = materialise(tokens.groupBy("utt").agg((F.max("pos") + 1).alias("n")), "utterances")
+    states = utts.select("utt", F.lit(start).alias("state"), F.lit(0.0).alias("cost"))
+    ends = []
+    for k in range(steps):
+        here = states.join(tokens.where(F.col("pos") == k).select("utt", "token"), "utt")
+        states = materialise(state_costs(arcs, backoff, here, "token", rounds), "states")
+        ends.append(states.join(utts.where(F.col("n") == k + 1).select("utt"), "utt").groupBy("utt").agg(F.min("cost").alias("cost")))
+    out = ends[0]
+    for e in ends[1:]:
+        out = out.unionByName(e)
+    return utts.select("utt").join(out, "utt", "left")

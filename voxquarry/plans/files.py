@@ -362,10 +362,13 @@ def quoted(x: str) -> str:
 
 
 @query("byte_recovery", f"""
-WITH s AS (SELECT doc_id, list_transform(range(0, octet_length(encode(t))), lambda i: {quoted(X.BYTE_ALPHABET)}[('0x' || substr(hex(encode(t)), 2 * i + 1, 2))::INT + 1]) AS s FROM (SELECT doc_id, regexp_replace(text, {quoted(X.ANY_SPACE)}, ' ', 'g') AS t FROM documents)),
-b AS (SELECT doc_id, array_to_string(s, '') AS whole, array_to_string(list_filter(s, lambda c, i: i % 7 <> 0), '') AS broken FROM s),
-r AS (SELECT doc_id, len(whole)::INT AS symbols, array_to_string(regexp_extract_all(broken, {quoted(X.VALID_SYMBOLS)}), '') AS good FROM b)
-SELECT doc_id, symbols, decode(unhex(array_to_string(list_transform(string_split(good, ''), lambda c: printf('%02x', instr({quoted(X.BYTE_ALPHABET)}, c)::INT - 1)), ''))) AS text FROM r""")
+WITH al AS (SELECT unnest(range(0, 256)) AS b, unnest(string_split({quoted(X.BYTE_ALPHABET)}, '')) AS c), hx AS MATERIALIZED (SELECT printf('%02X', b) AS h, c FROM al),
+w AS (SELECT doc_id, regexp_extract_all(hex(encode(regexp_replace(text, {quoted(X.ANY_SPACE)}, ' ', 'g'))), '..') AS hs FROM documents),
+u AS (SELECT doc_id, unnest(hs) AS h, generate_subscripts(hs, 1) AS i FROM w),
+b AS (SELECT doc_id, count(*)::INT AS symbols, coalesce(string_agg(c, '' ORDER BY i) FILTER (WHERE i % 7 <> 0), '') AS broken FROM u JOIN hx USING (h) GROUP BY doc_id),
+r AS (SELECT doc_id, string_split(array_to_string(regexp_extract_all(broken, {quoted(X.VALID_SYMBOLS)}), ''), '') AS good FROM b),
+v AS (SELECT doc_id, unnest(good) AS c, generate_subscripts(good, 1) AS i FROM r), t AS (SELECT doc_id, decode(unhex(string_agg(h, '' ORDER BY i))) AS text FROM v JOIN hx USING (c) GROUP BY doc_id)
+SELECT d.doc_id, CASE WHEN d.text IS NOT NULL THEN coalesce(symbols, 0) END::INT AS symbols, CASE WHEN d.text IS NOT NULL THEN coalesce(t.text, '') END AS text FROM documents d LEFT JOIN b USING (doc_id) LEFT JOIN t USING (doc_id)""")
 def byte_recovery(spark, d):
     """Texts as byte symbols, every seventh of which is lost, and what can be recovered of them."""
     t = table(spark, d, "documents").select("doc_id", X.to_byte_symbols(F.col("text")).alias("whole"))

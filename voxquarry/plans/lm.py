@@ -61,9 +61,9 @@ ONE, TWO, THREE = (f"(SELECT * FROM lm WHERE n = {n})" for n in (1, 2, 3))
 
 
 @query("backoff_scores", f"""
-WITH {GRAMS}, q AS (SELECT DISTINCT word AS hist, hist AS word FROM p WHERE n = 2 AND word <> '</s>' AND hist <> '<s>')
-SELECT q.hist, q.word, round(coalesce(log10(two.f), coalesce(log10(bo.bow), 0) + log10(one.f)), 8) AS log_p FROM q
-LEFT JOIN {TWO} two ON two.hist = q.hist AND two.word = q.word LEFT JOIN {ONE} one ON one.word = q.word LEFT JOIN {ONE} bo ON bo.word = q.hist""")
+WITH {GRAMS}, q AS MATERIALIZED (SELECT DISTINCT word AS hist, hist AS word, word || ' ' || hist AS gram FROM p WHERE n = 2 AND word <> '</s>' AND hist <> '<s>'),
+two AS MATERIALIZED (SELECT gram, log10(f) AS two FROM lm WHERE n = 2), one AS MATERIALIZED (SELECT word, log10(f) AS one, coalesce(log10(bow), 0) AS w FROM lm WHERE n = 1)
+SELECT q.hist, q.word, round(coalesce(two, coalesce(h.w, 0) + o.one), 8) AS log_p FROM q LEFT JOIN two USING (gram) LEFT JOIN one o ON o.word = q.word LEFT JOIN one h ON h.word = q.hist""")
 def backoff_scores(spark, d):
     """Scores of every word pair of the corpus turned around: most were never seen and back off."""
     m = model(spark, d)

@@ -196,9 +196,10 @@ def union_distinct_specials(spark, d):
     return a.union(table(spark, d, "region").select("r_name")).union(spark.createDataFrame([("<UNK>",)], "symbol string")).distinct()
 
 
-@query("set_difference", "SELECT n_nationkey FROM nation EXCEPT SELECT s_nationkey FROM supplier")
+@query("set_difference", "SELECT o_orderkey FROM orders EXCEPT SELECT l_orderkey FROM lineitem WHERE l_returnflag = 'R'")
 def set_difference(spark, d):
-    return table(spark, d, "nation").select("n_nationkey").subtract(table(spark, d, "supplier").select("s_nationkey"))
+    """Orders of which nothing came back."""
+    return table(spark, d, "orders").select("o_orderkey").subtract(table(spark, d, "lineitem").where("l_returnflag = 'R'").select("l_orderkey"))
 
 
 @query("key_intersection", "SELECT c_nationkey AS nationkey FROM customer INTERSECT SELECT s_nationkey FROM supplier")

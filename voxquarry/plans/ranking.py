@@ -128,3 +128,36 @@ def one_hot_alignment(spark, d):
     """A mask of 0 on the aligned class and a low score elsewhere."""
     t = table(spark, d, "embeddings").select("vec_id", "label", F.explode(F.sequence(F.lit(0), F.lit(9))).alias("class"))
     return t.select("vec_id", "class", F.when(F.col("class") == F.col("label"), 0.0).otherwise(-10.0).alias("score"))
+
+
+@query("prefix_beam_search")
+def prefix_beam_search(spark, d):
+    """The best prefix of each utterance: vectors as sixteen frames of four symbols' scores; SQL has no beam to follow with."""
+    frame = lambda k: F.slice("embedding", 4 * k + 1, 4)
+    normal = lambda f: F.transform(f, lambda x: (x - F.log(F.aggregate(f, F.lit(0.0), lambda a, y: a + F.exp(y.cast("double"))))).cast("double"))
+    frames = F.transform(F.sequence(F.lit(0), F.floor(F.size("embedding") / 4).cast("int") - 1), lambda k: normal(F.transform(frame(k), lambda x: 8 * x)))
+    t = table(spark, d, "embeddings").select("vec_id", frames.alias("f")).select("vec_id", R.prefix_beams(F.col("f"), 6).alias("b"))
+    t = t.select("vec_id", F.inline(F.slice("b", 1, 1)))
+    return t.select("vec_id", F.array_join(F.col("prefix").cast("array<string>"), " ").alias("prefix"), F.round("log_p", 6).alias("log_p"))
+
+
+@query("ngram_state_costs", """
+WITH RECURSIVE e AS (SELECT user_id, event_id * 7919 % 23 AS t, row_number() OVER (PARTITION BY user_id ORDER BY ts, event_id) - 1 AS s FROM events),
+tok AS MATERIALIZED (SELECT user_id || '-' || s // 6 AS utt, s % 6 AS pos, t FROM e), pr AS (SELECT t, lag(t) OVER (PARTITION BY user_id ORDER BY s) AS p FROM e),
+arcs AS MATERIALIZED (SELECT p::VARCHAR AS src, t, t::VARCHAR AS dst, -ln(n / sum(n) OVER (PARTITION BY p)::DOUBLE) AS cost, n FROM (SELECT p, t, count(*) AS n FROM pr WHERE p IS NOT NULL GROUP BY ALL) QUALIFY n >= 2
+  UNION ALL SELECT 'root', t, t::VARCHAR, -ln(count(*) / sum(count(*)) OVER ()::DOUBLE), count(*) FROM e GROUP BY t),
+reach AS (SELECT DISTINCT dst AS src, dst, 0.0::DOUBLE AS c FROM arcs UNION ALL SELECT DISTINCT dst, 'root', ln(2.0::DOUBLE) FROM arcs UNION ALL SELECT 'root', 'root', 0.0::DOUBLE),
+st AS (SELECT DISTINCT utt, 0::BIGINT AS k, 'root' AS state, 0.0::DOUBLE AS cost FROM tok
+  UNION ALL SELECT s.utt, s.k + 1, a.dst, min(s.cost + r.c + a.cost) FROM st s JOIN tok t ON t.utt = s.utt AND t.pos = s.k JOIN reach r ON r.src = s.state JOIN arcs a ON a.src = r.dst AND a.t = t.t GROUP BY ALL)
+SELECT st.utt, round(min(cost), 6) AS cost FROM st JOIN (SELECT utt, max(pos) + 1 AS n FROM tok GROUP BY utt) n ON n.utt = st.utt AND n.n = st.k GROUP BY st.utt""")
+def ngram_state_costs(spark, d):
+    """Least costs of six tokens at a time under a bigram model whose states back off to the root."""
+    w = Window.partitionBy("user_id").orderBy("ts", "event_id")
+    e = table(spark, d, "events").select("user_id", (F.col("event_id") * 7919 % 23).alias("t"), (F.row_number().over(w) - 1).cast("long").alias("s"), F.lag(F.col("event_id") * 7919 % 23).over(w).alias("p"))
+    two = e.where("p IS NOT NULL").groupBy("p", "t").agg(F.count(F.lit(1)).alias("n"))
+    two = two.withColumn("cost", -F.log(F.col("n") / F.sum("n").over(Window.partitionBy("p")))).where("n >= 2").select(F.col("p").cast("string").alias("src"), F.col("t").alias("token"), F.col("t").cast("string").alias("dst"), "cost")
+    one = e.groupBy("t").agg(F.count(F.lit(1)).alias("n")).crossJoin(F.broadcast(e.agg(F.count(F.lit(1)).alias("all"))))  # one row
+    one = one.select(F.lit("root").alias("src"), F.col("t").alias("token"), F.col("t").cast("string").alias("dst"), (-F.log(F.col("n") / F.col("all"))).alias("cost"))
+    back = one.select(F.col("dst").alias("src"), F.lit("root").alias("dst"), F.log(F.lit(2.0)).alias("cost"))
+    tokens = e.select(F.concat("user_id", F.lit("-"), F.floor(F.col("s") / 6)).alias("utt"), (F.col("s") % 6).alias("pos"), F.col("t").alias("token"))
+    return R.read_tokens(two.unionByName(one), back, tokens, "root", 1, 6).select("utt", F.round("cost", 6).alias("cost"))

@@ -202,6 +202,14 @@ def numpy_bootstrap(spark, d):
     return G.intervals(G.replicates(counts(spark, d), w, ["rt60", "snr"]), ["rt60", "snr"])
 
 
+@query("two_level_bootstrap")
+def two_level_bootstrap(spark, d):
+    """Intervals under NumPy's weights of utterances and of each cell's draws."""
+    c = counts(spark, d)
+    w, own = G.two_level_weights(c, ["rt60", "snr"], "draw", 101, 400, 0)
+    return G.intervals(G.two_level_replicates(c, w, own, ["rt60", "snr"], "draw"), ["rt60", "snr"])
+
+
 @query("settings_by_rate", f"WITH {COUNTS}, {CELLS} SELECT rt60, snr, round(wer, 12) AS wer, (row_number() OVER (ORDER BY wer, rt60, snr))::INT AS rank, row_number() OVER (ORDER BY wer, rt60, snr) = 1 AS best FROM cells")
 def settings_by_rate(spark, d):
     r = F.row_number().over(Window.orderBy("wer", "rt60", "snr"))

@@ -117,10 +117,10 @@ def every_nth_row(spark, d):
     return lines(spark, d).withColumn("r", F.row_number().over(w)).where("r % 3 = 0").select("doc_id", "line_no")
 
 
-@query("oov_tag_filter", "SELECT page_id FROM pages WHERE NOT regexp_matches(html, '<(nav|script|style|table)[ >]')")
+@query("oov_tag_filter", "SELECT page_id FROM pages WHERE NOT regexp_matches(html, '<(table|html lang=\"(es|de)\")[ >]')")
 def oov_tag_filter(spark, d):
     """Rows without any of a set of tags."""
-    return table(spark, d, "pages").where(~F.col("html").rlike("<(nav|script|style|table)[ >]")).select("page_id")
+    return table(spark, d, "pages").where(~F.col("html").rlike('<(table|html lang="(es|de)")[ >]')).select("page_id")
 
 
 @query("tag_removal", "SELECT page_id, trim(regexp_replace(regexp_replace(html, '<(b|br|p|h1|li|ul)>', '', 'g'), '[ \\t\\n\\f\\r]+', ' ', 'g')) AS text FROM pages")

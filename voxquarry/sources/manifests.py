@@ -98,3 +98,8 @@ def read_matrix(spark: SparkSession, path: str) -> DataFrame:
 def write_matrix(table: DataFrame, path: str) -> None:
     """Tab-separated with a header: the first column names the rows."""
     table.write.option("header", True).option("sep", "\t").csv(path)
+
+
+def without_name(files: DataFrame, part: str) -> DataFrame:
+    """Rows of a file table whose files' paths lack `part` behind the last table folder: selection of manifests by name."""
+    return files.where(~F.contains(F.col("_metadata.file_path"), F.lit(part)))
