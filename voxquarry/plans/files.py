@@ -86,6 +86,18 @@ def json_array_files(spark, d):
     return spark.read.schema("id long, name string").option("multiLine", True).json(path)
 
 
+@query("json_document_files", f"SELECT conv_id, (row_number() OVER (PARTITION BY conv_id ORDER BY turn) - 1)::INT AS pos, start, start + duration AS \"end\", text FROM {SEG} JOIN conversations USING (conv_id, turn)")
+def json_document_files(spark, d):
+    """One document of segments for each conversation, written and read back object by object."""
+    path = shared_path(spark, "documents")
+    t = segments(spark, d).join(table(spark, d, "conversations").select("conv_id", "turn", "text"), ["conv_id", "turn"])
+    one = F.struct("turn", "start", (F.col("start") + F.col("duration")).alias("end"), "text")
+    docs = t.groupBy("conv_id").agg(F.to_json(F.struct(F.array_sort(F.collect_list(one)).alias("segments"))).alias("doc"))
+    binary.write_files(docs.select(F.concat("conv_id", F.lit(".json")).alias("name"), F.encode("doc", "UTF-8").alias("content")), path).agg(F.sum("bytes")).first()
+    read = text.read_json_documents(spark, path, "segments", "start: double, end: double, text: string")
+    return read.select(F.regexp_extract("path", r"(\d+)\.json$", 1).cast("long").alias("conv_id"), "pos", "start", "end", "text")
+
+
 @query("grid_files", f"WITH {COUNTS}, {CELLS} SELECT rt60 AS id, CASE WHEN snr = 'F' THEN 'inf'::DOUBLE ELSE 10 END AS snr, round(wer, 9) AS wer FROM cells")
 def grid_files(spark, d):
     """Cells as a table with a header; `inf` is a number."""

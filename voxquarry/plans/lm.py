@@ -8,6 +8,7 @@ from voxquarry.functions import text as X
 from voxquarry.operators import archive as R
 from voxquarry.operators import ngram_lm as L
 from voxquarry.plans.registry import query, table
+from voxquarry.scratch import materialise
 
 ORDER = 3
 
@@ -17,8 +18,8 @@ def sentences(spark, d):
 
 
 def model(spark, d, order=ORDER):
-    """The estimated model, persisted: scoring joins it several times."""
-    return L.estimate(sentences(spark, d), "w", order).persist()
+    """The estimated model as a written step: scoring joins it several times."""
+    return materialise(L.estimate(sentences(spark, d), "w", order), "model")
 
 
 def grams_sql(order: int) -> str:
@@ -112,7 +113,7 @@ e AS (SELECT *, -joint * (f * (log10(nullif(low, 0)) + new - log10(nullif(f, 0))
 SELECT 1 AS n, count(*)::BIGINT AS ngrams FROM one UNION ALL SELECT 2, count(*)::BIGINT FROM e WHERE NOT coalesce(pow(10.0::DOUBLE, entropy) - 1 < 1e-6, false)""")
 def entropy_pruning(spark, d):
     """What is left of each order after pruning."""
-    return L.prune(model(spark, d, 2), 2, 1e-6, keep=lambda df: df.persist()).groupBy("n").agg(F.count(F.lit(1)).alias("ngrams"))
+    return L.prune(model(spark, d, 2), 2, 1e-6, keep=lambda df: materialise(df, "pruned")).groupBy("n").agg(F.count(F.lit(1)).alias("ngrams"))
 
 
 @query("training_archive", "SELECT conv_id, turn, len(regexp_extract_all(text, '\\S+'))::INT AS words, length(replace(replace(text, ' ', ''), chr(10), ''))::INT AS tokens FROM conversations")

@@ -64,8 +64,9 @@ def merge_overlapped_chunks(spark, d):
     ch = t.select("rec", "n", F.explode(F.sequence(F.lit(0).cast("long"), F.greatest(F.ceil(F.col("n") / 40) - 1, F.lit(0)))).alias("chunk"))
     ch = ch.select("rec", "chunk", "n", F.greatest(F.col("chunk") * 40 - 10, F.lit(0)).alias("offset"))
     ch = ch.withColumn("left", F.col("chunk") * 40 - F.col("offset")).withColumn("right", F.least(F.col("chunk") * 40 + 40, F.col("n")) - F.col("offset"))
-    sym = t.select("rec", "w").join(ch.select("rec", "chunk", "offset"), "rec")
-    sym = sym.select("rec", "chunk", F.posexplode(F.slice("w", F.col("offset").cast("int") + 1, 60)).alias("at", "symbol"))
+    covering = F.sequence(F.greatest(F.ceil((F.col("p") - 49) / 40), F.lit(0)), F.floor((F.col("p") + 10) / 40))
+    sym = t.select("rec", F.posexplode("w").alias("p", "symbol")).select("rec", "p", "symbol", F.explode(covering).alias("chunk"))
+    sym = sym.withColumn("at", F.col("p") - F.greatest(F.col("chunk") * 40 - 10, F.lit(0))).where("at < 60").drop("p")
     return S.merge_chunks(sym, ch, "rec").select("rec.conv_id", "rec.turn", "chunk", F.col("at").cast("double").alias("at"), "symbol")
 
 

@@ -12,6 +12,7 @@ import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from voxquarry.functions.text import wav_seconds
 
@@ -87,10 +88,15 @@ def read_audio(spark: SparkSession, path: str, rate: int = 16000) -> DataFrame:
     return t.mapInPandas(run, "path string, pcm binary, duration double")
 
 
+@F.pandas_udf(T.BinaryType())
+def _end_to_end(parts: pd.Series) -> pd.Series:
+    return parts.map(lambda x: b"".join(x))
+
+
 def concatenate(audio: DataFrame, keys: list[str], order: str) -> DataFrame:
     """One PCM string for each group, parts in order; a group has to fit in memory, as one output file does."""
-    g = audio.groupBy(*keys).agg(F.array_sort(F.collect_list(F.struct(order, F.hex("pcm").alias("h")))).alias("l"))
-    return g.select(*keys, F.unhex(F.array_join(F.transform("l", lambda x: x["h"]), "")).alias("pcm"))
+    g = audio.groupBy(*keys).agg(F.array_sort(F.collect_list(F.struct(order, "pcm"))).alias("l"))
+    return g.select(*keys, _end_to_end(F.transform("l", lambda x: x["pcm"])).alias("pcm"))
 
 
 def scale(x: np.ndarray) -> np.ndarray:

@@ -2,10 +2,11 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, SparkSession, Window
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from voxquarry.functions.text import base_name, stem_last_dot, strip_bom
+from voxquarry.operators.relational import running
 
 
 def read_lines(spark: SparkSession, path: str, glob: str = "*", recursive: bool = True) -> DataFrame:
@@ -34,9 +35,16 @@ def natural_key(name: Column) -> Column:
 
 def in_numeric_order(files: DataFrame, path: str = "path") -> DataFrame:
     """Adds seq: files by number where the stem is one, then by name."""
-    stem = stem_last_dot(F.col(path))
-    w = Window.orderBy(stem.try_cast("long").isNull(), stem.try_cast("long"), base_name(F.col(path)))
-    return files.withColumn("seq", F.row_number().over(w))
+    stem = stem_last_dot(F.col(path)).try_cast("long")
+    t = files.withColumn("_a", stem.isNull()).withColumn("_b", stem).withColumn("_c", base_name(F.col(path)))
+    return running(t, ["_a", "_b", "_c"]).withColumn("seq", (F.col("before") + 1).cast("int")).drop("_a", "_b", "_c", "before")
+
+
+def read_json_documents(spark: SparkSession, path: str, field: str, schema: str) -> DataFrame:
+    """(path, pos, schema's columns): the objects of the array `field` of each file, which holds one JSON document. A file
+    without the field, or that is no JSON, has no rows. A document has to fit in a task, as it ends with its last byte."""
+    t = spark.read.option("wholetext", True).text(path).select(F.col("_metadata.file_path").alias("path"), F.from_json("value", f"struct<`{field}`: array<struct<{schema}>>>").alias("r"))
+    return t.select("path", F.posexplode(f"r.{field}").alias("pos", "o")).select("path", "pos", "o.*")
 
 
 def read_pairs(spark: SparkSession, path: str) -> DataFrame:
