@@ -173,6 +173,24 @@ def test_work_of_a_search_grows_less_than_the_block():
     assert max(seen) <= 64 and seen[2] <= 1.5 * seen[0]
 
 
+@pytest.mark.parametrize("dim", [8, 64, 384])
+@pytest.mark.parametrize("kind", ["normal", "log-normal norms", "few clusters"])
+def test_recall_of_a_block(dim, kind):
+    """Vectors with and without structure, of any dimension and norms: what the windows can't tell apart is searched exactly."""
+    rng, n = np.random.default_rng(dim), 4096
+    x = rng.normal(size=(n, dim))
+    if kind == "log-normal norms":
+        x *= rng.lognormal(0, 1, (n, 1))
+    elif kind == "few clusters":
+        x = np.repeat(rng.normal(size=(8, dim)), n // 8, 0) + 0.1 * x
+    block, hits = collision_search.Block(np.arange(n), x), 0
+    for i in range(0, n, 200):
+        s = x @ x[i]
+        s[i] = -np.inf
+        hits += len({v for v, _ in block.search(x[i], i, 20)} & set(np.argsort(-s)[:20].tolist()))
+    assert hits / len(range(0, n, 200)) / 20 >= 0.9
+
+
 def test_recall_over_several_blocks(spark):
     """More rows than the largest block, in blocks; blocks of any size; queries that repeat an id are answered each."""
     rng = np.random.default_rng(3)

@@ -3,8 +3,8 @@
 Each block of vectors keeps, for every random line, its vectors in order of their projection. A query opens a window
 around its own projection on every line and widens all windows by virtual rehashing; a vector that falls into the
 windows of enough lines is verified by its exact inner product. Windows widen until they are so wide that vectors as
-near as the k-th verified one would have collided, or until a set share of the block is verified: vectors in clusters end
-the search early, vectors without structure by that share.
+near as the k-th verified one would have collided. Vectors in clusters end the search that way; where a set share of the
+block has reached the threshold before, the windows tell nothing apart and the whole block is verified by one product.
 """
 
 from __future__ import annotations
@@ -18,9 +18,9 @@ from pyspark.sql import functions as F
 
 from voxquarry.llm.common import table
 
-#: Lines, share of them that must collide, widening factor, share of a block that is verified before a query stops, and the
-#: first half window in standard deviations of the projections.
-LINES, COLLISIONS, WIDEN, VERIFY, START = 32, 0.8, 1.2, 0.3, 0.05
+#: Lines, share of them that must collide, widening factor, share of a block beyond which all of it is verified, and the first
+#: half window in standard deviations of the projections.
+LINES, COLLISIONS, WIDEN, VERIFY, START = 32, 0.8, 1.2, 0.1, 0.05
 #: Half windows of so many distances hold 0.915 of a vector's projections, 1.64 standard deviations of the collisions of 32
 #: lines above COLLISIONS: a vector at that distance has been found with probability 0.95.
 REACHED = 1.72
@@ -78,11 +78,14 @@ class Block:
                 if fresh:
                     counts += np.bincount(np.concatenate(fresh), minlength=n)
                     new = np.flatnonzero(counts >= need)
+                    if len(found) + len(new) >= enough:  # the windows are no help: the block is searched exactly
+                        found, near = np.arange(n), self.unit @ way
+                        break
                     counts[new] -= lines + 1  # verified ones never come again
                     # where many are new, one product over the block in memory order is quicker than picking rows
                     score = (self.unit @ way)[new] if 8 * len(new) > n else self.unit[new] @ way
                     found, near = np.append(found, new), np.append(near, score)
-                if len(found) >= enough or (hi - lo).min() == n:
+                if (hi - lo).min() == n:
                     break
                 if len(found) > k:  # one of them may be the query's own
                     kth = np.partition(near, -k - 1)[-k - 1]
