@@ -194,7 +194,7 @@ def prefix_beams(frames: Column, beam: int = 8, blank: int = 0) -> Column:
 
         return x.map(one)
 
-    return run(frames)
+    return run.asNondeterministic()(frames)  # so that plans neither repeat nor move it
 
 
 def read_tokens(arcs: DataFrame, backoff: DataFrame, tokens: DataFrame, start: str, rounds: int, steps: int) -> DataFrame:
