@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from collections import deque
+from collections.abc import Iterator
 
 import numpy as np
 import pandas as pd
@@ -182,19 +183,21 @@ def state_costs(arcs: DataFrame, backoff: DataFrame, states: DataFrame, token: s
     return reach.join(a, ["state", token]).groupBy("utt", F.col("dst").alias("state")).agg(F.min(F.col("cost") + F.col("_c")).alias("cost"))
 
 
-def prefix_beams(frames: Column, beam: int = 8, blank: int = 0) -> Column:
-    """The prefixes of an array of frames of log probabilities, best first: array of structs (prefix, log_p). Each utterance of
-    an Arrow batch goes frame by frame; null for null, the empty prefix alone for no frames."""
-    kind = T.ArrayType(T.StructType([T.StructField("prefix", T.ArrayType(T.IntegerType())), T.StructField("log_p", T.DoubleType())]))
+def prefix_beams(utterances: DataFrame, keys: list[str], frames: str, beam: int = 8, blank: int = 0, best: int | None = None) -> DataFrame:
+    """(keys, rank, prefix, log_p): the prefixes of each utterance's array of frames of log probabilities, best first from rank 1,
+    all of the beam or the `best` ones. Utterances of an Arrow batch go frame by frame; null frames have no rows, none at
+    all the empty prefix."""
+    out = T.StructType([utterances.schema[k] for k in keys] + [T.StructField("rank", T.IntegerType()), T.StructField("prefix", T.ArrayType(T.IntegerType())), T.StructField("log_p", T.DoubleType())])
 
-    @F.pandas_udf(kind)
-    def run(x: pd.Series) -> pd.Series:
-        def one(f):
-            return None if f is None else [{"prefix": list(p), "log_p": s} for p, s in prefix_beam(np.array([list(r) for r in f], float), beam, blank)]
-
-        return x.map(one)
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for pdf in batches:
+            rows = []
+            for *own, f in pdf[[*keys, frames]].itertuples(index=False):
+                found = [] if f is None else prefix_beam(np.array([list(r) for r in f], float), beam, blank)
+                rows += [(*own, k, list(p), x) for k, (p, x) in enumerate(found[:best], 1)]
+            yield pd.DataFrame(rows, columns=out.names)
 
-    return run.asNondeterministic()(frames)  # so that plans neither repeat nor move it
+    return utterances.select(*keys, frames).mapInPandas(run, out)
 
 
 def read_tokens(arcs: DataFrame, backoff: DataFrame, tokens: DataFrame, start: str, rounds: int, steps: int) -> DataFrame:

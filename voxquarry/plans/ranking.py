@@ -136,9 +136,8 @@ def prefix_beam_search(spark, d):
     frame = lambda k: F.slice("embedding", 4 * k + 1, 4)
     normal = lambda f: F.transform(f, lambda x: (x - F.log(F.aggregate(f, F.lit(0.0), lambda a, y: a + F.exp(y.cast("double"))))).cast("double"))
     frames = F.transform(F.sequence(F.lit(0), F.floor(F.size("embedding") / 4).cast("int") - 1), lambda k: normal(F.transform(frame(k), lambda x: 8 * x)))
-    t = table(spark, d, "embeddings").select("vec_id", frames.alias("f")).select("vec_id", R.prefix_beams(F.col("f"), 6).alias("b"))
-    best = F.get("b", F.lit(0))
-    return t.select("vec_id", F.array_join(best["prefix"].cast("array<string>"), " ").alias("prefix"), F.round(best["log_p"], 6).alias("log_p"))
+    t = R.prefix_beams(table(spark, d, "embeddings").select("vec_id", frames.alias("f")), ["vec_id"], "f", 6, best=1)
+    return t.select("vec_id", F.array_join(F.col("prefix").cast("array<string>"), " ").alias("prefix"), F.round("log_p", 6).alias("log_p"))
 
 
 @query("ngram_state_costs", """

@@ -255,11 +255,11 @@ def channel_frames(spark, d):
     return e.select("rec", "ch", (F.row_number().over(w) - 1).cast("long").alias("fr"), F.array("value", (F.col("event_id") * 7919 % 97).cast("double")).alias("x"))
 
 
-@query("activity_probabilities", f"WITH RECURSIVE {PROBS} SELECT rec, ch, fr, round(prob, 6) AS prob, round(power, 6) AS power, round(background, 6) AS background FROM pr")
+@query("activity_probabilities", f"WITH RECURSIVE {PROBS} SELECT rec, ch, fr, round(prob + 1e-9, 6) AS prob, round(power + 1e-9, 6) AS power, round(background + 1e-9, 6) AS background FROM pr")
 def activity_probabilities(spark, d):
     """Each frame's probability under estimates that carry over intervals and channels."""
     t = VAD.probabilities(channel_frames(spark, d), "rec", "ch", "fr", "x", SPEECH)
-    return t.select("rec", "ch", "fr", *[F.round(c, 6).alias(c) for c in ("prob", "power", "background")])
+    return t.select("rec", "ch", "fr", *[F.round(F.col(c) + 1e-9, 6).alias(c) for c in ("prob", "power", "background")])
 
 
 @query("hysteresis_segments", """WITH RECURSIVE s AS (SELECT user_id, value, row_number() OVER (PARTITION BY user_id ORDER BY ts, event_id) - 1 AS i, count(*) OVER (PARTITION BY user_id) AS n FROM events),
@@ -296,11 +296,12 @@ v AS (SELECT g.rec, g.ch, g.gid, sum(c.finish - c.start) AS frames, sum(prob) AS
 v1 AS (SELECT rec, ch, gid, prob / fr AS prob, power / fr AS power, snr / fr AS snr FROM (SELECT v.* EXCLUDE (frames), len_.fr FROM v JOIN (SELECT g.rec, g.ch, g.gid, sum(c.finish - c.start) AS fr FROM g JOIN c USING (rec, ch, k) GROUP BY ALL) len_ USING (rec, ch, gid))),
 y AS (SELECT w1.*, CASE WHEN z - a >= 24 THEN 1 + floor((z - a) / 18.0)::BIGINT ELSE 1 END AS pieces FROM w1 WHERE z - a >= 3),
 u AS (SELECT *, a + i * ((z - a) // pieces) AS s, CASE WHEN i + 1 = pieces THEN z ELSE a + (i + 1) * ((z - a) // pieces) END AS f FROM (SELECT *, unnest(range(0, pieces)) AS i FROM y))
-SELECT rec, ch, row_number() OVER (PARTITION BY rec, ch ORDER BY s) - 1 AS seg, round(s * 0.01::DOUBLE, 6) AS start, round(f * 0.01::DOUBLE, 6) AS "end", round(sqrt(prob), 6) AS confidence, round(power, 6) AS power, round(snr, 6) AS snr FROM u JOIN v1 USING (rec, ch, gid)""")
+SELECT rec, ch, row_number() OVER (PARTITION BY rec, ch ORDER BY s) - 1 AS seg, round(s * 0.01::DOUBLE, 6) AS start, round(f * 0.01::DOUBLE, 6) AS "end", round(sqrt(prob) + 1e-9, 6) AS confidence, round(power + 1e-9, 6) AS power, round(snr + 1e-9, 6) AS snr FROM u JOIN v1 USING (rec, ch, gid)""")
 def voice_activity(spark, d):
     """Segments of two-channel recordings."""
     t = VAD.segment(channel_frames(spark, d), "rec", "ch", "fr", "x", SPEECH)
-    return t.select("rec", "ch", "seg", *[F.round(c, 6).alias(c) for c in ("start", "end", "confidence", "power", "snr")])
+    # averages of halves end on ties of the sixth digit, which the order of a sum would decide
+    return t.select("rec", "ch", "seg", *[F.round(c, 6).alias(c) for c in ("start", "end")], *[F.round(F.col(c) + 1e-9, 6).alias(c) for c in ("confidence", "power", "snr")])
 
 
 @query("split_segments", """
