@@ -265,12 +265,13 @@ def _has(*parts: str) -> Callable[[str], bool]:
 #: What must stand in a text that a pattern matches: parts that the pattern itself asks for.
 _DIGIT, _AT, _COLON, _SET = re.compile(r"\d").search, _has("@"), _has(":"), _has("=", ":")
 _KEYS = _has("AKIA", "ASIA", "AIza", "sk-", "pk-", *(f"gh{c}_" for c in "pousr"), "glpat-", *(f"xox{c}-" for c in "abprs"))
+#: An unquoted named value shows a digit among its first 200 characters, so that repeated names take time in proportion.
 #: Kind, pattern, pseudonym and what the pattern needs of each kind of value, in order of precedence. The value is the group `v`, or all that matches.
 KINDS: tuple[tuple[str, str, Callable[[str, bytes, bool], str | None], Callable[[str], object]], ...] = (
     ("secret", r"(?<![A-Za-z0-9_-])(?:(?:AKIA|ASIA)[0-9A-Z]{16}|AIza[0-9A-Za-z_-]{35}|[sp]k-[A-Za-z0-9_-]{20,}+|gh[pousr]_[A-Za-z0-9]{30,}+|glpat-[A-Za-z0-9_-]{20,}+|xox[abprs]-[A-Za-z0-9-]{10,}+)(?![A-Za-z0-9_-])", _secret, _KEYS),
     ("secret", r"(?<![A-Za-z0-9_-])eyJ[A-Za-z0-9_-]{8,}+\.[A-Za-z0-9_-]{4,}+(?:\.[A-Za-z0-9_-]++)?(?![A-Za-z0-9_-])", _secret, _has("eyJ")),
     ("secret", r"[=:][ \t]{0,4}[\"']?(?P<v>[0-9a-f]{32,}+|[0-9A-F]{32,}+)(?![0-9A-Za-z])", _secret, _SET),
-    ("secret", _NAMES + r"[\"']?[ \t]{0,4}(?:[=:]|=>)[ \t]{0,4}(?:\"(?P<v>[^\"\s]{6,}+)\"|'(?P<w>[^'\s]{6,}+)'|(?P<x>(?=[A-Za-z_+/.=-]*+\d)[A-Za-z0-9_+/.=-]{8,}+)(?![\w@]))", _secret, _SET),
+    ("secret", _NAMES + r"[\"']?[ \t]{0,4}(?:[=:]|=>)[ \t]{0,4}(?:\"(?P<v>[^\"\s]{6,}+)\"|'(?P<w>[^'\s]{6,}+)'|(?P<x>(?=[A-Za-z_+/.=-]{0,200}\d)[A-Za-z0-9_+/.=-]{8,}+)(?![\w@]))", _secret, _SET),
     ("email", r"(?<![\w.%+-])[._%+-]*(?P<v>[^\W_][\w.%+-]*+@(?:[A-Za-z0-9](?:[A-Za-z0-9-]{0,61}[A-Za-z0-9])?\.)+[A-Za-z]{2,24})(?![\w-])", _email, _AT),
     ("iban", r"(?<!\w)[A-Z]{2}\d{2}(?: ?[A-Z0-9]{4}){2,7}(?: ?[A-Z0-9]{1,3})?(?!\w)", _iban, _DIGIT),
     ("ipv6", r"(?<![\w:.])(?=[0-9A-Fa-f:]{0,34}:)(?:[0-9A-Fa-f]{0,4}:){2,7}[0-9A-Fa-f]{0,4}(?![\w:]|\.\d)", _ipv6, _COLON),
