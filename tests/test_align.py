@@ -215,3 +215,19 @@ def test_segment_projection(spark):
     pairs = spark.createDataFrame([(1, 0, "a", "a"), (1, 1, "b", None), (1, 2, "c", "c"), (1, 3, None, "x"), (1, 4, "d", "e")], "k int, pos int, ref string, hyp string")
     seg = spark.createDataFrame([(1, 0, 0, 1), (1, 1, 2, 3)], "k int, seg int, first_hyp int, last_hyp int")
     assert sorted(map(tuple, A.project_segments(pairs, seg, ["k"]).collect())) == [(1, 0, 0, 2), (1, 1, 3, 3)]
+
+
+def test_batches_of_alignments_hold_no_objects_for_their_pairs():
+    import pyarrow as pa
+
+    rng = random.Random(11)
+    kind = pa.list_(pa.string())
+    data = [changed(rng, 60, 40, 0.2) for _ in range(400)] + [(None, ["a"]), (["a"], None), ([], []), ([], ["b"]), (["c", "d"], []), (["x", None, "y"], ["y"])]
+    ref, hyp = (pa.array([["skipped"], *x], kind).slice(1) for x in zip(*data, strict=True))
+    for udf, f in ((A._score_udf, A.align_pairs), (A._legacy_udf, lambda a, b: A.align_pairs(a, b, True)), (A._edit_udf, A.edit_pairs)):
+        tracemalloc.start()
+        out = udf.func(ref, hyp)
+        peak = tracemalloc.get_traced_memory()[1]
+        tracemalloc.stop()
+        assert [None if x is None else [(p["ref"], p["hyp"]) for p in x] for x in out.to_pylist()] == [None if None in (a, b) else f(a, b) for a, b in data]
+        assert peak < 60 * len(out.values)
