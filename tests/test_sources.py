@@ -1,6 +1,7 @@
 import pytest
 import math
 import os
+import re
 
 import numpy as np
 from pyspark.sql import functions as F
@@ -136,3 +137,31 @@ def test_stereo_is_averaged():
     assert (audio.decode(audio.encode(x, 16000)) == 2000).all()
     y = audio.decode(audio.encode(x, 8000))
     assert len(y) == 1600 and np.abs(y[200:-200] - 2000).max() <= 10
+
+
+def test_counts_equal_plain_counting_and_models_broadcast_nothing(spark):
+    import random
+    from collections import Counter, defaultdict
+
+    rng = random.Random(5)
+    data = [["<s>" if rng.random() < 0.05 else rng.choice("abcd") for _ in range(rng.randint(0, 9))] for _ in range(60)]
+    df = spark.createDataFrame([(w,) for w in data], "w array<string>")
+    for order in (1, 2, 3, 4):
+        c, x = Counter(), defaultdict(set)
+        for w in data:
+            w = [L.BOS, *w, L.EOS]
+            for n in range(1, order + 1):
+                for i in range(len(w) - n + 1):
+                    g = (n, " ".join(w[i : i + n - 1]), w[i + n - 1])
+                    c[g] += 1
+                    if n < order and i:
+                        x[g].add(w[i - 1])
+        got = {(r.n, r.hist, r.word): (r.c, r.n_ctx) for r in L.counts(df, "w", order).collect()}
+        assert got == {g: (k, len(x[g])) for g, k in c.items()}
+    m = L.estimate(df, "w", 3)
+    scored = L.sentence_scores(m, df.withColumn("k", F.monotonically_increasing_id()), ["k"], "w", 3)
+    pruned = L.prune(L.estimate(df, "w", 2), 2, 1e-6)
+    for t in (m, L.mass(m, 3), scored, pruned):  # only the discounts, a row for each order, may be broadcast
+        plan = t._jdf.queryExecution().executedPlan().toString()
+        joins = re.findall(r"BroadcastHashJoin \[(.*?)\]", plan)
+        assert plan.count("SortMergeJoin") and all(re.fullmatch(r"n#\d+", j) for j in joins), joins
