@@ -10,9 +10,8 @@ from pyspark.sql import types as T
 
 from voxquarry.functions import text as X
 from voxquarry.operators import grid as G
-from voxquarry.operators import ngram_lm as L
 from voxquarry.operators import vocab as V
-from voxquarry.plans.lm import grams_sql, sentences
+from voxquarry.plans.lm import grams_sql, model
 from voxquarry.plans.manifest import SEG, segments
 from voxquarry.plans.registry import query, table
 from voxquarry.plans.scoring import CELLS, COUNTS, counts
@@ -154,10 +153,10 @@ def pair_files(spark, d):
 def arpa_files(spark, d):
     """A language model in its text form and back: probabilities that agree to six digits of their logarithm."""
     path = shared_path(spark, "arpa")
-    model = L.estimate(sentences(spark, d), "w", 2)
-    manifests.write_arpa(model, path)
+    m = model(spark, d, 2)
+    manifests.write_arpa(m, path)
     back = manifests.read_arpa(spark, path).select("n", "hist", "word", F.col("f").alias("again"))
-    t = model.join(back, ["n", "hist", "word"])
+    t = m.join(back.hint("merge"), ["n", "hist", "word"])  # both sides grow
     return t.groupBy("n").agg(F.count(F.lit(1)).alias("ngrams"), F.count_if((F.col("f") > 0) & (F.abs(F.log10("f") - F.log10("again")) < 1e-6)).alias("close"))
 
 
