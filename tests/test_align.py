@@ -231,3 +231,20 @@ def test_batches_of_alignments_hold_no_objects_for_their_pairs():
         tracemalloc.stop()
         assert [None if x is None else [(p["ref"], p["hyp"]) for p in x] for x in out.to_pylist()] == [None if None in (a, b) else f(a, b) for a, b in data]
         assert peak < 60 * len(out.values)
+
+
+def test_anchored_rates_move_each_word_once(spark):
+    from voxquarry.plans.alignment import anchored_error_rates
+
+    plan = anchored_error_rates(spark, DATA)._jdf.queryExecution().executedPlan().toString()
+    assert plan.count("Exchange") == 2 and "Window" not in plan  # the parts, and sums by document
+
+
+def test_pair_totals_equal_totals_of_spans(spark):
+    rng = random.Random(9)
+    data = [(k % 5, k, *changed(rng, 20, 6, 0.3)) for k in range(20)] + [(6, 21, [], []), (7, 22, None, ["a"]), (8, 23, [], ["b"])]
+    df = spark.createDataFrame(data, "k int, t int, ref array<string>, hyp array<string>").withColumn("pairs", A.aligned(F.col("ref"), F.col("hyp")))
+    want = A.totals(A.apply_allow_lists(A.spans(A.explode_pairs(df, ["k", "t"]), ["k", "t"])), ["k"])
+    got = A.pair_totals(df, ["k"])
+    assert got.schema.simpleString() == want.schema.simpleString()
+    assert sorted(map(tuple, got.collect())) == sorted(map(tuple, want.collect()))
