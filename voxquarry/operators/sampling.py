@@ -34,11 +34,14 @@ def corrupt(df: DataFrame, keys: list[str], text: str, substitute: float, delete
         raise ValueError("rates must be at least 0 and sum to 1 at most")
     t = df.select(*keys, F.posexplode(words(F.col(text))).alias("pos", "word"))
     often = t.groupBy("word").count().orderBy(F.desc("count"), "word").limit(pool).select("word")
-    often = F.broadcast(often.agg(F.array_sort(F.collect_list("word")).alias("pool")))  # one row of `pool` words
+    often = often.agg(F.array_sort(F.collect_list("word")).alias("pool")).select(F.size("pool").alias("n"), F.posexplode("pool").alias("place", "word"))  # `pool` rows
+    size = F.broadcast(often.agg(F.max("n").alias("n")))
     u, pick = uniform(seed, *keys, "pos"), uniform(seed + "|pick", *keys, "pos")
-    t = t.crossJoin(often).withColumn("u", u)
-    own = F.filter("pool", lambda w: w != F.col("word"))
-    t = t.withColumn("new", F.get(own, F.floor(pick * F.size(own)).cast("int")))
+    t = t.crossJoin(size).join(F.broadcast(often.select("word", "place")), "word", "left").withColumn("u", u)
+    # a place among the others of the pool: its own word is stepped over
+    at = F.floor(pick * (F.col("n") - F.col("place").isNotNull().cast("int"))).cast("int")
+    t = t.withColumn("at", at).withColumn("at", F.col("at") + F.coalesce(F.col("at") >= F.col("place"), F.lit(False)).cast("int"))
+    t = t.join(F.broadcast(often.select(F.col("place").alias("at"), F.col("word").alias("new"))), "at", "left")
     out = F.when(F.col("u") < delete, F.array().cast("array<string>")).when(F.col("u") < delete + substitute, F.array("new")).when(F.col("u") < delete + substitute + insert, F.array("word", "new")).otherwise(F.array("word"))
     g = t.groupBy(*keys).agg(F.array_sort(F.collect_list(F.struct("pos", out.alias("o")))).alias("l"))
     return g.select(*keys, F.array_join(F.flatten(F.transform("l", lambda x: x["o"])), " ").alias(text))
