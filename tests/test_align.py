@@ -248,3 +248,15 @@ def test_pair_totals_equal_totals_of_spans(spark):
     got = A.pair_totals(df, ["k"])
     assert got.schema.simpleString() == want.schema.simpleString()
     assert sorted(map(tuple, got.collect())) == sorted(map(tuple, want.collect()))
+
+
+def test_distances_leave_out_common_ends(monkeypatch):
+    import pandas as pd
+
+    rng = random.Random(4)
+    data = [changed(rng, 12, 4, 0.3) for _ in range(50)] + [([], []), (["a"], []), (["a", "a"], ["a"]), (["a", "b"], ["b", "a"])]
+    want = [sum(r != h for r, h in A.edit_pairs(a, b)) for a, b in data]
+    ref, hyp = (pd.Series(list(x)) for x in zip(*data, strict=True))
+    assert A.word_distance.func(ref, hyp).tolist() == want
+    monkeypatch.setattr(A, "best_band", None)  # nothing is left to align
+    assert A.word_distance.func(pd.Series([list("abc")]), pd.Series([list("abcx")])).tolist() == [1]
