@@ -131,3 +131,45 @@ def test_documented_sentences():
     assert X.normalise_sentence("5-10 orang, 2.5km") == "lima hingga sepuluh orang dua perpuluhan lima kilometer"
     assert X.normalise_sentence("15% orang") == "lima belas orang"
     assert X.normalise("1,000 dan 1.000 'hari' Qur'an 1234567890123") == "seribu dan seribu hari qur'an"
+
+
+def test_malay_query_equals_its_sql_on_large_keys(spark, tmp_path):
+    import duckdb
+
+    from voxquarry.plans.all_queries import ORACLES, QUERIES
+
+    keys = [0, 1, 126, 126_278, 126_279, 126_280, 1_199_999]
+    spark.createDataFrame([(k,) for k in keys], "p_partkey long").write.parquet(str(tmp_path / "part.parquet"))
+    con = duckdb.connect()
+    con.execute(f"CREATE VIEW part AS SELECT * FROM read_parquet('{tmp_path}/part.parquet/*.parquet')")
+    got = QUERIES["numbers_in_malay"](spark, str(tmp_path)).select("p_partkey", "digit", "prefixed").collect()
+    assert sorted(map(tuple, got)) == sorted(con.execute(ORACLES["numbers_in_malay"]).fetchall())
+
+
+def test_first_characters_are_told_apart_inside_their_line(spark, monkeypatch):
+    from helpers import DATA
+
+    from voxquarry.operators import vocab as V
+    from voxquarry.plans.text import char_ids_first_seen
+
+    monkeypatch.setattr(V, "first_seen_ids", lambda t, *_: t)
+    t = char_ids_first_seen(spark, DATA)
+    assert t.count() == t.select("doc_id", "line_no", "char").distinct().count()
+
+
+def test_corruption_carries_no_pool_beside_every_word(spark):
+    from voxquarry.operators import sampling as P
+
+    df = spark.createDataFrame([(1, "a a b"), (2, "c"), (3, "")], "k int, text string")
+    t = P.corrupt(df, ["k"], "text", 1.0, 0.0, 0.0, pool=2)
+    got = {r.k: r.text.split() for r in t.collect()}
+    assert got[1][:2] == ["b", "b"] and got[1][2] == "a" and got[2][0] in ("a", "b") and len(got) == 2
+    assert "filter(pool" not in t._jdf.queryExecution().optimizedPlan().toString()
+
+
+def test_numbers_are_named_once_for_each_value(monkeypatch):
+    import pandas as pd
+
+    asked = []
+    monkeypatch.setattr(X, "malay_words", lambda x, *_: asked.append(x) or str(x))
+    assert X.number_in_malay.func(pd.Series([5, 5, None, 7, 5])).tolist() == ["5", "5", None, "7", "5"] and sorted(asked) == [5, 7]
