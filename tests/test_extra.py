@@ -46,6 +46,29 @@ def test_assignment_equals_all_assignments():
         assert M.best_assignment(refs, channels) == brute(refs, channels), (refs, channels)
 
 
+def test_few_utterances_are_tried_instead_of_wide_boxes(monkeypatch):
+    rng, cells, read = random.Random(17), [0], M._Reader.read
+
+    def counted(self, box, u, axis):
+        cells[0] += box[1].size * len(self.refs[u]) if box else 0
+        return read(self, box, u, axis)
+
+    monkeypatch.setattr(M._Reader, "read", counted)
+    for n in (3, 4, 5):
+        refs = [[f"w{rng.randrange(30)}" for _ in range(50)] for _ in range(n)]
+        channels = [[f"w{rng.randrange(30)}" for _ in range(rng.randrange(120, 150))] for _ in range(2)]
+        assert M.best_assignment(refs, channels) == brute(refs, channels)
+    assert cells[0] < 2_000_000, cells
+
+
+def test_tried_subsets_equal_all_assignments():
+    rng = random.Random(18)
+    for _ in range(150):
+        refs = [[rng.choice("abcd") for _ in range(rng.randrange(4))] for _ in range(rng.randrange(6))]
+        channels = [[rng.choice("abcd") for _ in range(rng.randrange(8))] for _ in range(2)]
+        assert M._tried(refs, channels) == brute(refs, channels), (refs, channels)
+
+
 def test_query_equals_all_assignments(spark):
     from helpers import DATA
 
