@@ -2,6 +2,7 @@
 
 import os
 import random
+import time
 
 import pytest
 from helpers import DATA
@@ -50,6 +51,28 @@ def test_merging_takes_the_best_pair_first():
     assert [p.pieces[i] for i in p.segment(BLANK + "abab")] == plain
 
 
+def test_merges_at_once_equal_a_plain_merger():
+    rng = random.Random(4)
+    for rows in (SMALL, [*SMALL, (9, "zb", -1.1, "normal"), (10, "abb", -2.5, "normal")], [*SMALL, *((20 + b, f"<0x{b:02X}>", 0.0, "byte") for b in range(256))]):
+        p, score = Pieces("bpe", rows), {x: s for _, x, s, kind in rows if kind == "normal"}
+        number = {x: i for i, x, _, kind in rows if kind == "normal"}
+        texts = ["".join(rng.choice("aabbxyzé") for _ in range(rng.choice((1, 3, 7, 20, 45)))) for _ in range(200)]
+        for text, got in zip(texts, p.encoded([p.slices(t) for t in texts]), strict=True):
+            plain, want = list(BLANK + text), []
+            while tries := [(-score[a + b], i) for i, (a, b) in enumerate(zip(plain, plain[1:], strict=False)) if a + b in score]:
+                i = min(tries)[1]
+                plain[i : i + 2] = [plain[i] + plain[i + 1]]
+            for x in plain:
+                want += [number[x]] if x in number else [p.bytes[b] for b in x.encode()] if p.bytes else [0] if want[-1:] != [0] else []
+            assert [int.from_bytes(got[k : k + 4], "little") for k in range(0, len(got), 4)] == want == p.segment(BLANK + text)
+
+
+def test_text_without_blanks_takes_time_in_proportion():
+    p, text, start = Pieces("bpe", SMALL), "ab" * 40_000, time.process_time()
+    assert p.ids(text) == [5, 7, *[4] * 39_998]
+    assert time.process_time() - start < 10
+
+
 def test_bounds():
     with pytest.raises(ValueError, match="no segmentation"):
         Pieces("word", SMALL)
