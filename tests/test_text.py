@@ -173,3 +173,13 @@ def test_numbers_are_named_once_for_each_value(monkeypatch):
     asked = []
     monkeypatch.setattr(X, "malay_words", lambda x, *_: asked.append(x) or str(x))
     assert X.number_in_malay.func(pd.Series([5, 5, None, 7, 5])).tolist() == ["5", "5", None, "7", "5"] and sorted(asked) == [5, 7]
+
+
+def test_transcript_tokens_shuffle_nothing_and_skip_lines_without_words(spark, tmp_path):
+    from voxquarry.plans.text import transcript_tokens
+
+    texts = [(1, "abcde abcdef\n\n \té\u00a0漢字 😀"), (2, ""), (3, None), (4, "  x")]
+    spark.createDataFrame(texts, "doc_id long, text string").write.parquet(str(tmp_path / "documents.parquet"))
+    df = transcript_tokens(spark, str(tmp_path))
+    assert sorted(map(tuple, df.collect())) == [(1, 0, "a b c d e <UNK>"), (1, 2, "é 漢 字 😀"), (4, 0, "x")]
+    assert "Exchange" not in df._jdf.queryExecution().toString()
