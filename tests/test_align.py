@@ -260,3 +260,34 @@ def test_distances_leave_out_common_ends(monkeypatch):
     assert A.word_distance.func(ref, hyp).tolist() == want
     monkeypatch.setattr(A, "best_band", None)  # nothing is left to align
     assert A.word_distance.func(pd.Series([list("abc")]), pd.Series([list("abcx")])).tolist() == [1]
+
+
+def test_pairs_are_aligned_once(spark):
+    from voxquarry.plans.alignment import anchored_error_rates, score_pairs
+
+    plan = lambda t: t._jdf.queryExecution().executedPlan().toString()
+    assert plan(anchored_error_rates(spark, DATA)).count("ArrowEvalPython") == 2  # cuts and counts, with no copy below a filter
+    assert plan(score_pairs(spark, DATA)).count("ArrowEvalPython") == 1
+
+
+def test_pairs_aligned_together_have_the_paths_of_full_matrices(monkeypatch):
+    import pyarrow as pa
+
+    rng = random.Random(12)
+    data = [changed(rng, rng.choice([0, 1, 2, 9, 40]), rng.choice([2, 6, 60]), rng.choice([0.05, 0.3, 0.95])) for _ in range(80)]
+    data += [(a, changed(rng, rng.randrange(60), 6, 0.3)[1]) for a, _ in data[:20]] + [(["a"] * 30 + ["b"] * 30, ["b"] * 30 + ["a"] * 30)]
+    ref, hyp = (pa.array([[], *x, None, ["a"]], pa.list_(pa.string())).slice(1) for x in zip(*data, strict=True))
+    for scores in (A.SCORE, A.EDIT):
+        want = [matrix(r, h, scores)[1] for r, h in data]
+        for together, alone in ((1 << 19, 1 << 24), (3000, 1 << 24), (0, 200)):  # all at once, few at once, long ones by kept rows
+            monkeypatch.setattr(A, "TOGETHER", together)
+            monkeypatch.setattr(A, "ALONE", alone)
+            ok, _, _, steps, length = A._batch(ref, hyp, scores)
+            assert ok.tolist() == [True] * len(data) + [False, True]
+            assert [x.tolist() for x in np.split(steps, np.cumsum(length)[:-1])] == [*want, [0]]
+            counts = A._counted(scores).func(ref, hyp).to_pylist()
+            assert counts[-2:] == [None, {"m": 1, "s": 0, "i": 0, "d": 0}]
+            for (r, h), c, steps in zip(data, counts[:-2], want, strict=True):
+                assert (c["m"] + c["s"], c["i"], c["d"]) == (steps.count(0), steps.count(2), steps.count(1))
+                pairs = A.align_pairs(r, h, scores=scores)
+                assert c["m"] == sum(a == b for a, b in pairs)
