@@ -291,3 +291,36 @@ def test_pairs_aligned_together_have_the_paths_of_full_matrices(monkeypatch):
                 assert (c["m"] + c["s"], c["i"], c["d"]) == (steps.count(0), steps.count(2), steps.count(1))
                 pairs = A.align_pairs(r, h, scores=scores)
                 assert c["m"] == sum(a == b for a, b in pairs)
+
+
+def test_anchored_numbers_stand_for_the_words(spark, monkeypatch):
+    rng = random.Random(13)
+    data = [(k, *changed(rng, rng.choice([0, 5, 700]), 300, 0.1)) for k in range(12)] + [(12, None, ["b"]), (13, ["b"], None), (14, [], [])]
+    df = spark.createDataFrame(data, "k int, ref array<string>, hyp array<string>").coalesce(1)
+    parts = lambda **how: {(x["k"], x["part"]): (x["ref"], x["hyp"]) for x in A.anchored(df, ["k"], "ref", "hyp", least=100, **how).collect()}
+    words, numbers = parts(), parts(numbers=True)
+    assert words.keys() == numbers.keys() and len(words) > 30
+    meant: dict = {}
+    for (k, part), sides in words.items():
+        for w, n in zip(sides, numbers[k, part], strict=True):
+            assert (w is None) == (n is None) and (w is None or len(w) == len(n))
+            for a, b in zip(w or [], n or [], strict=True):
+                assert meant.setdefault((k, "word", a), b) == b and meant.setdefault((k, "number", b), a) == a
+    want = A.pair_totals(A.anchored(df, ["k"], "ref", "hyp", least=100), ["k"]).orderBy("k").collect()
+    assert A.pair_totals(A.anchored(df, ["k"], "ref", "hyp", least=100, numbers=True), ["k"]).orderBy("k").collect() == want
+
+
+def test_batches_are_worked_on_by_pieces(monkeypatch):
+    import pyarrow as pa
+
+    rng = random.Random(14)
+    kind = pa.list_(pa.string())
+    data = [changed(rng, rng.choice([0, 0, 3, 30, 90]), 9, 0.3) for _ in range(50)]
+    ref, hyp = (pa.array([["skipped"], *x, None], kind).slice(1) for x in zip(*data, strict=True))
+    for f in (A._udf(A.SCORE), A._udf(A.SCORE, True), A._counted(A.EDIT)):
+        want = f.func(ref, hyp)
+        for piece in (1, 50, 400):
+            monkeypatch.setattr(A, "PIECE", piece)
+            assert f.func(ref, hyp).equals(want)
+            assert len(f.func(ref[:0], hyp[:0])) == 0
+        monkeypatch.undo()
